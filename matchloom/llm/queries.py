@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from matchloom.llm import urls
+from matchloom.llm import mixing, urls
 
 QUERIES = {
+    "op3_mixing": mixing.op3_mixing,
     "op7_url_filter": urls.op7_url_filter,
 }
 SQL = {"op7_url_filter": urls.SQL}
