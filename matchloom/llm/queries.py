@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from matchloom.llm import mixing, urls
+from matchloom.llm import bpe, mixing, secrets, urls
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
+    "op5_bpe": bpe.op5_bpe,
+    "op6_secrets": secrets.op6_secrets,
     "op7_url_filter": urls.op7_url_filter,
 }
 SQL = {"op7_url_filter": urls.SQL}
