@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from matchloom.llm import bpe, mixing, secrets, urls
+from matchloom.llm import bpe, html_text, mixing, secrets, urls
 
 QUERIES = {
+    "op2_html_text": html_text.op2_html_text,
     "op3_mixing": mixing.op3_mixing,
     "op5_bpe": bpe.op5_bpe,
     "op6_secrets": secrets.op6_secrets,
