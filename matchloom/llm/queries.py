@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchloom.llm import bpe, html_text, mixing, secrets, toxicity, urls
+from matchloom.llm import bpe, html_text, minhash, mixing, secrets, toxicity, urls
 
 QUERIES = {
     "op2_html_text": html_text.op2_html_text,
@@ -11,5 +11,6 @@ QUERIES = {
     "op6_secrets": secrets.op6_secrets,
     "op7_url_filter": urls.op7_url_filter,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op10_minhash": minhash.op10_minhash,
 }
 SQL = {"op7_url_filter": urls.SQL}
