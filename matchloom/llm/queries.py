@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from matchloom.llm import bpe, html_text, minhash, mixing, secrets, toxicity, urls
+from matchloom.llm import bpe, embedding_dedup, html_text, minhash, mixing, secrets, toxicity, urls
 
 QUERIES = {
+    "op1_hnsw": embedding_dedup.op1_hnsw,
     "op2_html_text": html_text.op2_html_text,
     "op3_mixing": mixing.op3_mixing,
     "op5_bpe": bpe.op5_bpe,
