@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchloom.llm import bpe, embedding_dedup, html_text, minhash, mixing, secrets, toxicity, urls
+from matchloom.llm import bpe, embedding_dedup, hamming_search, html_text, minhash, mixing, secrets, toxicity, urls
 
 QUERIES = {
     "op1_hnsw": embedding_dedup.op1_hnsw,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_secrets": secrets.op6_secrets,
     "op7_url_filter": urls.op7_url_filter,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_hamming": hamming_search.op9_hamming,
     "op10_minhash": minhash.op10_minhash,
 }
 SQL = {"op7_url_filter": urls.SQL}
