@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from matchloom.llm import bloom
 from matchloom.llm.common import ship, table, written
 from matchloom.llm.components import components
 
 WORDS, SYMBOLS, MISSED = 5, 64, 1e-6
 #: A block has at most so many classes and, but for single giants, shingles; hubs of a group of more blocks.
-BLOCK, BLOCK_SHINGLES, HUBS = 1024, 4_000_000, 8
+BLOCK, BLOCK_SHINGLES, HUBS, FILTER_BYTES = 1024, 4_000_000, 8, 24 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -51,7 +52,7 @@ def _numbers(n: int, seed: int) -> np.ndarray:
 
 _BASE = np.uint64(0x5851F42D4C957F2D)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_PLACE, _XOR, _TIMES = _numbers(WORDS, 1) | np.uint64(1), _numbers(SYMBOLS, 2), _numbers(SYMBOLS, 3) | np.uint64(1)
+_PLACE, _XOR, _TIMES, _WRONG = _numbers(WORDS, 1) | np.uint64(1), _numbers(SYMBOLS, 2), _numbers(SYMBOLS, 3) | np.uint64(1), _numbers(SYMBOLS, 4)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -143,7 +144,7 @@ def keys(classes: DataFrame, percent: int) -> DataFrame:
                     term = {s: _mix(sig[:, s] * _ODD + np.uint64(s + 1)) for s in part}
                     total = sum(term.values())
                     for wrong in part:
-                        key = _mix(total - term[wrong] + np.uint64(wrong + 1) * _BASE)
+                        key = _mix(total - term[wrong] + _WRONG[wrong])
                         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls)], ["key", "cls"])
 
     return classes.select("cls", "sig").mapInArrow(run, "key long, cls long")
@@ -210,7 +211,13 @@ def by_block(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def with_text(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """members with the text of the document `rep`. A Bloom filter of the ids asked for keeps other texts out of the
+    shuffle; it is left out where it would be over FILTER_BYTES (some 10 million documents with candidates)."""
     texts = docs.select(F.col("doc_id").alias("__id"), "text").where(F.col("text").isNotNull())
+    ids = members.select("rep").distinct()
+    blocks = bloom.blocks_for(ids.count())
+    if bloom.size_of(blocks) <= FILTER_BYTES:
+        texts = bloom.passing(texts, "__id", F.broadcast(bloom.bloom_filter(ids, "rep", blocks)), blocks)
     return members.join(texts, F.col("rep").eqNullSafe(F.col("__id"))).drop("__id")
 
 

@@ -14,11 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchloom.llm import bloom
 from matchloom.llm.common import lower_ascii, table
 
-#: Bits of a block, hash functions, and listed URLs per block: about one false positive in a thousand.
-BLOCK_WORDS, HASHES, PER_BLOCK = 4, 6, 16
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -65,38 +63,15 @@ def fitting_rule(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) ->
     return out
 
 
-def _bits(key: Column, blocks: int) -> tuple[Column, list[Column]]:
-    """The block of a key and, for each 64-bit word of it, the mask of bits that the key sets."""
-    block = F.pmod(F.xxhash64(key), F.lit(blocks))
-    h = [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(64 * BLOCK_WORDS)) for i in range(1, HASHES + 1)]
-    words = []
-    for w in range(BLOCK_WORDS):
-        mask = F.lit(0).cast("long")
-        for x in h:
-            mask = mask.bitwiseOR(F.when(F.floor(x / 64) == w, F.expr("1L")).otherwise(F.expr("0L")) * F.call_function("shiftleft", F.lit(1).cast("long"), (x % 64).cast("int")))
-        words.append(mask)
-    return block, words
-
-
-def bloom_filter(listed: DataFrame, blocks: int) -> DataFrame:
-    """One row per block that holds anything: block, w0..w3. listed: a column `canonical`."""
-    block, words = _bits(F.col("canonical"), blocks)
-    return listed.select(block.alias("block"), *[w.alias(f"w{i}") for i, w in enumerate(words)]).groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(BLOCK_WORDS)])
-
-
 def listed_urls(urls: DataFrame, listed: DataFrame, broadcast_bytes: int = 8 << 20) -> DataFrame:
     """The distinct non-null rows of urls(canonical) that are in listed(canonical), found through the filter."""
     listed = listed.where(F.col("canonical").isNotNull()).select("canonical").distinct()
-    blocks = max(1, -(-listed.count() // PER_BLOCK))
-    bloom = bloom_filter(listed, blocks)
-    if blocks * (BLOCK_WORDS + 1) * 8 <= broadcast_bytes:
-        bloom = F.broadcast(bloom)
-    block, words = _bits(F.col("canonical"), blocks)
-    probes = urls.where(F.col("canonical").isNotNull()).select("canonical").distinct().withColumn("block", block)
-    possible = probes.join(bloom, "block")
-    for i, w in enumerate(words):
-        possible = possible.where(F.col(f"w{i}").bitwiseAND(w) == w)
-    return possible.select("canonical").join(listed, "canonical", "left_semi")
+    blocks = bloom.blocks_for(listed.count())
+    held = bloom.bloom_filter(listed, "canonical", blocks)
+    if bloom.size_of(blocks) <= broadcast_bytes:
+        held = F.broadcast(held)
+    probes = urls.where(F.col("canonical").isNotNull()).select("canonical").distinct()
+    return bloom.passing(probes, "canonical", held, blocks).join(listed, "canonical", "left_semi")
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
