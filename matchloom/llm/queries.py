@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from matchloom.llm import bpe, embedding_dedup, hamming_search, html_text, minhash, mixing, secrets, toxicity, urls
+from matchloom.llm import bpe, embedding_dedup, hamming_search, html_text, lm, minhash, mixing, secrets, toxicity, urls
 
 QUERIES = {
     "op1_hnsw": embedding_dedup.op1_hnsw,
     "op2_html_text": html_text.op2_html_text,
     "op3_mixing": mixing.op3_mixing,
+    "op4_log_bilinear": lm.op4_log_bilinear,
     "op5_bpe": bpe.op5_bpe,
     "op6_secrets": secrets.op6_secrets,
     "op7_url_filter": urls.op7_url_filter,
