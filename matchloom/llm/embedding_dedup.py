@@ -24,7 +24,7 @@ from matchloom.llm.common import ship, table, written
 from matchloom.llm.components import components
 from matchloom.llm.vectors import doubles, matrix, per_group, usable
 
-SHARD, LEAST_SHARD, RECALL, WIDEST, SLACK = 10_000, 1500, 0.998, 1024, 1e-4
+SHARD, LEAST_SHARD, RECALL, WIDEST, SLACK, MOST_PAIRS = 10_000, 1500, 0.998, 1024, 1e-4, 8_000_000
 
 _INDEX = "dim int, shard int, ids binary, weights binary, vectors binary, layers array<binary>, beam int"
 
@@ -78,42 +78,71 @@ def candidates(s: Shard, q: np.ndarray, least: float) -> Iterator[tuple[np.ndarr
         yield todo[i : i + 512][r], c
 
 
-def links(a: Shard, b: Shard, similarity: float, same: bool) -> np.ndarray:
-    """Table of confirmed links between the points of a and of b."""
-    found = np.zeros((len(a.ids), len(b.ids)), bool)
+class Links:
+    """Links between points of a and of b: sorted pairs, or a table where there are more than MOST_PAIRS."""
+
+    def __init__(self, shape: tuple[int, int]):
+        self.shape, self.pairs, self.count, self.full = shape, [], 0, None
+
+    def add(self, r: np.ndarray, c: np.ndarray) -> None:
+        if self.full is not None:
+            self.full[r, c] = True
+            return
+        self.pairs.append(r.astype(np.int64) * self.shape[1] + c)
+        self.count += len(r)
+        if self.count > MOST_PAIRS:
+            self.full = np.zeros(self.shape, bool)
+            for p in self.pairs:
+                self.full.ravel()[p] = True
+            self.pairs = []
+
+    def chunks(self, turned: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs once each, in order of the first of the two; b's points come first if turned."""
+        if self.full is not None:
+            t = self.full.T if turned else self.full
+            for i in range(0, len(t), 512):
+                r, c = np.nonzero(t[i : i + 512])
+                yield r + i, c
+            return
+        codes = np.unique(np.concatenate(self.pairs)) if self.pairs else np.empty(0, np.int64)
+        r, c = np.divmod(codes, self.shape[1])
+        if turned:
+            order = np.argsort(c, kind="stable")
+            r, c = c[order], r[order]
+        yield r, c
+
+
+def links(a: Shard, b: Shard, similarity: float, same: bool) -> Links:
+    """The confirmed links between the points of a and of b; both ways if they are the same shard."""
+    found, out = Links((len(a.ids), len(b.ids))), Links((len(a.ids), len(b.ids)))
     for r, c in candidates(b, a.graph.x, similarity - SLACK):
-        found[r, c] = True
-    if same:
-        found |= found.T
-        np.fill_diagonal(found, False)
-    else:
+        found.add(r, c)
+        if same:
+            found.add(c, r)
+    if not same:
         for r, c in candidates(a, b.graph.x, similarity - SLACK):
-            found[c, r] = True
-    for i in range(0, len(found), 256):
-        dense = np.flatnonzero(found[i : i + 256].any(1)) + i
-        if len(dense) and found[dense].mean() > 0.02:
-            found[dense] &= a.unit[dense] @ b.unit.T >= similarity
-            continue
-        r, c = np.nonzero(found[i : i + 256])
-        for k in range(0, len(r), 50_000):
-            rr, cc = r[k : k + 50_000] + i, c[k : k + 50_000]
-            found[rr, cc] = np.einsum("nd,nd->n", a.unit[rr], b.unit[cc]) >= similarity
-    return found
-
-
-def roots(found: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest id reachable by the table's links from each point of either side."""
-    la, lb = a_ids.copy(), (a_ids if same else b_ids).copy()
+            found.add(c, r)
+    for rows, cols in found.chunks():
+        for k in range(0, len(rows), 50_000):
+            r, c = rows[k : k + 50_000], cols[k : k + 50_000]
+            ok = np.einsum("nd,nd->n", a.unit[r], b.unit[c]) >= similarity
+            if same:
+                ok &= r != c
+            out.add(r[ok], c[ok])
+    return out
+
+
+def roots(found: Links, a_ids: np.ndarray, b_ids: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest id reachable by the links from each point of either side."""
+    la = a_ids.copy()
+    lb = la if same else b_ids.copy()
     while True:
         before = la.copy(), lb.copy()
-        for side, other, t in ((la, lb, found), (lb, la, found.T)):
-            for i in range(0, len(side), 512):
-                r, c = np.nonzero(t[i : i + 512])
+        for side, other, turned in ((la, lb, False), (lb, la, True)):
+            for r, c in found.chunks(turned):
                 if len(r):
                     starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-                    side[i + r[starts]] = np.minimum(side[i + r[starts]], np.minimum.reduceat(other[c], starts))
-            if same:
-                lb = la = np.minimum(la, lb)
+                    side[r[starts]] = np.minimum(side[r[starts]], np.minimum.reduceat(other[c], starts))
         if (before[0] == la).all() and (before[1] == lb).all():
             return la, lb
 
@@ -131,10 +160,12 @@ def linked_classes(index: DataFrame, shards: int, similarity: float) -> DataFram
         b = a if same else Shard(rows[1])
         found = links(a, b, similarity, same)
         la, lb = roots(found, a.ids, b.ids, same)
-        for side, root, table_, other in ((a, la, found, b), (b, lb, found.T, a))[: 1 if same else 2]:
-            n = np.concatenate([table_[i : i + 512] @ other.weights for i in range(0, len(side.ids), 512)])
+        for side, root, turned, other in ((a, la, False, b), (b, lb, True, a))[: 1 if same else 2]:
+            n = np.zeros(len(side.ids), np.int64)
+            for r, c in found.chunks(turned):
+                n += np.bincount(r, other.weights[c], len(n)).astype(np.int64)
             has = n > 0
-            yield pa.RecordBatch.from_arrays([pa.array(side.ids[has]), pa.array(n[has].astype(np.int64)), pa.array(root[has])], ["cls", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(side.ids[has]), pa.array(n[has]), pa.array(root[has])], ["cls", "links", "root"])
 
     return per_group(pairs.select("pair", "shard", "same", "ids", "weights", "vectors", "layers", "beam"), "pair", solve, "cls long, links long, root long", "shard")
 

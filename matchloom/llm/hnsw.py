@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-M, M0, BUILD_BEAM, SCALE, FIRST, BATCH = 16, 32, 48, 16, 256, 1024
+M, M0, BUILD_BEAM, SCALE, FIRST, BATCH = 16, 32, 32, 16, 256, 1024
 #: Cells of a table of visited points; it bounds how many queries go together.
 CELLS = 24_000_000
 
@@ -70,9 +70,9 @@ def search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entries: np.ndarray,
     return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
 
-def diverse(x: np.ndarray, cand: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
+def diverse(x: np.ndarray, cand: np.ndarray, sims: np.ndarray, most: int, width: int = 0) -> np.ndarray:
     """Up to `most` of each row of candidates (sorted by similarity, -1 for none): first those that are nearer to
-    the point than to any chosen before, then the nearest of the rest."""
+    the point than to any chosen before, then the nearest of the rest. Rows are filled up with -1 to `width`."""
     m, c = cand.shape
     v = x[np.maximum(cand, 0)]
     among = np.matmul(v, v.transpose(0, 2, 1))
@@ -87,7 +87,7 @@ def diverse(x: np.ndarray, cand: np.ndarray, sims: np.ndarray, most: int) -> np.
     rank = np.where(chosen, 0, np.where(cand >= 0, 1, 2)) * c + np.arange(c)
     order = np.argsort(rank, axis=1)[:, :most]
     out = np.take_along_axis(cand, order, 1)
-    return np.pad(out, ((0, 0), (0, most - out.shape[1])), constant_values=-1)
+    return np.pad(out, ((0, 0), (0, max(most, width) - out.shape[1])), constant_values=-1)
 
 
 def exact(x: np.ndarray, q: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -157,20 +157,24 @@ def _link_back(x: np.ndarray, links: np.ndarray, chosen: np.ndarray, first: int)
     order = np.lexsort((-sims, to))
     new, to = new[order], to[order]
     points, at, counts = np.unique(to, return_index=True, return_counts=True)
-    width = min(int(counts.max(initial=0)), most)
+    held = (links[points] >= 0).sum(1)
+    room = held + counts <= most  # these just take the new ones
+    k = np.arange(len(new)) - np.repeat(at, counts)
+    fits = np.repeat(room, counts)
+    links[to[fits], (np.repeat(held, counts) + k)[fits]] = new[fits]
+    points, at, counts = points[~room], at[~room], np.minimum(counts[~room], most // 2)
+    width = int(counts.max(initial=0))
     for i in range(0, len(points), 2048):
-        p, a, c = points[i : i + 2048], at[i : i + 2048], np.minimum(counts[i : i + 2048], width)
+        p, a, c = points[i : i + 2048], at[i : i + 2048], counts[i : i + 2048]
         k = np.arange(width)[None, :]
         added = np.where(k < c[:, None], new[np.minimum(a[:, None] + k, len(new) - 1)], -1)
         cand = np.concatenate((links[p], added), 1)
-        cand = np.sort(cand, axis=1)
-        cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
         s = np.where(cand >= 0, np.matmul(x[np.maximum(cand, 0)], x[p][:, :, None])[:, :, 0], -np.inf)
         order = np.argsort(-s, axis=1, kind="stable")
-        links[p] = diverse(x, np.take_along_axis(cand, order, 1), np.take_along_axis(s, order, 1), most)
+        links[p] = diverse(x, np.take_along_axis(cand, order, 1), np.take_along_axis(s, order, 1), most * 3 // 4, most)
 
 
-def audited_beam(g: Graph, similarity: float, recall: float, seed: int = 0, first: int = 16, queries: int = 512) -> int:
+def audited_beam(g: Graph, similarity: float, recall: float, seed: int = 0, first: int = 32, queries: int = 512) -> int:
     """The beam, doubled from `first`, with which queries at the given similarity to points of the graph find them
     with the recall asked for; 0 if only a scan of all points would do."""
     n, d = g.x.shape
