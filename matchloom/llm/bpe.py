@@ -14,11 +14,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from matchloom.llm.common import ship, table
 
@@ -194,22 +197,26 @@ class Codec:
         if len(self.by_piece) >= MOST_WORDS:
             self.by_piece.clear()
         ids = self.encode(p)
-        got = self.by_piece[p] = (",".join(map(str, ids)), self.decode_bytes(ids), len(ids))
+        got = self.by_piece[p] = (",".join(map(str, ids)), self.decode_bytes(ids), len(ids), array("i", ids).tobytes())
         return got
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, their digest and that of the decoded text.
+    def pieces(self, text: str) -> list[tuple]:
+        """Pieces of the text, each as ids (written out), decoded bytes, number of ids, and ids as 32-bit numbers.
 
         A space between two characters that are no white space starts a word of its own, whatever stands before
         it; such texts are put together from pieces, each cut before its space and encoded once per worker."""
         special = self.at_special and any(s in text for s in self.special)
-        pieces = text.replace(" ", "\0 ").split("\0") if not special and "\0" not in text else [text]
-        if len(pieces) > 1 and not any(len(p) < 2 or p[1].isspace() or p[-1].isspace() for p in pieces[1:]) and pieces[0] and not pieces[0][-1].isspace():
+        cut = text.replace(" ", "\0 ").split("\0") if not special and "\0" not in text else [text]
+        if len(cut) > 1 and not any(len(p) < 2 or p[1].isspace() or p[-1].isspace() for p in cut[1:]) and cut[0] and not cut[0][-1].isspace():
             known, new = self.by_piece.get, self._piece
-            got = [known(p) or new(p) for p in pieces]
-            return sum([x[2] for x in got]), hashlib.sha256(",".join([x[0] for x in got]).encode()).hexdigest(), self._of_decoded(b"".join([x[1] for x in got]))
+            return [known(p) or new(p) for p in cut]
         ids = self.encode(text)
-        return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), self._of_decoded(self.decode_bytes(ids))
+        return [(",".join(map(str, ids)), self.decode_bytes(ids), len(ids), array("i", ids).tobytes())] if ids else []
+
+    def digest(self, text: str, pieces: list[tuple] | None = None) -> tuple[int, str, str]:
+        """Number of ids, their digest and that of the decoded text."""
+        got = self.pieces(text) if pieces is None else pieces
+        return sum([x[2] for x in got]), hashlib.sha256(",".join([x[0] for x in got]).encode()).hexdigest(), self._of_decoded(b"".join([x[1] for x in got]))
 
     @staticmethod
     def _of_decoded(b: bytes) -> str:
@@ -231,16 +238,36 @@ def codec(path: str) -> Codec:
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (array of int), decoded for each row of docs(doc_id, text). Null text is empty: no ids."""
+    """doc_id, n_tokens, ids (array of int), ids_sha256, decoded_sha256 for each row of docs(doc_id, text).
+    Null text is empty: no ids."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
-            ids = [c.encode(t or "") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                got = [c.pieces(t or "") for t in b.column(1).to_pylist()]
+                digest = [c.digest("", p) for p in got]
+                offsets = pa.array([0, *accumulate(d[0] for d in digest)], pa.int32())
+                values = pa.Array.from_buffers(pa.int32(), offsets[-1].as_py(), [None, pa.py_buffer(b"".join([x[3] for p in got for x in p]))])
+                n, ids, decoded = zip(*digest)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.ListArray.from_arrays(offsets, values), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+
+
+def decoded(rows: DataFrame, path: str) -> DataFrame:
+    """rows with their ids (array of int) decoded to `text`: the automaton's arc labels, one after the other. Null ids give
+    null, ids that the vocabulary lacks nothing."""
+    ship(rows.sparkSession)
+
+    @F.pandas_udf("string", F.PandasUDFType.SCALAR)
+    def emit(ids):
+        c = codec(path)
+        return ids.map(lambda x: None if x is None else c.decode([int(i) for i in x]))
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>, decoded string")
+    return rows.withColumn("text", emit(F.col("ids")))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

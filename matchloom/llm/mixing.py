@@ -124,11 +124,11 @@ def mixed_documents(docs: DataFrame, seed: int = 0, length: int = LENGTH) -> Dat
     parts = overlaps(rows, length).join(draws(src, seed).select("sid", "block", "pass"), ["sid", "block"])
     parts = parts.groupBy("sid", "start", "pass").agg(F.array_sort(F.collect_list("block")).alias("taken_blocks"), F.sum("n").alias("taken"))
     parts = parts.join(rows.where("size > 0"), ["sid", "start"]).select("doc_id", "tie", "size", "start", "pass", "taken", "taken_blocks")
-    # repeated rows have the same key: each is told apart by its place among them
-    nth = Window.partitionBy("doc_id", "tie").orderBy("start")
-    parts = parts.withColumn("nth", F.dense_rank().over(nth))
+    # repeated rows have the same key: where there are any, each is told apart by its place among them
+    repeated = bool(rows.groupBy("doc_id", "tie").count().where("count > 1").take(1))
+    parts = parts.withColumn("nth", F.dense_rank().over(Window.partitionBy("doc_id", "tie").orderBy("start")) if repeated else F.lit(1))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("key"), F.xxhash64("text").alias("key_tie"))
-    packed = packed.withColumn("key_nth", F.row_number().over(Window.partitionBy("key", "key_tie").orderBy(F.lit(1))))
+    packed = packed.withColumn("key_nth", F.row_number().over(Window.partitionBy("key", "key_tie").orderBy(F.lit(1))) if repeated else F.lit(1))
     joined = packed.join(parts, packed["key"].eqNullSafe(parts["doc_id"]) & (F.col("key_tie") == F.col("tie")) & (F.col("key_nth") == F.col("nth")))
     words = words_of(F.col("doc.text"))
     cut = F.flatten(F.transform(F.col("taken_blocks"), lambda b: F.slice(F.col("words"), F.greatest(b * length - F.col("start"), F.lit(0)).cast("int") + 1, (F.least(F.col("start") + F.col("size"), (b + 1) * length) - F.greatest(F.col("start"), b * length)).cast("int"))))
