@@ -47,7 +47,7 @@ def a3(spark, d):
 
 
 _AT = "round(count(*) FILTER (WHERE ok)::DOUBLE / count(*), 6) AS overall, round(CASE WHEN count(*) FILTER (WHERE known) > 0 THEN count(*) FILTER (WHERE known AND ok)::DOUBLE / count(*) FILTER (WHERE known) ELSE 0 END, 6) AS known_rate, round(CASE WHEN count(*) FILTER (WHERE NOT known) > 0 THEN count(*) FILTER (WHERE NOT known AND ok)::DOUBLE / count(*) FILTER (WHERE NOT known) ELSE 0 END, 6) AS unknown_rate"
-_SWEPT = f"WITH {T.MATCHES}, q AS (SELECT *, CASE WHEN score >= t THEN best_person ELSE 'Unknown' END AS predicted FROM matches, unnest([0.05, 0.1, 0.15, 0.2, 0.25, 0.3]) AS u(t)), o AS (SELECT *, CASE WHEN known THEN predicted = person ELSE predicted = 'Unknown' END AS ok FROM q)"
+_SWEPT = f"WITH {T.MATCHES}, q AS (SELECT *, CASE WHEN score >= t THEN best_person ELSE 'Unknown' END AS predicted FROM matches, unnest([0.05, 0.1, 0.15, 0.2, 0.25, 0.3]::DOUBLE[]) AS u(t)), o AS (SELECT *, CASE WHEN known THEN predicted = person ELSE predicted = 'Unknown' END AS ok FROM q)"
 
 
 def _rates():
@@ -179,7 +179,7 @@ def a17(spark, d):
     return a.unpivot([], a.columns, "label", "t").where("t is not null").withColumn("t", F.round("t", 6))
 
 
-_CAL = f"WITH {T.MATCHES}, j AS (SELECT vec_id, known, person, round(max(score) FILTER (WHERE other = person), 9) AS own, round(max(score) FILTER (WHERE other <> person), 9) AS best_other, first(other ORDER BY score DESC, other) AS best, round(max(score), 9) AS top FROM scored GROUP BY vec_id, known, person), g AS (SELECT t, avg((best = person AND top >= t)::INT) FILTER (WHERE known) AS id_accuracy, avg((own >= t)::INT) FILTER (WHERE own IS NOT NULL) AS tpr, avg((best_other < t)::INT) FILTER (WHERE best_other >= -0.5) AS tnr FROM j, unnest([0.05, 0.1, 0.15, 0.2, 0.25]) AS u(t) GROUP BY t)"
+_CAL = f"WITH {T.MATCHES}, j AS (SELECT vec_id, known, person, round(max(score) FILTER (WHERE other = person), 9) AS own, round(max(score) FILTER (WHERE other <> person), 9) AS best_other, first(other ORDER BY score DESC, other) AS best, round(max(score), 9) AS top FROM scored GROUP BY vec_id, known, person), g AS (SELECT t, avg((best = person AND top >= t)::INT) FILTER (WHERE known) AS id_accuracy, avg((own >= t)::INT) FILTER (WHERE own IS NOT NULL) AS tpr, avg((best_other < t)::INT) FILTER (WHERE best_other >= -0.5) AS tnr FROM j, unnest([0.05, 0.1, 0.15, 0.2, 0.25]::DOUBLE[]) AS u(t) GROUP BY t)"
 
 
 def _calibrated(spark, d):
@@ -228,7 +228,7 @@ def a28(spark, d):
     return fisher_scores(spark, d).select(F.col("dim").cast("long").alias("dim"), F.round("f", 6).alias("f"))
 
 
-@query("a29_far_model", f"WITH {T.FEAT}, c AS (SELECT round({T.dot_sql('a.v', 'b.v')}, 9) AS c FROM feat a JOIN feat b ON a.vec_id < b.vec_id AND a.label <> b.label) SELECT t, round(greatest(0, least(1, count(*) FILTER (WHERE c >= t)::DOUBLE / count(*))), 9) AS far FROM c, unnest([0.0, 0.1, 0.2, 0.3, 0.363, 0.5]) AS u(t) GROUP BY t")
+@query("a29_far_model", f"WITH {T.FEAT}, c AS (SELECT round({T.dot_sql('a.v', 'b.v')}, 9) AS c FROM feat a JOIN feat b ON a.vec_id < b.vec_id AND a.label <> b.label) SELECT t, round(greatest(0, least(1, count(*) FILTER (WHERE c >= t)::DOUBLE / count(*))), 9) AS far FROM c, unnest([0.0, 0.1, 0.2, 0.3, 0.363, 0.5]::DOUBLE[]) AS u(t) GROUP BY t")
 def a29(spark, d):
     p = pairs.unique_pairs(T.feat(spark, d).select("vec_id", "label", "v"), "vec_id").where("a_label <> b_label").select(F.round(V.dot(F.col("a_v"), F.col("b_v")), 9).alias("c"))
     ts = (0.0, 0.1, 0.2, 0.3, 0.363, 0.5)

@@ -149,9 +149,9 @@ def p9(spark, d):
     return b.groupBy("l_orderkey").agg(pick(F.col("w") * F.col("h")).alias("by_area"), pick(F.col("w")).alias("by_score"))
 
 
-@query("f10_iou", f"WITH {_BOX}, n AS (SELECT *, lead(x) OVER o AS x2, lead(y) OVER o AS y2, lead(w) OVER o AS w2, lead(h) OVER o AS h2 FROM b WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber)), a AS (SELECT *, greatest(0, least(x + w, x2 + w2) - greatest(x, x2)) * greatest(0, least(y + h, y2 + h2) - greatest(y, y2)) AS i FROM n WHERE x2 IS NOT NULL) SELECT l_orderkey, l_linenumber, round(i::DOUBLE / (w * h + w2 * h2 - i), 6) AS iou FROM a")
+@query("f10_iou", f"WITH {_BOX}, n AS (SELECT *, lead(x) OVER o AS x2, lead(y) OVER o AS y2, lead(w) OVER o AS w2, lead(h) OVER o AS h2 FROM b WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, x, y, w, h)), a AS (SELECT *, greatest(0, least(x + w, x2 + w2) - greatest(x, x2)) * greatest(0, least(y + h, y2 + h2) - greatest(y, y2)) AS i FROM n WHERE x2 IS NOT NULL) SELECT l_orderkey, l_linenumber, round(i::DOUBLE / (w * h + w2 * h2 - i), 6) AS iou FROM a")
 def f10(spark, d):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "box")
     b = _boxes(spark, d).select("l_orderkey", "l_linenumber", F.struct("x", "y", "w", "h").alias("box")).withColumn("nxt", F.lead("box").over(w)).where("nxt is not null")
     return b.select("l_orderkey", "l_linenumber", F.round(B.iou(F.col("box"), F.col("nxt")), 6).alias("iou"))
 
@@ -179,7 +179,7 @@ def p18(spark, d):
     return s.groupBy("bucket").agg(F.avg("d").alias("m")).crossJoin(F.broadcast(s.agg(F.avg("d").alias("a")))).select("bucket", F.round("m", 4).alias("mean"), (F.abs(F.col("m") - F.col("a")) <= 500).alias("passes"))
 
 
-@query("j10_nearest_key", "WITH p AS (SELECT unnest([0.01, 0.1, 1.058, 5.0, 10.0]) AS target), x AS (SELECT s_suppkey, round(s_acctbal / 1000, 4) AS v FROM supplier) SELECT target, first(s_suppkey ORDER BY abs(target - v), s_suppkey) AS s_suppkey FROM p, x GROUP BY target")
+@query("j10_nearest_key", "WITH p AS (SELECT unnest([0.01, 0.1, 1.058, 5.0, 10.0]::DOUBLE[]) AS target), x AS (SELECT s_suppkey, round(s_acctbal / 1000, 4) AS v FROM supplier) SELECT target, first(s_suppkey ORDER BY abs(target - v), s_suppkey) AS s_suppkey FROM p, x GROUP BY target")
 def j10(spark, d):
     """The row nearest to each target, the first on ties."""
     x = T.read(spark, d, "supplier").select("s_suppkey", F.round(F.col("s_acctbal") / 1000, 4).alias("v")).withColumn("target", F.explode(F.array(*map(F.lit, (0.01, 0.1, 1.058, 5.0, 10.0)))))
