@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from matchloom.llm.common import ship, table
 
-#: Entries after which a table of words or transitions is started anew; it bounds a worker's memory.
-MOST_WORDS, MOST_ARCS = 600_000, 1_000_000
+#: Entries after which a table of words or transitions is started anew; it bounds a worker's memory (some 400 bytes
+#: an entry of either table of words). Jobs that do nothing else take the first number, pipelines the second.
+MOST_WORDS, FEWER_WORDS, MOST_ARCS = 600_000, 120_000, 1_000_000
 #: The pre-tokenizer's pattern of the byte-level vocabulary, white space spelt as a property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Letters and numbers assigned after Unicode 16, which the library's pre-tokenizer takes for symbols.
@@ -145,7 +146,8 @@ class Automaton:
 class Codec:
     """Encodes and decodes texts as the vocabulary file says."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_words: int = MOST_WORDS):
+        self.most = most_words
         spec = json.loads(open(path, encoding="utf-8").read())
         letters = byte_letters()
         special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
@@ -172,7 +174,7 @@ class Codec:
         for w in words.findall(text):
             ids = known.get(w)
             if ids is None:
-                if len(known) >= MOST_WORDS:
+                if len(known) >= self.most:
                     known.clear()
                 ids = known[w] = self.automaton.encode_word(w.encode())
             out += ids
@@ -194,14 +196,14 @@ class Codec:
         return self.decode_bytes(ids).decode("utf-8", errors="replace")
 
     def _piece(self, p: str) -> tuple:
-        if len(self.by_piece) >= MOST_WORDS:
+        if len(self.by_piece) >= self.most:
             self.by_piece.clear()
         ids = self.encode(p)
-        got = self.by_piece[p] = (",".join(map(str, ids)), self.decode_bytes(ids), len(ids), array("i", ids).tobytes())
+        got = self.by_piece[p] = (",".join(map(str, ids)), self.decode_bytes(ids), len(ids))
         return got
 
     def pieces(self, text: str) -> list[tuple]:
-        """Pieces of the text, each as ids (written out), decoded bytes, number of ids, and ids as 32-bit numbers.
+        """Pieces of the text, each as ids (written out), decoded bytes and number of ids.
 
         A space between two characters that are no white space starts a word of its own, whatever stands before
         it; such texts are put together from pieces, each cut before its space and encoded once per worker."""
@@ -211,7 +213,7 @@ class Codec:
             known, new = self.by_piece.get, self._piece
             return [known(p) or new(p) for p in cut]
         ids = self.encode(text)
-        return [(",".join(map(str, ids)), self.decode_bytes(ids), len(ids), array("i", ids).tobytes())] if ids else []
+        return [(",".join(map(str, ids)), self.decode_bytes(ids), len(ids))] if ids else []
 
     def digest(self, text: str, pieces: list[tuple] | None = None) -> tuple[int, str, str]:
         """Number of ids, their digest and that of the decoded text."""
@@ -230,10 +232,11 @@ class Codec:
 _CODECS: dict[str, Codec] = {}
 
 
-def codec(path: str) -> Codec:
+def codec(path: str, most_words: int = MOST_WORDS) -> Codec:
     """One per worker and vocabulary file; tasks of a worker share it."""
     if path not in _CODECS:
         _CODECS[path] = Codec(path)
+    _CODECS[path].most = most_words
     return _CODECS[path]
 
 
@@ -243,14 +246,15 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = codec(path, FEWER_WORDS)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
                 got = [c.pieces(t or "") for t in b.column(1).to_pylist()]
                 digest = [c.digest("", p) for p in got]
                 offsets = pa.array([0, *accumulate(d[0] for d in digest)], pa.int32())
-                values = pa.Array.from_buffers(pa.int32(), offsets[-1].as_py(), [None, pa.py_buffer(b"".join([x[3] for p in got for x in p]))])
+                written_out = ",".join([x[0] for p in got for x in p])
+                values = pa.array(np.fromstring(written_out, np.int32, sep=",") if written_out else np.empty(0, np.int32))
                 n, ids, decoded = zip(*digest)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.ListArray.from_arrays(offsets, values), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 

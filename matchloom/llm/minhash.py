@@ -284,11 +284,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs with one row of each group of near duplicates, the one with the smallest doc_id; columns as they are."""
     found = written(near_duplicates(docs, percent))
-    kept = docs.join(found.where("kept").select(F.col("doc_id").alias("__kept")).distinct(), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    if not found.groupBy("doc_id").count().where("count > 1").take(1):
-        return kept
-    by_id = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    return kept.withColumn("__nth", F.row_number().over(by_id)).where("__nth = 1").drop("__nth")
+    ids = found.where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    packed = packed.join(ids, F.col("doc.doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    if found.groupBy("doc_id").count().where("count > 1").take(1):  # rows that repeat an id
+        by_id = Window.partitionBy("doc.doc_id").orderBy(F.xxhash64("doc.text"), "doc.text")
+        packed = packed.withColumn("nth", F.row_number().over(by_id)).where("nth = 1")
+    return packed.select("doc.*")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

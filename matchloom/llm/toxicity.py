@@ -204,4 +204,4 @@ def learnt_from(docs: DataFrame, labels: DataFrame) -> Model:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learnt_from(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
+    return scored(docs, model).select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
