@@ -8,7 +8,8 @@ permutation_e(j mod blocks) of pass e = j div blocks, a permutation of its own f
 and the blocks are joined by that index. Nothing depends on how rows are partitioned: reruns agree.
 
 Offsets in a stream are summed in two levels, over chunks of documents by hash and within a chunk, so a
-source that holds most rows is no window of its own.
+source that holds most rows is no window of its own. Joins with draws are told to merge: a plan sees the few sources that draws are made from,
+not their number, and would broadcast them.
 """
 
 from __future__ import annotations
@@ -91,7 +92,7 @@ def placed(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]
     starts = starts.select("sid", "chunk", (F.sum("n").over(Window.partitionBy("sid").orderBy("chunk")) - F.col("n")).alias("chunk_start"))
     within = Window.partitionBy("sid", "chunk").orderBy("doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("in_chunk", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    rows = rows.join(starts, ["sid", "chunk"]).select("doc_id", "sid", "size", "tie", (F.col("chunk_start") + F.col("in_chunk")).alias("start"))
+    rows = rows.join(starts.hint("merge"), ["sid", "chunk"]).select("doc_id", "sid", "size", "tie", (F.col("chunk_start") + F.col("in_chunk")).alias("start"))
     return written(rows), src
 
 
@@ -108,9 +109,9 @@ def mix(docs: DataFrame, seed: int = 0, length: int = LENGTH) -> DataFrame:
     is a source. No row gives no rows. Columns other than these three are not read."""
     rows, src = placed(docs, length)
     times = draws(src, seed).groupBy("sid", "block").agg(F.count("*").alias("times"))
-    taken = overlaps(rows, length).join(times, ["sid", "block"]).groupBy("sid", "start").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
+    taken = overlaps(rows, length).join(times.hint("merge"), ["sid", "block"]).groupBy("sid", "start").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
     near = F.broadcast(src) if src.count() <= BROADCAST_SOURCES else src
-    with_words = rows.where("size > 0").join(taken, ["sid", "start"], "left").select("doc_id", "sid", "size", "taken")
+    with_words = rows.where("size > 0").join(taken.hint("merge"), ["sid", "start"], "left").select("doc_id", "sid", "size", "taken")
     without = rows.where("size = 0").select("doc_id", "sid", "size", F.lit(0).cast("long").alias("taken"))
     return with_words.unionByName(without).join(near.select("sid", "source_size", "target"), "sid").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
@@ -121,15 +122,15 @@ def mixed_documents(docs: DataFrame, seed: int = 0, length: int = LENGTH) -> Dat
     The text is the whole text where a pass takes all of the document's blocks, else the words of the blocks
     taken, joined by spaces. Documents without words are in no block and go. n_chars, if there, is of the new text."""
     rows, src = placed(docs, length)
-    parts = overlaps(rows, length).join(draws(src, seed).select("sid", "block", "pass"), ["sid", "block"])
+    parts = overlaps(rows, length).join(draws(src, seed).select("sid", "block", "pass").hint("merge"), ["sid", "block"])
     parts = parts.groupBy("sid", "start", "pass").agg(F.array_sort(F.collect_list("block")).alias("taken_blocks"), F.sum("n").alias("taken"))
-    parts = parts.join(rows.where("size > 0"), ["sid", "start"]).select("doc_id", "tie", "size", "start", "pass", "taken", "taken_blocks")
+    parts = parts.join(rows.where("size > 0").hint("merge"), ["sid", "start"]).select("doc_id", "tie", "size", "start", "pass", "taken", "taken_blocks")
     # repeated rows have the same key: where there are any, each is told apart by its place among them
     repeated = bool(rows.groupBy("doc_id", "tie").count().where("count > 1").take(1))
     parts = parts.withColumn("nth", F.dense_rank().over(Window.partitionBy("doc_id", "tie").orderBy("start")) if repeated else F.lit(1))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("key"), F.xxhash64("text").alias("key_tie"))
     packed = packed.withColumn("key_nth", F.row_number().over(Window.partitionBy("key", "key_tie").orderBy(F.lit(1))) if repeated else F.lit(1))
-    joined = packed.join(parts, packed["key"].eqNullSafe(parts["doc_id"]) & (F.col("key_tie") == F.col("tie")) & (F.col("key_nth") == F.col("nth")))
+    joined = packed.join(parts.hint("merge"), packed["key"].eqNullSafe(parts["doc_id"]) & (F.col("key_tie") == F.col("tie")) & (F.col("key_nth") == F.col("nth")))
     words = words_of(F.col("doc.text"))
     cut = F.flatten(F.transform(F.col("taken_blocks"), lambda b: F.slice(F.col("words"), F.greatest(b * length - F.col("start"), F.lit(0)).cast("int") + 1, (F.least(F.col("start") + F.col("size"), (b + 1) * length) - F.greatest(F.col("start"), b * length)).cast("int"))))
     joined = joined.withColumn("words", F.when(F.col("taken") < F.col("size"), words))
