@@ -28,13 +28,18 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
 
 
+def _one(form: str, x: Column) -> Column:
+    """One decimal; halves go to the even digit, where the formatter alone would round them up."""
+    return F.format_string(form, F.bround(x, 1))
+
+
 def byte_size(n: Column) -> Column:
     """1.5 MB and the like, by powers of 1024."""
     return (
         F.when(n < 1024, F.format_string("%d B", n.cast("long")))
-        .when(n < 1024**2, F.format_string("%.1f KB", n / 1024.0))
-        .when(n < 1024**3, F.format_string("%.1f MB", n / 1024.0**2))
-        .otherwise(F.format_string("%.1f GB", n / 1024.0**3))
+        .when(n < 1024**2, _one("%.1f KB", n / 1024.0))
+        .when(n < 1024**3, _one("%.1f MB", n / 1024.0**2))
+        .otherwise(_one("%.1f GB", n / 1024.0**3))
     )
 
 
@@ -47,7 +52,7 @@ def duration(seconds: Column) -> Column:
 
 def ppm_cell(ppm: Column) -> Column:
     """No digits from 100 up, else one; a dash for null."""
-    return F.when(ppm.isNull(), F.lit("-")).when(ppm >= 100, F.format_string("%.0f", ppm)).otherwise(F.format_string("%.1f", ppm))
+    return F.when(ppm.isNull(), F.lit("-")).when(ppm >= 100, F.format_string("%.0f", F.bround(ppm, 0))).otherwise(_one("%.1f", ppm))
 
 
 def confidence(d: Column, t: Column) -> Column:

@@ -1 +1,111 @@
-"""To come."""
+"""Frame windows W13-W19 and the streaming loops R1-R9 on events: stream = user_id, name = event_type, score = value;
+an `error` event is a frame without a face."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from matchloom.functions import boxes as B
+from matchloom.operators import frames as R
+from matchloom.plans import tables as T
+from matchloom.plans.registry import query
+from matchloom.streaming import loops
+
+
+def frames(spark, d) -> DataFrame:
+    e = T.read(spark, d, "events")
+    return e.select(F.col("event_id").alias("frame"), F.col("user_id").alias("stream"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("name"), F.col("value").alias("score"))
+
+
+def faces(spark, d) -> DataFrame:
+    """Frames with a face, in episodes that frames without one end."""
+    return R.episodes(frames(spark, d), F.col("name") == "error").where("name <> 'error'")
+
+
+_F = """f AS (SELECT event_id AS frame, user_id AS stream, ts, event_type AS name, value AS score FROM events),
+ep AS (SELECT *, sum((name = 'error')::INT) OVER (PARTITION BY stream ORDER BY ts, frame) AS episode FROM f), faces AS (SELECT * FROM ep WHERE name <> 'error')"""
+
+
+@query("w13_ema", f"WITH RECURSIVE {_F}, n AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY ts, frame) AS rn FROM f), r AS (SELECT stream, frame, rn, score AS average FROM n WHERE rn = 1 UNION ALL SELECT n.stream, n.frame, n.rn, CASE WHEN r.average = 0 THEN n.score ELSE 0.85 * r.average + (1 - 0.85) * n.score END FROM r JOIN n ON n.stream = r.stream AND n.rn = r.rn + 1) SELECT stream, frame, round(average, 5) AS average FROM r")
+def w13(spark, d):
+    return R.ema_chunked(frames(spark, d), "score").withColumn("average", F.round("average", 5))
+
+
+_VOTES = """h AS (SELECT stream, frame, list({{'name': name, 'score': score}}) OVER (PARTITION BY stream, episode ORDER BY ts, frame ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS h FROM {src}),
+x AS (SELECT stream, frame, u.i AS i, h[u.i].name AS name, h[u.i].score AS score FROM h, unnest(range(1, 6)) AS u(i) WHERE u.i <= len(h)),
+t AS (SELECT stream, frame, name, count(*) AS hits, min(i) AS first_seen, avg(score) AS score FROM x GROUP BY ALL),
+v AS (SELECT *, row_number() OVER (PARTITION BY stream, frame ORDER BY hits DESC, first_seen) AS rn FROM t)"""
+
+
+@query("w14_count_vote", f"WITH {_F}, {_VOTES.format(src='faces')} SELECT stream, frame, name, round(score, 6) AS score, hits FROM v WHERE rn = 1 AND hits >= 3")
+def w14(spark, d):
+    return R.count_vote(faces(spark, d)).where("vote is not null").select("stream", "frame", "vote.name", F.round("vote.score", 6).alias("score"), F.col("vote.hits").cast("long").alias("hits"))
+
+
+_SECONDS = 4 * 3600
+
+
+@query("w15_time_vote", f"WITH {_F}, s AS (SELECT *, epoch(ts)::BIGINT AS seconds FROM (SELECT * REPLACE (date_trunc('second', ts) AS ts) FROM faces)), t AS (SELECT a.stream, a.frame, b.name, count(*) AS hits, round(avg(b.score), 9) AS score FROM s a JOIN s b ON a.stream = b.stream AND a.episode = b.episode AND b.seconds BETWEEN a.seconds - {_SECONDS} AND a.seconds GROUP BY ALL), v AS (SELECT *, row_number() OVER (PARTITION BY stream, frame ORDER BY score DESC, hits DESC, name) AS rn FROM t WHERE hits >= 2) SELECT stream, frame, name, round(score, 6) AS score, hits FROM v WHERE rn = 1")
+def w15(spark, d):
+    f = faces(spark, d).withColumn("seconds", F.floor(F.unix_micros("ts") / 1_000_000))
+    return R.time_vote(f, _SECONDS).where("vote is not null").select("stream", "frame", "vote.name", F.round("vote.score", 6).alias("score"), F.col("vote.hits").cast("long").alias("hits"))
+
+
+_BOXES = "bx AS (SELECT *, (score * 3)::BIGINT % 60 AS x, (score * 7)::BIGINT % 60 AS y, 40 AS w, 40 AS h FROM faces), lg AS (SELECT *, lag(x) OVER o AS px, lag(y) OVER o AS py FROM bx WINDOW o AS (PARTITION BY stream ORDER BY ts, frame)), io AS (SELECT *, CASE WHEN px IS NULL THEN NULL ELSE greatest(0, 40 - abs(x - px)) * greatest(0, 40 - abs(y - py)) END AS i FROM lg), re AS (SELECT *, i IS NULL OR i::DOUBLE / (3200 - i) < 0.2 AS reset FROM io)"
+
+
+def boxed(spark, d):
+    s = F.col("score")
+    near = lambda k: (F.round(s * k).cast("long") % 60)
+    return faces(spark, d).withColumn("box", F.struct(near(3).alias("x"), near(7).alias("y"), F.lit(40).alias("w"), F.lit(40).alias("h")))
+
+
+@query("w16_iou_reset", f"WITH {_F}, {_BOXES} SELECT stream, frame, sum(reset::INT) OVER (PARTITION BY stream ORDER BY ts, frame)::BIGINT AS episode FROM re")
+def w16(spark, d):
+    """A new episode where the box overlaps the one before by less than a fifth."""
+    b = boxed(spark, d).withColumn("before", F.lag("box").over(R.ordered()))
+    reset = F.col("before").isNull() | (B.iou(F.col("box"), F.col("before")) < 0.20)
+    return R.episodes(b.drop("episode").withColumn("reset", reset), F.col("reset")).select("stream", "frame", "episode")
+
+
+@query("w17_slot_vote", f"WITH {_F}, sl AS (SELECT * REPLACE (stream * 3 + frame % 3 AS stream) FROM f), e2 AS (SELECT *, 0 AS episode FROM sl), {_VOTES.format(src='e2')} SELECT stream, frame, name, hits FROM v WHERE rn = 1")
+def w17(spark, d):
+    """A vote for each detection slot, over all names."""
+    f = frames(spark, d).withColumn("stream", F.col("stream") * 3 + F.col("frame") % 3).withColumn("episode", F.lit(0))
+    return R.count_vote(f, 5, 1).select("stream", "frame", "vote.name", F.col("vote.hits").cast("long").alias("hits"))
+
+
+@query("w18_every_nth", f"WITH {_F} SELECT stream, frame FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY ts, frame) - 1 AS rn FROM f) WHERE rn % 3 = 0")
+def w18(spark, d):
+    return R.every_nth(frames(spark, d), 3).select("stream", "frame")
+
+
+@query("w19_stable_gate", f"WITH {_F} SELECT stream, frame, row_number() OVER (PARTITION BY stream, episode ORDER BY ts, frame) >= 2 AS stable FROM faces")
+def w19(spark, d):
+    return R.stable(faces(spark, d)).select("stream", "frame", "stable")
+
+
+@query("r4_stateless_loop", f"WITH {_F} SELECT stream, frame, CASE WHEN name = 'error' THEN 'no_face' WHEN score >= 50 THEN name ELSE 'Unknown' END AS decision FROM f")
+def r4(spark, d):
+    return loops.stateless(frames(spark, d), 50).select("stream", "frame", "decision")
+
+
+@query("r8_rate_limited", f"WITH {_F} SELECT stream, epoch(time_bucket(INTERVAL 6 HOUR, ts))::BIGINT AS slot, last(frame ORDER BY ts, frame) AS frame, count(*) AS frames FROM f GROUP BY ALL")
+def r8(spark, d):
+    return loops.last_per_slot(frames(spark, d), "6 hours").select("stream", F.unix_seconds("slot").alias("slot"), "frame", "frames")
+
+
+@query("r9_session_summary", f"WITH {_F} SELECT stream, count(*) AS frames, count(*) FILTER (WHERE name = 'error') AS without_face, round(avg(score), 6) AS mean_score, count(DISTINCT name) AS names FROM f GROUP BY stream")
+def r9(spark, d):
+    return loops.summary(frames(spark, d))
+
+
+@query("r10_bounded_pair_pass", f"WITH {T.FEAT}, p AS (SELECT sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM feat a JOIN feat b ON a.vec_id < b.vec_id) SELECT floor(d * 10)::BIGINT AS bin, count(*) AS n FROM p GROUP BY 1")
+def r10(spark, d):
+    """All unique pairs in blocks, never held: only bins leave the tasks."""
+    from matchloom.functions import vectors as V
+    from matchloom.operators import pairs
+
+    p = pairs.unique_pairs(T.feat(spark, d).select("vec_id", "v"), "vec_id")
+    return p.groupBy(F.floor(V.euclidean(F.col("a_v"), F.col("b_v")) * 10).alias("bin")).agg(F.count("*").alias("n"))

@@ -1 +1,253 @@
-"""To come."""
+"""Reports: A20-A23, A33-A35, A38, J7-J9, J11, J16, J17, P13, P14, P16, W10-W12, F14-F21, F23-F26, sinks K1-K6, K11."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from matchloom.functions import labels as L
+from matchloom.plans import tables as T
+from matchloom.plans.registry import query
+from matchloom.plans.scans import _REPORTS, reports
+from matchloom.sources import sinks
+
+
+@query("j7_bucket_delta", "WITH a AS (SELECT l_shipdate::DATE AS k, avg(l_discount) AS m FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_shipdate::DATE AS k, avg(l_discount) AS m FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' GROUP BY 1) SELECT strftime(coalesce(a.k, b.k), '%Y-%m-%d') AS bucket, round(coalesce(a.m, 0), 6) + 0.0 AS left_rate, round(coalesce(b.m, 0), 6) + 0.0 AS right_rate, round(coalesce(b.m, 0) - coalesce(a.m, 0), 6) + 0.0 AS delta FROM a FULL JOIN b ON a.k = b.k")
+def j7(spark, d):
+    """Buckets of either side; a missing one counts 0."""
+    li = T.read(spark, d, "lineitem").withColumn("bucket", F.date_format("l_shipdate", "yyyy-MM-dd"))
+    a = li.where("l_returnflag = 'A'").groupBy("bucket").agg(F.avg("l_discount").alias("a"))
+    b = li.where("l_returnflag = 'R' and l_linestatus = 'F'").groupBy("bucket").agg(F.avg("l_discount").alias("b"))
+    left, right = F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0))
+    return a.join(b, "bucket", "full").select("bucket", (F.round(left, 6) + 0.0).alias("left_rate"), (F.round(right, 6) + 0.0).alias("right_rate"), (F.round(right - left, 6) + 0.0).alias("delta"))
+
+
+_FPS = "fps AS (SELECT CASE user_id % 5 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' WHEN 2 THEN 'delta' END AS family, value FROM events)"
+
+
+def fps_runs(spark, d):
+    u = F.col("user_id")
+    return T.read(spark, d, "events").select(F.when(u % 5 == 0, "alpha").when(u % 5 == 1, "beta").when(u % 5 == 2, "delta").alias("family"), "value", "ts", "user_id")
+
+
+@query("j8_fps_lookup", f"WITH {_REPORTS}, {_FPS}, m AS (SELECT family, round(avg(value), 6) AS fps FROM fps WHERE family IS NOT NULL GROUP BY family) SELECT r.id, m.fps FROM r LEFT JOIN m ON r.family = m.family WHERE r.id % 5 = 0")
+def j8(spark, d):
+    m = fps_runs(spark, d).where("family is not null").groupBy("family").agg(F.round(F.avg("value"), 6).alias("fps"))
+    return reports(spark, d).where("id % 5 = 0").join(m, "family", "left").select("id", "fps")
+
+
+@query("j9_two_lookups", f"WITH {_REPORTS}, a AS (SELECT family, round(max(hit_rate), 6) AS tar FROM r GROUP BY family), b AS (SELECT family, count(*) AS n FROM r WHERE rank1 > 0.5 GROUP BY family) SELECT r.id, a.tar, b.n FROM r LEFT JOIN a ON a.family = r.family LEFT JOIN b ON b.family = r.family WHERE r.id % 9 = 0")
+def j9(spark, d):
+    r = reports(spark, d)
+    a = r.where("family is not null").groupBy("family").agg(F.round(F.max("hit_rate"), 6).alias("tar"))
+    b = r.where("rank1 > 0.5 and family is not null").groupBy("family").agg(F.count("*").alias("n"))
+    return r.where("id % 9 = 0").join(a, "family", "left").join(b, "family", "left").select("id", "tar", "n")
+
+
+@query("j11_matrix_assembly", f"WITH {_REPORTS} SELECT label, round(avg(rank1) FILTER (WHERE family = 'alpha'), 6) AS alpha, round(avg(rank1) FILTER (WHERE family = 'beta'), 6) AS beta, round(avg(rank1) FILTER (WHERE family = 'gamma'), 6) AS gamma FROM r GROUP BY label")
+def j11(spark, d):
+    p = reports(spark, d).groupBy("label").pivot("family", ["alpha", "beta", "gamma"]).agg(F.avg("rank1"))
+    return p.select("label", *[F.round(c, 6).alias(c) for c in ("alpha", "beta", "gamma")])
+
+
+@query("j16_artifact_pairing", "SELECT p.p_partkey AS model, s.s_suppkey AS labels FROM part p JOIN supplier s ON lpad((p.p_partkey % 1000)::VARCHAR, 9, '0') = regexp_extract(s.s_name, '(\\d+)$', 1)")
+def j16(spark, d):
+    """Models and label files whose names end alike."""
+    p = T.read(spark, d, "part").select(F.col("p_partkey").alias("model"), F.lpad((F.col("p_partkey") % 1000).cast("string"), 9, "0").alias("suffix"))
+    s = T.read(spark, d, "supplier").select(F.col("s_suppkey").alias("labels"), F.regexp_extract("s_name", r"(\d+)$", 1).alias("suffix"))
+    return p.join(s, "suffix").select("model", "labels")
+
+
+@query("j17_existing_report", f"WITH {_REPORTS} SELECT id FROM r WHERE family = 'alpha' AND label IN (SELECT label FROM r WHERE family = 'beta' AND rank1 > 0.95)")
+def j17(spark, d):
+    r = reports(spark, d)
+    return r.where("family = 'alpha'").join(r.where("family = 'beta' and rank1 > 0.95").select("label"), "label", "left_semi").select("id")
+
+
+@query("a20_accuracy_ratio", "WITH l AS (SELECT l_linestatus AS family, l_returnflag AS modification, l_linenumber AS level, avg((l_discount <= 0.05)::INT) AS k FROM lineitem GROUP BY ALL), m AS (SELECT family, modification, avg(k) AS ar FROM l GROUP BY ALL) SELECT family, round(100 * avg(ar), 6) AS overall FROM m GROUP BY family")
+def a20(spark, d):
+    """Matches over levels, then the mean of levels, then the plain mean of modifications."""
+    li = T.read(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("family"), F.col("l_returnflag").alias("modification"), "l_linenumber").agg(F.avg((F.col("l_discount") <= 0.05).cast("int")).alias("k"))
+    return li.groupBy("family", "modification").agg(F.avg("k").alias("ar")).groupBy("family").agg(F.round(100 * F.avg("ar"), 6).alias("overall"))
+
+
+@query("a21_severity_tiers", "WITH s AS (SELECT DISTINCT round(l_discount, 2) AS severity FROM lineitem), r AS (SELECT severity, row_number() OVER (ORDER BY severity) AS rank, count(*) OVER () AS m FROM s) SELECT severity, round_even(2.0::DOUBLE * (rank - 1) / (m - 1), 0)::BIGINT AS tier FROM r WHERE m > 1")
+def a21(spark, d):
+    s = T.read(spark, d, "lineitem").select(F.round("l_discount", 2).alias("severity")).distinct()
+    n = s.agg(F.count("*").alias("m"))
+    r = s.withColumn("rank", F.dense_rank().over(Window.orderBy("severity"))).crossJoin(F.broadcast(n)).where("m > 1")
+    return r.select("severity", F.rint(2.0 * (F.col("rank") - 1) / (F.col("m") - 1)).cast("long").alias("tier"))
+
+
+@query("a22_entity_latest", f"WITH {_REPORTS}, k AS (SELECT *, coalesce(family || '::' || label, 'none::' || label) AS entity_key FROM r) SELECT entity_key, count(*) AS runs, first(id ORDER BY mtime DESC, id DESC) AS latest, round(first(rank1 ORDER BY mtime DESC, id DESC), 6) AS rank1 FROM k GROUP BY entity_key")
+def a22(spark, d):
+    k = reports(spark, d).withColumn("entity_key", F.concat_ws("::", F.coalesce("family", F.lit("none")), "label"))
+    newest = F.max(F.struct("mtime", "id", "rank1"))
+    return k.groupBy("entity_key").agg(F.count("*").alias("runs"), newest.alias("x")).select("entity_key", "runs", F.col("x.id").alias("latest"), F.round("x.rank1", 6).alias("rank1"))
+
+
+@query("a23_weighted_fps", "WITH r AS (SELECT user_id, count(*) AS frames, epoch(max(ts)) - epoch(min(ts)) AS seconds, avg(value) AS average_fps FROM events GROUP BY user_id) SELECT user_id % 5 AS algorithm, count(*) AS runs, round(CASE WHEN sum(seconds) > 0 THEN sum(frames)::DOUBLE / sum(seconds) ELSE avg(average_fps) END, 8) AS weighted_fps FROM r GROUP BY 1")
+def a23(spark, d):
+    """All frames over all seconds; the mean of runs where there are no seconds."""
+    micros = F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))
+    r = T.read(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("frames"), (micros / 1e6).alias("seconds"), F.avg("value").alias("average_fps"))
+    return r.groupBy((F.col("user_id") % 5).alias("algorithm")).agg(F.count("*").alias("runs"), F.round(F.when(F.sum("seconds") > 0, F.sum("frames") / F.sum("seconds")).otherwise(F.avg("average_fps")), 8).alias("weighted_fps"))
+
+
+@query("a33_failure_means", "SELECT l_returnflag AS algorithm, l_linenumber % 10 AS run_group, round(avg(l_quantity), 6) AS quantity, round(avg(l_tax), 6) AS tax FROM lineitem GROUP BY ALL")
+def a33(spark, d):
+    return T.read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("algorithm"), (F.col("l_linenumber") % 10).alias("run_group")).agg(F.round(F.avg("l_quantity"), 6).alias("quantity"), F.round(F.avg("l_tax"), 6).alias("tax"))
+
+
+_BLOCKED = "m AS (SELECT l_returnflag AS algorithm, l_linenumber AS region, avg(l_extendedprice) AS v FROM lineitem GROUP BY ALL), b AS (SELECT algorithm, v AS base FROM m WHERE region = 1)"
+
+
+@query("a34_occlusion_impact", f"WITH {_BLOCKED} SELECT algorithm, first(region ORDER BY base - v DESC, region) AS region, round(max(base - v), 4) AS impact FROM m JOIN b USING (algorithm) WHERE region <> 1 GROUP BY algorithm")
+def a34(spark, d):
+    m = T.read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("algorithm"), F.col("l_linenumber").alias("region")).agg(F.avg("l_extendedprice").alias("v"))
+    j = m.where("region <> 1").join(m.where("region = 1").select("algorithm", F.col("v").alias("base")), "algorithm").withColumn("impact", F.col("base") - F.col("v"))
+    return j.groupBy("algorithm").agg(F.max_by("region", F.struct("impact", -F.col("region"))).alias("region"), F.round(F.max("impact"), 4).alias("impact"))
+
+
+@query("a35_relative", "WITH m AS (SELECT l_returnflag AS algorithm, l_linenumber AS stage, avg(l_extendedprice) AS v FROM lineitem GROUP BY ALL) SELECT algorithm, stage, round(100 * v / max(v) OVER (PARTITION BY algorithm), 6) AS relative FROM m")
+def a35(spark, d):
+    m = T.read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("algorithm"), F.col("l_linenumber").alias("stage")).agg(F.avg("l_extendedprice").alias("v"))
+    return m.select("algorithm", "stage", F.round(100 * F.col("v") / F.max("v").over(Window.partitionBy("algorithm")), 6).alias("relative"))
+
+
+@query("a38_worst_three", "WITH m AS (SELECT l_linestatus AS family, l_linenumber AS modification, round(avg((l_discount <= 0.05)::INT), 9) AS ar FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY ar, modification) AS rn FROM m) SELECT family, string_agg(modification, ',' ORDER BY rn) AS worst FROM r WHERE rn <= 3 GROUP BY family")
+def a38(spark, d):
+    m = T.read(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("family"), F.col("l_linenumber").alias("modification")).agg(F.round(F.avg((F.col("l_discount") <= 0.05).cast("int")), 9).alias("ar"))
+    r = m.withColumn("rn", F.row_number().over(Window.partitionBy("family").orderBy("ar", "modification"))).where("rn <= 3")
+    return r.groupBy("family").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "modification"))), lambda x: x["modification"].cast("string")), ",").alias("worst"))
+
+
+@query("p13_metric_fallback", f"WITH {_REPORTS} SELECT id, coalesce(rank1, hit_rate, round((id % 100) / 100.0::DOUBLE, 6)) AS metric, CASE WHEN rank1 IS NOT NULL THEN 'rank1' WHEN hit_rate IS NOT NULL THEN 'hit_rate' ELSE 'counts' END AS origin FROM r")
+def p13(spark, d):
+    return reports(spark, d).select("id", F.coalesce("rank1", "hit_rate", F.round(F.col("id") % 100 / 100.0, 6)).alias("metric"), F.when(F.col("rank1").isNotNull(), "rank1").when(F.col("hit_rate").isNotNull(), "hit_rate").otherwise("counts").alias("origin"))
+
+
+@query("p14_verdict", "SELECT o_orderkey, 'TAR ' || CASE WHEN o_totalprice >= 250000 THEN 'PASS' ELSE 'FAIL' END || '; latency ' || CASE WHEN o_custkey % 100 < 60 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM orders")
+def p14(spark, d):
+    word = lambda n, c: F.concat(F.lit(n + " "), F.when(c, "PASS").otherwise("FAIL"))
+    return T.read(spark, d, "orders").select("o_orderkey", F.concat_ws("; ", word("TAR", F.col("o_totalprice") >= 250000), word("latency", F.col("o_custkey") % 100 < 60)).alias("verdict"))
+
+
+@query("p16_family_alias", "SELECT p_partkey, CASE WHEN lower(p_type) IN ('economy', 'promo') OR contains(lower(p_name), 'red') THEN CASE WHEN contains(lower(p_brand), '1') THEN 'first_int8' ELSE 'first' END ELSE 'other' END AS family FROM part")
+def p16(spark, d):
+    named = F.lower("p_type").isin("economy", "promo") | F.contains(F.lower("p_name"), F.lit("red"))
+    return T.read(spark, d, "part").select("p_partkey", F.when(named, F.when(F.contains(F.lower("p_brand"), F.lit("1")), "first_int8").otherwise("first")).otherwise("other").alias("family"))
+
+
+@query("w10_latest_per_key", f"WITH {_REPORTS} SELECT label, first(id ORDER BY mtime DESC, id) AS id FROM r GROUP BY label")
+def w10(spark, d):
+    """The newest; of equally new ones the first stays."""
+    return reports(spark, d).groupBy("label").agg(F.max_by("id", F.struct("mtime", -F.col("id"))).alias("id"))
+
+
+@query("w11_sorted_rows", f"WITH {_REPORTS} SELECT id, row_number() OVER (ORDER BY hit_rate DESC NULLS LAST, rank1 DESC NULLS LAST, family DESC NULLS LAST, id) AS place FROM r WHERE id % 3 = 0 ORDER BY place LIMIT 50")
+def w11(spark, d):
+    keys = (F.col("hit_rate").desc_nulls_last(), F.col("rank1").desc_nulls_last(), F.col("family").desc_nulls_last(), F.col("id"))
+    top = reports(spark, d).where("id % 3 = 0").orderBy(*keys).limit(50)
+    return top.select("id", F.row_number().over(Window.orderBy(*keys)).cast("long").alias("place"))
+
+
+@query("w12_unedited_first", f"WITH {_REPORTS} SELECT id, row_number() OVER (ORDER BY family IS NOT NULL, -coalesce(rank1, 0), id) AS place FROM r ORDER BY place LIMIT 30")
+def w12(spark, d):
+    keys = (F.col("family").isNotNull(), -F.coalesce("rank1", F.lit(0.0)), F.col("id"))
+    return reports(spark, d).orderBy(*keys).limit(30).select("id", F.row_number().over(Window.orderBy(*keys)).cast("long").alias("place"))
+
+
+_JSON = "'{\"brand\":\"' || p_brand || '\",\"size\":' || p_size || ',\"type\":\"' || p_type || '\"}'"
+
+
+@query("f14_slug", f"SELECT p_partkey, sha1({_JSON})[1:12] AS slug FROM part")
+def f14(spark, d):
+    """Keys of the compact JSON are in order."""
+    return T.read(spark, d, "part").select("p_partkey", L.slug(F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.col("p_type").alias("type")))).alias("slug"))
+
+
+@query("f15_token_clean", "SELECT c_custkey, CASE WHEN t <> '' THEN t ELSE 'unknown' END AS token FROM (SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace('#' || c_name || ' / ' || c_mktsegment || '!', '[^A-Za-z0-9._-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS t FROM customer)")
+def f15(spark, d):
+    return T.read(spark, d, "customer").select("c_custkey", L.clean_token(F.concat(F.lit("#"), "c_name", F.lit(" / "), "c_mktsegment", F.lit("!"))).alias("token"))
+
+
+@query("f16_relative_path", "SELECT p_partkey, replace('reports\\' || p_type || '\\' || p_partkey || '.json', '\\', '/') AS path FROM part")
+def f16(spark, d):
+    return T.read(spark, d, "part").select("p_partkey", L.relative(F.concat(F.lit("base\\reports\\"), "p_type", F.lit("\\"), F.col("p_partkey").cast("string"), F.lit(".json")), "base").alias("path"))
+
+
+@query("f17_variant", "SELECT p_partkey, 'model_' || p_size || '__labels_' || p_size AS variant FROM part")
+def f17(spark, d):
+    s = F.col("p_size").cast("string")
+    return T.read(spark, d, "part").select("p_partkey", F.concat_ws("__", L.stem(F.concat(F.lit("m/model_"), s, F.lit(".yml"))), L.stem(F.concat(F.lit("m/labels_"), s, F.lit(".json")))).alias("variant"))
+
+
+@query("f18_dataset_label", "SELECT p_partkey, 'raw=' || p_brand || CASE WHEN p_size % 2 = 0 THEN ' | aug=' || p_type || '[' || p_size || ']' ELSE '' END || CASE WHEN p_size % 3 = 0 THEN ' | split=test' ELSE '' END AS label FROM part")
+def f18(spark, d):
+    size = F.col("p_size")
+    return T.read(spark, d, "part").select("p_partkey", F.concat_ws(" | ", F.concat(F.lit("raw="), "p_brand"), F.when(size % 2 == 0, F.concat(F.lit("aug="), "p_type", F.lit("["), size.cast("string"), F.lit("]"))), F.when(size % 3 == 0, F.lit("split=test"))).alias("label"))
+
+
+@query("f19_rng_key", None)
+def f19(spark, d):
+    """Seeds of random modifications: CRC-32 of family, modification, level and path."""
+    return T.read(spark, d, "part").select("p_partkey", F.crc32(F.concat_ws("|", "p_brand", "p_type", F.col("p_size").cast("string")).cast("binary")).alias("seed"))
+
+
+@query("f20_formats", "SELECT o_orderkey, CASE WHEN n < 1024 THEN printf('%d B', n) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0::DOUBLE) ELSE printf('%.1f MB', n / 1048576.0::DOUBLE) END AS size, CASE WHEN s // 3600 > 0 THEN printf('%dh %02dm %02ds', s // 3600, s % 3600 // 60, s % 60) WHEN s // 60 > 0 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%ds', s) END AS duration FROM (SELECT o_orderkey, o_orderkey * o_custkey AS n, o_custkey * 7 AS s FROM orders)")
+def f20(spark, d):
+    return T.read(spark, d, "orders").select("o_orderkey", L.byte_size(F.col("o_orderkey") * F.col("o_custkey")).alias("size"), L.duration(F.col("o_custkey") * 7).alias("duration"))
+
+
+@query("f21_ppm_cell", "SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN '-' WHEN p_size * 7.25::DOUBLE >= 100 THEN printf('%.0f', p_size * 7.25::DOUBLE) ELSE printf('%.1f', p_size * 7.25::DOUBLE) END AS cell FROM part WHERE p_size % 2 = 1 OR p_size % 10 = 0")
+def f21(spark, d):
+    p = T.read(spark, d, "part").where("p_size % 2 = 1 or p_size % 10 = 0")
+    return p.select("p_partkey", L.ppm_cell(F.when(F.col("p_size") % 10 != 0, F.col("p_size") * F.lit(7.25))).alias("cell"))
+
+
+@query("f23_variant_inference", "SELECT p_partkey, regexp_replace(regexp_replace('evaluation_report_' || lower(p_type) || '_' || p_size || '.json', '\\.json$', ''), '^evaluation_report_', '') AS variant FROM part")
+def f23(spark, d):
+    name = F.concat(F.lit("evaluation_report_"), F.lower("p_type"), F.lit("_"), F.col("p_size").cast("string"), F.lit(".json"))
+    return T.read(spark, d, "part").select("p_partkey", F.regexp_replace(F.regexp_replace(name, r"\.json$", ""), "^evaluation_report_", "").alias("variant"))
+
+
+@query("f24_compact_tag", "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_type || '__' || p_brand), '[^a-z0-9]+', '-', 'g'), '-+$', '') AS tag FROM part")
+def f24(spark, d):
+    return T.read(spark, d, "part").select("p_partkey", F.regexp_replace(F.regexp_replace(F.lower(F.concat("p_type", F.lit("__"), "p_brand")), "[^a-z0-9]+", "-"), "-+$", "").alias("tag"))
+
+
+@query("f25_combo_slug", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'raw' ELSE 'processed' END || CASE WHEN p_size % 3 = 0 THEN '_aug_' || lower(p_brand) ELSE '' END || CASE WHEN p_size % 5 = 0 THEN '_cap' || p_size ELSE '' END AS slug FROM part")
+def f25(spark, d):
+    size = F.col("p_size")
+    return T.read(spark, d, "part").select("p_partkey", F.concat_ws("_", F.when(size % 2 == 0, "raw").otherwise("processed"), F.when(size % 3 == 0, F.concat(F.lit("aug_"), F.lower("p_brand"))), F.when(size % 5 == 0, F.concat(F.lit("cap"), size.cast("string")))).alias("slug"))
+
+
+@query("f26_csv_list", "SELECT c_custkey, list_filter(list_transform(string_split(' ' || c_mktsegment || ', ,' || c_name || ' ,', ','), lambda x: lower(trim(x))), lambda x: x <> '') AS items FROM customer")
+def f26(spark, d):
+    return T.read(spark, d, "customer").select("c_custkey", L.csv_list(F.concat(F.lit(" "), "c_mktsegment", F.lit(", ,"), "c_name", F.lit(" ,"))).alias("items"))
+
+
+@query("k1_pair_rows", f"WITH {T.SMALL} SELECT doc_id, printf('%.6f', d / 7) AS raw_distance, printf('%.4f', d / 7) AS short FROM s")
+def k1(spark, d):
+    return T.scores_small(spark, d).select("doc_id", sinks.fixed(F.col("d") / 7, 6).alias("raw_distance"), sinks.fixed(F.col("d") / 7, 4).alias("short"))
+
+
+@query("k4_summary_json", f"WITH {T.LARGE} SELECT bucket, '{{\"bucket\":\"' || bucket || '\",\"comparisons\":' || count(*) || ',\"hits\":' || count(*) FILTER (WHERE ok) || '}}' AS json FROM s GROUP BY bucket")
+def k4(spark, d):
+    g = T.scores_large(spark, d).groupBy("bucket").agg(F.count("*").alias("comparisons"), F.count_if("ok").alias("hits"))
+    return g.select("bucket", F.to_json(F.struct("bucket", "comparisons", "hits")).alias("json"))
+
+
+@query("k6_markdown_rows", f"WITH {T.LARGE}, g AS (SELECT bucket, count(*) AS n, avg(d) AS m FROM s GROUP BY bucket) SELECT '| ' || bucket || ' | ' || n || ' | ' || printf('%.2f', m) || ' |' AS line FROM g")
+def k6(spark, d):
+    g = T.scores_large(spark, d).groupBy("bucket").agg(F.count("*").alias("n"), F.avg("d").alias("m"))
+    return g.select(sinks.markdown_row("bucket", F.col("n").cast("string"), sinks.fixed(F.col("m"), 2)).alias("line"))
+
+
+@query("q9_spec_comparison", f"WITH {_REPORTS}, {_FPS}, l AS (SELECT family, first(id ORDER BY mtime DESC, id DESC) AS id, first(rank1 ORDER BY mtime DESC, id DESC) AS rank1 FROM r WHERE rank1 IS NOT NULL AND family IS NOT NULL GROUP BY family), m AS (SELECT family, round(avg(value), 6) AS fps FROM fps WHERE family IS NOT NULL GROUP BY family) SELECT l.family, l.id, l.rank1, m.fps, CASE WHEN rank1 >= 0.5 THEN 'PASS' ELSE 'FAIL' END || '; ' || CASE WHEN fps >= 30 THEN 'PASS' WHEN fps IS NULL THEN 'n/a' ELSE 'FAIL' END AS verdict FROM l LEFT JOIN m ON l.family = m.family")
+def q9(spark, d):
+    newest = reports(spark, d).where("rank1 is not null and family is not null").groupBy("family").agg(F.max(F.struct("mtime", "id", "rank1")).alias("x"))
+    m = fps_runs(spark, d).where("family is not null").groupBy("family").agg(F.round(F.avg("value"), 6).alias("fps"))
+    j = newest.select("family", "x.id", "x.rank1").join(m, "family", "left")
+    return j.withColumn("verdict", F.concat_ws("; ", F.when(F.col("rank1") >= 0.5, "PASS").otherwise("FAIL"), F.when(F.col("fps") >= 30, "PASS").when(F.col("fps").isNull(), "n/a").otherwise("FAIL")))

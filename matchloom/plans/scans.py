@@ -99,12 +99,12 @@ def s13(spark, d):
     return listed(spark, d).orderBy(images.seeded(42)).limit(40).select("path")
 
 
-_REPORTS = "r AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' WHEN 2 THEN 'gamma' END AS family, o_orderpriority AS label, CASE WHEN o_orderkey % 7 <> 0 THEN round(o_totalprice / 500000, 6) END AS rank1, CASE WHEN o_orderkey % 3 = 0 THEN round(o_totalprice / 400000, 6) END AS hit_rate, o_orderdate AS mtime FROM orders)"
+_REPORTS = "r AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' WHEN 2 THEN 'gamma' END AS family, o_orderpriority AS label, CASE WHEN o_orderkey % 7 <> 0 THEN round(o_totalprice / 700003, 6) END AS rank1, CASE WHEN o_orderkey % 3 = 0 THEN round(o_totalprice / 600011, 6) END AS hit_rate, o_orderdate AS mtime FROM orders)"
 
 
 def reports(spark, d):
     k = F.col("o_orderkey")
-    return T.read(spark, d, "orders").select(k.alias("id"), F.when(k % 4 == 0, "alpha").when(k % 4 == 1, "beta").when(k % 4 == 2, "gamma").alias("family"), F.col("o_orderpriority").alias("label"), F.when(k % 7 != 0, F.round(F.col("o_totalprice") / 500000, 6)).alias("rank1"), F.when(k % 3 == 0, F.round(F.col("o_totalprice") / 400000, 6)).alias("hit_rate"), F.col("o_orderdate").alias("mtime"))
+    return T.read(spark, d, "orders").select(k.alias("id"), F.when(k % 4 == 0, "alpha").when(k % 4 == 1, "beta").when(k % 4 == 2, "gamma").alias("family"), F.col("o_orderpriority").alias("label"), F.when(k % 7 != 0, F.round(F.col("o_totalprice") / 700003, 6)).alias("rank1"), F.when(k % 3 == 0, F.round(F.col("o_totalprice") / 600011, 6)).alias("hit_rate"), F.col("o_orderdate").alias("mtime"))
 
 
 @query("s15_json_reports", "SELECT event_id, json_extract_string(props, '$.' || k[1]) AS first_value, len(k) AS n_keys FROM (SELECT *, json_keys(props) AS k FROM events)")
