@@ -1,0 +1,167 @@
+"""Arithmetic on gray tiles (uint8 matrices). From the papers; no parity with any imaging library is claimed."""
+
+from __future__ import annotations
+
+import numpy as np
+
+#: Kinds of the modification suite and their levels, 41 in all.
+SUITE = {
+    "brightness": (-60, -30, 30, 60), "contrast": (0.5, 0.75, 1.25, 1.5), "gamma": (0.5, 1.5, 2.0), "blur": (1, 2, 3), "motion": (3, 5, 7), "noise": (5, 15, 30), "rotate": (-15, -7, 7, 15),
+    "zoom": (0.8, 1.2, 1.4), "occlude": (0.1, 0.2, 0.3), "salt": (0.02, 0.05, 0.1, 0.2), "shift": (-2, -1, 1, 2), "quantize": (4, 8, 16),
+}
+
+
+def held(x: np.ndarray) -> np.ndarray:
+    return np.clip(x, 0, 255).astype(np.uint8)
+
+
+def equalize(t: np.ndarray) -> np.ndarray:
+    """Histogram equalization: gray values by their share of pixels up to them."""
+    counts = np.bincount(t.ravel(), minlength=256)
+    cum = counts.cumsum()
+    first = cum[np.flatnonzero(counts)[0]] if t.size else 0
+    if t.size == first:
+        return t.copy()
+    return held(np.rint((cum - first) * 255.0 / (t.size - first)))[t]
+
+
+def _smooth(x: np.ndarray, sigma: float) -> np.ndarray:
+    r = max(1, int(3 * sigma + 0.5))
+    k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    k /= k.sum()
+    for axis in (0, 1):
+        pad = np.pad(x, [(r, r) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
+        x = sum(w * np.take(pad, range(i, i + x.shape[axis]), axis) for i, w in enumerate(k))
+    return x
+
+
+def tan_triggs(t: np.ndarray, alpha: float = 0.1, tau: float = 10.0, gamma: float = 0.2, inner: float = 1.0, outer: float = 2.0) -> np.ndarray:
+    """Gamma, difference of Gaussians and contrast equalization (Tan and Triggs 2010), scaled to 0..255."""
+    x = np.power(t.astype(np.float64) / 255.0, gamma)
+    x = _smooth(x, inner) - _smooth(x, outer)
+    x = x / (np.mean(np.abs(x) ** alpha) ** (1 / alpha) + 1e-12)
+    x = x / (np.mean(np.minimum(tau, np.abs(x)) ** alpha) ** (1 / alpha) + 1e-12)
+    x = tau * np.tanh(x / tau)
+    low, high = x.min(), x.max()
+    return held(np.rint((x - low) / (high - low) * 255)) if high > low else np.zeros_like(t)
+
+
+def clahe(t: np.ndarray, grid: int = 2, clip: float = 2.0) -> np.ndarray:
+    """Equalization in cells of a grid with clipped histograms, bilinear between cells."""
+    h, w = t.shape
+    ys, xs = [np.linspace(0, n, grid + 1).astype(int) for n in (h, w)]
+    maps = np.zeros((grid, grid, 256))
+    for i in range(grid):
+        for j in range(grid):
+            cell = t[ys[i] : ys[i + 1], xs[j] : xs[j + 1]]
+            counts = np.bincount(cell.ravel(), minlength=256).astype(float)
+            most = max(1.0, clip * cell.size / 256)
+            over = np.maximum(counts - most, 0).sum()
+            maps[i, j] = np.minimum(counts, most).cumsum() + over * np.arange(1, 257) / 256
+            maps[i, j] *= 255.0 / cell.size
+    cy = np.clip((np.arange(h) + 0.5) * grid / h - 0.5, 0, grid - 1)
+    cx = np.clip((np.arange(w) + 0.5) * grid / w - 0.5, 0, grid - 1)
+    y0, x0 = np.minimum(cy.astype(int), max(grid - 2, 0)), np.minimum(cx.astype(int), max(grid - 2, 0))
+    y1, x1 = np.minimum(y0 + 1, grid - 1), np.minimum(x0 + 1, grid - 1)
+    fy, fx = (cy - y0)[:, None], (cx - x0)[None, :]
+    at = lambda a, b: maps[a[:, None], b[None, :], t]
+    return held(np.rint((1 - fy) * ((1 - fx) * at(y0, x0) + fx * at(y0, x1)) + fy * ((1 - fx) * at(y1, x0) + fx * at(y1, x1))))
+
+
+def lbph(t: np.ndarray, grid: int = 8, neighbours: int = 8) -> np.ndarray:
+    """Histograms of local binary patterns at radius 1 in a grid of cells, each of sum one (Ahonen et al. 2006)."""
+    x = np.pad(t.astype(np.int32), 1, mode="edge")
+    h, w = t.shape
+    around = ((0, 0), (0, 1), (0, 2), (1, 2), (2, 2), (2, 1), (2, 0), (1, 0))[:neighbours]
+    code = sum((x[a : a + h, b : b + w] >= t).astype(np.int32) << k for k, (a, b) in enumerate(around))
+    bins = 1 << neighbours
+    ys, xs = [np.linspace(0, n, grid + 1).astype(int) for n in (h, w)]
+    out = [np.bincount(code[ys[i] : ys[i + 1], xs[j] : xs[j + 1]].ravel(), minlength=bins) / max(1, (ys[i + 1] - ys[i]) * (xs[j + 1] - xs[j])) for i in range(grid) for j in range(grid)]
+    return np.concatenate(out).astype(np.float32)
+
+
+def laplacian_variance(t: np.ndarray) -> float:
+    x = np.pad(t.astype(np.float64), 1, mode="reflect")
+    return float((x[:-2, 1:-1] + x[2:, 1:-1] + x[1:-1, :-2] + x[1:-1, 2:] - 4 * x[1:-1, 1:-1]).var())
+
+
+def noise_sigma(t: np.ndarray) -> float:
+    """Immerkaer's estimate of the noise's standard deviation."""
+    x, (h, w) = t.astype(np.float64), t.shape
+    m = sum(k * x[i : h - 2 + i, j : w - 2 + j] for i, row in enumerate(((1, -2, 1), (-2, 4, -2), (1, -2, 1))) for j, k in enumerate(row))
+    return float(np.abs(m).sum() * np.sqrt(np.pi / 2) / (6 * (h - 2) * (w - 2)))
+
+
+def gamma_lut(gamma: float) -> np.ndarray:
+    return np.clip(np.power(np.arange(256) / 255.0, gamma) * 255, 0, 255).astype(np.uint8)
+
+
+def crop(t: np.ndarray, box: tuple[int, int, int, int]) -> np.ndarray:
+    x, y, w, h = box
+    return t[y : y + h, x : x + w]
+
+
+def black_out(t: np.ndarray, box: tuple[int, int, int, int]) -> np.ndarray:
+    out, (x, y, w, h) = t.copy(), box
+    out[y : y + h, x : x + w] = 0
+    return out
+
+
+def _sampled(t: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
+    h, w = t.shape
+    return t[np.clip(np.rint(ys).astype(int), 0, h - 1), np.clip(np.rint(xs).astype(int), 0, w - 1)]
+
+
+def modified(t: np.ndarray, kind: str, level: float, seed: int = 0) -> np.ndarray:
+    """One variant of the suite; the same seed gives the same tile."""
+    h, w = t.shape
+    rng, x = np.random.default_rng(seed), t.astype(np.float64)
+    yy, xx = np.mgrid[0:h, 0:w]
+    if kind == "brightness":
+        return held(x + level)
+    if kind == "contrast":
+        return held((x - 127.5) * level + 127.5)
+    if kind == "gamma":
+        return gamma_lut(level)[t]
+    if kind == "blur":
+        return held(_smooth(x, level))
+    if kind == "motion":
+        n = int(level)
+        pad = np.pad(x, ((0, 0), (n // 2, n // 2)), mode="edge")
+        return held(sum(pad[:, i : i + w] for i in range(n)) / n)
+    if kind == "noise":
+        return held(x + rng.normal(0, level, t.shape))
+    if kind == "rotate":
+        a, cy, cx = np.radians(level), (h - 1) / 2, (w - 1) / 2
+        return _sampled(t, cy + (yy - cy) * np.cos(a) - (xx - cx) * np.sin(a), cx + (yy - cy) * np.sin(a) + (xx - cx) * np.cos(a))
+    if kind == "zoom":
+        return _sampled(t, (h - 1) / 2 + (yy - (h - 1) / 2) / level, (w - 1) / 2 + (xx - (w - 1) / 2) / level)
+    if kind == "occlude":
+        side = max(1, int(round(np.sqrt(level * h * w))))
+        return black_out(t, (int(rng.integers(0, max(1, w - side + 1))), int(rng.integers(0, max(1, h - side + 1))), side, side))
+    if kind == "salt":
+        hit = rng.random(t.shape)
+        return np.where(hit < level / 2, 0, np.where(hit < level, 255, t)).astype(np.uint8)
+    if kind == "shift":
+        return _sampled(t, yy, xx - level)
+    if kind == "quantize":
+        step = 256 / level
+        return held((np.floor(x / step) + 0.5) * step)
+    raise ValueError(f"no such modification: {kind}")
+
+
+def augmented(t: np.ndarray, strength: str, seed: int) -> np.ndarray:
+    """A random light or medium change of brightness, contrast and noise, mirrored half of the time."""
+    rng, k = np.random.default_rng(seed), {"light": 1.0, "medium": 2.0}[strength]
+    x = (t.astype(np.float64) - 127.5) * (1 + rng.uniform(-0.1, 0.1) * k) + 127.5 + rng.uniform(-12, 12) * k + rng.normal(0, 2 * k, t.shape)
+    return held(x[:, ::-1] if rng.random() < 0.5 else x)
+
+
+def shrunk(t: np.ndarray, longest: int) -> np.ndarray:
+    """The longest side at most so long, by means of areas."""
+    h, w = t.shape
+    if max(h, w) <= longest:
+        return t
+    k = longest / max(h, w)
+    ys, xs = [np.linspace(0, n, max(1, round(n * k)) + 1).astype(int) for n in (h, w)]
+    return held(np.rint([[t[a:b, c:d].mean() for c, d in zip(xs, xs[1:])] for a, b in zip(ys, ys[1:])]))

@@ -18,20 +18,20 @@ def episodes(frames: DataFrame, reset: Column) -> DataFrame:
     return frames.withColumn("episode", F.sum(F.when(reset, 1).otherwise(0)).over(upto))
 
 
-def ema(frames: DataFrame, x: str, keep: float = 0.85) -> DataFrame:
-    """average: x where the average so far is 0, else keep * average + (1 - keep) * x."""
+def ema(frames: DataFrame, x: str, keep: float = 0.85, new: float = 0.15) -> DataFrame:
+    """average: x where the average so far is 0, else keep * average + new * x."""
     upto = ordered().rowsBetween(Window.unboundedPreceding, 0)
-    step = lambda a, v: F.when(a == 0, v).otherwise(keep * a + (1 - keep) * v)
+    step = lambda a, v: F.when(a == 0, v).otherwise(keep * a + new * v)
     return frames.withColumn("average", F.aggregate(F.collect_list(x).over(upto), F.lit(0.0), step))
 
 
-def ema_chunked(frames: DataFrame, x: str, keep: float = 0.85) -> DataFrame:
+def ema_chunked(frames: DataFrame, x: str, keep: float = 0.85, new: float = 0.15) -> DataFrame:
     """The same by folding each stream once: one list per stream instead of one per frame."""
     packed = frames.groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("ts", "frame", F.col(x).alias("x")))).alias("s"))
     start = F.struct(F.lit(0.0).alias("a"), F.array().cast("array<struct<frame: bigint, average: double>>").alias("out"))
 
     def step(acc, s):
-        a = F.when(acc["a"] == 0, s["x"]).otherwise(keep * acc["a"] + (1 - keep) * s["x"])
+        a = F.when(acc["a"] == 0, s["x"]).otherwise(keep * acc["a"] + new * s["x"])
         return F.struct(a.alias("a"), F.concat(acc["out"], F.array(F.struct(s["frame"].alias("frame"), a.alias("average")))).alias("out"))
 
     return packed.select("stream", F.explode(F.aggregate("s", start, step)["out"]).alias("o")).select("stream", "o.frame", "o.average")

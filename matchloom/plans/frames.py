@@ -27,9 +27,9 @@ _F = """f AS (SELECT event_id AS frame, user_id AS stream, ts, event_type AS nam
 ep AS (SELECT *, sum((name = 'error')::INT) OVER (PARTITION BY stream ORDER BY ts, frame) AS episode FROM f), faces AS (SELECT * FROM ep WHERE name <> 'error')"""
 
 
-@query("w13_ema", f"WITH RECURSIVE {_F}, n AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY ts, frame) AS rn FROM f), r AS (SELECT stream, frame, rn, score AS average FROM n WHERE rn = 1 UNION ALL SELECT n.stream, n.frame, n.rn, CASE WHEN r.average = 0 THEN n.score ELSE 0.85 * r.average + (1 - 0.85) * n.score END FROM r JOIN n ON n.stream = r.stream AND n.rn = r.rn + 1) SELECT stream, frame, round(average, 5) AS average FROM r")
+@query("w13_ema", f"WITH RECURSIVE {_F}, n AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY ts, frame) AS rn FROM f), r AS (SELECT stream, frame, rn, score AS average FROM n WHERE rn = 1 UNION ALL SELECT n.stream, n.frame, n.rn, CASE WHEN r.average = 0 THEN n.score ELSE 0.85::DOUBLE * r.average + 0.15::DOUBLE * n.score END FROM r JOIN n ON n.stream = r.stream AND n.rn = r.rn + 1) SELECT stream, frame, round(average + 1e-9, 5) AS average FROM r")
 def w13(spark, d):
-    return R.ema_chunked(frames(spark, d), "score").withColumn("average", F.round("average", 5))
+    return R.ema_chunked(frames(spark, d), "score").withColumn("average", F.round(F.col("average") + 1e-9, 5))
 
 
 _VOTES = """h AS (SELECT stream, frame, list({{'name': name, 'score': score}}) OVER (PARTITION BY stream, episode ORDER BY ts, frame ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS h FROM {src}),
@@ -52,12 +52,12 @@ def w15(spark, d):
     return R.time_vote(f, _SECONDS).where("vote is not null").select("stream", "frame", "vote.name", F.round("vote.score", 6).alias("score"), F.col("vote.hits").cast("long").alias("hits"))
 
 
-_BOXES = "bx AS (SELECT *, (score * 3)::BIGINT % 60 AS x, (score * 7)::BIGINT % 60 AS y, 40 AS w, 40 AS h FROM faces), lg AS (SELECT *, lag(x) OVER o AS px, lag(y) OVER o AS py FROM bx WINDOW o AS (PARTITION BY stream ORDER BY ts, frame)), io AS (SELECT *, CASE WHEN px IS NULL THEN NULL ELSE greatest(0, 40 - abs(x - px)) * greatest(0, 40 - abs(y - py)) END AS i FROM lg), re AS (SELECT *, i IS NULL OR i::DOUBLE / (3200 - i) < 0.2 AS reset FROM io)"
+_BOXES = "bx AS (SELECT *, floor(score * 3)::BIGINT % 60 AS x, floor(score * 7)::BIGINT % 60 AS y, 40 AS w, 40 AS h FROM faces), lg AS (SELECT *, lag(x) OVER o AS px, lag(y) OVER o AS py FROM bx WINDOW o AS (PARTITION BY stream ORDER BY ts, frame)), io AS (SELECT *, CASE WHEN px IS NULL THEN NULL ELSE greatest(0, 40 - abs(x - px)) * greatest(0, 40 - abs(y - py)) END AS i FROM lg), re AS (SELECT *, i IS NULL OR i::DOUBLE / (3200 - i) < 0.2 AS reset FROM io)"
 
 
 def boxed(spark, d):
     s = F.col("score")
-    near = lambda k: (F.round(s * k).cast("long") % 60)
+    near = lambda k: (F.floor(s * k).cast("long") % 60)
     return faces(spark, d).withColumn("box", F.struct(near(3).alias("x"), near(7).alias("y"), F.lit(40).alias("w"), F.lit(40).alias("h")))
 
 
@@ -91,12 +91,48 @@ def r4(spark, d):
     return loops.stateless(frames(spark, d), 50).select("stream", "frame", "decision")
 
 
+_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def live(spark, d) -> DataFrame:
+    """The same frames as a stream."""
+    e = spark.readStream.schema(_SCHEMA).parquet(f"{d}/events.parquet*")
+    return e.select(F.col("event_id").alias("frame"), F.col("user_id").alias("stream"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("name"), F.col("value").alias("score"))
+
+
+@query("r1_live_count_vote", f"WITH {_F}, {_VOTES.format(src='faces')} SELECT stream, frame, name, round(score, 6) AS score, hits FROM v WHERE rn = 1 AND hits >= 3")
+def r1(spark, d):
+    """The counted vote as a stateful stream, drained into a table: the same rows as the batch windows."""
+    out = loops.drained(loops.voting(live(spark, d)), "stream long, frame long, name string, score double, hits long")
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query("r2_live_counters", f"WITH {_F} SELECT stream, count(*) AS frames, count(*) FILTER (WHERE name <> 'error' AND score < 50) AS escalated FROM f GROUP BY stream")
+def r2(spark, d):
+    """Escalation counters of each stream, kept as state; the last row of each stream is its total."""
+    out = loops.drained(loops.counting(live(spark, d), 50.0), "stream long, frames long, escalated long")
+    return out.groupBy("stream").agg(F.max("frames").alias("frames"), F.max("escalated").alias("escalated"))
+
+
+@query("r3_live_time_vote", f"WITH {_F}, s AS (SELECT *, epoch(date_trunc('second', ts))::BIGINT AS seconds, row_number() OVER (PARTITION BY stream ORDER BY ts, frame) AS pos FROM faces), t AS (SELECT a.stream, a.frame, b.name, count(*) AS hits, round(avg(b.score), 9) AS score FROM s a JOIN s b ON a.stream = b.stream AND a.episode = b.episode AND b.pos <= a.pos AND b.seconds >= a.seconds - {_SECONDS} GROUP BY ALL), v AS (SELECT *, row_number() OVER (PARTITION BY stream, frame ORDER BY score DESC, hits DESC, name) AS rn FROM t WHERE hits >= 2) SELECT stream, frame, name, hits FROM v WHERE rn = 1")
+def r3(spark, d):
+    out = loops.drained(loops.time_voting(live(spark, d), _SECONDS), "stream long, frame long, name string, score double, hits long")
+    return out.select("stream", "frame", "name", "hits")
+
+
+@query("r5_live_slot_vote", f"WITH {_F}, sl AS (SELECT * REPLACE (stream * 3 + frame % 3 AS stream) FROM f), e2 AS (SELECT *, 0 AS episode FROM sl), {_VOTES.format(src='e2')} SELECT stream, frame, name, hits FROM v WHERE rn = 1")
+def r5(spark, d):
+    slots = live(spark, d).withColumn("stream", F.col("stream") * 3 + F.col("frame") % 3)
+    out = loops.drained(loops.voting(slots, 5, 1, no_face=None), "stream long, frame long, name string, score double, hits long")
+    return out.select("stream", "frame", "name", "hits")
+
+
 @query("r8_rate_limited", f"WITH {_F} SELECT stream, epoch(time_bucket(INTERVAL 6 HOUR, ts))::BIGINT AS slot, last(frame ORDER BY ts, frame) AS frame, count(*) AS frames FROM f GROUP BY ALL")
 def r8(spark, d):
     return loops.last_per_slot(frames(spark, d), "6 hours").select("stream", F.unix_seconds("slot").alias("slot"), "frame", "frames")
 
 
-@query("r9_session_summary", f"WITH {_F} SELECT stream, count(*) AS frames, count(*) FILTER (WHERE name = 'error') AS without_face, round(avg(score), 6) AS mean_score, count(DISTINCT name) AS names FROM f GROUP BY stream")
+@query("r9_session_summary", f"WITH {_F} SELECT stream, count(*) AS frames, count(*) FILTER (WHERE name = 'error') AS without_face, round(avg(score), 4) AS mean_score, count(DISTINCT name) AS names FROM f GROUP BY stream")
 def r9(spark, d):
     return loops.summary(frames(spark, d))
 

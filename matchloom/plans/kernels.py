@@ -1 +1,114 @@
-"""To come."""
+"""Pixel kernels I3, I6-I15 on 8 x 8 tiles made of the embeddings. Kernels with sums in SQL have counterparts there."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from matchloom.functions import vectors as V
+from matchloom.kernels import jobs
+from matchloom.kernels import tiles as K
+from matchloom.plans import tables as T
+from matchloom.plans.registry import query
+
+
+def tiles(spark, d):
+    return T.feat(spark, d).select("vec_id", V.to_uint8(F.col("v"), 127.5, 1.0).alias("tile"))
+
+
+_TILES = f"WITH {T.FEAT}, t AS (SELECT vec_id, list_transform(v, lambda x: greatest(0, least(255, round_even((x + 1) * 127.5, 0)))::INT) AS tile FROM feat)"
+
+
+def _summed(fn):
+    """Rows of a kernel that turns a tile into a tile: its mean and largest value."""
+    return lambda k, t: [{"vec_id": k, "mean": round(float((x := fn(t)).mean()), 6), "largest": int(x.max())}]
+
+
+_SUMS = "vec_id long, mean double, largest long"
+
+
+@query("i3_downscale")
+def i3(spark, d):
+    return jobs.per_tile(tiles(spark, d), "vec_id", _summed(lambda t: K.shrunk(t, 4)), _SUMS)
+
+
+_EQ = ", p AS (SELECT vec_id, u.x AS x FROM t, unnest(tile) AS u(x)), c AS (SELECT vec_id, x, count(*) AS n, sum(count(*)) OVER (PARTITION BY vec_id ORDER BY x) AS cum FROM p GROUP BY vec_id, x), e AS (SELECT vec_id, n, first_value(cum) OVER (PARTITION BY vec_id ORDER BY x) AS lo, cum FROM c), q AS (SELECT vec_id, n, round_even((cum - lo) * 255.0::DOUBLE / (64 - lo), 0) AS y FROM e)"
+
+
+@query("i6_equalize", _TILES + _EQ + " SELECT vec_id, round(sum(n * y) / 64, 6) AS mean, max(y)::BIGINT AS largest FROM q GROUP BY vec_id")
+def i6(spark, d):
+    return jobs.per_tile(tiles(spark, d), "vec_id", _summed(K.equalize), _SUMS)
+
+
+@query("i6_clahe")
+def i6_clahe(spark, d):
+    return jobs.per_tile(tiles(spark, d), "vec_id", _summed(K.clahe), _SUMS)
+
+
+@query("i6_tan_triggs")
+def i6_tan_triggs(spark, d):
+    return jobs.per_tile(tiles(spark, d), "vec_id", _summed(K.tan_triggs), _SUMS)
+
+
+@query("i8_gamma", _TILES + " SELECT vec_id, list_transform(tile, lambda x: floor(pow(x / 255.0::DOUBLE, 0.5) * 255)::INT) AS tile FROM t")
+def i8(spark, d):
+    """The gamma table as an expression, without Python."""
+    return tiles(spark, d).select("vec_id", F.transform("tile", lambda x: F.floor(F.pow(x / 255.0, F.lit(0.5)) * 255).cast("int")).alias("tile"))
+
+
+@query("i9_blob_normalize", _TILES + " SELECT vec_id, list_transform(tile, lambda x: round((x - 127.5::DOUBLE) / 128, 6)) AS blob FROM t")
+def i9(spark, d):
+    return tiles(spark, d).select("vec_id", F.transform("tile", lambda x: F.round((x - 127.5) / 128, 6)).alias("blob"))
+
+
+@query("i10_lbph_histogram")
+def i10(spark, d):
+    """Its 2 x 2 cells on these small tiles have 1024 bins; returned are the number filled and the largest."""
+    fn = lambda k, t: [{"vec_id": k, "bins": int(((h := K.lbph(t, 2)) > 0).sum()), "largest": round(float(h.max()), 6), "total": round(float(h.sum()), 6)}]
+    return jobs.per_tile(tiles(spark, d), "vec_id", fn, "vec_id long, bins long, largest double, total double")
+
+
+@query("i11_projection", f"WITH {T.FEAT}, m AS (SELECT u.i, avg(v[u.i]) AS m FROM feat, unnest(range(1, 65)) AS u(i) GROUP BY 1), c AS (SELECT vec_id, i, v[i] - m AS x FROM feat, m) SELECT vec_id, k, round(sum(x * cos(pi() * (2 * i - 1) * k / 128)), 5) AS y FROM c, unnest(range(0, 8)) AS u(k) GROUP BY vec_id, k")
+def i11(spark, d):
+    """(x - mean) times a basis; here eight cosines. The basis is a small broadcast table and the product one aggregation."""
+    x = T.feat(spark, d).select("vec_id", F.posexplode("v").alias("i", "x"))
+    c = x.join(F.broadcast(x.groupBy("i").agg(F.avg("x").alias("m"))), "i").select("vec_id", "i", (F.col("x") - F.col("m")).alias("x"))
+    basis = spark.range(64).select(F.col("id").cast("int").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("k")).withColumn("b", F.cos(F.pi() * (2 * F.col("i") + 1) * F.col("k") / 128))
+    return c.join(F.broadcast(basis), "i").groupBy("vec_id", "k").agg(F.round(F.sum(F.col("x") * F.col("b")), 5).alias("y"))
+
+
+@query("i12_modification_suite")
+def i12(spark, d):
+    """All 41 variants of each tile: mean absolute change by kind and level."""
+
+    def fn(k, t):
+        x = t.astype(float)
+        return [{"vec_id": k, "kind": kind, "level": float(level), "change": round(float(abs(K.modified(t, kind, level, k).astype(float) - x).mean()), 6)} for kind, levels in K.SUITE.items() for level in levels]
+
+    return jobs.per_tile(tiles(spark, d), "vec_id", fn, "vec_id long, kind string, level double, change double")
+
+
+@query("i12_brightness", _TILES + " SELECT vec_id, list_transform(tile, lambda x: greatest(0, least(255, x + 60))) AS brighter, list_transform(tile, lambda x: floor(greatest(0, least(255, (x - 127.5::DOUBLE) * 1.25 + 127.5)))::INT) AS sharper FROM t")
+def i12_brightness(spark, d):
+    held = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(255.0), x)).cast("int")
+    return tiles(spark, d).select("vec_id", F.transform("tile", lambda x: held(x + 60.0)).alias("brighter"), F.transform("tile", lambda x: held((x - 127.5) * 1.25 + 127.5)).alias("sharper"))
+
+
+@query("i13_augmentation")
+def i13(spark, d):
+    return jobs.per_tile(tiles(spark, d), "vec_id", lambda k, t: [{"vec_id": k, "strength": s, "mean": round(float(K.augmented(t, s, k).mean()), 6)} for s in ("light", "medium")], "vec_id long, strength string, mean double")
+
+
+@query("i14_quality_probes", _TILES + " SELECT vec_id, round(list_avg(tile), 6) AS luma FROM t")
+def i14(spark, d):
+    return jobs.per_tile(tiles(spark, d), "vec_id", lambda k, t: [{"vec_id": k, "luma": round(float(t.mean()), 6)}], "vec_id long, luma double")
+
+
+@query("i14_blur_and_noise")
+def i14_blur(spark, d):
+    return jobs.per_tile(tiles(spark, d), "vec_id", lambda k, t: [{"vec_id": k, "blur": round(K.laplacian_variance(t), 6), "noise": round(K.noise_sigma(t), 6)}], "vec_id long, blur double, noise double")
+
+
+@query("i15_region_blackout", _TILES + ", p AS (SELECT vec_id, u.i AS i, tile[u.i + 1] AS x FROM t, unnest(range(0, 64)) AS u(i)) SELECT vec_id, sum(CASE WHEN i // 8 BETWEEN 2 AND 3 THEN 0 ELSE x END)::BIGINT AS without_eyes, sum(CASE WHEN i // 8 BETWEEN 2 AND 3 THEN x ELSE 0 END)::BIGINT AS eyes FROM p GROUP BY vec_id")
+def i15(spark, d):
+    row = lambda keep: F.aggregate(F.transform("tile", lambda x, i: F.when(F.floor(i / 8).between(2, 3) == F.lit(keep), x).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return tiles(spark, d).select("vec_id", row(False).alias("without_eyes"), row(True).alias("eyes"))

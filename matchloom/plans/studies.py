@@ -1 +1,148 @@
-"""To come."""
+"""Model fitting L1-L7, L9-L13 and composed reports Q2, Q4, Q7, Q18, Q19, Q22."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from matchloom.functions import vectors as V
+from matchloom.operators import curves, pairs, subspace
+from matchloom.operators import matching as M
+from matchloom.plans import tables as T
+from matchloom.plans.evaluation import _FISHER, fisher_scores
+from matchloom.plans.registry import query
+
+
+def _nearest_in_subspace(spark, d, fit):
+    members = T.members(spark, d).select("vec_id", "label", "person", "v")
+    mean, axes = fit(subspace.moments(members, "label"))
+    g = subspace.projected(members, mean, axes).select(F.col("person").alias("name"), F.col("p").alias("u"))
+    p = subspace.projected(T.probes(spark, d).select("vec_id", "v"), mean, axes).select("vec_id", "p")
+    return M.arg_min(p, g, ["vec_id"], F.round(V.euclidean(F.col("p"), F.col("u")), 6), "name").withColumn("distance", F.round("distance", 4))
+
+
+@query("l1_eigen_subspace")
+def l1(spark, d):
+    return _nearest_in_subspace(spark, d, lambda m: subspace.pca(m, 50))
+
+
+@query("l2_fisher_subspace")
+def l2(spark, d):
+    return _nearest_in_subspace(spark, d, lambda m: subspace.lda(m, 49))
+
+
+@query("l3_templates", f"WITH {T.FEAT} SELECT person, count(*) AS templates FROM feat WHERE NOT probe AND known GROUP BY person")
+def l3(spark, d):
+    """All templates are the model."""
+    return T.members(spark, d).groupBy("person").agg(F.count("*").alias("templates"))
+
+
+@query("l4_basis_on_sample")
+def l4(spark, d):
+    """The basis from at most 200 members by hash, all vectors projected: length of each projection."""
+    sample = T.members(spark, d).orderBy(F.xxhash64("vec_id")).limit(200)
+    mean, axes = subspace.pca(subspace.moments(sample, "label"), 20)
+    return subspace.projected(T.feat(spark, d), mean, axes).select("vec_id", F.round(V.norm(F.col("p")), 4).alias("length"))
+
+
+@query("l5_identities_with_two", f"WITH {T.FEAT} SELECT person, count(*) AS n FROM feat WHERE vec_id % 3 = 1 GROUP BY person HAVING count(*) >= 2 ORDER BY person LIMIT 500")
+def l5(spark, d):
+    return T.feat(spark, d).where("vec_id % 3 = 1").groupBy("person").agg(F.count("*").alias("n")).where("n >= 2").orderBy("person").limit(500)
+
+
+_TOP = _FISHER + ", top AS (SELECT dim FROM fs ORDER BY round(f, 9) DESC, dim LIMIT {k}), q AS (SELECT vec_id, probe, known, person, dim, round_even((v[dim + 1] + 1) * 127.5, 0)::BIGINT AS b FROM feat, top)"
+
+
+def _compact(spark, d, k):
+    dims = fisher_scores(spark, d).orderBy(F.desc(F.round("f", 9)), "dim").limit(k).select("dim")
+    x = T.feat(spark, d).select("vec_id", "probe", "known", "person", F.posexplode("v").alias("dim", "x"))
+    return x.join(F.broadcast(dims), "dim").withColumn("b", F.rint((F.col("x") + 1) * 127.5).cast("long"))
+
+
+@query("l6_compact_features", _TOP.format(k=16) + " SELECT vec_id, list(b ORDER BY dim) AS bytes FROM q GROUP BY vec_id")
+def l6(spark, d):
+    """The 16 best dimensions by Fisher score, a byte each."""
+    q = _compact(spark, d, 16)
+    return q.groupBy("vec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "b"))), lambda s: s["b"]).alias("bytes"))
+
+
+@query("l7_compact_matcher", _TOP.format(k=16) + ", cen AS (SELECT person, dim, avg(b) AS m FROM q WHERE NOT probe AND known GROUP BY ALL), x AS (SELECT q.vec_id, cen.person, round(sum((b - m) * (b - m)), 6) AS d FROM q JOIN cen USING (dim) WHERE q.probe GROUP BY q.vec_id, cen.person) SELECT vec_id, first(person ORDER BY d, person) AS best FROM x GROUP BY vec_id")
+def l7(spark, d):
+    """Nearest centroid among compact features; the join is by dimension, the centroids are small and broadcast by size."""
+    q = _compact(spark, d, 16)
+    c = q.where("not probe and known").groupBy("person", "dim").agg(F.avg("b").alias("m")).withColumnRenamed("person", "name")
+    x = q.where("probe").select("vec_id", "dim", "b").join(c, "dim").groupBy("vec_id", "name").agg(F.round(F.sum((F.col("b") - F.col("m")) * (F.col("b") - F.col("m"))), 6).alias("d"))
+    return pairs.best(x, ["vec_id"], [F.col("d"), F.col("name")], ["name"]).withColumnRenamed("name", "best")
+
+
+@query("l9_single_image_enrollment", f"WITH {T.FEAT} SELECT person, min(vec_id) AS vec_id FROM feat WHERE NOT probe AND known GROUP BY person")
+def l9(spark, d):
+    return T.members(spark, d).groupBy("person").agg(F.min("vec_id").alias("vec_id"))
+
+
+@query("l10_config_sweep", f"WITH {T.FEAT}, g AS (SELECT k, person, u.i, avg(v[u.i]) AS m FROM feat, unnest([8, 16, 32, 64]) AS t(k), unnest(range(1, 65)) AS u(i) WHERE NOT probe AND known AND u.i <= k GROUP BY ALL), x AS (SELECT k, p.vec_id, p.person AS truth, p.known, g.person, round(sum((p.v[g.i] - m) * (p.v[g.i] - m)), 9) AS d FROM feat p JOIN g ON true WHERE p.probe GROUP BY ALL), b AS (SELECT k, vec_id, truth, known, first(person ORDER BY d, person) AS best FROM x GROUP BY ALL) SELECT k AS components, count(*) AS probes, count(*) FILTER (WHERE known AND best = truth) AS hits FROM b GROUP BY k")
+def l10(spark, d):
+    """Rank-1 hits with the first 8, 16, 32 or 64 components, all configurations in one job."""
+    ks = F.explode(F.array(*map(F.lit, (8, 16, 32, 64))))
+    x = T.feat(spark, d).select("vec_id", "probe", "known", "person", F.posexplode("v").alias("i", "x")).withColumn("k", ks).where("i < k")
+    g = x.where("not probe and known").groupBy("k", "person", "i").agg(F.avg("x").alias("m")).withColumnRenamed("person", "name")
+    dist = x.where("probe").join(g, ["k", "i"]).groupBy("k", "vec_id", "known", "person", "name").agg(F.round(F.sum((F.col("x") - F.col("m")) * (F.col("x") - F.col("m"))), 9).alias("d"))
+    b = pairs.best(dist, ["k", "vec_id", "known", "person"], [F.col("d"), F.col("name")], ["name"])
+    return b.groupBy(F.col("k").alias("components")).agg(F.count("*").alias("probes"), F.count_if(F.col("known") & (F.col("name") == F.col("person"))).alias("hits"))
+
+
+@query("l11_variant_grid", "SELECT k, bits, mode, k * bits // 8 AS bytes FROM unnest([16, 64, 240]) AS a(k), unnest([8, 16, 32]) AS b(bits), unnest(['centroid', 'all']) AS c(mode)")
+def l11(spark, d):
+    """The 18 variants of the histogram matcher: dimensions, bits and templates kept."""
+    grid = spark.range(1).select(F.explode(F.array(*map(F.lit, (16, 64, 240)))).alias("k")).withColumn("bits", F.explode(F.array(*map(F.lit, (8, 16, 32))))).withColumn("mode", F.explode(F.array(F.lit("centroid"), F.lit("all"))))
+    return grid.withColumn("bytes", F.expr("k * bits div 8"))
+
+
+@query("l12_multi_image_study", f"WITH {T.FEAT}, r AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY vec_id) AS rn FROM feat WHERE NOT probe AND known), c AS (SELECT n, person, u.i, avg(v[u.i]) AS m FROM r, unnest([1, 3, 5, 7, 10]) AS t(n), unnest(range(1, 65)) AS u(i) WHERE rn <= n GROUP BY ALL), p AS (SELECT a.n, a.person AS x, b.person AS y, sqrt(sum((a.m - b.m) * (a.m - b.m))) AS d FROM c a JOIN c b ON a.n = b.n AND a.i = b.i AND a.person < b.person GROUP BY ALL) SELECT n AS images, round(avg(d), 6) AS separation FROM p GROUP BY n")
+def l12(spark, d):
+    """Mean distance between identities when each has its first 1, 3, 5, 7 or 10 images."""
+    w = Window.partitionBy("person").orderBy("vec_id")
+    r = T.members(spark, d).withColumn("rn", F.row_number().over(w)).where("rn <= 10").withColumn("n", F.explode(F.array(*map(F.lit, (1, 3, 5, 7, 10))))).where("rn <= n")
+    c = r.select("n", "person", F.posexplode("v").alias("i", "x")).groupBy("n", "person", "i").agg(F.avg("x").alias("m"))
+    a, b = c.select("n", "i", F.col("person").alias("x"), F.col("m").alias("mx")), c.select("n", "i", F.col("person").alias("y"), F.col("m").alias("my"))
+    p = a.join(b, ["n", "i"]).where("x < y").groupBy("n", "x", "y").agg(F.sqrt(F.sum((F.col("mx") - F.col("my")) * (F.col("mx") - F.col("my")))).alias("d"))
+    return p.groupBy(F.col("n").alias("images")).agg(F.round(F.avg("d"), 6).alias("separation"))
+
+
+@query("l13_recipe_matrix", f"WITH {T.LARGE}, g AS (SELECT recipe, testset, count(*) AS n, count(*) FILTER (WHERE ok AND d <= 5000 * recipe) AS hits FROM s, unnest([1, 2, 4, 8, 16]) AS a(recipe), (SELECT unnest(['A', 'N', 'R']) AS testset) WHERE bucket = testset GROUP BY ALL) SELECT recipe, testset, n, round(hits::DOUBLE / n, 6) AS rate FROM g")
+def l13(spark, d):
+    s = T.scores_large(spark, d).withColumn("recipe", F.explode(F.array(*map(F.lit, (1, 2, 4, 8, 16)))))
+    return s.groupBy("recipe", F.col("bucket").alias("testset")).agg(F.count("*").alias("n"), F.round(F.count_if(F.col("ok") & (F.col("d") <= 5000 * F.col("recipe"))) / F.count("*"), 6).alias("rate"))
+
+
+@query("q4_independence", f"WITH {T.FEAT}, ids AS (SELECT vec_id, v FROM feat WHERE vec_id < 100), p AS (SELECT a.vec_id AS query, b.vec_id AS candidate, round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) AS d FROM ids a JOIN ids b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (ORDER BY d, query, candidate) AS rn, count(*) OVER () AS n FROM p) SELECT n AS comparisons, rn AS spec_rank, d AS raw_threshold, round(100 * d / (SELECT max(d) FROM p), 6) AS normalized_threshold, round(1e6 * rn / n, 6) AS realized_far_ppm, query, candidate FROM r WHERE rn = greatest(1, (1000 * n + 999999) // 1000000)")
+def q4(spark, d):
+    """The specified error pair of an independence test, with its normalized threshold and the rate it stands for."""
+    u = pairs.unique_pairs(T.feat(spark, d).where("vec_id < 100").select("vec_id", "v"), "vec_id")
+    u = u.select(F.col("a_vec_id").alias("query"), F.col("b_vec_id").alias("candidate"), F.round(V.euclidean(F.col("a_v"), F.col("b_v")), 9).alias("d"))
+    p = u.unionByName(u.select(F.col("candidate").alias("query"), F.col("query").alias("candidate"), "d"))
+    a = p.agg(F.count("*").alias("comparisons"), F.max("d").alias("top")).withColumn("spec_rank", F.expr("greatest(1, (1000 * comparisons + 999999) div 1000000)"))
+    first = p.orderBy("d", "query", "candidate").limit(64).withColumn("rn", F.row_number().over(Window.orderBy("d", "query", "candidate")))
+    j = first.join(F.broadcast(a), F.col("rn") == F.col("spec_rank"))
+    return j.select("comparisons", F.col("rn").cast("long").alias("spec_rank"), F.col("d").alias("raw_threshold"), F.round(100 * F.col("d") / F.col("top"), 6).alias("normalized_threshold"), F.round(F.lit(1e6) * F.col("rn") / F.col("comparisons"), 6).alias("realized_far_ppm"), "query", "candidate")
+
+
+@query("q7_tar_far_report", f"WITH {T.LARGE}{T.ROC} SELECT count(*) AS thresholds, round(max(tar) FILTER (WHERE far <= 1.0), 6) AS tar_at_1, round(max(tar) FILTER (WHERE far <= 0.1), 6) AS tar_at_01, round(min(abs(far - (100 - tar))), 6) AS gap FROM roc")
+def q7(spark, d):
+    c = curves.roc(T.scores_large(spark, d))
+    at = lambda x: F.round(F.max(F.when(F.col("far") <= x, F.col("tar"))), 6)
+    return c.agg(F.count("*").alias("thresholds"), at(1.0).alias("tar_at_1"), at(0.1).alias("tar_at_01"), F.round(F.min(F.abs(F.col("far") - F.col("frr"))), 6).alias("gap"))
+
+
+@query("q18_gallery_consistency", f"WITH {T.FEAT} SELECT person, (count(*) FILTER (WHERE NOT probe)) > 0 AS in_gallery, (count(*) FILTER (WHERE probe)) > 0 AS in_probes FROM feat WHERE known OR probe GROUP BY person HAVING (count(*) FILTER (WHERE NOT probe AND known)) = 0")
+def q18(spark, d):
+    """Labels of probes that nobody enrolled."""
+    enrolled = T.members(spark, d).select("person").distinct()
+    left = T.feat(spark, d).where("known or probe").join(enrolled, "person", "left_anti")
+    return left.groupBy("person").agg((F.count_if(~F.col("probe")) > 0).alias("in_gallery"), (F.count_if(F.col("probe")) > 0).alias("in_probes"))
+
+
+@query("q22_metrics_table", f"WITH {T.LARGE}, g AS (SELECT bucket, count(*) AS n, avg(d) AS m, count(*) FILTER (WHERE ok) AS k FROM s GROUP BY bucket) SELECT bucket, n, printf('%.2f', m) AS mean, CASE WHEN 100.0::DOUBLE * k / n >= 90 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM g")
+def q22(spark, d):
+    g = T.scores_large(spark, d).groupBy("bucket").agg(F.count("*").alias("n"), F.avg("d").alias("m"), F.count_if("ok").alias("k"))
+    return g.select("bucket", "n", F.format_string("%.2f", "m").alias("mean"), F.when(100.0 * F.col("k") / F.col("n") >= 90, "PASS").otherwise("FAIL").alias("verdict"))

@@ -6,6 +6,8 @@ that come in a later batch than their successors are taken as they come, and a w
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,7 +29,7 @@ def last_per_slot(frames: DataFrame, slot: str) -> DataFrame:
 
 
 def summary(frames: DataFrame) -> DataFrame:
-    return frames.groupBy("stream").agg(F.count("*").alias("frames"), F.count_if(F.col("name") == NO_FACE).alias("without_face"), F.round(F.avg("score"), 6).alias("mean_score"), F.count_distinct("name").alias("names"))
+    return frames.groupBy("stream").agg(F.count("*").alias("frames"), F.count_if(F.col("name") == NO_FACE).alias("without_face"), F.round(F.avg("score"), 4).alias("mean_score"), F.count_distinct("name").alias("names"))
 
 
 def vote(history: list[tuple[str, float]], least: int) -> tuple[str, float, int] | None:
@@ -41,7 +43,7 @@ def vote(history: list[tuple[str, float]], least: int) -> tuple[str, float, int]
     return name, sum(hits[name]) / len(hits[name]), len(hits[name])
 
 
-def voting(frames: DataFrame, last: int = 5, least: int = 3) -> DataFrame:
+def voting(frames: DataFrame, last: int = 5, least: int = 3, no_face: str | None = NO_FACE) -> DataFrame:
     """stream, frame, name, score, hits of every frame at which the vote of its stream's last frames has a winner."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -50,7 +52,7 @@ def voting(frames: DataFrame, last: int = 5, least: int = 3) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values(["ts", "frame"])
         out = []
         for frame, name, score in zip(rows["frame"], rows["name"], rows["score"]):
-            if name == NO_FACE:
+            if name == no_face:
                 history = []
                 continue
             history = [*history, (name, float(score))][-last:]
@@ -62,6 +64,57 @@ def voting(frames: DataFrame, last: int = 5, least: int = 3) -> DataFrame:
     return frames.groupBy("stream").applyInPandasWithState(step, "stream long, frame long, name string, score double, hits long", "names array<string>, scores array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def time_voting(frames: DataFrame, seconds: int, least: int = 2) -> DataFrame:
+    """Like voting(), over the last seconds: the largest mean score, then the most hits, then the smaller name."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get)) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values(["ts", "frame"])
+        out = []
+        for ts, frame, name, score in zip(rows["ts"], rows["frame"], rows["name"], rows["score"]):
+            if name == NO_FACE:
+                held = []
+                continue
+            now = int(ts.timestamp() // 1)
+            held = [h for h in held if h[0] >= now - seconds] + [(now, name, float(score))]
+            by_name: dict[str, list[float]] = {}
+            for _, n, s in held:
+                by_name.setdefault(n, []).append(s)
+            ranked = sorted((-round(sum(s) / len(s), 9), -len(s), n) for n, s in by_name.items() if len(s) >= least)
+            if ranked:
+                out.append((key[0], frame, ranked[0][2], -ranked[0][0], -ranked[0][1]))
+        state.update(tuple([h[i] for h in held] for i in range(3)))
+        yield pd.DataFrame(out, columns=["stream", "frame", "name", "score", "hits"])
+
+    return frames.groupBy("stream").applyInPandasWithState(step, "stream long, frame long, name string, score double, hits long", "seconds array<long>, names array<string>, scores array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def counting(frames: DataFrame, least: float) -> DataFrame:
+    """stream, frames, escalated so far, after each micro-batch."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, escalated = state.get if state.exists else (0, 0)
+        for b in batches:
+            n += len(b)
+            escalated += int(((b["name"] != NO_FACE) & (b["score"] < least)).sum())
+        state.update((n, escalated))
+        yield pd.DataFrame([(key[0], n, escalated)], columns=["stream", "frames", "escalated"])
+
+    return frames.groupBy("stream").applyInPandasWithState(step, "stream long, frames long, escalated long", "frames long, escalated long", "append", GroupStateTimeout.NoTimeout)
+
+
+def drained(stream: DataFrame, schema: str) -> DataFrame:
+    """Runs a stream over what is there now into Parquet files of the shared folder, and reads them."""
+    spark = stream.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="matchloom-")
+    at = f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    return spark.read.schema(schema).parquet(f"{at}/out")
+
+
 def rate_limited(frames: DataFrame, slot: str, delay: str = "1 hour") -> DataFrame:
     """last_per_slot() of a stream in append mode: a slot comes out when the watermark has passed it."""
     return last_per_slot(frames.withWatermark("ts", delay), slot)

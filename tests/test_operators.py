@@ -1,0 +1,153 @@
+"""Golden values, edge cases and properties of operators and kernels."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from matchloom.functions import labels as L
+from matchloom.functions import vectors as V
+from matchloom.kernels import jobs
+from matchloom.kernels import tiles as K
+from matchloom.operators import curves, frames, pairs, subspace
+from matchloom.operators import matching as M
+from matchloom.sources import images, sinks
+from matchloom.streaming import loops
+
+
+@pytest.mark.parametrize(
+    "flags, d, margin, escalate, reason",
+    [
+        (["blur"], 10.0, 0.9, True, "quality:blur"), (["blur", "noise"], 90.0, 0.0, True, "quality:blur,noise"), ([], 75.0, 0.9, True, "ambiguous_band"), ([], 75.0, 0.0, True, "ambiguous_band"), ([], 73.04, 0.9, False, "confident_accept"),
+        ([], 76.85, 0.9, False, "confident_reject"), ([], 50.0, 0.04, True, "low_margin"), ([], 90.0, 0.04, True, "low_margin"), ([], 50.0, 0.05, False, "confident_accept"),
+    ],
+)
+def test_gate(spark, flags, d, margin, escalate, reason):
+    df = spark.createDataFrame([(flags, d, margin)], "flags array<string>, d double, m double")
+    assert df.select(M.gate(F.col("flags"), F.col("d"), F.col("m")).alias("g")).first().g == (escalate, reason)
+
+
+def test_pairs_are_complete(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 7)
+    df = spark.range(40).select(F.col("id"), (F.col("id") * 2).alias("x"))
+    u = pairs.unique_pairs(df, "id").collect()
+    assert len(u) == 40 * 39 // 2 and all(r.a_id < r.b_id and r.a_x == 2 * r.a_id and r.b_x == 2 * r.b_id for r in u)
+    assert len({(r.a_id, r.b_id) for r in u}) == len(u)
+    assert pairs.ordered_pairs(df, "id").count() == 40 * 39
+    monkeypatch.setattr(pairs, "BROADCAST_ROWS", 3)
+    assert pairs.each_with_each(spark.range(5).withColumnRenamed("id", "l"), spark.range(50)).distinct().count() == 250
+
+
+def test_vectors_edges(spark):
+    df = spark.createDataFrame([([0.0, 0.0], [0.0, 0.0]), ([3.0, 4.0], [3.0, 4.0])], "a array<double>, b array<double>")
+    r = df.select(V.unit(F.col("a")).alias("u"), V.euclidean(F.col("a"), F.col("b")).alias("e"), V.chi_square(F.col("a"), F.col("b")).alias("c"), V.l2_by_gram(F.col("a"), F.col("b")).alias("g")).collect()
+    assert r[0].u == [0.0, 0.0] and r[1].u == [0.6, 0.8] and all(x.e == x.c == x.g == 0 for x in r)
+    half = spark.createDataFrame([([0.5, 1.5, 2.5, -3.0, 300.0],)], "v array<double>")
+    assert half.select(V.to_uint8(F.col("v")).alias("q")).first().q == [0, 2, 2, 0, 255]
+
+
+def test_curves_edges(spark):
+    kinds = "kind string, d double, ok boolean"
+    none = curves.roc(spark.createDataFrame([("genuine", 1.0, True), ("genuine", 2.0, False)], kinds)).collect()
+    assert [(r.far, r.tar) for r in none] == [(0.0, 50.0), (0.0, 50.0)]
+    rows = [("impostor" if i % 3 else "genuine", float(i % 17), i % 2 == 0) for i in range(300)]
+    curve = sorted(map(tuple, curves.roc(spark.createDataFrame(rows, kinds)).collect()))
+    assert all(a[1] <= b[1] and a[2] <= b[2] for a, b in zip(curve, curve[1:])) and all(abs(t + f - 100) < 1e-9 for _, _, t, f in curve)
+    k = spark.createDataFrame([("a", 1), ("b", 4)], "key string, k int")
+    got = {r.key: r.value for r in curves.kth_smallest(spark.createDataFrame([(x,) for x in (5.0, 1.0, 3.0, 3.0)], "d double"), "d", k).collect()}
+    assert got == {"a": 1.0, "b": 5.0}
+
+
+def test_top_two_with_one_identity(spark):
+    one = M.top_two(spark.createDataFrame([(1, "a", 2.0), (2, "a", 0.0), (2, "b", 0.0)], "p int, name string, distance double"), "p", "name")
+    rows = {r.p: r for r in one.collect()}
+    assert rows[1].d2 == 1001.0 and rows[1].margin == 999 / 2 and rows[2].best == "a" and rows[2].margin == 0
+
+
+def test_arg_max_ties(spark):
+    g = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])], "person string, centroid array<double>")
+    p = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0])], "id int, v array<double>")
+    assert {(r.id, r.best_person) for r in M.arg_max(p, g, ["id"]).collect()} == {(1, "a"), (2, "c")}
+
+
+def test_labels(spark):
+    df = spark.createDataFrame([(1023.0, 59.0), (1024.0, 3661.0), (1048576.0, 120.0)], "n double, s double")
+    got = [tuple(r) for r in df.select(L.byte_size(F.col("n")), L.duration(F.col("s"))).collect()]
+    assert got == [("1023 B", "59s"), ("1.0 KB", "1h 01m 01s"), ("1.0 MB", "2m 00s")]
+    t = spark.createDataFrame([("  a b//c! ",), ("!!",), (None,)], "x string").select(L.clean_token(F.col("x")).alias("t")).collect()
+    assert [r.t for r in t] == ["a_b_c", "unknown", "unknown"]
+
+
+def test_image_listing(spark, tmp_path):
+    for p in ("raw/ann/1.PNG", "processed/ann/2.jpg", "augmented/light/test/bob/3.webp", "augmented/light/train/bob/4.bmp", "raw/ann/notes.txt"):
+        f = tmp_path / p
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(b"x")
+    listing = images.entries(images.scan(spark, str(tmp_path)))
+    assert {(r.bucket, r.person) for r in listing.collect()} == {("raw", "ann"), ("processed", "ann"), ("augmented/light/test", "bob"), ("augmented/light/train", "bob")}
+    assert images.augmented(listing, "test").count() == 1 and images.augmented(listing, "other").count() == 2
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1 / 3), ("b", 2.0)], "k string, d double")
+    sinks.pairs_csv(df, str(tmp_path / "csv"))
+    assert {r.d for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()} == {"0.333333", "2.000000"}
+    assert sinks.markdown(df).startswith("| k | d |\n| - | - |\n")
+    with pytest.raises(ValueError):
+        sinks.markdown(df, 1)
+    out = str(tmp_path / "units")
+    sinks.write_units(df, out, ["k"])
+    sinks.write_units(spark.createDataFrame([("b", 5.0)], "k string, d double"), out, ["k"])
+    assert {(r.k, r.d) for r in spark.read.parquet(out).collect()} == {("a", 1 / 3), ("b", 5.0)}
+    assert [r.k for r in sinks.missing(spark.createDataFrame([("a",), ("z",)], "k string"), spark.read.parquet(out), ["k"]).collect()] == ["z"]
+
+
+def test_subspaces(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i % 4, [float(x) for x in rng.standard_normal(6) + np.eye(6)[i % 4] * 4]) for i in range(200)]
+    m = subspace.moments(spark.createDataFrame(rows, "label int, v array<double>"), "label")
+    x = np.array([v for _, v in rows])
+    mean, axes = subspace.pca(m, 3)
+    want = np.linalg.eigvalsh(np.cov(x.T, bias=True))[::-1][:3]
+    assert np.allclose(mean, x.mean(0)) and np.allclose(((x - mean) @ axes).var(0), want)
+    _, axes = subspace.lda(m, 49)
+    assert axes.shape == (6, 2)
+
+
+def test_kernels():
+    rng = np.random.default_rng(1)
+    t = rng.integers(0, 256, (16, 16)).astype(np.uint8)
+    flat = np.full((16, 16), 7, np.uint8)
+    assert sum(len(v) for v in K.SUITE.values()) == 41
+    for kind, levels in K.SUITE.items():
+        for level in levels:
+            assert (K.modified(t, kind, level, 3) == K.modified(t, kind, level, 3)).all() and K.modified(t, kind, level).shape == t.shape
+    with pytest.raises(ValueError):
+        K.modified(t, "nothing", 1)
+    assert K.equalize(t).max() == 255 and (K.equalize(flat) == flat).all() and K.tan_triggs(flat).max() == 0
+    assert K.lbph(t).shape == (8 * 8 * 256,) and abs(K.lbph(t).sum() - 64) < 1e-3
+    assert K.laplacian_variance(flat) == 0 and K.noise_sigma(flat) == 0 and K.noise_sigma(t) > 10
+    assert K.clahe(t).shape == t.shape and K.shrunk(t, 4).shape == (4, 4)
+    with pytest.raises(ValueError):
+        jobs.registered(jobs.DETECTORS, "none")
+
+
+def test_streams_equal_batch_over_micro_batches(spark, tmp_path):
+    rows = [(i, i % 3, f"2024-01-01 00:{i // 60:02d}:{i % 60:02d}", ["a", "b", "error", "a", "c"][i * 7 % 5], float(i % 11)) for i in range(600)]
+    df = spark.createDataFrame(rows, "frame long, stream long, ts string, name string, score double").withColumn("ts", F.to_timestamp("ts"))
+    for k in range(4):
+        df.where(f"frame between {k * 150} and {k * 150 + 149}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = loops.drained(loops.voting(live), "stream long, frame long, name string, score double, hits long")
+    faces = frames.episodes(df, F.col("name") == "error").where("name <> 'error'")
+    want = frames.count_vote(faces).where("vote is not null").select("stream", "frame", "vote.name", "vote.score", F.col("vote.hits").cast("long"))
+    key = lambda r: (r[0], r[1], r[2], round(r[3], 9), r[4])
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    slots = loops.drained(loops.rate_limited(live, "1 minute", "10 seconds"), "stream long, slot timestamp, frame long, frames long").collect()
+    batch = {(r.stream, r.slot, r.frame) for r in loops.last_per_slot(df, "1 minute").collect()}
+    assert slots and {(r.stream, r.slot, r.frame) for r in slots} <= batch
+
+
+def test_ema_forms_agree(spark):
+    df = spark.createDataFrame([(i % 2, i, i, float(i * 13 % 7)) for i in range(60)], "stream int, ts int, frame long, x double")
+    a = {(r.stream, r.frame): round(r.average, 9) for r in frames.ema(df, "x").collect()}
+    assert a == {(r.stream, r.frame): round(r.average, 9) for r in frames.ema_chunked(df, "x").collect()}
