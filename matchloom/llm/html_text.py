@@ -207,8 +207,9 @@ def first_pass(found: list[Block]) -> None:
 
 def second_pass(found: list[Block]) -> None:
     """Open blocks take the label of the nearest decided neighbour in their part of the page; at equal distance a
-    heading follows the block after it and any other block is good if either side is. In an article without
-    decided blocks they are good, elsewhere bad."""
+    heading follows the block after it and any other block is good if either side is. Within an article element the
+    islands that are bad (adverts, link lists) are no neighbours. Where there are none, open blocks are good in an
+    article element and bad elsewhere."""
     first = [b.label for b in found]
     for i, b in enumerate(found):
         if first[i]:
@@ -216,7 +217,7 @@ def second_pass(found: list[Block]) -> None:
         near = []
         for step in (-1, 1):
             k = i + step
-            while 0 <= k < len(found) and (not first[k] or found[k].region != b.region or b.region and found[k].outside):
+            while 0 <= k < len(found) and (not first[k] or found[k].region != b.region or b.region and first[k] == "bad"):
                 k += step
             if 0 <= k < len(found):
                 near.append((abs(k - i), step, first[k]))
