@@ -37,10 +37,16 @@ def bloom_filter(keys: DataFrame, key: str, blocks: int) -> DataFrame:
     return keys.select(block.alias("__block"), *[w.alias(f"__w{i}") for i, w in enumerate(words)]).groupBy("__block").agg(*[F.bit_or(f"__w{i}").alias(f"__w{i}") for i in range(BLOCK_WORDS)])
 
 
-def passing(rows: DataFrame, key: str, filter_: DataFrame, blocks: int) -> DataFrame:
-    """The rows whose key may be in the filter; columns as they are. Null keys are hashed like others."""
+def flagged(rows: DataFrame, key: str, filter_: DataFrame, blocks: int, flag: str) -> DataFrame:
+    """rows with a column that tells whether the key may be in the filter. Null keys are hashed like others."""
     block, words = bits(F.col(key), blocks)
-    out = rows.withColumn("__block", block).join(filter_, "__block")
+    out = rows.withColumn("__block", block).join(filter_, "__block", "left")
+    maybe = F.col("__w0").isNotNull()
     for i, w in enumerate(words):
-        out = out.where(F.col(f"__w{i}").bitwiseAND(w) == w)
-    return out.select(*[F.col(f"`{c}`") for c in rows.columns])
+        maybe = maybe & (F.coalesce(F.col(f"__w{i}"), F.lit(0)).bitwiseAND(w) == w)
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], maybe.alias(flag))
+
+
+def passing(rows: DataFrame, key: str, filter_: DataFrame, blocks: int) -> DataFrame:
+    """The rows whose key may be in the filter; columns as they are."""
+    return flagged(rows, key, filter_, blocks, "__maybe").where("__maybe").drop("__maybe")

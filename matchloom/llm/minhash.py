@@ -284,9 +284,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs with one row of each group of near duplicates, the one with the smallest doc_id; columns as they are."""
     found = written(near_duplicates(docs, percent))
-    ids = found.where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    packed = packed.join(ids, F.col("doc.doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("key"))
+    out_of = lambda rows: rows.join(gone, F.col("key").eqNullSafe(F.col("__gone")), "left_anti")
+    blocks = bloom.blocks_for(gone.count())
+    if bloom.size_of(blocks) <= FILTER_BYTES:  # texts that can't go aren't shuffled
+        packed = bloom.flagged(packed, "key", F.broadcast(bloom.bloom_filter(gone, "__gone", blocks)), blocks, "maybe")
+        packed = packed.where("not maybe").select("doc").unionByName(out_of(packed.where("maybe")).select("doc"))
+    else:
+        packed = out_of(packed).select("doc")
     if found.groupBy("doc_id").count().where("count > 1").take(1):  # rows that repeat an id
         by_id = Window.partitionBy("doc.doc_id").orderBy(F.xxhash64("doc.text"), "doc.text")
         packed = packed.withColumn("nth", F.row_number().over(by_id)).where("nth = 1")
