@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from matchloom.llm.common import WORD, table, written
 
 LENGTH, PER_SHARD, WEIGHTS, MOST = 32, 4096, (1, 2, 3), 3
-#: Rounds of the swap-or-not permutation; documents of a chunk; sources that may be broadcast; draws of an explode.
-ROUNDS, CHUNK, BROADCAST_SOURCES, SPAN = 12, 4096, 200_000, 2048
+#: Rounds of the swap-or-not permutation; documents of a chunk; sources that may be broadcast; draws of an explode and of a task.
+ROUNDS, CHUNK, BROADCAST_SOURCES, SPAN, PER_TASK = 12, 4096, 200_000, 2048, 131_072
 
 
 def words_of(text: Column) -> Column:
@@ -68,7 +68,8 @@ def sources(sized: DataFrame, length: int = LENGTH, weights: tuple = WEIGHTS, mo
 def draws(src: DataFrame, seed: int = 0, per_shard: int = PER_SHARD) -> DataFrame:
     """A row per draw: sid, shard, place (in the output), pass, block."""
     spans = src.where("draws > 0").withColumn("span", F.explode(F.expr(f"sequence(0L, (draws - 1) div {SPAN})")))
-    each = spans.repartition("sid", "span").withColumn("j", F.explode(F.expr(f"sequence(span * {SPAN}, least(draws, (span + 1) * {SPAN}) - 1)")))
+    parts = max(1, -(-(src.agg(F.sum("draws")).first()[0] or 0) // PER_TASK))  # given, or the few rows would be put together in one task
+    each = spans.repartition(parts, "sid", "span").withColumn("j", F.explode(F.expr(f"sequence(span * {SPAN}, least(draws, (span + 1) * {SPAN}) - 1)")))
     place = permuted(F.col("first") + F.col("j"), F.col("all_draws"), F.lit(seed))
     each = each.select("sid", place.alias("place"), F.expr("j div blocks").alias("pass"), F.expr("j % blocks").alias("nth"), "blocks")
     return each.select("sid", F.expr(f"place div {per_shard}").alias("shard"), "place", "pass", permuted(F.col("nth"), F.col("blocks"), F.lit(seed), F.col("sid"), F.col("pass")).alias("block"))
@@ -131,9 +132,9 @@ def mixed_documents(docs: DataFrame, seed: int = 0, length: int = LENGTH) -> Dat
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("key"), F.xxhash64("text").alias("key_tie"))
     packed = packed.withColumn("key_nth", F.row_number().over(Window.partitionBy("key", "key_tie").orderBy(F.lit(1))) if repeated else F.lit(1))
     joined = packed.join(parts.hint("merge"), packed["key"].eqNullSafe(parts["doc_id"]) & (F.col("key_tie") == F.col("tie")) & (F.col("key_nth") == F.col("nth")))
-    words = words_of(F.col("doc.text"))
-    cut = F.flatten(F.transform(F.col("taken_blocks"), lambda b: F.slice(F.col("words"), F.greatest(b * length - F.col("start"), F.lit(0)).cast("int") + 1, (F.least(F.col("start") + F.col("size"), (b + 1) * length) - F.greatest(F.col("start"), b * length)).cast("int"))))
-    joined = joined.withColumn("words", F.when(F.col("taken") < F.col("size"), words))
+    # the words as a lambda's variable: a column would be worked out anew for each block
+    piece = lambda w, b: F.slice(w, F.greatest(b * length - F.col("start"), F.lit(0)).cast("int") + 1, (F.least(F.col("start") + F.col("size"), (b + 1) * length) - F.greatest(F.col("start"), b * length)).cast("int"))
+    cut = F.element_at(F.transform(F.array(words_of(F.col("doc.text"))), lambda w: F.flatten(F.transform(F.col("taken_blocks"), lambda b: piece(w, b)))), 1)
     joined = joined.withColumn("new_text", F.when(F.col("taken") < F.col("size"), F.array_join(cut, " ")).otherwise(F.col("doc.text")))
     out = [F.col("new_text").alias(c) if c == "text" else F.length("new_text").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
     return joined.select(*out)
