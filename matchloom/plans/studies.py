@@ -66,7 +66,7 @@ def l6(spark, d):
     return q.groupBy("vec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "b"))), lambda s: s["b"]).alias("bytes"))
 
 
-@query("l7_compact_matcher", _TOP.format(k=16) + ", cen AS (SELECT person, dim, avg(b) AS m FROM q WHERE NOT probe AND known GROUP BY ALL), x AS (SELECT q.vec_id, cen.person, round(sum((b - m) * (b - m)), 6) AS d FROM q JOIN cen USING (dim) WHERE q.probe GROUP BY q.vec_id, cen.person) SELECT vec_id, first(person ORDER BY d, person) AS best FROM x GROUP BY vec_id")
+@query("l7_compact_matcher", _TOP.format(k=16) + ", cen AS (SELECT person, dim, avg(b) AS m FROM q WHERE NOT probe AND known GROUP BY ALL), near AS (SELECT q.vec_id, cen.person, round(sum((b - m) * (b - m)), 6) AS d FROM q JOIN cen USING (dim) WHERE q.probe GROUP BY q.vec_id, cen.person) SELECT vec_id, first(person ORDER BY d, person) AS best FROM near GROUP BY vec_id")
 def l7(spark, d):
     """Nearest centroid among compact features; the join is by dimension, the centroids are small and broadcast by size."""
     q = _compact(spark, d, 16)
