@@ -118,3 +118,12 @@ def drained(stream: DataFrame, schema: str) -> DataFrame:
 def rate_limited(frames: DataFrame, slot: str, delay: str = "1 hour") -> DataFrame:
     """last_per_slot() of a stream in append mode: a slot comes out when the watermark has passed it."""
     return last_per_slot(frames.withWatermark("ts", delay), slot)
+
+
+def log_json(stats: DataFrame, path: str, every: str = "10 seconds"):
+    """A rate-limited log: at each trigger the rows so far of the micro-batch are appended as JSON lines. Returns the query."""
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").json(f"{path}/log")
+
+    return stats.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(processingTime=every).start()

@@ -151,3 +151,45 @@ def test_ema_forms_agree(spark):
     df = spark.createDataFrame([(i % 2, i, i, float(i * 13 % 7)) for i in range(60)], "stream int, ts int, frame long, x double")
     a = {(r.stream, r.frame): round(r.average, 9) for r in frames.ema(df, "x").collect()}
     assert a == {(r.stream, r.frame): round(r.average, 9) for r in frames.ema_chunked(df, "x").collect()}
+
+
+def test_faces():
+    from matchloom.kernels import faces
+
+    image = np.zeros((200, 300), np.uint8)
+    image[40:120, 60:160] = np.arange(100, dtype=np.uint8)[None, :] * 2
+    found = [faces.Detection((60, 40, 100, 80), 0.5), faces.Detection((0, 0, 10, 10), 0.9)]
+    assert faces.pick(found).score == 0.5 and faces.pick(found, "score").score == 0.9 and faces.pick([]) is None
+    got = faces.extract(image, lambda small: found, side=20)
+    assert got["reason"] == "ok" and len(got["face"]) == 400
+    assert faces.extract(None, None)["reason"] == "unreadable" and faces.extract(image[:10], None)["reason"] == "image_too_small"
+    assert faces.extract(image, lambda small: [])["reason"] == "no_face"
+    a = np.array([[0.0, 0], [1, 0], [0, 1], [2, 3]])
+    turn = np.array([[0.0, -2.0, 5.0], [2.0, 0.0, -1.0]])
+    assert np.allclose(faces.similarity(a, a @ turn[:, :2].T + turn[:, 2]), turn)
+    assert (faces.warped(image, np.array([[1.0, 0, 0], [0, 1, 0]]), 100) == image[:100, :100]).all()
+    assert faces.eye_pair([(10, 10, 4, 4), (40, 12, 4, 4), (20, 90, 4, 4)], 100) == ((12.0, 12.0), (42.0, 14.0))
+
+
+def test_face_jobs(spark):
+    from matchloom.kernels import faces
+
+    df = spark.createDataFrame([("a", [1] * 64), ("b", [200] * 64)], "path string, tile array<int>")
+    out = faces.augment_missing(df, df.where("path = 'a'"), "light").collect()
+    assert [r.path for r in out] == ["b"] and len(out[0].tile) == 64
+    with pytest.raises(ValueError):
+        faces.extracted(spark.createDataFrame([("p", b"x")], "path string, content binary"), "none")
+    jobs.EMBEDDERS["lengths"] = lambda batch: np.array([[len(b), 1.0] for b in batch])
+    try:
+        got = faces.embedded(spark.createDataFrame([("p", b"xyz"), ("q", None)], "path string, face binary"), "lengths").collect()
+    finally:
+        jobs.EMBEDDERS.pop("lengths")
+    assert [(r.path, r.embedding) for r in got] == [("p", [3.0, 1.0])]
+
+
+def test_json_log(spark, tmp_path):
+    spark.createDataFrame([(1, 2.0)], "run long, fps double").write.parquet(str(tmp_path / "in"))
+    q = loops.log_json(spark.readStream.schema("run long, fps double").parquet(str(tmp_path / "in")), str(tmp_path / "out"), "1 second")
+    q.processAllAvailable()
+    q.stop()
+    assert [(r.run, r.fps) for r in spark.read.json(str(tmp_path / "out" / "log")).collect()] == [(1, 2.0)]
