@@ -132,7 +132,10 @@ _PCT = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 
 @query("a12_distance_stats", f"WITH {T.LARGE} SELECT round(min(d), 4) AS lo, round(max(d), 4) AS hi, round(avg(d), 4) AS mean, round(median(d), 4) AS median, round(stddev_pop(d), 4) AS std, " + ", ".join(f"round(quantile_cont(d, {p / 100}), 4) AS p{p:02d}" for p in _PCT) + " FROM s")
 def a12(spark, d):
-    return T.scores_large(spark, d).agg(F.round(F.min("d"), 4).alias("lo"), F.round(F.max("d"), 4).alias("hi"), F.round(F.avg("d"), 4).alias("mean"), F.round(F.median("d"), 4).alias("median"), F.round(F.stddev_pop("d"), 4).alias("std"), *[F.round(F.percentile("d", F.lit(p / 100)), 4).alias(f"p{p:02d}") for p in _PCT])
+    """All percentiles from one pass: an array of them is one aggregate."""
+    ps = [0.5, *(p / 100 for p in _PCT)]
+    a = T.scores_large(spark, d).agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("std"), F.percentile("d", F.array(*map(F.lit, ps))).alias("p"))
+    return a.select(*[F.round(c, 4).alias(c) for c in ("lo", "hi", "mean", "std")], F.round(F.col("p")[0], 4).alias("median"), *[F.round(F.col("p")[i + 1], 4).alias(f"p{p:02d}") for i, p in enumerate(_PCT)])
 
 
 @query("a13_false_positive_rate", f"WITH {T.LARGE} SELECT bucket, count(*) FILTER (WHERE d <= 20000) AS false_positive_count, count(*) AS total_comparisons, round(avg((d <= 20000)::INT), 6) AS rate FROM s GROUP BY bucket")
@@ -168,7 +171,9 @@ _CAND = "c AS (SELECT 'p01' AS label, round(quantile_cont(d, 0.01), 6) AS t FROM
 @query("a16_named_sweep", f"WITH {T.LARGE}, {_CAND} SELECT label, t, count(*) FILTER (WHERE d <= t) AS false_positive_count, count(*) AS total_comparisons FROM s, c GROUP BY label, t")
 def a16(spark, d):
     s = T.scores_large(spark, d)
-    a = s.agg(*[F.round(F.percentile("d", F.lit(p)), 6).alias(n) for n, p in (("p01", 0.01), ("p05", 0.05), ("p10", 0.1), ("p25", 0.25))], F.round(F.greatest(F.lit(0.0), F.avg("d") - F.stddev_pop("d")), 6).alias("mean_minus_std"))
+    names = (("p01", 0.01), ("p05", 0.05), ("p10", 0.1), ("p25", 0.25))
+    a = s.agg(F.percentile("d", F.array(*[F.lit(p) for _, p in names])).alias("p"), F.round(F.greatest(F.lit(0.0), F.avg("d") - F.stddev_pop("d")), 6).alias("mean_minus_std"))
+    a = a.select(*[F.round(F.col("p")[i], 6).alias(n) for i, (n, _) in enumerate(names)], "mean_minus_std")
     c = a.unpivot([], a.columns, "label", "t")
     return s.crossJoin(F.broadcast(c)).groupBy("label", "t").agg(F.count_if(F.col("d") <= F.col("t")).alias("false_positive_count"), F.count("*").alias("total_comparisons"))
 

@@ -97,8 +97,8 @@ def j1(spark, d):
 
 @query("j2_unique_pairs_all", f"WITH {T.FEAT}, p AS (SELECT a.vec_id AS query, {_DIST} AS d FROM feat a JOIN feat b ON a.vec_id < b.vec_id) SELECT count(*) AS pairs, round(max(d), 6) AS largest, round(min(d), 6) AS smallest, round(avg(d), 6) AS mean FROM p")
 def j2(spark, d):
-    p = pairs.unique_pairs(T.feat(spark, d).select("vec_id", "v"), "vec_id").select(V.euclidean(F.col("a_v"), F.col("b_v")).alias("d"))
-    return p.agg(F.count("*").alias("pairs"), F.round(F.max("d"), 6).alias("largest"), F.round(F.min("d"), 6).alias("smallest"), F.round(F.avg("d"), 6).alias("mean"))
+    t = pairs.distance_stats(T.feat(spark, d), "vec_id")
+    return t.select("pairs", F.round("largest", 6).alias("largest"), F.round("smallest", 6).alias("smallest"), F.round(F.col("total") / F.col("pairs"), 6).alias("mean"))
 
 
 @query("w1_error_pairs", f"WITH {T.FEAT}, {_IDS}, {_ORDERED}, r AS (SELECT *, row_number() OVER (ORDER BY d, query, candidate) AS error_pair_rank, count(*) OVER () AS n FROM op) SELECT error_pair_rank, query, candidate, d, round(1e6 * error_pair_rank / n, 6) AS realized_far_ppm FROM r WHERE error_pair_rank IN (1, 2, 4, 8, 16, 32)")
