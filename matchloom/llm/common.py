@@ -66,3 +66,10 @@ def ship(spark: SparkSession) -> None:
 def parallelism(spark: SparkSession) -> int:
     """Tasks that the session means to run at a time, or per shuffle."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def sliced(batches, rows: int = 500):
+    """Record batches cut into smaller ones, which bounds what a task holds as Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

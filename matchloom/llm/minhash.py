@@ -6,9 +6,10 @@ pair in a million at t exceeds. Signatures are split into so many chunks that wi
 one wrong symbol (pigeonhole); every chunk is indexed once for each place at which it may be wrong, by its
 remaining symbols. So all pairs within the radius share a key, whatever else is in the tables.
 
-Documents with equal sets are one class. Classes that share a key are joined to the smallest class of that key, and
-the components of those stars are candidate groups. A group is compared in blocks of bounded size: signatures
-first, then full sets, skipping what is connected already. Groups of more than one block get hubs that
+Documents with equal sets are one class. Classes that share a key are a bucket. Within it, classes whose signatures lie
+within the radius are joined (buckets of over BUCKET classes are joined whole, unseen), and the components of those
+edges are candidate groups. A group is compared in blocks of bounded size: signatures first, then full sets,
+skipping what is connected already. Groups of more than one block get hubs that
 stand in all of their blocks; afterwards only blocks with different components meet. No pair leaves a task but the
 edges of a forest. Nothing is capped: a pair within the radius is confirmed on its full sets or known to be connected.
 """
@@ -26,12 +27,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchloom.llm import bloom
-from matchloom.llm.common import ship, table, written
+from matchloom.llm.common import ship, sliced, table, written
 from matchloom.llm.components import components
+from matchloom.llm.vectors import per_group
 
 WORDS, SYMBOLS, MISSED = 5, 64, 1e-6
 #: A block has at most so many classes and, but for single giants, shingles; hubs of a group of more blocks.
-BLOCK, BLOCK_SHINGLES, HUBS, FILTER_BYTES = 1024, 4_000_000, 8, 24 << 20
+BLOCK, BLOCK_SHINGLES, HUBS, FILTER_BYTES, BUCKET = 1024, 4_000_000, 8, 24 << 20, 8192
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -118,7 +120,7 @@ def described(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             n, cls, sig = [], [], []
             for t in b.column(1).to_pylist():
                 h = shingles(t)
@@ -221,11 +223,39 @@ def with_text(members: DataFrame, docs: DataFrame) -> DataFrame:
     return members.join(texts, F.col("rep").eqNullSafe(F.col("__id"))).drop("__id")
 
 
+def near(sigs: np.ndarray, within: int) -> np.ndarray:
+    """Component numbers under distance `within`. All are compared with the first, then each of the rest with all: pairs
+    that both lie near the first are connected already."""
+    comp = np.arange(len(sigs))
+    comp[(sigs != sigs[0]).sum(1) <= within] = 0
+    for i in np.flatnonzero(comp):
+        labels = np.unique(comp[(sigs != sigs[i]).sum(1) <= within])
+        comp[np.isin(comp, labels)] = labels[0]
+    return comp
+
+
+def candidates(classes: DataFrame, percent: int) -> DataFrame:
+    """a, b: edges that connect all classes(cls, sig) that share a key and whose signatures are within the radius."""
+    within, by_key = radius(percent), Window.partitionBy("key")
+    hashed = F.bit_xor(F.xxhash64("cls")).over(by_key)
+    rows = keys(classes, percent).withColumn("hub", F.min("cls").over(by_key)).withColumn("size", F.count("*").over(by_key)).withColumn("bucket", F.xxhash64("hub", "size", hashed)).where("size > 1")
+    rows = written(rows.groupBy("bucket", "cls").agg(F.min("hub").alias("hub"), F.max("size").alias("size")))  # buckets of the same classes are one
+
+    def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids = t["cls"].to_numpy()
+        comp = near(np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, SYMBOLS), within)
+        linked_ = comp != np.arange(len(comp))
+        if linked_.any():
+            yield pa.RecordBatch.from_arrays([pa.array(ids[linked_]), pa.array(ids[comp[linked_]])], ["a", "b"])
+
+    seen = rows.where(f"size <= {BUCKET}").select("bucket", "cls").join(classes.select("cls", "sig"), "cls").select("bucket", "cls", "sig")
+    unseen = rows.where(f"size > {BUCKET} and cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
+    return per_group(seen, "bucket", solve, "a long, b long", "cls").unionByName(unseen).distinct()
+
+
 def clusters(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """cls, root (smallest class of its component) for classes(cls, rep, n, sig) that share a key with another."""
-    by_key = Window.partitionBy("key")
-    stars = keys(classes, percent).withColumn("hub", F.min("cls").over(by_key)).where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
-    groups = components(stars).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
+    groups = components(candidates(classes, percent)).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
     members = groups.join(classes, "cls")
     sizes = members.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     members = written(members.join(sizes, "grp").withColumn("nth", F.pmod(F.xxhash64("cls"), F.col("blocks"))))

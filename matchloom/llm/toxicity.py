@@ -24,7 +24,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import fold, ship, table
+from matchloom.llm.common import fold, ship, sliced, table
 
 #: Bounds of the labelled sample; bytes of a window; bytes of the ordinary dictionary.
 MOST_TOXIC, MOST_ORDINARY, MOST_CHARS, WINDOW, DICTIONARY = 1200, 2400, 20_000, 124, 8192
@@ -176,7 +176,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
-        for b in batches:
+        for b in sliced(batches):
             s = [score(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array([int(x >= THRESHOLD) for x in s], pa.int32())], ["doc_id", "score", "predicted"])
 
@@ -190,7 +190,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
-        for b in batches:
+        for b in sliced(batches):
             yield b.filter(pa.array([score(t or "") < THRESHOLD for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
