@@ -27,7 +27,7 @@ from matchloom.llm.common import ship, table
 
 #: Entries after which a table of words or transitions is started anew; it bounds a worker's memory (some 400 bytes
 #: an entry of either table of words). Jobs that do nothing else take the first number, pipelines the second.
-MOST_WORDS, FEWER_WORDS, MOST_ARCS = 600_000, 120_000, 1_000_000
+MOST_WORDS, FEWER_WORDS, MOST_ARCS = 600_000, 120_000, 500_000
 #: The pre-tokenizer's pattern of the byte-level vocabulary, white space spelt as a property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Letters and numbers assigned after Unicode 16, which the library's pre-tokenizer takes for symbols.
@@ -256,7 +256,9 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 written_out = ",".join([x[0] for p in got for x in p])
                 values = pa.array(np.fromstring(written_out, np.int32, sep=",") if written_out else np.empty(0, np.int32))
                 n, ids, decoded = zip(*digest)
+                del got
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.ListArray.from_arrays(offsets, values), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+        _CODECS.clear()  # stages of a pipeline share workers: leave none of it behind
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
