@@ -4,6 +4,9 @@ Each stream is a window of its own, so a long stream is one task's sort; give `s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,22 +22,25 @@ def episodes(frames: DataFrame, reset: Column) -> DataFrame:
 
 
 def ema(frames: DataFrame, x: str, keep: float = 0.85, new: float = 0.15) -> DataFrame:
-    """average: x where the average so far is 0, else keep * average + new * x."""
-    upto = ordered().rowsBetween(Window.unboundedPreceding, 0)
-    step = lambda a, v: F.when(a == 0, v).otherwise(keep * a + new * v)
-    return frames.withColumn("average", F.aggregate(F.collect_list(x).over(upto), F.lit(0.0), step))
-
-
-def ema_chunked(frames: DataFrame, x: str, keep: float = 0.85, new: float = 0.15) -> DataFrame:
-    """The same by folding each stream once: one list per stream instead of one per frame."""
-    packed = frames.groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("ts", "frame", F.col(x).alias("x")))).alias("s"))
-    start = F.struct(F.lit(0.0).alias("a"), F.array().cast("array<struct<frame: bigint, average: double>>").alias("out"))
-
-    def step(acc, s):
-        a = F.when(acc["a"] == 0, s["x"]).otherwise(keep * acc["a"] + new * s["x"])
-        return F.struct(a.alias("a"), F.concat(acc["out"], F.array(F.struct(s["frame"].alias("frame"), a.alias("average")))).alias("out"))
-
-    return packed.select("stream", F.explode(F.aggregate("s", start, step)["out"]).alias("o")).select("stream", "o.frame", "o.average")
+    """stream, frame, average: x where the average so far is 0, else keep * average + new * x.
+
+    The recursion needs the value before, so partitions hold whole streams in order and are passed through once: a task
+    holds a batch and one number, however long the streams are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream, average = None, 0.0
+        for b in batches:
+            out = []
+            for s, v in zip(b["stream"], b["x"]):
+                if s != stream:
+                    stream, average = s, 0.0
+                average = v if average == 0 else keep * average + new * v
+                out.append(average)
+            yield pd.DataFrame({"stream": b["stream"], "frame": b["frame"], "average": out})
+
+    rows = frames.select("stream", "ts", "frame", F.col(x).cast("double").alias("x")).repartition("stream").sortWithinPartitions("stream", "ts", "frame")
+    kinds = dict(frames.dtypes)
+    return rows.select("stream", "frame", "x").mapInPandas(run, f"stream {kinds['stream']}, frame {kinds['frame']}, average double")
 
 
 def votes(history: Column, least: int) -> Column:

@@ -29,7 +29,7 @@ ep AS (SELECT *, sum((name = 'error')::INT) OVER (PARTITION BY stream ORDER BY t
 
 @query("w13_ema", f"WITH RECURSIVE {_F}, n AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY ts, frame) AS rn FROM f), r AS (SELECT stream, frame, rn, score AS average FROM n WHERE rn = 1 UNION ALL SELECT n.stream, n.frame, n.rn, CASE WHEN r.average = 0 THEN n.score ELSE 0.85::DOUBLE * r.average + 0.15::DOUBLE * n.score END FROM r JOIN n ON n.stream = r.stream AND n.rn = r.rn + 1) SELECT stream, frame, round(average + 1e-9, 5) AS average FROM r")
 def w13(spark, d):
-    return R.ema_chunked(frames(spark, d), "score").withColumn("average", F.round(F.col("average") + 1e-9, 5))
+    return R.ema(frames(spark, d), "score").withColumn("average", F.round(F.col("average") + 1e-9, 5))
 
 
 _VOTES = """h AS (SELECT stream, frame, list({{'name': name, 'score': score}}) OVER (PARTITION BY stream, episode ORDER BY ts, frame ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS h FROM {src}),

@@ -147,10 +147,14 @@ def test_streams_equal_batch_over_micro_batches(spark, tmp_path):
     assert slots and {(r.stream, r.slot, r.frame) for r in slots} <= batch
 
 
-def test_ema_forms_agree(spark):
-    df = spark.createDataFrame([(i % 2, i, i, float(i * 13 % 7)) for i in range(60)], "stream int, ts int, frame long, x double")
-    a = {(r.stream, r.frame): round(r.average, 9) for r in frames.ema(df, "x").collect()}
-    assert a == {(r.stream, r.frame): round(r.average, 9) for r in frames.ema_chunked(df, "x").collect()}
+def test_ema(spark):
+    rows = [(i % 2, i // 3, i, float(i * 13 % 7)) for i in range(60)]
+    want, average = {}, {0: 0.0, 1: 0.0}
+    for stream, _, frame, x in rows:
+        average[stream] = x if average[stream] == 0 else 0.85 * average[stream] + 0.15 * x
+        want[stream, frame] = average[stream]
+    df = spark.createDataFrame(rows, "stream int, ts int, frame long, x double").orderBy("x")
+    assert {(r.stream, r.frame): r.average for r in frames.ema(df, "x").collect()} == want
 
 
 def test_faces():
