@@ -314,9 +314,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs with one row of each group of near duplicates, the one with the smallest doc_id; columns as they are."""
     found = written(near_duplicates(docs, percent))
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct().withColumn("__hit", F.lit(True))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("key"))
-    out_of = lambda rows: rows.join(gone, F.col("key").eqNullSafe(F.col("__gone")), "left_anti")
+    # no anti join: the optimizer would push it below the filter's flag, and all texts would be shuffled
+    out_of = lambda rows: rows.join(gone, F.col("key").eqNullSafe(F.col("__gone")), "left").where("__hit is null")
     blocks = bloom.blocks_for(gone.count())
     if bloom.size_of(blocks) <= FILTER_BYTES:  # texts that can't go aren't shuffled
         packed = bloom.flagged(packed, "key", F.broadcast(bloom.bloom_filter(gone, "__gone", blocks)), blocks, "maybe")
