@@ -303,6 +303,19 @@ def test_lm_without_training_rows(spark):
     assert lm.scored(odd(spark).limit(0), F.lit(True)).collect() == []
 
 
+def test_lm_learns_from_all_training_rows(spark, monkeypatch):
+    """Each word is told by the one before it, only in texts of over 20,000 code points; head words are those of the corpus."""
+    cycle = [f"word{i}" for i in range(20)]
+    long = [(i, " ".join((cycle * 400)[i : i + 4000])) for i in range(6)]
+    assert all(len(t) > 20_000 for _, t in long)
+    docs = spark.createDataFrame([*long, (100, " ".join(cycle * 3))], "doc_id long, text string")
+    for per_task in (lm.TASK_TOKENS, 6000):  # one task, and averages over several
+        monkeypatch.setattr(lm, "TASK_TOKENS", per_task)
+        r = {x.doc_id: x for x in lm.scored(docs, F.col("doc_id") < 100).collect()}[100]
+        assert r.train_tokens == 6 * 4001 and r.n_known == 61
+        assert r.score > r.base_score + 0.5 * r.n_tokens
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 
