@@ -26,7 +26,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the mix draws them: a row per document and pass over its source, cut to the words taken."""
+    """Documents as the mix draws them: a row per document, pass over its source and output shard, cut to the words taken."""
     return mixing.mixed_documents(docs)
 
 

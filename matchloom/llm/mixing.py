@@ -3,7 +3,7 @@
 Each source's documents, laid end to end, form a stream of words that is packed into blocks of `length`.
 A source gets as many draws of blocks as its target asks for. The draws of all sources are dealt to the
 output places by a pseudorandom permutation, so the number of draws that a shard gets from each source is
-multinomial given the totals (which therefore hold within a block). Draw j of a source reads block
+multinomial given the totals (which therefore hold within a block), and the mix as rows is made up shard by shard. Draw j of a source reads block
 permutation_e(j mod blocks) of pass e = j div blocks, a permutation of its own for each source and pass,
 and the blocks are joined by that index. Nothing depends on how rows are partitioned: reruns agree.
 
@@ -117,15 +117,19 @@ def mix(docs: DataFrame, seed: int = 0, length: int = LENGTH) -> DataFrame:
     return with_words.unionByName(without).join(near.select("sid", "source_size", "target"), "sid").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, seed: int = 0, length: int = LENGTH) -> DataFrame:
-    """The mix as rows with the columns of docs: one per document and pass over its source that takes any of it.
+def mixed_documents(docs: DataFrame, seed: int = 0, length: int = LENGTH, per_shard: int = PER_SHARD, places: bool = False) -> DataFrame:
+    """The mix as rows with the columns of docs: one per document, pass over its source and output shard that takes any of it.
 
-    The text is the whole text where a pass takes all of the document's blocks, else the words of the blocks
-    taken, joined by spaces. Documents without words are in no block and go. n_chars, if there, is of the new text."""
+    The text is the whole text where one shard takes all of the document's blocks in a pass, else the words of the blocks
+    taken, joined by spaces. Documents without words are in no block and go. n_chars, if there, is of the new text.
+    Each shard is whole in one partition, its rows by the first place that they take; with places, shard and place are
+    added as columns."""
     rows, src = placed(docs, length)
-    parts = overlaps(rows, length).join(draws(src, seed).select("sid", "block", "pass").hint("merge"), ["sid", "block"])
-    parts = parts.groupBy("sid", "start", "pass").agg(F.array_sort(F.collect_list("block")).alias("taken_blocks"), F.sum("n").alias("taken"))
-    parts = parts.join(rows.where("size > 0").hint("merge"), ["sid", "start"]).select("doc_id", "tie", "size", "start", "pass", "taken", "taken_blocks")
+    parts = overlaps(rows, length).join(draws(src, seed, per_shard).select("sid", "block", "pass", "shard", "place").hint("merge"), ["sid", "block"])
+    parts = parts.repartition("sid", "start")  # for both groupings
+    parts = parts.groupBy("sid", "start", "pass", "shard").agg(F.min("place").alias("place"), F.sum("n").alias("taken"), F.array_sort(F.collect_list("block")).alias("blocks"))
+    parts = parts.groupBy("sid", "start").agg(F.collect_list(F.struct("shard", "place", "taken", "blocks")).alias("takes"))
+    parts = parts.join(rows.where("size > 0").hint("merge"), ["sid", "start"]).select("doc_id", "tie", "size", "start", "takes")
     # repeated rows have the same key: where there are any, each is told apart by its place among them
     repeated = bool(rows.groupBy("doc_id", "tie").count().where("count > 1").take(1))
     parts = parts.withColumn("nth", F.dense_rank().over(Window.partitionBy("doc_id", "tie").orderBy("start")) if repeated else F.lit(1))
@@ -134,10 +138,13 @@ def mixed_documents(docs: DataFrame, seed: int = 0, length: int = LENGTH) -> Dat
     joined = packed.join(parts.hint("merge"), packed["key"].eqNullSafe(parts["doc_id"]) & (F.col("key_tie") == F.col("tie")) & (F.col("key_nth") == F.col("nth")))
     # the words as a lambda's variable: a column would be worked out anew for each block
     piece = lambda w, b: F.slice(w, F.greatest(b * length - F.col("start"), F.lit(0)).cast("int") + 1, (F.least(F.col("start") + F.col("size"), (b + 1) * length) - F.greatest(F.col("start"), b * length)).cast("int"))
-    cut = F.element_at(F.transform(F.array(words_of(F.col("doc.text"))), lambda w: F.flatten(F.transform(F.col("taken_blocks"), lambda b: piece(w, b)))), 1)
-    joined = joined.withColumn("new_text", F.when(F.col("taken") < F.col("size"), F.array_join(cut, " ")).otherwise(F.col("doc.text")))
-    out = [F.col("new_text").alias(c) if c == "text" else F.length("new_text").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
-    return joined.select(*out)
+    cut = lambda w, t: F.when(t["taken"] < F.col("size"), F.array_join(F.flatten(F.transform(t["blocks"], lambda b: piece(w, b))), " ")).otherwise(F.col("doc.text"))
+    each = F.element_at(F.transform(F.array(words_of(F.col("doc.text"))), lambda w: F.transform("takes", lambda t: F.struct(t["shard"].alias("shard"), t["place"].alias("place"), cut(w, t).alias("text")))), 1)
+    plain = F.struct(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c != "text"])
+    joined = joined.select(plain.alias("rest"), F.explode(each).alias("take"))
+    joined = joined.repartition("take.shard").sortWithinPartitions("take.shard", "take.place", "rest.doc_id")
+    out = [F.col("take.text").alias(c) if c == "text" else F.length("take.text").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
+    return joined.select(*out, *([F.col("take.shard").alias("shard"), F.col("take.place").alias("place")] if places else []))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

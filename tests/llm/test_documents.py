@@ -117,6 +117,33 @@ def test_mixing_targets_and_bounds(spark, sf_dir):
         assert abs(g.taken.sum() - target) <= 2 * mixing.LENGTH + 0.01 * target
 
 
+def test_mixing_shards_hold_the_draws_dealt_to_them(spark, sf_dir):
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    docs = docs.unionByName(docs.limit(3)).cache()
+    _, src = mixing.placed(docs)
+    info = {r.sid: r for r in src.collect()}
+    drawn = mixing.draws(src, per_shard=16)
+    want, slots = Counter(), Counter()
+    for r in drawn.collect():
+        s = info[r.sid]
+        want[r.shard, s.source] += min(mixing.LENGTH, s.source_size - r.block * mixing.LENGTH)
+        slots[r.shard] += 1
+    assert len(slots) > 3 and all(n == 16 for k, n in slots.items() if k < max(slots))
+    assert sum(r.draws for r in mixing.shard_counts(drawn).collect()) == sum(slots.values())
+    rows = mixing.mixed_documents(docs, per_shard=16, places=True).withColumn("part", F.spark_partition_id()).collect()
+    got = Counter()
+    for r in rows:
+        got[r.shard, r.source] += len(WORD.findall(r.text))
+        assert r.place // 16 == r.shard and r.n_chars == len(r.text)
+    assert got == want
+    assert len({(r.shard, r.part) for r in rows}) == len(slots)
+    for part in {r.part for r in rows}:
+        at = [r.place for r in rows if r.part == part]
+        assert at == sorted(at)
+
+
 def test_mixing_caps_and_odd_rows(spark):
     docs = odd(spark)
     p = mixing.mix(docs).toPandas()
