@@ -116,7 +116,8 @@ def chunks(within: int) -> list[range]:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n, cls, sig for each row of docs(doc_id, text); cls and sig are null for texts without words."""
+    """doc_id, n, cls, sig, tie (a hash of the text) for each row of docs(doc_id, text); cls and sig are null for texts
+    without words."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,9 +128,9 @@ def described(docs: DataFrame) -> DataFrame:
                 n.append(len(h))
                 cls.append(class_of(h) if len(h) else None)
                 sig.append(signature(h).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n", "cls", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary()), b.column(2)], ["doc_id", "n", "cls", "sig", "tie"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, cls long, sig binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, cls long, sig binary, tie long")
 
 
 def keys(classes: DataFrame, percent: int) -> DataFrame:
@@ -293,6 +294,20 @@ def clusters(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return done.unionByName(roots.join(done, "cls", "left_anti").select("cls", F.col("cls").alias("root")))
 
 
+def grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, tie, n_shingles, component_id, root for each row of docs(doc_id, text): root is the smallest class of the
+    row's component, null for texts without words."""
+    rows = written(described(docs))
+    classes = written(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sig").alias("sig")))
+    roots = clusters(classes, docs, percent).groupBy("cls").agg(F.min("root").alias("root"))
+    nodes = classes.select("cls", "rep").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    least = nodes.groupBy("root").agg(F.min("rep").alias("component_id"))
+    nodes = written(nodes.join(least, "root").select("cls", "component_id", "root"))
+    known = rows.where("n > 0").select("doc_id", "tie", "n", "cls").join(nodes, "cls").select("doc_id", "tie", F.col("n").alias("n_shingles"), "component_id", "root")
+    none = rows.where("n = 0").select("doc_id", "tie", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
+    return known.unionByName(none)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text), linking where
     100 * intersection >= percent * union of the sets of WORDS-word shingles.
@@ -300,34 +315,37 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     Null and blank texts have no shingles and link with nothing: their component is their own doc_id. Texts of fewer
     words are one shingle. Rows with equal sets, among them repeated rows, are linked. component_id is the smallest
     doc_id reachable; of rows without doc_id null. Columns other than the two are not read."""
-    rows = written(described(docs))
-    classes = written(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sig").alias("sig")))
-    roots = clusters(classes, docs, percent).groupBy("cls").agg(F.min("root").alias("root"))
-    nodes = classes.select("cls", "rep").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = nodes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    nodes = written(nodes.join(least, "root").select("cls", "component_id"))
-    known = rows.where("n > 0").select("doc_id", "n", "cls").join(nodes, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    none = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return known.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = grouped(docs, percent).select("doc_id", "n_shingles", "component_id")
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs with one row of each group of near duplicates, the one with the smallest doc_id; columns as they are."""
-    found = written(near_duplicates(docs, percent))
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct().withColumn("__hit", F.lit(True))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("key"))
+    """docs with one row of each group of near duplicates, the one with the smallest doc_id; columns as they are.
+
+    Rows are told apart by doc_id and text: a row without doc_id, or with the id of another text, is in its own text's
+    group. A row without doc_id stays only where its whole group has none. Texts without words are in no group and stay."""
+    found = grouped(docs, percent).where("root is not null").groupBy("root", "doc_id", "tie").agg(F.count("*").alias("times"))
+    found = written(found)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    first = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("root").alias("__root"), "first")
+    is_first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.tie") == F.col("tie"))
+    # what rows of a key do that don't all stay: go, or be one
+    keys_ = found.join(first, F.col("root") == F.col("__root")).select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), "times", is_first.alias("__one")).where("not __one or times > 1")
+    gone = written(keys_.select("__id", "__tie", "__one", F.xxhash64("__id", "__tie").alias("__gone")))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("key"), F.xxhash64("text").alias("key_tie")).withColumn("key_hash", F.xxhash64("key", "key_tie"))
     # no anti join: the optimizer would push it below the filter's flag, and all texts would be shuffled
-    out_of = lambda rows: rows.join(gone, F.col("key").eqNullSafe(F.col("__gone")), "left").where("__hit is null")
+    met = lambda rows: rows.join(gone, F.col("key").eqNullSafe(F.col("__id")) & (F.col("key_tie") == F.col("__tie")), "left").where("__one is null or __one")
     blocks = bloom.blocks_for(gone.count())
     if bloom.size_of(blocks) <= FILTER_BYTES:  # texts that can't go aren't shuffled
-        packed = bloom.flagged(packed, "key", F.broadcast(bloom.bloom_filter(gone, "__gone", blocks)), blocks, "maybe")
-        packed = packed.where("not maybe").select("doc").unionByName(out_of(packed.where("maybe")).select("doc"))
+        packed = bloom.flagged(packed, "key_hash", F.broadcast(bloom.bloom_filter(gone, "__gone", blocks)), blocks, "maybe")
+        sure, left = packed.where("not maybe").select("doc"), met(packed.where("maybe"))
     else:
-        packed = out_of(packed).select("doc")
-    if found.groupBy("doc_id").count().where("count > 1").take(1):  # rows that repeat an id
-        by_id = Window.partitionBy("doc.doc_id").orderBy(F.xxhash64("doc.text"), "doc.text")
-        packed = packed.withColumn("nth", F.row_number().over(by_id)).where("nth = 1")
-    return packed.select("doc.*")
+        sure, left = docs.limit(0).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), met(packed)
+    kept = sure.unionByName(left.where("__one is null").select("doc"))
+    if gone.where("__one").take(1):  # repeated rows of which one stays
+        once = left.where("__one").groupBy("key", "key_tie").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))
+        kept = kept.unionByName(once.select("doc"))
+    return kept.select("doc.*")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,17 @@ def test_minhash_odd_rows(spark):
     assert minhash.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_one_of_each_keeps_rows_that_share_or_lack_an_id(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (None, text("c") + " more"), (None, None), (None, " "), (5, text("d")), (5, text("e")), (5, text("f")), (4, text("e")), (7, text("g")), (7, text("g")), (8, text("g")), (None, text("g")), (9, text("h"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in minhash.one_of_each(docs, 80).collect()), key=str)
+    of_c = [r for r in got if r[1] and r[1].startswith("c0")]
+    assert len(of_c) == 1 and of_c[0] in rows
+    want = [(None, text("a")), (None, text("b")), of_c[0], (None, None), (None, " "), (5, text("d")), (5, text("f")), (4, text("e")), (7, text("g")), (9, text("h"))]
+    assert got == sorted(want, key=str)
+
+
 def test_radius_keeps_its_promise():
     from math import comb
 
