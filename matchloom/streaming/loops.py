@@ -6,7 +6,6 @@ that come in a later batch than their successors are taken as they come, and a w
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from matchloom.sources.shared import shared_dir
+
 NO_FACE = "error"
 
 
@@ -106,8 +107,7 @@ def counting(frames: DataFrame, least: float) -> DataFrame:
 def drained(stream: DataFrame, schema: str) -> DataFrame:
     """Runs a stream over what is there now into Parquet files of the shared folder, and reads them."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="matchloom-")
-    at = f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
