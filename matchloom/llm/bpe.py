@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import ship, table
+from matchloom.llm.common import ship, table, tidied
 
 #: Entries after which a table of words or transitions is started anew; it bounds a worker's memory (some 400 bytes
 #: an entry of either table of words). Jobs that do nothing else take the first number, pipelines the second.
@@ -247,20 +247,18 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, FEWER_WORDS)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                got = [c.pieces(t or "") for t in b.column(1).to_pylist()]
-                digest = [c.digest("", p) for p in got]
-                offsets = pa.array([0, *accumulate(d[0] for d in digest)], pa.int32())
-                written_out = ",".join([x[0] for p in got for x in p])
-                values = pa.array(np.fromstring(written_out, np.int32, sep=",") if written_out else np.empty(0, np.int32))
-                n, ids, decoded = zip(*digest)
-                del got
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.ListArray.from_arrays(offsets, values), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+        for b in batches:
+            got = [c.pieces(t or "") for t in b.column(1).to_pylist()]
+            digest = [c.digest("", p) for p in got]
+            offsets = pa.array([0, *accumulate(d[0] for d in digest)], pa.int32())
+            written_out = ",".join([x[0] for p in got for x in p])
+            values = pa.array(np.fromstring(written_out, np.int32, sep=",") if written_out else np.empty(0, np.int32))
+            n, ids, decoded = zip(*digest)
+            del got
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.ListArray.from_arrays(offsets, values), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
         _CODECS.clear()  # stages of a pipeline share workers: leave none of it behind
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
@@ -290,7 +288,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             n, ids, decoded = zip(*got) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def default_path() -> str:

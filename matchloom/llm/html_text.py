@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm.common import ship, table
+from matchloom.llm.common import ship, table, tidied
 
 #: Common function words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
@@ -250,7 +250,7 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = dict(pages.dtypes)
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(tidied(run), f"page_id {kinds['page_id']}, url string, text string, n_chars long")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

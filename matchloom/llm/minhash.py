@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchloom.llm import bloom
-from matchloom.llm.common import ship, sliced, table, written
+from matchloom.llm.common import ship, table, tidied, written
 from matchloom.llm.components import components
 from matchloom.llm.vectors import per_group
 
@@ -55,28 +55,44 @@ def _numbers(n: int, seed: int) -> np.ndarray:
 _BASE = np.uint64(0x5851F42D4C957F2D)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _PLACE, _XOR, _TIMES, _WRONG = _numbers(WORDS, 1) | np.uint64(1), _numbers(SYMBOLS, 2), _numbers(SYMBOLS, 3) | np.uint64(1), _numbers(SYMBOLS, 4)
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes of a text that are hashed at a time, in whole words; only a longer word takes tables of its own.
+PIECE = 1 << 16
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = 1 << max(14, n.bit_length())
-        for i, base in enumerate((_BASE, _INVERSE)):
-            _POWERS[i] = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, base, np.uint64)], dtype=np.uint64)
-    return _POWERS[0][:n], _POWERS[1][:n]
+    ours = [np.cumprod(np.r_[np.uint64(1), np.full(max(n, PIECE + 1) - 1, base, np.uint64)], dtype=np.uint64) for base in (_BASE, _INVERSE)]
+    return ours[0], ours[1]
+
+
+_KEPT = _powers(PIECE + 1)
+
+
+def _word_hashes(b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word of these bytes."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], ~_SPACE[b], [False])).astype(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    power, inverse = _KEPT if len(b) < len(_KEPT[0]) else _powers(len(b) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], dtype=np.uint64)))
+    return _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _ODD)
+
+
+def _pieces(b: bytes) -> Iterator[bytes]:
+    """b cut before white space, after PIECE bytes where there is some."""
+    at = 0
+    while at < len(b):
+        end = at + PIECE
+        if end < len(b):
+            back = np.flatnonzero(_SPACE[np.frombuffer(b, np.uint8, PIECE, at)])
+            end = at + int(back[-1]) if len(back) and back[-1] else next((i for i in range(end, len(b)) if _SPACE[b[i]]), len(b))
+        yield b[at:end]
+        at = end
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of `words` words, A-Z lower-cased; of all words if there are fewer."""
-    b = np.frombuffer((text or "").encode().translate(_LOWER), np.uint8)
-    inside = ~_SPACE[b]
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    power, inverse = _powers(len(b) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)))
-    h = _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _ODD)
+    h = np.concatenate([np.empty(0, np.uint64), *(_word_hashes(np.frombuffer(x, np.uint8)) for x in _pieces((text or "").encode().translate(_LOWER)))])
+    if not len(h):
+        return h
     n = min(words, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
@@ -121,7 +137,7 @@ def described(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
+        for b in batches:
             n, cls, sig = [], [], []
             for t in b.column(1).to_pylist():
                 h = shingles(t)
@@ -130,7 +146,7 @@ def described(docs: DataFrame) -> DataFrame:
                 sig.append(signature(h).tobytes() if len(h) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary()), b.column(2)], ["doc_id", "n", "cls", "sig", "tie"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, cls long, sig binary, tie long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(tidied(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n long, cls long, sig binary, tie long")
 
 
 def keys(classes: DataFrame, percent: int) -> DataFrame:
@@ -138,19 +154,17 @@ def keys(classes: DataFrame, percent: int) -> DataFrame:
     parts = chunks(radius(percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                b = whole.slice(at, 4096)
-                sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, SYMBOLS).astype(np.uint64)
-                cls = b.column(0).to_numpy()
-                for part in parts:
-                    term = {s: _mix(sig[:, s] * _ODD + np.uint64(s + 1)) for s in part}
-                    total = sum(term.values())
-                    for wrong in part:
-                        key = _mix(total - term[wrong] + _WRONG[wrong])
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls)], ["key", "cls"])
+        for b in batches:
+            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, SYMBOLS).astype(np.uint64)
+            cls = b.column(0).to_numpy()
+            for part in parts:
+                term = {s: _mix(sig[:, s] * _ODD + np.uint64(s + 1)) for s in part}
+                total = sum(term.values())
+                for wrong in part:
+                    key = _mix(total - term[wrong] + _WRONG[wrong])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls)], ["key", "cls"])
 
-    return classes.select("cls", "sig").mapInArrow(run, "key long, cls long")
+    return classes.select("cls", "sig").mapInArrow(tidied(run, 4096), "key long, cls long")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -210,7 +224,7 @@ def by_block(rows: DataFrame, percent: int) -> DataFrame:
         if members:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*solved(members))], ["cls", "root"])
 
-    return rows.select("block", "cls", "comp", "sig", "text").repartition("block").sortWithinPartitions("block", "cls").mapInArrow(run, "cls long, root long")
+    return rows.select("block", "cls", "comp", "sig", "text").repartition("block").sortWithinPartitions("block", "cls").mapInArrow(tidied(run), "cls long, root long")
 
 
 def with_text(members: DataFrame, docs: DataFrame) -> DataFrame:

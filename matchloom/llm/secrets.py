@@ -17,8 +17,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from matchloom.llm.common import ship, table
+from matchloom.llm.common import release, ship, table, tidied
 
 #: The kinds in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "pem", "der", "openssh", "token")
@@ -162,7 +163,7 @@ def scan(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols, types)], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_confirmed"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long")
 
 
 def masked_text(text: str, mask: str = "[SECRET]") -> str:
@@ -179,13 +180,15 @@ def masked_text(text: str, mask: str = "[SECRET]") -> str:
 
 def masked(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs with the secrets of `text` masked, all rows kept; n_chars, if there, follows. Null stays null."""
-    from pyspark.sql import functions as F
-
     ship(docs.sparkSession)
 
-    @F.pandas_udf("string", F.PandasUDFType.SCALAR)
-    def hide(texts):
-        return texts.map(lambda t: None if t is None else masked_text(t, mask))
+    @F.arrow_udf("string")
+    def hide(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in batches:
+                yield pa.array([None if t is None else masked_text(t, mask) for t in map(pa.StringScalar.as_py, texts)], pa.string())
+        finally:
+            release()
 
     out = docs.withColumn("text", hide(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

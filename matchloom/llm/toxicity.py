@@ -24,7 +24,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import fold, ship, sliced, table
+from matchloom.llm.common import fold, release, ship, table, tidied
 
 #: Bounds of the labelled sample; bytes of a window; bytes of the ordinary dictionary.
 MOST_TOXIC, MOST_ORDINARY, MOST_CHARS, WINDOW, DICTIONARY = 1200, 2400, 20_000, 124, 8192
@@ -176,24 +176,28 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
-        for b in sliced(batches):
+        for b in batches:
             s = [score(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array([int(x >= THRESHOLD) for x in s], pa.int32())], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {dict(docs.dtypes)['doc_id']}, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rows that the model rejects; columns as they are. Null texts stay."""
+    """docs without the rows that the model rejects; columns as they are. Null texts count as empty. Only the texts go to
+    Python, and only verdicts come back."""
     ship(docs.sparkSession)
-    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def stays(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         score = model.scorer()
-        for b in sliced(batches):
-            yield b.filter(pa.array([score(t or "") < THRESHOLD for t in b.column(at).to_pylist()], pa.bool_()))
+        try:
+            for texts in batches:
+                yield pa.array([score(t.as_py() or "") < THRESHOLD for t in texts], pa.bool_())
+        finally:
+            release()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(stays(F.col("text")))
 
 
 def learnt_from(docs: DataFrame, labels: DataFrame) -> Model:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.llm.common import release
+
 
 def usable(v: Column) -> Column:
     """Neither null, empty nor zero, and no component null, infinite or not a number."""
@@ -31,6 +33,12 @@ def per_group(rows: DataFrame, key: str, solve: Callable[[pa.Table], Iterator[pa
     """solve() for the rows of each value of key, a table at a time; groups must be of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from each(batches)
+        finally:
+            release()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for b in batches:
             if not b.num_rows:
