@@ -7,8 +7,8 @@ one wrong symbol (pigeonhole); every chunk is indexed once for each place at whi
 remaining symbols. So all pairs within the radius share a key, whatever else is in the tables.
 
 Documents with equal sets are one class. Classes that share a key are a bucket. Within it, classes whose signatures lie
-within the radius are joined (buckets of over BUCKET classes are joined whole, unseen), and the components of those
-edges are candidate groups. A group is compared in blocks of bounded size: signatures first, then full sets,
+within the radius are joined, and the components of those edges are candidate groups. In buckets of over BUCKET
+classes all are compared with one class first, row by row; those that are far from it meet all others in blocks. A group is compared in blocks of bounded size: signatures first, then full sets,
 skipping what is connected already. Groups of more than one block get hubs that
 stand in all of their blocks; afterwards only blocks with different components meet. No pair leaves a task but the
 edges of a forest. Nothing is capped: a pair within the radius is confirmed on its full sets or known to be connected.
@@ -33,7 +33,7 @@ from matchloom.llm.vectors import per_group
 
 WORDS, SYMBOLS, MISSED = 5, 64, 1e-6
 #: A block has at most so many classes and, but for single giants, shingles; hubs of a group of more blocks.
-BLOCK, BLOCK_SHINGLES, HUBS, FILTER_BYTES, BUCKET = 1024, 4_000_000, 8, 24 << 20, 8192
+BLOCK, BLOCK_SHINGLES, HUBS, FILTER_BYTES, BUCKET = 1024, 4_000_000, 8, 24 << 20, 2048
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -251,10 +251,11 @@ def near(sigs: np.ndarray, within: int) -> np.ndarray:
 
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
     """a, b: edges that connect all classes(cls, sig) that share a key and whose signatures are within the radius."""
-    within, by_key = radius(percent), Window.partitionBy("key")
-    hashed = F.bit_xor(F.xxhash64("cls")).over(by_key)
-    rows = keys(classes, percent).withColumn("hub", F.min("cls").over(by_key)).withColumn("size", F.count("*").over(by_key)).withColumn("bucket", F.xxhash64("hub", "size", hashed)).where("size > 1")
-    rows = written(rows.groupBy("bucket", "cls").agg(F.min("hub").alias("hub"), F.max("size").alias("size")))  # buckets of the same classes are one
+    within, sigs = radius(percent), classes.select("cls", "sig")
+    rows = keys(classes, percent)
+    shared = rows.groupBy("key").agg(F.min("cls").alias("hub"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("all")).where("size > 1")
+    shared = shared.select("key", "hub", "size", F.xxhash64("hub", "size", "all").alias("bucket"))
+    rows = written(rows.join(shared, "key").groupBy("bucket", "cls").agg(F.min("hub").alias("hub"), F.max("size").alias("size")))  # buckets of the same classes are one
 
     def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
         ids = t["cls"].to_numpy()
@@ -263,9 +264,45 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
         if linked_.any():
             yield pa.RecordBatch.from_arrays([pa.array(ids[linked_]), pa.array(ids[comp[linked_]])], ["a", "b"])
 
-    seen = rows.where(f"size <= {BUCKET}").select("bucket", "cls").join(classes.select("cls", "sig"), "cls").select("bucket", "cls", "sig")
-    unseen = rows.where(f"size > {BUCKET} and cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
-    return per_group(seen, "bucket", solve, "a long, b long", "cls").unionByName(unseen).distinct()
+    small = rows.where(f"size <= {BUCKET}").select("bucket", "cls").join(sigs, "cls").select("bucket", "cls", "sig")
+    found = per_group(small, "bucket", solve, "a long, b long", "cls")
+    large = rows.where(f"size > {BUCKET}")
+    return (found.unionByName(of_large_buckets(large, sigs, within)) if large.take(1) else found).distinct()
+
+
+def of_large_buckets(rows: DataFrame, sigs: DataFrame, within: int) -> DataFrame:
+    """a, b: edges as those of candidates(), for rows(bucket, cls, hub, size) of buckets of any size. Most classes lie near
+    their bucket's hub, which a row tells alone; the rest meet all classes of the bucket, a block of each at a time."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), b.column(5), pa.array((x != y).sum(1) <= within)], ["bucket", "cls", "hub", "size", "near"])
+
+    of_hub = sigs.select(F.col("cls").alias("hub"), F.col("sig").alias("hub_sig"))
+    met = rows.join(sigs, "cls").join(of_hub, "hub").select("bucket", "cls", "sig", "hub_sig", "hub", "size")
+    met = written(met.mapInArrow(tidied(compared, 4096), "bucket long, cls long, hub long, size long, near boolean"))
+    edges = met.where("near and cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
+    rest = met.where("not near")
+    counts = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BUCKET).alias("rest_blocks"), F.ceil(F.max("size") / BUCKET).alias("blocks"))
+    nth = lambda n: F.pmod(F.xxhash64("cls", F.lit(11)), F.col(n))
+    each = lambda n: F.explode(F.expr(f"sequence(0L, {n} - 1)"))
+    left = rest.join(counts, "bucket").select("bucket", "cls", F.lit(0).alias("side"), nth("rest_blocks").alias("i"), each("blocks").alias("j"))
+    right = met.join(counts, "bucket").select("bucket", "cls", F.lit(1).alias("side"), nth("blocks").alias("j"), each("rest_blocks").alias("i"))
+    both = left.unionByName(right).join(sigs, "cls").select(F.xxhash64("bucket", "i", "j").alias("grp"), "cls", "sig", "side")
+
+    def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, side = t["cls"].to_numpy(), t["side"].to_numpy()
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        comp = np.arange(len(ids))
+        for i in np.flatnonzero(side == 0):  # a forest is enough: no pair leaves the task but its edges
+            labels = np.unique(comp[((sig != sig[i]).sum(1) <= within) & ((side == 1) | (comp == comp[i]))])
+            comp[np.isin(comp, labels)] = labels[0]
+        linked_ = ids != ids[comp]
+        if linked_.any():
+            yield pa.RecordBatch.from_arrays([pa.array(ids[linked_]), pa.array(ids[comp[linked_]])], ["a", "b"])
+
+    return edges.unionByName(per_group(both, "grp", solve, "a long, b long", "side", "cls"))
 
 
 def clusters(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -327,8 +364,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     100 * intersection >= percent * union of the sets of WORDS-word shingles.
 
     Null and blank texts have no shingles and link with nothing: their component is their own doc_id. Texts of fewer
-    words are one shingle. Rows with equal sets, among them repeated rows, are linked. component_id is the smallest
-    doc_id reachable; of rows without doc_id null. Columns other than the two are not read."""
+    words are one shingle, very long ones are read whole. Rows with equal sets, among them repeated rows, are linked; a
+    pair at exactly the threshold is. component_id is the smallest doc_id reachable; of rows without doc_id null. An empty
+    table gives none. Columns other than the two are not read."""
     found = grouped(docs, percent).select("doc_id", "n_shingles", "component_id")
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
