@@ -1,14 +1,16 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Each source's documents, laid end to end, form a stream of words that is packed into blocks of `length`.
-A source gets as many draws of blocks as its target asks for. The draws of all sources are dealt to the
-output places by a pseudorandom permutation, so the number of draws that a shard gets from each source is
-multinomial given the totals (which therefore hold within a block), and the mix as rows is made up shard by shard. Draw j of a source reads block
-permutation_e(j mod blocks) of pass e = j div blocks, a permutation of its own for each source and pass,
-and the blocks are joined by that index. Nothing depends on how rows are partitioned: reruns agree.
-
-Offsets in a stream are summed in two levels, over chunks of documents by hash and within a chunk, so a
-source that holds most rows is no window of its own. Joins with draws are told to merge: a plan sees the few sources that draws are made from,
+A source gets as many draws of blocks as its target asks for. How many of them each output shard gets from each
+source is drawn first: a pseudorandom permutation deals the draws of all sources to the shards, so a shard's counts
+by source are multinomial given the totals, which therefore hold within a block. The counts are a table, and the rest
+follows from it: a source's draws are numbered shard by shard, and draw j reads block permutation_e(j mod blocks) of
+pass e = j div blocks, a permutation of its own for each source and pass. Blocks are joined by that index. Within a shard
+the draws of all sources are put in an order by another permutation. Nothing depends on how rows are
+partitioned: reruns agree.
+
+Offsets in a stream are summed in levels: within a chunk of documents by hash, over the chunks of a stretch, and over
+stretches, so a source that holds most rows is no window of its own. Draws are numbered in the same way. Joins with draws are told to merge: a plan sees the few sources that draws are made from,
 not their number, and would broadcast them.
 """
 
@@ -21,7 +23,9 @@ from matchloom.llm.common import WORD, table, written
 
 LENGTH, PER_SHARD, WEIGHTS, MOST = 32, 4096, (1, 2, 3), 3
 #: Rounds of the swap-or-not permutation; documents of a chunk; sources that may be broadcast; draws of an explode and of a task.
-ROUNDS, CHUNK, BROADCAST_SOURCES, SPAN, PER_TASK = 12, 4096, 200_000, 2048, 131_072
+ROUNDS, CHUNK, BROADCAST_SOURCES, SPAN, PER_TASK = 12, 512, 200_000, 2048, 131_072
+#: Chunks, or shards, of a stretch.
+STRETCH = 1024
 
 
 def words_of(text: Column) -> Column:
@@ -65,19 +69,38 @@ def sources(sized: DataFrame, length: int = LENGTH, weights: tuple = WEIGHTS, mo
     return s.select("source", "sid", "source_size", "target", "blocks", "draws", "first", "all_draws")
 
 
-def draws(src: DataFrame, seed: int = 0, per_shard: int = PER_SHARD) -> DataFrame:
-    """A row per draw: sid, shard, place (in the output), pass, block."""
+def before(rows: DataFrame, by: list[str], at: str, n: str, name: str) -> DataFrame:
+    """rows with the sum of n over rows of the same `by` and smaller `at`, a whole number from 0 on, which may be many:
+    within stretches of STRETCH values, and over stretches."""
+    stretch = rows.withColumn("__stretch", F.expr(f"{at} div {STRETCH}"))
+    whole = stretch.groupBy(*by, "__stretch").agg(F.sum(n).alias("__n"))
+    first = Window.partitionBy(*by).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select(*by, "__stretch", F.coalesce(F.sum("__n").over(first), F.lit(0)).alias("__before"))
+    within = Window.partitionBy(*by, "__stretch").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    each = stretch.withColumn("__in", F.coalesce(F.sum(n).over(within), F.lit(0)))
+    return each.join(whole.hint("merge"), [*by, "__stretch"]).select(*rows.columns, (F.col("__before") + F.col("__in")).alias(name))
+
+
+def shard_counts(src: DataFrame, seed: int = 0, per_shard: int = PER_SHARD) -> DataFrame:
+    """shard, sid, n: draws of each source in each output shard, drawn at random for the sources' totals."""
     spans = src.where("draws > 0").withColumn("span", F.explode(F.expr(f"sequence(0L, (draws - 1) div {SPAN})")))
     parts = max(1, -(-(src.agg(F.sum("draws")).first()[0] or 0) // PER_TASK))  # given, or the few rows would be put together in one task
     each = spans.repartition(parts, "sid", "span").withColumn("j", F.explode(F.expr(f"sequence(span * {SPAN}, least(draws, (span + 1) * {SPAN}) - 1)")))
     place = permuted(F.col("first") + F.col("j"), F.col("all_draws"), F.lit(seed))
-    each = each.select("sid", place.alias("place"), F.expr("j div blocks").alias("pass"), F.expr("j % blocks").alias("nth"), "blocks")
-    return each.select("sid", F.expr(f"place div {per_shard}").alias("shard"), "place", "pass", permuted(F.col("nth"), F.col("blocks"), F.lit(seed), F.col("sid"), F.col("pass")).alias("block"))
+    return each.select(F.floor(place / per_shard).alias("shard"), "sid").groupBy("shard", "sid").agg(F.count("*").alias("n"))
 
 
-def shard_counts(drawn: DataFrame) -> DataFrame:
-    """Draws of each source in each output shard."""
-    return drawn.groupBy("shard", "sid").agg(F.count("*").alias("draws"))
+def draws(src: DataFrame, seed: int = 0, per_shard: int = PER_SHARD) -> DataFrame:
+    """A row per draw: sid, shard, place (in the output), pass, block."""
+    counts = written(shard_counts(src, seed, per_shard))
+    slots = before(counts, ["sid"], "shard", "n", "slot")  # of the source's draws, the first that this shard has
+    in_shard = Window.partitionBy("shard").orderBy("sid")
+    slots = slots.withColumn("at", F.sum("n").over(in_shard) - F.col("n")).withColumn("in_all", F.sum("n").over(Window.partitionBy("shard")))
+    near = F.broadcast(src) if src.count() <= BROADCAST_SOURCES else src
+    each = slots.join(near.select("sid", "blocks"), "sid").withColumn("i", F.explode(F.expr("sequence(0L, n - 1)")))
+    nth, pass_ = F.expr("(slot + i) % blocks"), F.expr("(slot + i) div blocks")
+    place = F.col("shard") * per_shard + permuted(F.col("at") + F.col("i"), F.col("in_all"), F.lit(seed), F.col("shard"))
+    return each.select("sid", "shard", place.alias("place"), pass_.alias("pass"), permuted(nth, F.col("blocks"), F.lit(seed), F.col("sid"), pass_).alias("block"))
 
 
 def placed(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
@@ -90,10 +113,10 @@ def placed(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]
     rows = sized.join(near.select("source", "sid"), sized["source"].eqNullSafe(near["source"])).select(sized["*"], "sid")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
     starts = rows.groupBy("sid", "chunk").agg(F.sum("size").alias("n"))
-    starts = starts.select("sid", "chunk", (F.sum("n").over(Window.partitionBy("sid").orderBy("chunk")) - F.col("n")).alias("chunk_start"))
+    starts = before(starts, ["sid"], "chunk", "n", "chunk_start")
     within = Window.partitionBy("sid", "chunk").orderBy("doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("in_chunk", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    rows = rows.join(starts.hint("merge"), ["sid", "chunk"]).select("doc_id", "sid", "size", "tie", (F.col("chunk_start") + F.col("in_chunk")).alias("start"))
+    rows = rows.join(starts.drop("n").hint("merge"), ["sid", "chunk"]).select("doc_id", "sid", "size", "tie", (F.col("chunk_start") + F.col("in_chunk")).alias("start"))
     return written(rows), src
 
 
@@ -106,8 +129,9 @@ def overlaps(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 def mix(docs: DataFrame, seed: int = 0, length: int = LENGTH) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of docs(doc_id, source, text).
 
-    Null and blank texts have size 0 and give nothing. Repeated rows are documents of their own. A null source
-    is a source. No row gives no rows. Columns other than these three are not read."""
+    Null and blank texts have size 0 and give nothing; very long ones are cut into blocks like others. Repeated rows are
+    documents of their own; which of them comes first in the stream changes nothing that is returned but among
+    themselves. A null source is a source. No row gives no rows. Columns other than these three are not read."""
     rows, src = placed(docs, length)
     times = draws(src, seed).groupBy("sid", "block").agg(F.count("*").alias("times"))
     taken = overlaps(rows, length).join(times.hint("merge"), ["sid", "block"]).groupBy("sid", "start").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
