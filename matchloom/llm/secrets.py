@@ -3,7 +3,8 @@
 Three plain kinds (assignments, access keys, long hex runs) are matched as they stand. Further candidates are
 reported only if what they decode to has the structure they claim: private keys in PEM armour or as bare base64
 or hex whose nested DER lengths add up, OpenSSH keys with their magic and length-prefixed fields, and signed
-tokens whose header is a JSON object that names an algorithm.
+tokens whose header is a JSON object that names an algorithm. Keys may be broken into lines, also by escapes (a
+backslash and n), as in strings of program text; what follows a key in the same run of letters is cut off by its length.
 """
 
 from __future__ import annotations
@@ -26,10 +27,13 @@ KINDS = ("assign", "access", "hex", "pem", "der", "openssh", "token")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,3}PRIVATE KEY)-----([^-]*)-----END \1-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])M[A-Z][A-Za-z0-9+/]{38,}={0,2}")
+BEGIN = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ ){0,3}PRIVATE KEY)-----")
+#: A line break, plain or escaped; base64 that starts like a DER sequence, over lines; what OpenSSH's magic starts with.
+BREAK = r"(?:\r?\n[ \t]*|(?:\\r)?\\n)"
+BASE64 = re.compile(rf"(?:(?<![A-Za-z0-9+/])|(?<=\\n)|(?<=\\r))M[A-Z][A-Za-z0-9+/]{{38,}}(?:{BREAK}[A-Za-z0-9+/]+)*={{0,2}}")
 HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}")
-OPENSSH = re.compile(r"b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/]{20,}={0,2}")
+OPENSSH = re.compile(rf"b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/]{{20,}}(?:{BREAK}[A-Za-z0-9+/]+)*={{0,2}}")
+BREAKS = re.compile(BREAK)
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 #: Some spelling of one of these is in every text with an assignment.
 WORDS = ("passw", "secret", "token", "apikey", "api_key")
@@ -54,8 +58,22 @@ def der_children(b: bytes) -> list[tuple[int, bytes]] | None:
     return out
 
 
+#: Object identifiers of key kinds (encoded), and what those of password-based encryption start with.
+RSA, EC, EDWARDS, BY_PASSWORD = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201"), bytes.fromhex("2b65"), (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c"))
+
+
+def is_inner_key(kind: bytes, b: bytes) -> bool:
+    """Whether the octets within PKCS#8 are a key of the kind that its algorithm names."""
+    parts = der_children(b)
+    if not parts:
+        return False
+    if kind == RSA or kind == EC:
+        return is_private_key(b)
+    return kind[:2] != EDWARDS or len(parts) == 1 and parts[0][0] == 0x04 and len(parts[0][1]) >= 32
+
+
 def is_private_key(b: bytes) -> bool:
-    """Whether b is one DER sequence laid out as PKCS#1, PKCS#8, encrypted PKCS#8 or SEC 1."""
+    """Whether b is one DER sequence laid out as PKCS#1, PKCS#8 with a key inside, encrypted PKCS#8 or SEC 1."""
     top = der_children(b)
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
@@ -65,22 +83,72 @@ def is_private_key(b: bytes) -> bool:
     tags = [t for t, _ in parts]
     if tags[:1] == [0x02] and len(tags) in (6, 9, 10) and set(tags[:9]) == {0x02}:  # DSA, RSA
         return True
-    if tags[:3] == [0x02, 0x30, 0x04] or tags == [0x30, 0x04]:  # PKCS#8, plain or encrypted
-        inner = der_children(parts[1][1] if tags[0] == 0x02 else parts[0][1])
-        return bool(inner) and inner[0][0] == 0x06
+    if tags[:3] == [0x02, 0x30, 0x04]:  # PKCS#8
+        kind = der_children(parts[1][1])
+        return bool(kind) and kind[0][0] == 0x06 and is_inner_key(kind[0][1], parts[2][1])
+    if tags == [0x30, 0x04]:  # encrypted
+        kind = der_children(parts[0][1])
+        return bool(kind) and kind[0][0] == 0x06 and kind[0][1].startswith(BY_PASSWORD) and len(parts[1][1]) >= 8
     return tags[:2] == [0x02, 0x04] and parts[0][1] == b"\x01"  # SEC 1
 
 
-def is_openssh_key(b: bytes) -> bool:
-    """The magic, then cipher, derivation and its options, each after its length, then the number of keys."""
+def der_length(b: bytes) -> int | None:
+    """Bytes of the element that b begins with, by its own header."""
+    if len(b) < 2:
+        return None
+    k = b[1] & 0x7F if b[1] & 0x80 else 0
+    if b[1] & 0x80 and not 1 <= k <= 4 or len(b) < 2 + k:
+        return None
+    return 2 + k + (int.from_bytes(b[2 : 2 + k], "big") if k else b[1])
+
+
+def openssh_length(b: bytes) -> int | None:
+    """Bytes of the OpenSSH key that b begins with: the magic; cipher, derivation and its options, each after its length;
+    the number of keys; so many public keys and the private part, each after its length. None if they aren't there."""
     if not b.startswith(b"openssh-key-v1\0"):
-        return False
+        return None
     i = 15
+
+    def skipped(i: int) -> int | None:
+        end = i + 4 + int.from_bytes(b[i : i + 4], "big")
+        return end if i + 4 <= len(b) and end <= len(b) else None
+
     for _ in range(3):
-        if i + 4 > len(b):
-            return False
-        i += 4 + int.from_bytes(b[i : i + 4], "big")
-    return i + 4 <= len(b) and int.from_bytes(b[i : i + 4], "big") >= 1
+        if (i := skipped(i)) is None:
+            return None
+    count = int.from_bytes(b[i : i + 4], "big")
+    i += 4
+    if i > len(b) or not 1 <= count <= 64:
+        return None
+    for _ in range(count + 1):
+        if (i := skipped(i)) is None:
+            return None
+    return i
+
+
+def cut_to_key(text: str, start: int, end: int, length_of) -> tuple[bytes, int] | None:
+    """What the base64 at start..end decodes to, cut to the length that it tells itself, and where that ends in the text."""
+    letters, at, i = [], [], start
+    for m in BREAKS.finditer(text, start, end):
+        letters.append(text[i : m.start()])
+        at.append(range(i, m.start()))
+        i = m.end()
+    letters.append(text[i:end])
+    at.append(range(i, end))
+    run = "".join(letters).rstrip("=")
+    b = from_base64(run[: len(run) - (len(run) % 4 == 1)])
+    n = length_of(b) if b else None
+    if n is None or n > len(b):
+        return None
+    used = -(-4 * n // 3)
+    for r in at:
+        if used <= len(r):
+            stop = r.start + used
+            while stop < end and text[stop] == "=":
+                stop += 1
+            return b[:n], stop
+        used -= len(r)
+    return None
 
 
 def from_base64(s: str, urlsafe: bool = False) -> bytes | None:
@@ -94,10 +162,24 @@ def from_base64(s: str, urlsafe: bool = False) -> bytes | None:
 
 
 def is_key_armour(body: str) -> bool:
-    """Base64 of a key after optional header lines; encrypted bodies (Proc-Type) have no structure to read."""
-    head, _, rest = body.partition("\n\n") if ":" in body else ("", "", body)
-    b = from_base64(rest)
-    return bool(b) and (is_private_key(b) or is_openssh_key(b) or ("ENCRYPTED" in head and len(b) % 8 == 0))
+    """Base64 of a key after optional header lines; encrypted bodies (Proc-Type) have no structure to read but their blocks."""
+    lines = BREAKS.sub("\n", body).split("\n")
+    head = [x for x in lines if ":" in x]
+    b = from_base64("".join(x for x in lines if ":" not in x))
+    if not b:
+        return False
+    if any(x.strip().startswith("Proc-Type") and "ENCRYPTED" in x for x in head):
+        return any(x.strip().startswith("DEK-Info") for x in head) and len(b) % 8 == 0
+    return is_private_key(b) or openssh_length(b) is not None
+
+
+def armoured(text: str) -> Iterator[tuple[int, int]]:
+    """Spans from a BEGIN line to the END line of the same kind with nothing of the sort between, that hold a key."""
+    begun = None
+    for m in BEGIN.finditer(text):
+        if m[1] == "END" and begun and begun[2] == m[2] and is_key_armour(text[begun.end() : m.start()]):
+            yield begun.start(), m.end()
+        begun = m if m[1] == "BEGIN" else None
 
 
 def is_signed_token(s: str) -> bool:
@@ -124,15 +206,16 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of candidates that decode to what they claim to be."""
     out = []
     if "PRIVATE KEY" in text:
-        out += [(m.start(), 3, m.end()) for m in PEM.finditer(text) if is_key_armour(m[2])]
+        out += [(a, 3, b) for a, b in armoured(text)]
     for m in BASE64.finditer(text):
-        if (b := from_base64(m[0])) and is_private_key(b):
-            out.append((m.start(), 4, m.end()))
+        if (got := cut_to_key(text, m.start(), m.end(), der_length)) and is_private_key(got[0]):
+            out.append((m.start(), 4, got[1]))
     for m in HEX_DER.finditer(text):
-        if len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0])):
-            out.append((m.start(), 4, m.end()))
+        n = der_length(bytes.fromhex(m[0][:12]))
+        if n and 2 * n <= len(m[0]) and is_private_key(bytes.fromhex(m[0][: 2 * n])):
+            out.append((m.start(), 4, m.start() + 2 * n))
     if "b3BlbnNzaC1rZXktdjE" in text:
-        out += [(m.start(), 5, m.end()) for m in OPENSSH.finditer(text) if (b := from_base64(m[0])) and is_openssh_key(b)]
+        out += [(m.start(), 5, got[1]) for m in OPENSSH.finditer(text) if (got := cut_to_key(text, m.start(), m.end(), openssh_length))]
     if "eyJ" in text:
         out += [(m.start(), 6, m.end()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
     return out
@@ -146,7 +229,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_confirmed for each row of docs(doc_id, text).
 
     Positions are code points, ends exclusive. Null text counts as empty: no spans, the digest of nothing.
-    Repeated rows stay repeated; other columns are not read; texts are scanned whole."""
+    Repeated rows stay repeated, an empty table gives no rows; other columns are not read; texts are scanned whole. Spans
+    that start together are listed by kind."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +263,8 @@ def masked_text(text: str, mask: str = "[SECRET]") -> str:
 
 
 def masked(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """docs with the secrets of `text` masked, all rows kept; n_chars, if there, follows. Null stays null."""
+    """docs with the secrets of `text` masked, all rows kept, repeated ones too; n_chars, if there, follows. Null stays null,
+    texts are scanned whole, overlapping spans become one mask."""
     ship(docs.sparkSession)
 
     @F.arrow_udf("string")
