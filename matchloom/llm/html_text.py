@@ -1,9 +1,9 @@
 """Main text of HTML pages by two passes of block rules.
 
-Pass one cuts a page into blocks at block-level tags and decides a block by where it stands (menus, headers,
-footers, sidebars, notices, adverts, forms and comments are recognised by tag, role, class and id), by its link
-density, and by stop-word density with length. Pass two gives the blocks left open, which are short or poor in
-stop words, the label of their nearest decided neighbours in the same part of the page.
+Blocks are cut at block-level tags. What is marked as a menu, header, footer, sidebar, notice, advert, form or comment by
+tag, role, class or id is no candidate. Pass one decides the other blocks by link density and by stop-word density with
+length. Pass two gives the blocks left open, which are short, poor in stop words or links within running text, the label
+of their nearest decided neighbours in the same part of the page: in an article element, or outside of any.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +40,7 @@ MARKS = frozenset(
     respond share sharing social related recommended recommendations newsletter subscribe subscription signup login search widget widgets toolbar pagination pager copyright disclaimer paywall teaser teasers""".split()
 )
 KEPT_BEFORE = frozenset("with has no without".split())
-COMMENT_HEADS = re.compile(r"^(\d+ )?(reader )?(comments?|kommentare?|commentaires?|comentarios?|leave a (comment|reply)|responses|replies)\b", re.I)
+COMMENT_HEADS = re.compile(r"^(\d+ )?(reader |user )?(comments?|kommentare?|commentaires?|comentarios?|leave a (comment|reply)|responses|replies)( \(?\d+\)?)?:?$", re.I)
 AT = re.compile(r"""<(?:!--(?P<comment>.*?)(?:-->|--!>|\Z)|[!?][^>]*>|/(?P<end>[a-zA-Z][^\s/>]*)[^>]*>|(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>)""", re.S)
 ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 CUT = re.compile(r"<[a-zA-Z/!?][^>]*\Z", re.S)
@@ -56,6 +56,7 @@ class Block:
     outside: bool
     region: int
     heading: bool
+    running: bool = False
     label: str = ""
 
 
@@ -66,7 +67,7 @@ class _Open:
     silent: bool
     region: int
     heading: bool
-    children: list = field(default_factory=list)
+    running: bool = False
 
 
 def _marked(tag: str, attrs: str, in_region: bool) -> bool:
@@ -94,7 +95,16 @@ def _marked(tag: str, attrs: str, in_region: bool) -> bool:
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order, not yet labelled; blank ones are left out."""
+    """The blocks of a page in order, not yet labelled; blank ones are left out.
+
+    An article or main element whose own class or id marks it as something else (a teaser, say) is outside of the article,
+    unless the page has no other: then its name is taken to be a name only."""
+    found = _blocks(page, False)
+    return found if any(b.region and not b.outside for b in found) or not any(b.region for b in found) else _blocks(page, True)
+
+
+def _blocks(page: str, trusting: bool) -> list[Block]:
+    """trusting: article and main elements are taken for what they are, whatever their class and id."""
     out: list[Block] = []
     stack = [_Open("", False, False, 0, False)]
     words: list[str] = []
@@ -110,7 +120,7 @@ def blocks(page: str) -> list[Block]:
                 after_head = 0
             if level > 1 and len(text) < 60 and COMMENT_HEADS.match(text):
                 after_head = level
-            out.append(Block(text, min(linked, len(text)), top.outside or bool(after_head), top.region, top.heading))
+            out.append(Block(text, min(linked, len(text)), top.outside or bool(after_head), top.region, top.heading, top.running))
         words.clear()
         linked = 0
 
@@ -172,13 +182,14 @@ def blocks(page: str) -> list[Block]:
                 words.append(" ")
             if tag in VOID or attrs.endswith("/") and tag not in BLOCK and tag != "a":
                 continue
-            top = stack[-1]
-            outside = top.outside or _marked(tag, attrs, top.region > 0)
+            top, article = stack[-1], tag in ("article", "main")
+            outside = top.outside or not (article and trusting) and _marked(tag, attrs, top.region > 0)
             region = top.region
-            if tag in ("article", "main") and not outside:
+            if article and not top.outside:
                 regions += region == 0
                 region = region or regions
-            stack.append(_Open(tag, outside, top.silent or tag in SILENT, region, top.heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6")))
+            heading = top.heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+            stack.append(_Open(tag, outside, top.silent or tag in SILENT, region, heading, tag == "p" or top.running and tag not in BLOCK))
             links += tag == "a"
         elif m["end"]:
             tag = m["end"].lower()
@@ -192,16 +203,19 @@ def blocks(page: str) -> list[Block]:
 
 
 def first_pass(found: list[Block]) -> None:
-    """Labels good or bad what is sure; leaves '' where it isn't."""
-    in_region = any(b.region and not b.outside for b in found)
+    """Labels good or bad what is sure; leaves '' where it isn't: short blocks, headings, blocks poor in stop words, and
+    paragraphs of an article that are mostly link."""
     for b in found:
         words = WORDS.findall(b.text.lower())
         stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if b.outside or in_region and not b.region or b.linked > LINKS * len(b.text) or "©" in b.text:
+        size = len(b.text)
+        if b.outside or b.linked > LINKS * size and not (b.region and b.running):
             b.label = "bad"
-        elif not b.heading and len(b.text) >= LONG and stops >= STOP_LOW or stops >= STOP_HIGH and len(b.text) >= LONG // 2 and not b.heading:
+        elif b.linked > LINKS * size or b.heading:
+            b.label = ""
+        elif size >= LONG and stops >= STOP_LOW or size >= LONG // 2 and stops >= STOP_HIGH:
             b.label = "good"
-        elif not b.region and len(b.text) >= LONG and stops < STOP_LOW / 3:
+        elif not b.region and (size >= LONG and stops < STOP_LOW / 3 or size < LONG and "©" in b.text):
             b.label = "bad"
 
 
@@ -211,16 +225,11 @@ def second_pass(found: list[Block]) -> None:
     islands that are bad (adverts, link lists) are no neighbours. Where there are none, open blocks are good in an
     article element and bad elsewhere."""
     first = [b.label for b in found]
+    before, after = _decided(found, first, range(len(found))), _decided(found, first, range(len(found) - 1, -1, -1))
     for i, b in enumerate(found):
         if first[i]:
             continue
-        near = []
-        for step in (-1, 1):
-            k = i + step
-            while 0 <= k < len(found) and (not first[k] or found[k].region != b.region or b.region and first[k] == "bad"):
-                k += step
-            if 0 <= k < len(found):
-                near.append((abs(k - i), step, first[k]))
+        near = [(abs(k - i), step, first[k]) for step, k in ((-1, before[i]), (1, after[i])) if k is not None]
         if not near:
             b.label = "good" if b.region else "bad"
         elif b.heading and near[-1][1] == 1:
@@ -230,6 +239,18 @@ def second_pass(found: list[Block]) -> None:
             b.label = "good" if any(d == least and label == "good" for d, _, label in near) else "bad"
 
 
+def _decided(found: list[Block], labels: list[str], order: range) -> list[int | None]:
+    """For each block the last one passed in this order that is decided and may lend its label to its part of the page."""
+    last: dict[int, int] = {}
+    out: list[int | None] = [None] * len(found)
+    for i in order:
+        region = found[i].region
+        out[i] = last.get(region)
+        if labels[i] and not (region and labels[i] == "bad"):
+            last[region] = i
+    return out
+
+
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
     first_pass(found)
