@@ -8,8 +8,9 @@ tables and tail make windows without such strings compress alike, so a differenc
 windows of a text reach each difference goes into a logistic calibration, fitted on halves of the labelled
 documents measured with dictionaries of the other half.
 
-The fit takes at most MOST_TOXIC + MOST_ORDINARY labelled documents of at most MOST_CHARS code points, chosen by
-hash of doc_id; that bound holds at every size of the tables. Scoring covers all texts whole.
+The fit takes at most MOST_TOXIC + MOST_ORDINARY labelled documents, chosen by hash of doc_id; that bound holds at every
+size of the tables. Of documents of over MOST_CHARS code points it takes so many, in slices evenly spaced from start to
+end. Scoring covers all texts whole.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm.common import fold, release, ship, table, tidied
 
-#: Bounds of the labelled sample; bytes of a window; bytes of the ordinary dictionary.
-MOST_TOXIC, MOST_ORDINARY, MOST_CHARS, WINDOW, DICTIONARY = 1200, 2400, 20_000, 124, 8192
+#: Bounds of the labelled sample, slices of its long texts; bytes of a window; bytes of the ordinary dictionary.
+MOST_TOXIC, MOST_ORDINARY, MOST_CHARS, SLICES, WINDOW, DICTIONARY = 1200, 2400, 20_000, 20, 124, 8192
 #: A string is typical if it has so many times the ordinary rate of contexts, and so many contexts (at least, or of the documents).
 RATE, LEAST, SHARE = 10, 4, 0.015
 GAINS, LOSSES, THRESHOLD = (1, 2, 3, 4, 5, 6, 8), (1, 2), 0.7
@@ -148,21 +149,28 @@ class Model:
         return lambda text: float(1 / (1 + np.exp(-np.clip(((w.features(text) - mean) / dev) @ weights[:-1] + weights[-1], -30, 30))))
 
 
+def spaced(text: Column) -> Column:
+    """The text, or SLICES evenly spaced slices of one that is longer than MOST_CHARS."""
+    size, length = MOST_CHARS // SLICES, F.length(text)
+    slices = [F.substr(text, (F.floor((length - size) * i / (SLICES - 1)) + 1).cast("int"), F.lit(size)) for i in range(SLICES)]
+    return F.when(length > MOST_CHARS, F.concat_ws(" ", *slices)).otherwise(text)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from docs(doc_id, text) joined with labels(doc_id, toxic); see the bounds above.
 
-    Documents labelled both ways count as toxic; null labels and texts are left out."""
+    Documents labelled both ways count as toxic; null labels, null and empty texts are left out."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    short = docs.where(F.length("text").between(1, MOST_CHARS)).select("doc_id", "text")
+    texts = docs.where(F.length("text") > 0).select("doc_id", spaced(F.col("text")).alias("text"))
     by_hash = F.xxhash64("doc_id")
     spark = docs.sparkSession
-    # some chosen documents may be too long or missing, so more are asked for than used
+    # some chosen documents may be empty or missing, so more are asked for than used
     ids = [(r[0], i) for i, (kind, n) in enumerate((("toxic > 0", MOST_TOXIC), ("toxic <= 0", MOST_ORDINARY))) for r in marks.where(kind).orderBy(by_hash, "doc_id").limit(n + n // 4).select("doc_id").collect()]
     if not ids:
         return Model([], [])
     chosen = spark.createDataFrame(ids, f"doc_id {dict(labels.dtypes)['doc_id']}, kind int")
     got: dict[int, dict] = {0: {}, 1: {}}
-    for doc_id, text, kind in short.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "kind").collect():
+    for doc_id, text, kind in texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "kind").collect():
         got[kind].setdefault(doc_id, text)
     rank = {doc_id: n for n, (doc_id, _) in enumerate(ids)}
     toxic, ordinary = ([t for _, t in sorted(got[k].items(), key=lambda x: rank[x[0]])] for k in (0, 1))
