@@ -4,6 +4,7 @@ import html as entities
 import re
 
 import duckdb
+from pyspark.sql import functions as F
 
 from matchloom.llm import html_text, urls
 
@@ -53,8 +54,8 @@ def test_rows(spark):
 
 
 URLS = [
-    "http://Shop.Example.NET/en/a?x=1#f", "https://example.net/en/", "https://example.net/de/x", "https://example.net", "http://a.example.com/de/b", "http://example.com/en", "ftp://x.org/fr/1", "http://notexample.net.org/fr/2", "no scheme", "", None, "://", "http://cheap-pills.example.com/a/?utm_source=b&b=2&a=1",
-    "HTTP://www.cheap-pills.example.com/a?a=1&b=2", "http://m.cheap-pills.example.com/other", "http://h:80/p://q?r", "http://xorg/fr/", "http://www.spam-farm.example.org/fr/z", "x://A/b\nc?d", "http://cheap-pills.example.com/a/?utm_source=b&b=2&a=1",
+    "http://Shop.Example.NET/en/a?x=1#f", "https://example.net/en/", "https://example.net/de/x", "https://example.net", "http://a.example.com/de/b", "http://example.com/en", "ftp://x.org/fr/1", "http://notexample.net.org/fr/2", "no scheme", "", None, "://", "http://cheap-pills.example.com/en/17/?utm_source=b",
+    "HTTP://www.cheap-pills.example.com/en/17#top", "http://m.cheap-pills.example.com/other", "http://h:80/p://q?r", "http://xorg/fr/", "http://www.spam-farm.example.org/fr/z", "x://A/b\nc?d", "http://cheap-pills.example.com/en/17/?utm_source=b", "http://m.cheap-pills.example.com/en/17?page=2", "http://cheap-pills.example.com/en/20000", "http://spam-farm.example.org/es/19999/", "http://h/" + "long/" * 50_000,
 ]
 
 
@@ -67,12 +68,75 @@ def test_verdicts_match_sql(spark, tmp_path):
     assert got == sorted(con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({urls.SQL})").fetchall())
     by_id = {r[0]: r[1:] for r in got}
     assert by_id[0] == ("shop.example.net", "/en/a", "example.net/en/", "allow") and by_id[3] == ("example.net", "", None, "allow")
-    assert by_id[8] == ("", "", None, "allow") and by_id[12][3] == by_id[13][3] == "block" and by_id[17][2:] == ("org/fr/", "allow")
+    assert by_id[8] == ("", "", None, "allow") and by_id[12][3] == by_id[13][3] == by_id[19][3] == by_id[22][3] == "block" and by_id[17][2:] == ("org/fr/", "allow")
+    assert by_id[20][3] == by_id[21][3] == by_id[23][3] == "allow" and len(by_id[23][1]) == 250_001
 
 
 def test_bloom_removes_no_listed_url(spark):
-    every = spark.range(5000).selectExpr("concat('h/', id) AS canonical")
-    listed = every.where("length(canonical) % 2 = 0")
-    found = urls.listed_urls(every, listed, broadcast_bytes=0)
-    assert sorted(r[0] for r in found.collect()) == sorted(r[0] for r in listed.collect())
-    assert urls.listed_urls(every.limit(0), listed).count() == 0 and urls.listed_urls(every, listed.limit(0)).count() == 0
+    every = spark.range(5000).selectExpr("concat('h/', id) AS canonical", "id")
+    listed = every.where("length(canonical) % 2 = 0").select("canonical")
+    for limit in (0, 8 << 20):
+        found = urls.with_hits(every, listed.unionByName(listed), limit)
+        assert found.count() == 5000 and sorted(r[0] for r in found.where("listed").collect()) == sorted(r[0] for r in listed.collect())
+    assert urls.with_hits(every.limit(0), listed).count() == 0 and urls.with_hits(every, listed.limit(0)).where("listed").count() == 0
+
+
+def test_exact_join_removes_what_the_filter_lets_through(spark, monkeypatch):
+    from matchloom.llm import bloom
+
+    monkeypatch.setattr(bloom, "PER_BLOCK", 400)  # a filter so full that it errs
+    every = spark.range(4000).selectExpr("concat('h/', id) AS canonical")
+    listed = every.where("hash(canonical) % 4 = 0")
+    asked, _ = urls.probed(every, listed)
+    assert asked.where("maybe").count() > listed.count()
+    assert urls.with_hits(every, listed).where("listed").count() == listed.count()
+
+
+def test_filter_keeps_other_rows_out_of_joins(spark):
+    pages = spark.createDataFrame([(i, None if i % 2 else "http://popular.example.org/x") for i in range(50)], "page_id long, url string")
+    out = urls.judge(pages, urls.spam_pages(spark))
+    assert out.count() == 50 and {r.verdict for r in out.collect()} == {"allow"}
+
+
+def test_the_earlier_of_equally_long_rules_fits(spark):
+    tied = (urls.Rule("block", "x.b.org", "/"), urls.Rule("allow", "b.org", "/aa"))
+    assert len({len(r.name) for r in tied}) == 1
+    df = spark.createDataFrame([("ab.b.org", "/aa/"), ("x.b.org", "/aa/")], "host string, path string")
+    for rules, want in ((tied, ["b.org/aa", "x.b.org/"]), (tied[::-1], ["b.org/aa", "b.org/aa"])):
+        assert [r.r for r in df.select(urls.fitting_rule(F.col("host"), F.col("path"), rules).alias("r")).collect()] == want
+
+
+PROSE = "The house that we had seen was on the hill, and it is not the only one of its kind that has been there for so long, as all of us know by now. " * 2
+
+
+def test_nothing_of_the_article_is_lost():
+    page = (
+        f"<main><article><h1>On floods</h1><p>{PROSE}© by the agency.</p><h2>Responses to the flood</h2><p>{PROSE}</p><p><a href=x>{PROSE}</a></p><p>Short one.</p>"
+        f"<h2>Comments (3)</h2><p>I know this very well, and I have seen that it was all like this.</p></article></main><footer>© 2024 Us</footer>"
+    )
+    want = ["On floods", " ".join((PROSE + "© by the agency.").split()), "Responses to the flood", PROSE.strip(), PROSE.strip(), "Short one."]
+    assert html_text.main_text(page).split("\n\n") == want
+
+
+def test_an_articles_own_name_is_no_mark():
+    for attrs in ('class="related-story"', 'id="ad-2024"'):
+        assert html_text.main_text(f"<nav>menu</nav><article {attrs}><p>{PROSE}</p></article>") == PROSE.strip()
+    both = f'<article><p>{PROSE}</p></article><article class="teaser"><p>{PROSE}Other.</p></article>'
+    assert html_text.main_text(both) == PROSE.strip()
+
+
+def test_densities_decide_without_any_article_element():
+    menu = "".join(f"<li><a href={i}>Section {i} of our site</a></li>" for i in range(12))
+    page = f"<body><div>Top story</div><ul>{menu}</ul><h1>Heading</h1><div>{PROSE}</div><div>Short line.</div><div>{PROSE}</div><div>{'Lorem ipsum dolor sit amet consectetur. ' * 6}</div><ul>{menu}</ul><div>© Us</div></body>"
+    found = html_text.blocks(page)
+    html_text.first_pass(found)
+    assert [b.label for b in found if b.text.startswith("Section")] == ["bad"] * 24 and [b.label for b in found if b.text == "Short line."] == [""]
+    assert html_text.main_text(page).split("\n\n") == ["Heading", PROSE.strip(), "Short line.", PROSE.strip()]
+
+
+def test_query_op2_reads_all_pages_whole(spark, sf_dir):
+    rows = {r.page_id: r for r in html_text.op2_html_text(spark, sf_dir).collect()}
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    assert len(rows) == len(pages)
+    for p in pages:
+        assert rows[p.page_id].text == html_text.main_text(p.html) and rows[p.page_id].n_chars == len(rows[p.page_id].text) and rows[p.page_id].url == p.url

@@ -106,9 +106,50 @@ def test_search_few_rows_ties_and_empty(spark):
 
 def test_pigeonhole_probing_is_complete():
     rng = np.random.default_rng(2)
-    code = rng.integers(0, 1 << 16, (3000, hamming_search.SUBSTRINGS)).astype(np.uint16)
-    code[1000:2000] = code[:1000] ^ (rng.random((1000, hamming_search.SUBSTRINGS)) < 0.5) * 3
+    code = rng.integers(0, 1 << 63, (3000, hamming_search.SUBSTRINGS)).astype(np.uint64)
+    code[1000:2000] = code[:1000] ^ ((rng.random((1000, hamming_search.SUBSTRINGS)) < 0.5) * 3).astype(np.uint64)
     index = hamming_search.Index(code)
     for q in code[:20]:
-        for r in (0, 5, 17, 40):
+        for r in (0, 5, 17, 40, 200, 260):
             assert set(index.within(q, r)) == set(np.flatnonzero(np.bitwise_count(code ^ q).sum(1) <= r))
+
+
+def test_search_of_repeated_rows(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (2, [0.9, 0.5]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    ask = lambda k: [(r.rank, r.vec_id) for r in hamming_search.search(df, df.where("vec_id = 0"), k).orderBy("rank").collect()]
+    assert ask(3) == [(1, 1), (2, 1), (3, 2)] and ask(10) == [(1, 1), (2, 1), (3, 2), (4, 3)]
+
+
+def test_query_op9_recall_and_share_probed(spark):
+    df = hamming_search.op9_hamming(spark, "/root/testdata/sf0.1").toPandas()
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    v, ids = np.stack(rows.embedding.to_list()).astype(float), rows.vec_id.to_numpy()
+    hits = 0
+    asked = sorted(ids[ids % 100 == 0])
+    model = hamming_search.Codes(v, 10)
+    code = model.encode(v)
+    index, near = hamming_search.Index(code), 0
+    for q in asked:
+        at = int(np.flatnonzero(ids == q)[0])
+        d = np.sqrt(((v - v[at]) ** 2).sum(1))
+        order = [i for i in np.lexsort((ids, d)) if ids[i] != q][:10]
+        mine = df[df.query_id == q].sort_values("rank")
+        assert np.allclose(mine.score, [d[int(np.flatnonzero(ids == x)[0])] for x in mine.vec_id], rtol=0, atol=1e-12)
+        hits += len(set(mine.vec_id) & set(ids[order]))
+        near += len(index.within(code[at], int(model.radii(code[at : at + 1])[0])))
+    probed, ranked = index.probed / (len(asked) * len(v)), near / (len(asked) * len(v))
+    print(f"recall {hits / (10 * len(asked)):.3f}, probed {probed:.3f}, ranked {ranked:.3f}")
+    assert hits >= 0.95 * 10 * len(asked) and probed < 0.5 and ranked < 0.15
+
+
+def test_query_op1_links_planted_copies_of_real_dimension(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((1500, 64))
+    near = base[:400] + rng.standard_normal((400, 64)) * np.repeat([0.1, 0.2, 0.3, 0.34], 100)[:, None]
+    v = np.concatenate((base, near, base[:50])).astype(np.float32)
+    spark.createDataFrame([(i, [float(y) for y in x], i % 7) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    links = u @ u.T >= 0.95
+    np.fill_diagonal(links, False)
+    got = embedding_dedup.op1_hnsw(spark, str(tmp_path)).toPandas().set_index("vec_id").sort_index()
+    assert links.sum() > 500 and (got.n_links.to_numpy() <= links.sum(1)).all() and got.n_links.sum() >= 0.99 * links.sum()
