@@ -25,11 +25,12 @@ def around(xs: Column, ys: Column) -> Column:
     return F.struct(F.array_min(xs).alias("x"), F.array_min(ys).alias("y"), (F.array_max(xs) - F.array_min(xs)).alias("w"), (F.array_max(ys) - F.array_min(ys)).alias("h"))
 
 
-def pose_angle(eye1: Column, eye2: Column, nose: Column, mouth: Column) -> Column:
-    """The larger of roll (folded to at most 90 degrees) and a yaw proxy from the nose's place between the eyes."""
+def pose_angle(eye1: Column, eye2: Column, nose: Column) -> Column:
+    """The larger of roll (folded to at most 90 degrees) and a yaw proxy: how far the nose is from the middle of the eyes,
+    by their distance, 90 at most. Eyes less than 0.001 apart tell the roll only."""
     dx, dy = eye2["x"] - eye1["x"], eye2["y"] - eye1["y"]
     roll = F.abs(F.degrees(F.atan2(dy, dx)))
     roll = F.when(roll > 90, 180 - roll).otherwise(roll)
     gap = F.hypot(dx, dy)
-    yaw = F.when(gap > 0, F.least(F.lit(90.0), 90 * F.abs(2 * (nose["x"] - (eye1["x"] + eye2["x"]) / 2) / gap))).otherwise(F.lit(90.0))
-    return F.greatest(roll, yaw)
+    yaw = F.least(F.lit(90.0), 90 * F.abs(nose["x"] - (eye1["x"] + eye2["x"]) / 2) / gap)
+    return F.when(gap < 1e-3, roll).otherwise(F.greatest(roll, yaw))

@@ -69,3 +69,13 @@ def to_uint8(v: Column, scale: float = 1.0, shift: float = 0.0) -> Column:
 def truncated_uint8(v: Column) -> Column:
     """Held to 0..255, then cut to whole numbers."""
     return F.transform(v, lambda x: F.greatest(F.lit(0.0), F.least(F.lit(255.0), x)).cast("int"))
+
+
+#: First and last column kept, by row of the grid: eyes in rows 2 and 3, nose in 4 and 5, mouth in 6.
+LANDMARK_COLUMNS, GRID = {2: (1, 6), 3: (1, 6), 4: (2, 5), 5: (2, 5), 6: (2, 5)}, 8
+
+
+def landmark_cells(v: Column, bins: int = 1) -> Column:
+    """Of a vector with `bins` values for each cell of the grid, row by row, those of the cells at landmarks."""
+    runs = [F.slice(v, (row * GRID + first) * bins + 1, (last - first + 1) * bins) for row, (first, last) in LANDMARK_COLUMNS.items()]
+    return F.concat(*runs)

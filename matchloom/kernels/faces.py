@@ -12,8 +12,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from matchloom.kernels import jobs, tiles
+from matchloom.functions import augment
+from matchloom.kernels import jobs
 
 
 @dataclass(frozen=True)
@@ -62,7 +64,10 @@ def eye_pair(eyes: list[tuple[int, int, int, int]], height: int) -> tuple | None
 
 def levelled(t: np.ndarray, left: tuple[float, float], right: tuple[float, float]) -> np.ndarray:
     """The tile turned so that the eyes lie on one line."""
-    return tiles.modified(t, "rotate", float(np.degrees(np.arctan2(right[1] - left[1], right[0] - left[0]))))
+    a = np.arctan2(right[1] - left[1], right[0] - left[0])
+    c, (cos, sin) = (np.array(t.shape[::-1]) - 1) / 2, (np.cos(a), np.sin(a))
+    turn = np.array([[cos, sin], [-sin, cos]])
+    return warped(t, np.column_stack((turn, c - turn @ c)), t.shape[0])
 
 
 def similarity(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
@@ -86,19 +91,26 @@ def warped(t: np.ndarray, matrix: np.ndarray, side: int) -> np.ndarray:
     return np.where(inside, t[np.clip(yi, 0, t.shape[0] - 1), np.clip(xi, 0, t.shape[1] - 1)], 0).astype(np.uint8)
 
 
-def extract(image: np.ndarray | None, detect: Callable, side: int = 100, least: int = 32, longest: int = 640, prepare: Callable = tiles.equalize) -> dict:
+def equalized(t: np.ndarray) -> np.ndarray:
+    """Gray values by their share of pixels up to them."""
+    counts = np.bincount(t.ravel(), minlength=256)
+    first = counts[np.flatnonzero(counts)[0]] if t.size else 0
+    return t if t.size == first else np.clip(np.rint((counts.cumsum() - first) * 255.0 / (t.size - first)), 0, 255).astype(np.uint8)[t]
+
+
+def extract(image: np.ndarray | None, detect: Callable, side: int = 100, least: int = 32, longest: int = 640, prepare: Callable = equalized) -> dict:
     """face (or null) and reason: unreadable, image_too_small, no_face or ok. The whole image never stands in for a face."""
     if image is None:
         return {"face": None, "reason": "unreadable"}
     h, w = image.shape
     if h < least or w < least:
         return {"face": None, "reason": "image_too_small"}
-    small = tiles.shrunk(image, longest)
+    small = image[:: max(1, -(-max(h, w) // longest)), :: max(1, -(-max(h, w) // longest))]
     found = pick([rescaled(d, small.shape[0] / h) for d in detect(small)])
     if found is None:
         return {"face": None, "reason": "no_face"}
     x, y = max(0, min(w - 1, found.box[0])), max(0, min(h - 1, found.box[1]))
-    cut = tiles.crop(image, (x, y, max(1, min(w - x, found.box[2])), max(1, min(h - y, found.box[3]))))
+    cut = image[y : y + max(1, min(h - y, found.box[3])), x : x + max(1, min(w - x, found.box[2]))]
     ys, xs = [(np.arange(side) * n // side) for n in cut.shape]
     return {"face": prepare(cut[ys][:, xs]).tobytes(), "reason": "ok"}
 
@@ -127,12 +139,7 @@ def embedded(faces: DataFrame, embedder: str) -> DataFrame:
     return faces.select("path", "face").mapInPandas(run, "path string, embedding array<double>")
 
 
-def augment_missing(tiles_: DataFrame, done: DataFrame, strength: str, side: int = 8) -> DataFrame:
-    """path, tile of random variants for rows of tiles_(path, tile) that `done` lacks; seeds come from the path."""
-    import zlib
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"path": b["path"], "tile": [tiles.augmented(np.asarray(t, np.uint8).reshape(side, side), strength, zlib.crc32(p.encode())).ravel().astype(int).tolist() for p, t in zip(b["path"], b["tile"])]})
-
-    return tiles_.join(done.select("path"), "path", "left_anti").select("path", "tile").mapInPandas(run, "path string, tile array<int>")
+def augment_missing(tiles: DataFrame, done: DataFrame, strength: str, side: int = 8) -> DataFrame:
+    """path, tile of random variants for rows of tiles(path, tile) that `done` lacks; seeds come from the path."""
+    left = tiles.join(done.select("path"), "path", "left_anti")
+    return left.select("path", augment.augmented(F.col("tile"), side, F.crc32(F.col("path").cast("binary")), strength).alias("tile"))

@@ -1,14 +1,9 @@
-"""Tiles in tables: struct h, w, data. Kernels run over Arrow batches, partition by partition."""
+"""Detectors and embedders by name: callables that need decoders or model files that this library does not bring."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-
-#: Detectors and embedders by name: callables of (tile) that need decoders or model files that this library does not bring.
 DETECTORS: dict[str, Callable] = {}
 EMBEDDERS: dict[str, Callable] = {}
 
@@ -17,15 +12,3 @@ def registered(table: dict[str, Callable], name: str) -> Callable:
     if name not in table:
         raise ValueError(f"unknown: {name}; registered are {sorted(table)}")
     return table[name]
-
-
-def per_tile(tiles: DataFrame, key: str, fn: Callable[[int, np.ndarray], list[dict]], schema: str, side: int = 8) -> DataFrame:
-    """fn(key, tile) gives rows for each row of tiles(key, tile array<int> of side * side)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [r for k, t in zip(b[key], b["tile"]) for r in fn(k, np.asarray(t, np.uint8).reshape(side, side))]
-            if out:
-                yield pd.DataFrame(out)
-
-    return tiles.select(key, "tile").mapInPandas(run, schema)

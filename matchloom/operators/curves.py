@@ -1,11 +1,13 @@
-"""Error rates over thresholds. Scores are aggregated by distinct value first, so the one global running sum is over
-distinct scores and not over rows."""
+"""Error rates over thresholds. Scores are aggregated by distinct value first; running sums over those are made bucket by
+bucket (ranks.running)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.operators import ranks
+
 
 def by_score(scores: DataFrame, kind: str, d: str, ok: str) -> DataFrame:
     """d, imp, gen, hits: impostors, genuines and genuines that are right, at each distinct distance."""
@@ -16,9 +18,8 @@ def by_score(scores: DataFrame, kind: str, d: str, ok: str) -> DataFrame:
 def roc(scores: DataFrame, kind: str = "kind", d: str = "d", ok: str = "ok") -> DataFrame:
     """t, far, tar, frr in percent at each distinct distance; a rate over nothing is 0."""
     base = by_score(scores, kind, d, ok)
-    upto = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
     totals = base.agg(F.sum("imp").alias("n_imp"), F.sum("gen").alias("n_gen"))
-    rates = base.select("d", F.sum("imp").over(upto).alias("ci"), F.sum("hits").over(upto).alias("ch")).crossJoin(F.broadcast(totals))
+    rates = ranks.running(base, "d", {"ci": "imp", "ch": "hits"}).select("d", "ci", "ch").crossJoin(F.broadcast(totals))
     far = F.when(F.col("n_imp") > 0, 100.0 * F.col("ci") / F.col("n_imp")).otherwise(0.0)
     tar = F.when(F.col("n_gen") > 0, 100.0 * F.col("ch") / F.col("n_gen")).otherwise(0.0)
     return rates.select(F.col("d").alias("t"), far.alias("far"), tar.alias("tar"), (100.0 - tar).alias("frr"))
@@ -28,11 +29,3 @@ def eer(curve: DataFrame) -> DataFrame:
     """The first threshold at which FAR and FRR are nearest, and half their sum."""
     x = curve.agg(F.min(F.struct(F.abs(F.col("far") - F.col("frr")).alias("gap"), "t", "far", "frr")).alias("m"))
     return x.select(F.col("m.t").alias("t"), ((F.col("m.far") + F.col("m.frr")) / 2).alias("eer"))
-
-
-def kth_smallest(values: DataFrame, d: str, k: DataFrame) -> DataFrame:
-    """k(key, k) with the k-th smallest of values[d]: running counts over distinct values, then the first that reaches k."""
-    counts = values.groupBy(F.col(d).alias("d")).agg(F.count("*").alias("c"))
-    upto = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
-    cum = counts.withColumn("cum", F.sum("c").over(upto))
-    return cum.crossJoin(F.broadcast(k)).where("cum >= k").groupBy(*k.columns).agg(F.min("d").alias("value"))

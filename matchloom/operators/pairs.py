@@ -20,14 +20,15 @@ def named(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(f"{prefix}{c}") for c in df.columns])
 
 
-def unique_pairs(df: DataFrame, key: str, left: str = "a_", right: str = "b_") -> DataFrame:
-    """Each pair of rows with different keys once, the smaller key on the left."""
+def unique_pairs(df: DataFrame, key: str, left: str = "a_", right: str = "b_", within: str | None = None) -> DataFrame:
+    """Each pair of rows with different keys once, the smaller key on the left; only of rows that agree in `within`, if given."""
     n = blocks_for(df.count())
     own = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     rows = df.withColumn("__own", own)
     a = named(rows.withColumn("__i", F.col("__own")).withColumn("__j", F.explode(F.sequence(F.col("__own"), F.lit(n - 1)))), left)
     b = named(rows.withColumn("__j", F.col("__own")).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__own")))), right)
-    met = a.join(b, (F.col(f"{left}__i") == F.col(f"{right}__i")) & (F.col(f"{left}__j") == F.col(f"{right}__j")) & ((F.col(f"{left}__i") < F.col(f"{left}__j")) & (F.col(left + key) != F.col(right + key)) | (F.col(left + key) < F.col(right + key))))
+    agree = F.col(left + within) == F.col(right + within) if within else F.lit(True)
+    met = a.join(b, agree & (F.col(f"{left}__i") == F.col(f"{right}__i")) & (F.col(f"{left}__j") == F.col(f"{right}__j")) & ((F.col(f"{left}__i") < F.col(f"{left}__j")) & (F.col(left + key) != F.col(right + key)) | (F.col(left + key) < F.col(right + key))))
     right_way = F.col(left + key) < F.col(right + key)
     out = []
     for c in df.columns:

@@ -6,14 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import vectors as V
-from matchloom.operators import curves, pairs
-from matchloom.operators import frames as R
+from matchloom.operators import curves, pairs, ranks
 from matchloom.operators import matching as M
 from matchloom.plans import frames as FR
 from matchloom.plans import tables as T
 from matchloom.plans.registry import query
 from matchloom.plans.reports import _FPS, fps_runs
 from matchloom.plans.scans import _REPORTS, reports
+from matchloom.streaming import loops
 
 
 _HIT = "(best_person = person)::INT"
@@ -35,12 +35,11 @@ def l8(spark, d):
 
 @query("r6_iou_and_count_vote", f"WITH {FR._F}, {FR._BOXES}, e2 AS (SELECT * EXCLUDE (episode), sum(reset::INT) OVER (PARTITION BY stream ORDER BY ts, frame) AS episode FROM re), {FR._VOTES.format(src='e2')} SELECT stream, frame, name, hits FROM v WHERE rn = 1 AND hits >= 2")
 def r6(spark, d):
-    """Votes within episodes that end where the box jumps."""
-    b = FR.boxed(spark, d).withColumn("before", F.lag("box").over(R.ordered()))
-    from matchloom.functions import boxes as B
-
-    b = R.episodes(b.drop("episode"), F.col("before").isNull() | (B.iou(F.col("box"), F.col("before")) < 0.20))
-    return R.count_vote(b, 5, 2).where("vote is not null").select("stream", "frame", "vote.name", F.col("vote.hits").cast("long").alias("hits"))
+    """Votes within episodes that end where the box jumps, as a stateful stream."""
+    f, s = FR.live(spark, d), F.col("score")
+    near = lambda k: (F.floor(s * k).cast("long") % 60)
+    boxed = f.withColumn("x", near(3)).withColumn("y", near(7)).withColumn("w", F.lit(40)).withColumn("h", F.lit(40))
+    return loops.drained(loops.box_voting(boxed), "stream long, frame long, name string, score double, hits long").select("stream", "frame", "name", "hits")
 
 
 @query("q2_enroll_and_calibrate", f"WITH {T.MATCHES}, j AS (SELECT vec_id, known, round(max(score) FILTER (WHERE other = person), 9) AS own, round(max(score) FILTER (WHERE other <> person), 9) AS best_other FROM scored GROUP BY vec_id, known, person), g AS (SELECT t, (avg((own >= t)::INT) + avg((best_other < t)::INT)) / 2 AS b FROM j, unnest([0.0, 0.1, 0.2, 0.3]::DOUBLE[]) AS u(t) WHERE known GROUP BY t) SELECT first(t ORDER BY round(b, 9) DESC, t) AS threshold, round(max(b), 6) AS balanced FROM g")
@@ -72,7 +71,8 @@ def _first_of_each(spark, d):
 @query("q5_light_front_independence", f"WITH {T.FEAT}, {_FIRST}, c AS (SELECT label, round(t, 6) AS t FROM (UNPIVOT (SELECT quantile_cont(d, 0.05) AS p05, quantile_cont(d, 0.25) AS p25, greatest(0, avg(d) - stddev_pop(d)) AS mean_minus_std FROM p) ON p05, p25, mean_minus_std INTO NAME label VALUE t)) SELECT label, t, count(*) FILTER (WHERE d <= t) AS hits, count(*) AS comparisons FROM p, c GROUP BY label, t")
 def q5(spark, d):
     p = _first_of_each(spark, d)
-    a = p.agg(F.percentile("d", F.lit(0.05)).alias("p05"), F.percentile("d", F.lit(0.25)).alias("p25"), F.greatest(F.lit(0.0), F.avg("d") - F.stddev_pop("d")).alias("mean_minus_std"))
+    two = ranks.percentiles(p, "d", (0.05, 0.25)).select(F.col("p")[0].alias("p05"), F.col("p")[1].alias("p25"))
+    a = two.crossJoin(p.agg(F.greatest(F.lit(0.0), F.avg("d") - F.stddev_pop("d")).alias("mean_minus_std")))
     c = a.unpivot([], a.columns, "label", "t").withColumn("t", F.round("t", 6))
     return p.crossJoin(F.broadcast(c)).groupBy("label", "t").agg(F.count_if(F.col("d") <= F.col("t")).alias("hits"), F.count("*").alias("comparisons"))
 
@@ -152,8 +152,8 @@ def q17(spark, d):
 
 @query("q19_hybrid_calibration", f"WITH {T.MATCHES} SELECT round(quantile_cont(score, 0.05), 6) AS accept, round(quantile_cont(score, 0.95), 6) AS reject, round(median(score), 6) AS middle, count(*) AS n FROM matches WHERE NOT known")
 def q19(spark, d):
-    at = lambda p: F.round(F.percentile("score", F.lit(p)), 6)
-    return T.matches(spark, d).where("not known").agg(at(0.05).alias("accept"), at(0.95).alias("reject"), F.round(F.median("score"), 6).alias("middle"), F.count("*").alias("n"))
+    p = ranks.percentiles(T.matches(spark, d).where("not known").select("score"), "score", (0.05, 0.95, 0.5))
+    return p.select(*[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("accept", "reject", "middle"))], "n")
 
 
 @query("q21_parity_gate", f"WITH {T.FEAT}, p AS (SELECT {T.dot_sql('a.v', 'b.v')} AS c FROM feat a JOIN feat b ON a.vec_id < b.vec_id), f AS (SELECT 100.0::DOUBLE * count(*) FILTER (WHERE c >= 0.363 AND sqrt(greatest(0, 2 - 2 * c)) <= 1.128) / count(*) AS fp FROM p) SELECT round(fp, 6) AS fp_percent, abs(fp - 0.0747) <= 0.05 AS within_tolerance FROM f")
@@ -175,11 +175,11 @@ def q24(spark, d):
     return T.read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("algorithm")).agg(F.round(F.avg("l_extendedprice"), 4).alias("raw"), F.round(F.avg(net), 4).alias("equalized"), F.round(100 * F.avg(net) / F.avg("l_extendedprice"), 6).alias("share"))
 
 
-@query("q25_self_match", f"WITH {T.FEAT}, p AS (SELECT a.vec_id, first(b.vec_id ORDER BY round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9), b.vec_id) AS best FROM feat a, feat b WHERE a.vec_id % 20 = 0 AND b.vec_id % 4 = 0 GROUP BY a.vec_id) SELECT count(*) AS n, count(*) FILTER (WHERE vec_id = best) AS hits FROM p")
+@query("q25_self_match", f"WITH {T.FEAT}, p AS (SELECT a.vec_id, first(b.vec_id ORDER BY round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9), b.vec_id) AS best FROM feat a, feat b WHERE a.probe GROUP BY a.vec_id) SELECT count(*) AS n, count(*) FILTER (WHERE vec_id = best) AS hits FROM p")
 def q25(spark, d):
     """Matching against a gallery that holds the probes themselves finds them."""
     f = T.feat(spark, d)
-    best = M.arg_min(f.where("vec_id % 20 = 0").select("vec_id", "v"), f.where("vec_id % 4 = 0").select(F.col("vec_id").alias("best"), F.col("v").alias("u")), ["vec_id"], F.round(V.euclidean(F.col("v"), F.col("u")), 9), "best")
+    best = M.arg_min(f.where("probe").select("vec_id", "v"), f.select(F.col("vec_id").alias("best"), F.col("v").alias("u")), ["vec_id"], F.round(V.euclidean(F.col("v"), F.col("u")), 9), "best")
     return best.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") == F.col("best")).alias("hits"))
 
 
@@ -192,8 +192,11 @@ def q26(spark, d):
 
 @query("q27_independence_by_bucket", f"WITH {T.FEAT}, p AS (SELECT a.bucket, round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) AS d FROM feat a JOIN feat b ON a.bucket = b.bucket AND a.vec_id < b.vec_id AND a.label <> b.label) SELECT bucket, count(*) AS pairs, min(d) AS closest, round(median(d), 6) AS median FROM p GROUP BY bucket")
 def q27(spark, d):
-    p = pairs.unique_pairs(T.feat(spark, d).select("vec_id", "label", "bucket", "v"), "vec_id").where("a_bucket = b_bucket and a_label <> b_label")
-    return p.select(F.col("a_bucket").alias("bucket"), F.round(V.euclidean(F.col("a_v"), F.col("b_v")), 9).alias("d")).groupBy("bucket").agg(F.count("*").alias("pairs"), F.min("d").alias("closest"), F.round(F.median("d"), 6).alias("median"))
+    """Pairs within a bucket only: the bucket is part of the key that blocks are joined by."""
+    p = pairs.unique_pairs(T.feat(spark, d).select("vec_id", "label", "bucket", "v"), "vec_id", within="bucket").where("a_label <> b_label")
+    p = p.select(F.col("a_bucket").alias("bucket"), F.round(V.euclidean(F.col("a_v"), F.col("b_v")), 9).alias("d"))
+    middle = ranks.percentiles(p, "d", (0.5,), ["bucket"]).select("bucket", F.round(F.col("p")[0], 6).alias("median"))
+    return p.groupBy("bucket").agg(F.count("*").alias("pairs"), F.min("d").alias("closest")).join(middle, "bucket")
 
 
 @query("q28_figure_data", f"WITH {_REPORTS} SELECT family, round(max(rank1) FILTER (WHERE label = '1-URGENT'), 6) AS urgent, round(max(rank1) FILTER (WHERE label = '5-LOW'), 6) AS low FROM r WHERE family IS NOT NULL GROUP BY family")

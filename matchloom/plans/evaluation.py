@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import vectors as V
-from matchloom.operators import curves, pairs
+from matchloom.operators import curves, pairs, ranks
 from matchloom.operators import matching as M
 from matchloom.plans import tables as T
 from matchloom.plans.registry import query
@@ -70,8 +70,8 @@ def a4(spark, d):
 @query("a5_threshold_sweep", _SWEPT + f" SELECT t, coalesce(bucket, 'overall') AS bucket, {_AT} FROM o GROUP BY GROUPING SETS ((t, bucket), (t))")
 def a5(spark, d):
     both = _swept(spark, d)
-    named = both.groupBy("t", "bucket").agg(*_rates())
-    return named.unionByName(both.groupBy("t").agg(*_rates()).withColumn("bucket", F.lit("overall")))
+    swept = both.groupingSets([[F.col("t"), F.col("bucket")], [F.col("t")]], "t", "bucket").agg(*_rates())
+    return swept.withColumn("bucket", F.coalesce("bucket", F.lit("overall")))
 
 
 @query("a6_closed_set_sweep", _SWEPT + " SELECT t, count(*) AS evaluated, count(*) FILTER (WHERE ok) AS hits, round(count(*) FILTER (WHERE ok)::DOUBLE / count(*), 6) AS hit_rate FROM o WHERE known GROUP BY t")
@@ -112,7 +112,7 @@ for _n, _sql, _of in (("small", T.SMALL, T.scores_small), ("large", T.LARGE, T.s
         n = s.agg(F.count_if(F.col("kind") == "impostor").alias("n"))
         k = n.withColumn("milli", F.explode(F.array(*[F.lit(m) for m in milli]))).withColumn("k", F.expr("milli * n div 100000"))
         imp = s.where("kind = 'impostor'")
-        at = curves.kth_smallest(imp, "d", k.where("k >= 1")).select("milli", F.col("value").alias("t"), F.lit(True).alias("resolvable"))
+        at = ranks.at_ranks(imp, "d", k.where("k >= 1")).select("milli", F.col("value").alias("t"), F.lit(True).alias("resolvable"))
         none = k.where("k < 1").crossJoin(F.broadcast(imp.agg((F.min("d") - 1e-9).alias("t")))).select("milli", "t", F.lit(False).alias("resolvable"))
         p = at.unionByName(none)
         # rates at a threshold: what lies at or below it, one pass over distinct scores
@@ -132,9 +132,9 @@ _PCT = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 
 @query("a12_distance_stats", f"WITH {T.LARGE} SELECT round(min(d), 4) AS lo, round(max(d), 4) AS hi, round(avg(d), 4) AS mean, round(median(d), 4) AS median, round(stddev_pop(d), 4) AS std, " + ", ".join(f"round(quantile_cont(d, {p / 100}), 4) AS p{p:02d}" for p in _PCT) + " FROM s")
 def a12(spark, d):
-    """All percentiles from one pass: an array of them is one aggregate."""
-    ps = [0.5, *(p / 100 for p in _PCT)]
-    a = T.scores_large(spark, d).agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("std"), F.percentile("d", F.array(*map(F.lit, ps))).alias("p"))
+    """The percentiles by exact selection, all of them together; the moments by one aggregation."""
+    s, ps = T.scores_large(spark, d), (0.5, *(p / 100 for p in _PCT))
+    a = s.agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("std")).crossJoin(F.broadcast(ranks.percentiles(s, "d", ps)))
     return a.select(*[F.round(c, 4).alias(c) for c in ("lo", "hi", "mean", "std")], F.round(F.col("p")[0], 4).alias("median"), *[F.round(F.col("p")[i + 1], 4).alias(f"p{p:02d}") for i, p in enumerate(_PCT)])
 
 
@@ -172,7 +172,7 @@ _CAND = "c AS (SELECT 'p01' AS label, round(quantile_cont(d, 0.01), 6) AS t FROM
 def a16(spark, d):
     s = T.scores_large(spark, d)
     names = (("p01", 0.01), ("p05", 0.05), ("p10", 0.1), ("p25", 0.25))
-    a = s.agg(F.percentile("d", F.array(*[F.lit(p) for _, p in names])).alias("p"), F.round(F.greatest(F.lit(0.0), F.avg("d") - F.stddev_pop("d")), 6).alias("mean_minus_std"))
+    a = s.agg(F.round(F.greatest(F.lit(0.0), F.avg("d") - F.stddev_pop("d")), 6).alias("mean_minus_std")).crossJoin(F.broadcast(ranks.percentiles(s, "d", tuple(p for _, p in names))))
     a = a.select(*[F.round(F.col("p")[i], 6).alias(n) for i, (n, _) in enumerate(names)], "mean_minus_std")
     c = a.unpivot([], a.columns, "label", "t")
     return s.crossJoin(F.broadcast(c)).groupBy("label", "t").agg(F.count_if(F.col("d") <= F.col("t")).alias("false_positive_count"), F.count("*").alias("total_comparisons"))
@@ -180,7 +180,9 @@ def a16(spark, d):
 
 @query("a17_suggested_thresholds", f"WITH {T.SMALL}, a AS (SELECT quantile_cont(d, 0.01) AS p01, quantile_cont(d, 0.05) AS p05, quantile_cont(d, 0.1) AS p10, min(d) AS minimum, CASE WHEN stddev_pop(d) > 0 THEN avg(d) - stddev_pop(d) END AS mean_minus_std FROM s) SELECT label, round(t, 6) AS t FROM (UNPIVOT a ON p01, p05, p10, minimum, mean_minus_std INTO NAME label VALUE t)")
 def a17(spark, d):
-    a = T.scores_small(spark, d).agg(F.percentile("d", F.lit(0.01)).alias("p01"), F.percentile("d", F.lit(0.05)).alias("p05"), F.percentile("d", F.lit(0.1)).alias("p10"), F.min("d").alias("minimum"), F.when(F.stddev_pop("d") > 0, F.avg("d") - F.stddev_pop("d")).alias("mean_minus_std"))
+    s = T.scores_small(spark, d)
+    a = s.agg(F.min("d").alias("minimum"), F.when(F.stddev_pop("d") > 0, F.avg("d") - F.stddev_pop("d")).alias("mean_minus_std")).crossJoin(F.broadcast(ranks.percentiles(s, "d", (0.01, 0.05, 0.1))))
+    a = a.select(*[F.col("p")[i].alias(n) for i, n in enumerate(("p01", "p05", "p10"))], "minimum", "mean_minus_std")
     return a.unpivot([], a.columns, "label", "t").where("t is not null").withColumn("t", F.round("t", 6))
 
 
@@ -243,14 +245,17 @@ def a29(spark, d):
 
 @query("a30_spread", f"WITH {T.MATCHES} SELECT known, round(min(score), 3) AS lo, round(quantile_cont(score, 0.05), 3) AS p5, round(median(score), 3) AS median, round(quantile_cont(score, 0.95), 3) AS p95, round(max(score), 3) AS hi FROM matches GROUP BY known")
 def a30(spark, d):
-    return T.matches(spark, d).groupBy("known").agg(F.round(F.min("score"), 3).alias("lo"), F.round(F.percentile("score", F.lit(0.05)), 3).alias("p5"), F.round(F.median("score"), 3).alias("median"), F.round(F.percentile("score", F.lit(0.95)), 3).alias("p95"), F.round(F.max("score"), 3).alias("hi"))
+    m = T.matches(spark, d).select("known", "score")
+    p = ranks.percentiles(m, "score", (0.05, 0.5, 0.95), ["known"])
+    ends = m.groupBy("known").agg(F.round(F.min("score"), 3).alias("lo"), F.round(F.max("score"), 3).alias("hi"))
+    return ends.join(p, "known").select("known", "lo", *[F.round(F.col("p")[i], 3).alias(n) for i, n in enumerate(("p5", "median", "p95"))], "hi")
 
 
 @query("a32_segment_merge", f"WITH {T.LARGE} SELECT segment, count(*) FILTER (WHERE d <= t) AS n, round(t, 4) AS threshold FROM (SELECT *, bucket AS segment FROM s), (SELECT quantile_cont(d, 0.05) AS t FROM s) GROUP BY segment, t")
 def a32(spark, d):
     """One threshold over all segments first, then the counts."""
     s = T.scores_large(spark, d)
-    t = s.agg(F.percentile("d", F.lit(0.05)).alias("t"))
+    t = ranks.percentiles(s, "d", (0.05,)).select(F.col("p")[0].alias("t"))
     return s.crossJoin(F.broadcast(t)).groupBy(F.col("bucket").alias("segment"), "t").agg(F.count_if(F.col("d") <= F.col("t")).alias("n")).select("segment", "n", F.round("t", 4).alias("threshold"))
 
 

@@ -3,6 +3,8 @@ an `error` event is a frame without a face."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from matchloom.functions import boxes as B
 from matchloom.operators import frames as R
 from matchloom.plans import tables as T
 from matchloom.plans.registry import query
+from matchloom.sources.shared import shared_dir
 from matchloom.streaming import loops
 
 
@@ -88,7 +91,9 @@ def w19(spark, d):
 
 @query("r4_stateless_loop", f"WITH {_F} SELECT stream, frame, CASE WHEN name = 'error' THEN 'no_face' WHEN score >= 50 THEN name ELSE 'Unknown' END AS decision FROM f")
 def r4(spark, d):
-    return loops.stateless(frames(spark, d), 50).select("stream", "frame", "decision")
+    """Frame by frame, without state."""
+    out = loops.stateless(live(spark, d), 50).select("stream", "frame", "decision")
+    return loops.drained(out, "stream long, frame long, decision string")
 
 
 _SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -96,7 +101,7 @@ _SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, val
 
 def live(spark, d) -> DataFrame:
     """The same frames as a stream."""
-    e = spark.readStream.schema(_SCHEMA).parquet(f"{d}/events.parquet*")
+    e = spark.readStream.schema(_SCHEMA).option("maxBytesPerTrigger", str(256 << 20)).parquet(f"{d}/events.parquet*")
     return e.select(F.col("event_id").alias("frame"), F.col("user_id").alias("stream"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("name"), F.col("value").alias("score"))
 
 
@@ -127,14 +132,35 @@ def r5(spark, d):
     return out.select("stream", "frame", "name", "hits")
 
 
-@query("r8_rate_limited", f"WITH {_F} SELECT stream, epoch(time_bucket(INTERVAL 6 HOUR, ts))::BIGINT AS slot, last(frame ORDER BY ts, frame) AS frame, count(*) AS frames FROM f GROUP BY ALL")
+@query("r7_no_face_resets", f"WITH {_F}, p AS (SELECT *, count(*) FILTER (WHERE name <> 'error') OVER (PARTITION BY stream, episode ORDER BY ts, frame) AS n FROM ep), l AS (SELECT stream, frame, name, lag(CASE WHEN name = 'error' THEN 0 ELSE n END, 1, 0) OVER (PARTITION BY stream ORDER BY ts, frame) AS n FROM p) SELECT stream, frame, least(5, n)::BIGINT AS cleared FROM l WHERE name = 'error'")
+def r7(spark, d):
+    """Frames without a face clear what the vote held."""
+    return loops.drained(loops.resets(live(spark, d)), "stream long, frame long, cleared long")
+
+
+_SLOTS = f"WITH {_F} SELECT stream, epoch(time_bucket(INTERVAL 6 HOUR, ts))::BIGINT AS slot, last(frame ORDER BY ts, frame) AS frame, count(*) AS frames FROM f GROUP BY ALL"
+
+
+@query("r8_rate_limited", _SLOTS)
 def r8(spark, d):
-    return loops.last_per_slot(frames(spark, d), "6 hours").select("stream", F.unix_seconds("slot").alias("slot"), "frame", "frames")
+    """The last frame of each slot, as totals of a stream."""
+    out = loops.drained_totals(loops.last_per_slot(live(spark, d), "6 hours"), "stream long, slot timestamp, frame long, frames long")
+    return out.select("stream", F.unix_seconds("slot").alias("slot"), "frame", "frames")
 
 
 @query("r9_session_summary", f"WITH {_F} SELECT stream, count(*) AS frames, count(*) FILTER (WHERE name = 'error') AS without_face, round(avg(score), 4) AS mean_score, count(DISTINCT name) AS names FROM f GROUP BY stream")
 def r9(spark, d):
-    return loops.summary(frames(spark, d))
+    """Totals of the session when the stream has ended."""
+    return loops.drained_totals(loops.summary(live(spark, d)), "stream long, frames long, without_face long, mean_score double, names long")
+
+
+@query("k7_fps_log", _SLOTS)
+def k7(spark, d):
+    """A rate-limited JSON log of a stream, read back."""
+    at = f"{shared_dir(spark)}/logs/{uuid.uuid4().hex}"
+    loops.log_json(live(spark, d), at, None, "6 hours").awaitTermination()
+    log = spark.read.schema("stream long, slot timestamp, frame long, frames long, epoch long").json(f"{at}/log")
+    return log.select("stream", F.unix_seconds("slot").alias("slot"), "frame", "frames")
 
 
 @query("r10_bounded_pair_pass", f"WITH {T.FEAT}, p AS (SELECT sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM feat a JOIN feat b ON a.vec_id < b.vec_id) SELECT floor(d * 10)::BIGINT AS bin, count(*) AS n FROM p GROUP BY 1")

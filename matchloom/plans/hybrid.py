@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import labels as L
 from matchloom.operators import matching as M
+from matchloom.operators import ranks
 from matchloom.plans import tables as T
 from matchloom.plans.registry import query
 
@@ -57,11 +58,13 @@ def decided(g: DataFrame, mode: str) -> DataFrame:
 
 @query("p12_mode_dispatch", f"WITH {_CASES} SELECT mode, engine, count(*) AS n, count(*) FILTER (WHERE accepted) AS accepted FROM (SELECT 'cv_only' AS mode, 'first' AS engine, d <= 76.85 AS accepted FROM h UNION ALL SELECT 'dl_only', 'second', margin >= 0.1 FROM h UNION ALL SELECT 'parallel', 'both', CASE WHEN escalate THEN margin >= 0.1 ELSE reason = 'confident_accept' END FROM h UNION ALL SELECT 'cascade', CASE WHEN escalate THEN 'second' ELSE 'first' END, CASE WHEN escalate THEN margin >= 0.1 ELSE reason = 'confident_accept' END FROM h) GROUP BY mode, engine")
 def p12(spark, d):
-    g, out = gated(spark, d), None
-    for mode in ("cv_only", "dl_only", "parallel", "cascade"):
-        one = decided(g, mode).groupBy("engine").agg(F.count("*").alias("n"), F.count_if("accepted").alias("accepted")).withColumn("mode", F.lit(mode))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """All modes in one pass over the rows: each row tells what every mode would do with it."""
+    first, second, sure = F.col("d") <= 76.85, F.col("margin") >= 0.1, F.col("reason") == "confident_accept"
+    both = F.when(F.col("escalate"), second).otherwise(sure)
+    way = lambda mode, engine, accepted: F.struct(F.lit(mode).alias("mode"), engine.alias("engine"), accepted.alias("accepted"))
+    ways = F.array(way("cv_only", F.lit("first"), first), way("dl_only", F.lit("second"), second), way("parallel", F.lit("both"), both), way("cascade", F.when(F.col("escalate"), "second").otherwise("first"), both))
+    g = gated(spark, d).select(F.explode(ways).alias("w"))
+    return g.groupBy("w.mode", "w.engine").agg(F.count("*").alias("n"), F.count_if("w.accepted").alias("accepted"))
 
 
 def far_at(d, anchors=ANCHORS):
@@ -80,7 +83,9 @@ def j15(spark, d):
 
 @query("a24_latency", "SELECT event_type AS stage, count(*) AS n, round(avg(value), 3) AS mean_ms, round(quantile_cont(value, 0.95), 3) AS p95_ms FROM events GROUP BY event_type")
 def a24(spark, d):
-    return T.read(spark, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 3).alias("mean_ms"), F.round(F.percentile("value", F.lit(0.95)), 3).alias("p95_ms"))
+    e = T.read(spark, d, "events").select(F.col("event_type").alias("stage"), "value")
+    p95 = ranks.percentiles(e, "value", (0.95,), ["stage"])
+    return e.groupBy("stage").agg(F.round(F.avg("value"), 3).alias("mean_ms")).join(p95, "stage").select("stage", "n", "mean_ms", F.round(F.col("p")[0], 3).alias("p95_ms"))
 
 
 @query("a25_hybrid_evaluation", f"WITH {_CASES}, e AS (SELECT *, l_orderkey % 5 <> 0 AS known, l_linenumber % 4 <> 3 AS face, CASE WHEN escalate THEN margin >= 0.1 ELSE reason = 'confident_accept' END AS accepted FROM h) SELECT string_split(reason, ':')[1] AS prefix, count(*) AS n, count(*) FILTER (WHERE face) AS evaluated, count(*) FILTER (WHERE face AND accepted) AS hits, round(count(*) FILTER (WHERE known AND face AND accepted)::DOUBLE / nullif(count(*) FILTER (WHERE known), 0), 6) AS tar, round(avg(escalate::INT), 6) AS escalation_rate FROM e GROUP BY 1")
@@ -95,13 +100,19 @@ def a25(spark, d):
 @query("a26_detector_benchmark", "WITH i AS (SELECT l_orderkey, l_shipmode, count(*) AS n, avg(l_quantity) AS ms FROM (SELECT *, CASE WHEN l_suppkey % 2 = 0 THEN 'a' ELSE 'b' END AS l_shipmode FROM lineitem) GROUP BY ALL) SELECT l_shipmode AS detector, count(*) AS images, round(avg((n >= 1)::INT), 6) AS rate, count(*) FILTER (WHERE n = 1) AS exactly_one, sum(n - 1)::BIGINT AS extra, round(avg(ms), 4) AS mean_ms, round(median(ms), 4) AS median_ms, round(1000 / avg(ms), 4) AS fps FROM i GROUP BY 1")
 def a26(spark, d):
     i = T.read(spark, d, "lineitem").groupBy("l_orderkey", F.when(F.col("l_suppkey") % 2 == 0, "a").otherwise("b").alias("detector")).agg(F.count("*").alias("n"), F.avg("l_quantity").alias("ms"))
-    return i.groupBy("detector").agg(F.count("*").alias("images"), F.round(F.avg((F.col("n") >= 1).cast("int")), 6).alias("rate"), F.count_if(F.col("n") == 1).alias("exactly_one"), F.sum(F.col("n") - 1).alias("extra"), F.round(F.avg("ms"), 4).alias("mean_ms"), F.round(F.median("ms"), 4).alias("median_ms"), F.round(1000 / F.avg("ms"), 4).alias("fps"))
+    middle = ranks.percentiles(i, "ms", (0.5,), ["detector"]).select("detector", F.round(F.col("p")[0], 4).alias("median_ms"))
+    return i.groupBy("detector").agg(F.count("*").alias("images"), F.round(F.avg((F.col("n") >= 1).cast("int")), 6).alias("rate"), F.count_if(F.col("n") == 1).alias("exactly_one"), F.sum(F.col("n") - 1).alias("extra"), F.round(F.avg("ms"), 4).alias("mean_ms"), F.round(1000 / F.avg("ms"), 4).alias("fps")).join(middle, "detector")
 
 
 @query("a31_quality_fit", f"WITH {_CASES} SELECT round(quantile_cont(blur, 0.05), 6) AS blur, round(greatest(0, quantile_cont(luma, 0.02)), 6) AS luma_low, round(least(255, quantile_cont(luma, 0.98)), 6) AS luma_high, round(quantile_cont(noise, 0.95), 6) AS noise, round(quantile_cont(pose, 0.95), 6) AS pose, greatest(1, floor(quantile_cont(px, 0.05) * 0.9))::BIGINT AS px FROM c")
 def a31(spark, d):
-    at = lambda c, p: F.percentile(c, F.lit(p))
-    return cases(spark, d).agg(F.round(at("blur", 0.05), 6).alias("blur"), F.round(F.greatest(F.lit(0.0), at("luma", 0.02)), 6).alias("luma_low"), F.round(F.least(F.lit(255.0), at("luma", 0.98)), 6).alias("luma_high"), F.round(at("noise", 0.95), 6).alias("noise"), F.round(at("pose", 0.95), 6).alias("pose"), F.greatest(F.lit(1).cast("long"), F.floor(at("px", 0.05) * 0.9)).alias("px"))
+    asked = (("blur", 0.05), ("luma", 0.02), ("luma", 0.98), ("noise", 0.95), ("pose", 0.95), ("px", 0.05))
+    probes = cases(spark, d).select(F.explode(F.array(*[F.struct(F.lit(c).alias("probe"), F.col(c).cast("double").alias("x")) for c in ("blur", "luma", "noise", "pose", "px")])).alias("e")).select("e.*")
+    p = ranks.percentiles(probes, "x", tuple(sorted({q for _, q in asked})), ["probe"])
+    shares = sorted({q for _, q in asked})
+    one = p.agg(*[F.max(F.when(F.col("probe") == c, F.col("p")[shares.index(q)])).alias(f"{c}_{q}") for c, q in asked])
+    at = lambda c, q: F.col(f"`{c}_{q}`")
+    return one.select(F.round(at("blur", 0.05), 6).alias("blur"), F.round(F.greatest(F.lit(0.0), at("luma", 0.02)), 6).alias("luma_low"), F.round(F.least(F.lit(255.0), at("luma", 0.98)), 6).alias("luma_high"), F.round(at("noise", 0.95), 6).alias("noise"), F.round(at("pose", 0.95), 6).alias("pose"), F.greatest(F.lit(1).cast("long"), F.floor(at("px", 0.05) * 0.9)).alias("px"))
 
 
 @query("f13_feature_bytes", "SELECT p_partkey, (8 * 8 * pow(2, p_size % 9) * 4)::BIGINT AS histogram_bytes, (p_size * 4)::BIGINT AS subspace_bytes FROM part")
@@ -118,4 +129,4 @@ def f22(spark, d):
 def q20(spark, d):
     g = gated(spark, d)
     cascade = F.when(F.col("escalate"), F.col("margin") >= 0.1).otherwise(F.col("reason") == "confident_accept")
-    return g.groupBy("escalate").agg(F.count("*").alias("n"), F.count_if(cascade).alias("cascade"), F.count_if(F.col("d") <= 76.85).alias("cv_only"), F.count_if(F.col("margin") >= 0.1).alias("dl_only"), F.round(F.percentile("d", F.lit(0.95)), 6).alias("p95"))
+    return g.groupBy("escalate").agg(F.count("*").alias("n"), F.count_if(cascade).alias("cascade"), F.count_if(F.col("d") <= 76.85).alias("cv_only"), F.count_if(F.col("margin") >= 0.1).alias("dl_only")).join(ranks.percentiles(g, "d", (0.95,), ["escalate"]).select("escalate", F.round(F.col("p")[0], 6).alias("p95")), "escalate")

@@ -1,34 +1,36 @@
-"""Pixel kernels I3, I6-I15 on 8 x 8 tiles made of the embeddings. Kernels with sums in SQL have counterparts there."""
+"""Pixel kernels I3, I6-I15 on 8 x 8 images made of the embeddings, as column expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from matchloom.functions import augment as A
+from matchloom.functions import grids as G
 from matchloom.functions import vectors as V
-from matchloom.kernels import jobs
-from matchloom.kernels import tiles as K
+from matchloom.operators import subspace
 from matchloom.plans import tables as T
 from matchloom.plans.registry import query
 
+SIDE = 8
+
 
 def tiles(spark, d):
     return T.feat(spark, d).select("vec_id", V.to_uint8(F.col("v"), 127.5, 1.0).alias("tile"))
 
 
 _TILES = f"WITH {T.FEAT}, t AS (SELECT vec_id, list_transform(v, lambda x: greatest(0, least(255, round_even((x + 1) * 127.5, 0)))::INT) AS tile FROM feat)"
+_PIXELS = _TILES + ", px AS (SELECT vec_id, u.i // 8 AS y, u.i % 8 AS x, tile[u.i + 1] AS v FROM t, unnest(range(0, 64)) AS u(i))"
 
 
-def _summed(fn):
-    """Rows of a kernel that turns a tile into a tile: its mean and largest value."""
-    return lambda k, t: [{"vec_id": k, "mean": round(float((x := fn(t)).mean()), 6), "largest": int(x.max())}]
-
+def _sums(spark, d, kernel):
+    """Mean and largest value of what a kernel makes of each tile."""
+    made = tiles(spark, d).select("vec_id", kernel(F.col("tile")).alias("made"))
+    return made.select("vec_id", F.round(G.mean("made"), 6).alias("mean"), F.array_max("made").cast("long").alias("largest"))
 
-_SUMS = "vec_id long, mean double, largest long"
 
-
-@query("i3_downscale")
+@query("i3_downscale", _PIXELS + ", m AS (SELECT vec_id, y // 2 AS y, x // 2 AS x, round_even(avg(v), 0) AS v FROM px GROUP BY ALL) SELECT vec_id, round(avg(v), 6) AS mean, max(v)::BIGINT AS largest FROM m GROUP BY vec_id")
 def i3(spark, d):
-    return jobs.per_tile(tiles(spark, d), "vec_id", _summed(lambda t: K.shrunk(t, 4)), _SUMS)
+    return _sums(spark, d, lambda t: G.shrunk(t, SIDE, 4))
 
 
 _EQ = ", p AS (SELECT vec_id, u.x AS x FROM t, unnest(tile) AS u(x)), c AS (SELECT vec_id, x, count(*) AS n, sum(count(*)) OVER (PARTITION BY vec_id ORDER BY x) AS cum FROM p GROUP BY vec_id, x), e AS (SELECT vec_id, n, first_value(cum) OVER (PARTITION BY vec_id ORDER BY x) AS lo, cum FROM c), q AS (SELECT vec_id, n, round_even((cum - lo) * 255.0::DOUBLE / (64 - lo), 0) AS y FROM e)"
@@ -36,17 +38,21 @@ _EQ = ", p AS (SELECT vec_id, u.x AS x FROM t, unnest(tile) AS u(x)), c AS (SELE
 
 @query("i6_equalize", _TILES + _EQ + " SELECT vec_id, round(sum(n * y) / 64, 6) AS mean, max(y)::BIGINT AS largest FROM q GROUP BY vec_id")
 def i6(spark, d):
-    return jobs.per_tile(tiles(spark, d), "vec_id", _summed(K.equalize), _SUMS)
+    return _sums(spark, d, G.equalized)
 
 
-@query("i6_clahe")
+@query(
+    "i6_clahe",
+    _PIXELS + ", c AS (SELECT a.vec_id, a.y, a.x, sum(CASE WHEN b.v <= a.v THEN 1 ELSE 0 END) AS below FROM px a, (VALUES (-1), (0)) AS dy(k), (VALUES (-1), (0)) AS dx(k), px b WHERE b.vec_id = a.vec_id AND b.y = greatest(0, a.y + dy.k) AND b.x = greatest(0, a.x + dx.k) GROUP BY a.vec_id, a.y, a.x) SELECT vec_id, round(avg(round_even(below * 255.0::DOUBLE / 4, 0)), 6) AS mean, max(round_even(below * 255.0::DOUBLE / 4, 0))::BIGINT AS largest FROM c GROUP BY vec_id",
+)
 def i6_clahe(spark, d):
-    return jobs.per_tile(tiles(spark, d), "vec_id", _summed(K.clahe), _SUMS)
+    """A grid of 8 x 8 cells; on these tiles a cell is a pixel, so a pixel's rank among the four cells around it counts."""
+    return _sums(spark, d, lambda t: G.clahe(t, SIDE))
 
 
 @query("i6_tan_triggs")
 def i6_tan_triggs(spark, d):
-    return jobs.per_tile(tiles(spark, d), "vec_id", _summed(K.tan_triggs), _SUMS)
+    return _sums(spark, d, lambda t: G.tan_triggs(t, SIDE))
 
 
 @query("i8_gamma", _TILES + " SELECT vec_id, list_transform(tile, lambda x: floor(pow(x / 255.0::DOUBLE, 0.5) * 255)::INT) AS tile FROM t")
@@ -60,55 +66,90 @@ def i9(spark, d):
     return tiles(spark, d).select("vec_id", F.transform("tile", lambda x: F.round((x - 127.5) / 128, 6)).alias("blob"))
 
 
+def local_patterns(spark, d):
+    """vec_id, cell, code, share: filled bins of the histograms of 8 x 8 cells; images are drawn out to 18 pixels a side, so
+    that cells have 2 x 2 codes. The feature has 8 * 8 * 256 bins, of which the table holds those that aren't zero."""
+    codes = tiles(spark, d).select("vec_id", F.posexplode(G.binary_patterns(G.scaled(F.col("tile"), SIDE, 18), 18)).alias("i", "code"))
+    cell = F.floor(F.floor(F.col("i") / 16) / 2) * 8 + F.floor(F.col("i") % 16 / 2)
+    return codes.groupBy("vec_id", cell.alias("cell"), "code").agg((F.count("*") / 4.0).alias("share"))
+
+
 @query("i10_lbph_histogram")
 def i10(spark, d):
-    """Its 2 x 2 cells on these small tiles have 1024 bins; returned are the number filled and the largest."""
-    fn = lambda k, t: [{"vec_id": k, "bins": int(((h := K.lbph(t, 2)) > 0).sum()), "largest": round(float(h.max()), 6), "total": round(float(h.sum()), 6)}]
-    return jobs.per_tile(tiles(spark, d), "vec_id", fn, "vec_id long, bins long, largest double, total double")
+    return local_patterns(spark, d).groupBy("vec_id").agg(F.count("*").alias("bins"), F.max("share").alias("largest"), F.sum("share").alias("total"))
 
 
-@query("i11_projection", f"WITH {T.FEAT}, m AS (SELECT u.i, avg(v[u.i]) AS m FROM feat, unnest(range(1, 65)) AS u(i) GROUP BY 1), c AS (SELECT vec_id, i, v[i] - m AS x FROM feat, m) SELECT vec_id, k, round(sum(x * cos(pi() * (2 * i - 1) * k / 128)), 5) AS y FROM c, unnest(range(0, 8)) AS u(k) GROUP BY vec_id, k")
+@query("i11_projection")
 def i11(spark, d):
-    """(x - mean) times a basis; here eight cosines. The basis is a small broadcast table and the product one aggregation."""
-    x = T.feat(spark, d).select("vec_id", F.posexplode("v").alias("i", "x"))
-    c = x.join(F.broadcast(x.groupBy("i").agg(F.avg("x").alias("m"))), "i").select("vec_id", "i", (F.col("x") - F.col("m")).alias("x"))
-    basis = spark.range(64).select(F.col("id").cast("int").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("k")).withColumn("b", F.cos(F.pi() * (2 * F.col("i") + 1) * F.col("k") / 128))
-    return c.join(F.broadcast(basis), "i").groupBy("vec_id", "k").agg(F.round(F.sum(F.col("x") * F.col("b")), 5).alias("y"))
+    """(x - mean) times the axes fitted to the members, four of them; signs of axes are arbitrary, so squares are shown."""
+    mean, axes = subspace.pca(subspace.moments(T.members(spark, d).select("label", "v"), "label"), 4)
+    return subspace.projected(T.feat(spark, d), mean, axes).select("vec_id", F.transform("p", lambda x: F.round(x * x, 6)).alias("squares"))
+
+
+def modified(spark, d):
+    """vec_id, tile, kind, level, made: every tile in all variants."""
+    t = tiles(spark, d)
+    return t.select("vec_id", "tile", F.explode(A.suite(F.col("tile"), SIDE, F.col("vec_id"))).alias("m")).select("vec_id", "tile", "m.*")
 
 
 @query("i12_modification_suite")
 def i12(spark, d):
-    """All 41 variants of each tile: mean absolute change by kind and level."""
+    """Mean absolute change of each tile by kind and level."""
+    change = G.mean(F.zip_with("made", "tile", lambda a, b: F.abs(a - b)))
+    return modified(spark, d).select("vec_id", "kind", "level", F.round(change, 6).alias("change"))
 
-    def fn(k, t):
-        x = t.astype(float)
-        return [{"vec_id": k, "kind": kind, "level": float(level), "change": round(float(abs(K.modified(t, kind, level, k).astype(float) - x).mean()), 6)} for kind, levels in K.SUITE.items() for level in levels]
 
-    return jobs.per_tile(tiles(spark, d), "vec_id", fn, "vec_id long, kind string, level double, change double")
+_POINT = ", m AS (SELECT * FROM (VALUES ('brightness_up', 15.0), ('brightness_down', -60.0), ('contrast_up', 1.30), ('contrast_down', 0.55), ('gamma_up', 1.6), ('gamma_down', 0.5)) AS m(kind, level)), a AS (SELECT vec_id, kind, level::DOUBLE AS level, tile, list_transform(tile, lambda x: floor(greatest(0, least(255, CASE WHEN kind LIKE 'b%' THEN x + level::DOUBLE WHEN kind LIKE 'c%' THEN (x - 128.0::DOUBLE) * level::DOUBLE + 128 ELSE pow(x / 255.0::DOUBLE, 1 / level::DOUBLE) * 255 END)))::INT) AS made FROM t, m)"
 
 
-@query("i12_brightness", _TILES + " SELECT vec_id, list_transform(tile, lambda x: greatest(0, least(255, x + 60))) AS brighter, list_transform(tile, lambda x: floor(greatest(0, least(255, (x - 127.5::DOUBLE) * 1.25 + 127.5)))::INT) AS sharper FROM t")
-def i12_brightness(spark, d):
-    held = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(255.0), x)).cast("int")
-    return tiles(spark, d).select("vec_id", F.transform("tile", lambda x: held(x + 60.0)).alias("brighter"), F.transform("tile", lambda x: held((x - 127.5) * 1.25 + 127.5)).alias("sharper"))
+@query("i12_point_operations", _TILES + _POINT + " SELECT vec_id, kind, level, list_sum(made)::BIGINT AS total FROM a")
+def i12_points(spark, d):
+    """Some variants of the suite whose pixels change one by one."""
+    asked = (("brightness_up", 15.0), ("brightness_down", -60.0), ("contrast_up", 1.30), ("contrast_down", 0.55), ("gamma_up", 1.6), ("gamma_down", 0.5))
+    on = {"b": G.brighter, "c": G.contrasted, "g": G.gamma}
+    made = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("level"), on[k[0]](F.col("tile"), F.lit(v)).alias("made")) for k, v in asked])
+    return tiles(spark, d).select("vec_id", F.explode(made).alias("m")).select("vec_id", "m.kind", "m.level", F.aggregate("m.made", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
 @query("i13_augmentation")
 def i13(spark, d):
-    return jobs.per_tile(tiles(spark, d), "vec_id", lambda k, t: [{"vec_id": k, "strength": s, "mean": round(float(K.augmented(t, s, k).mean()), 6)} for s in ("light", "medium")], "vec_id long, strength string, mean double")
+    made = F.array(*[F.struct(F.lit(s).alias("strength"), A.augmented(F.col("tile"), SIDE, F.col("vec_id"), s).alias("made")) for s in ("light", "medium")])
+    return tiles(spark, d).select("vec_id", F.explode(made).alias("m")).select("vec_id", "m.strength", F.round(G.mean(F.col("m.made")), 6).alias("mean"))
 
 
 @query("i14_quality_probes", _TILES + " SELECT vec_id, round(list_avg(tile), 6) AS luma FROM t")
 def i14(spark, d):
-    return jobs.per_tile(tiles(spark, d), "vec_id", lambda k, t: [{"vec_id": k, "luma": round(float(t.mean()), 6)}], "vec_id long, luma double")
+    return tiles(spark, d).select("vec_id", F.round(G.mean(F.col("tile")), 6).alias("luma"))
+
 
+_MIRROR = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > 7 THEN 14 - ({0}) ELSE {0} END"
+_AROUND = _PIXELS + f", n AS (SELECT a.vec_id, a.y, a.x, sum(k.l * b.v) AS l, sum(k.n * b.v) AS n FROM px a, (VALUES (-1, -1, 0, 1), (-1, 0, 1, -2), (-1, 1, 0, 1), (0, -1, 1, -2), (0, 0, -4, 4), (0, 1, 1, -2), (1, -1, 0, 1), (1, 0, 1, -2), (1, 1, 0, 1)) AS k(dy, dx, l, n), px b WHERE b.vec_id = a.vec_id AND b.y = {_MIRROR.format('(a.y + k.dy)')} AND b.x = {_MIRROR.format('(a.x + k.dx)')} GROUP BY a.vec_id, a.y, a.x)"
 
-@query("i14_blur_and_noise")
+
+@query("i14_blur_and_noise", _AROUND + " SELECT vec_id, round(var_pop(l), 6) AS blur, round(sum(abs(n)) * sqrt(0.5 * pi()) / 216, 6) AS noise FROM n GROUP BY vec_id")
 def i14_blur(spark, d):
-    return jobs.per_tile(tiles(spark, d), "vec_id", lambda k, t: [{"vec_id": k, "blur": round(K.laplacian_variance(t), 6), "noise": round(K.noise_sigma(t), 6)}], "vec_id long, blur double, noise double")
+    return tiles(spark, d).select("vec_id", F.round(G.laplacian_variance(F.col("tile"), SIDE), 6).alias("blur"), F.round(G.noise_sigma(F.col("tile"), SIDE), 6).alias("noise"))
+
+
+#: Regions of a face as left, top, width, height in percent of the image.
+REGIONS = {"full_face": (0, 0, 100, 100), "eyes": (15, 20, 70, 30), "nose": (35, 45, 30, 30), "mouth": (25, 70, 50, 25)}
+
+
+def region(name: str, i):
+    """Whether pixel i lies in a region: its middle does."""
+    left, top, width, height = REGIONS[name]
+    at = lambda p, low, n: ((p + 0.5) * 100 / SIDE >= low) & ((p + 0.5) * 100 / SIDE < low + n)
+    return at(F.floor(i / SIDE), top, height) & at(i % SIDE, left, width)
+
+
+_REGION = ", r(name, l, t, w, h) AS (VALUES " + ", ".join(f"('{n}', {left}, {top}, {w}, {h})" for n, (left, top, w, h) in REGIONS.items()) + ")"
+_IN = "(y + 0.5) * 12.5 >= t AND (y + 0.5) * 12.5 < t + h AND (x + 0.5) * 12.5 >= l AND (x + 0.5) * 12.5 < l + w"
 
 
-@query("i15_region_blackout", _TILES + ", p AS (SELECT vec_id, u.i AS i, tile[u.i + 1] AS x FROM t, unnest(range(0, 64)) AS u(i)) SELECT vec_id, sum(CASE WHEN i // 8 BETWEEN 2 AND 3 THEN 0 ELSE x END)::BIGINT AS without_eyes, sum(CASE WHEN i // 8 BETWEEN 2 AND 3 THEN x ELSE 0 END)::BIGINT AS eyes FROM p GROUP BY vec_id")
+@query("i15_region_blackout", _PIXELS + _REGION + f" SELECT vec_id, name AS region, coalesce(sum(v) FILTER (WHERE {_IN}), 0)::BIGINT AS cropped, coalesce(sum(v) FILTER (WHERE NOT ({_IN})), 0)::BIGINT AS blacked_out FROM px, r GROUP BY ALL")
 def i15(spark, d):
-    row = lambda keep: F.aggregate(F.transform("tile", lambda x, i: F.when(F.floor(i / 8).between(2, 3) == F.lit(keep), x).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x)
-    return tiles(spark, d).select("vec_id", row(False).alias("without_eyes"), row(True).alias("eyes"))
+    """Sums of the pixels that a region's crop keeps, and of those that stay when it is blacked out."""
+    total = lambda t: F.aggregate(t, F.lit(0).cast("long"), lambda s, x: s + x)
+    cut = lambda n, keep: total(F.transform("tile", lambda x, i: F.when(region(n, i) == F.lit(keep), x).otherwise(0)))
+    both = F.array(*[F.struct(F.lit(n).alias("region"), cut(n, True).alias("cropped"), cut(n, False).alias("blacked_out")) for n in REGIONS])
+    return tiles(spark, d).select("vec_id", F.explode(both).alias("r")).select("vec_id", "r.*")

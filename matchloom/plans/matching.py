@@ -62,17 +62,16 @@ def j5(spark, d):
     return M.top_two(_distances(spark, d), "vec_id", "name").withColumn("margin", F.round("margin", 6))
 
 
-@query("w7_relative_margin", f"WITH {T.FEAT}{_NEAR}, few AS (SELECT * FROM own WHERE vec_id % 2 = 0 OR name = 'id_03'), r AS (SELECT *, row_number() OVER w AS rn, lead(distance) OVER w AS nxt FROM few WINDOW w AS (PARTITION BY vec_id ORDER BY distance, name)) SELECT vec_id, round(coalesce(nxt, distance + 999), 6) AS d2, round((coalesce(nxt, distance + 999) - distance) / greatest(distance, 1e-6), 6) AS margin FROM r WHERE rn = 1")
+@query("w7_relative_margin", f"WITH {T.FEAT}{_NEAR}, r AS (SELECT *, row_number() OVER w AS rn, lead(distance) OVER w AS nxt FROM own WINDOW w AS (PARTITION BY vec_id ORDER BY distance, name)) SELECT vec_id, round(coalesce(nxt, distance + 999), 6) AS d2, round((coalesce(nxt, distance + 999) - distance) / greatest(distance, 1e-6), 6) AS margin FROM r WHERE rn = 1")
 def w7(spark, d):
-    """Probes with an odd id meet one identity only: its distance plus 999 is the second."""
-    few = _distances(spark, d).where("vec_id % 2 = 0 or name = 'id_03'")
-    return M.top_two(few, "vec_id", "name").select("vec_id", F.round("d2", 6).alias("d2"), F.round("margin", 6).alias("margin"))
+    """Where there is one identity only, its distance plus 999 is the second."""
+    return M.top_two(_distances(spark, d), "vec_id", "name").select("vec_id", F.round("d2", 6).alias("d2"), F.round("margin", 6).alias("margin"))
 
 
-@query("w8_absolute_margin", f"WITH {T.MATCHES}, r AS (SELECT vec_id, score AS c1, row_number() OVER w AS rn, lead(score) OVER w AS c2 FROM scored WHERE vec_id % 2 = 0 OR other = 'id_03' WINDOW w AS (PARTITION BY vec_id ORDER BY score DESC, other)) SELECT vec_id, round(c1 - coalesce(c2, -1), 6) AS margin FROM r WHERE rn = 1")
+@query("w8_absolute_margin", f"WITH {T.MATCHES}, r AS (SELECT vec_id, score AS c1, row_number() OVER w AS rn, lead(score) OVER w AS c2 FROM scored WINDOW w AS (PARTITION BY vec_id ORDER BY score DESC, other)) SELECT vec_id, round(c1 - coalesce(c2, -1), 6) AS margin FROM r WHERE rn = 1")
 def w8(spark, d):
     g = T.gallery(spark, d).withColumnRenamed("person", "other")
-    s = pairs.each_with_each(T.probes(spark, d).select("vec_id", "v"), g).withColumn("c1", V.dot(F.col("v"), F.col("centroid"))).where("vec_id % 2 = 0 or other = 'id_03'")
+    s = pairs.each_with_each(T.probes(spark, d).select("vec_id", "v"), g).withColumn("c1", V.dot(F.col("v"), F.col("centroid")))
     w = Window.partitionBy("vec_id").orderBy(F.desc("c1"), "other")
     r = s.withColumn("rn", F.row_number().over(w)).withColumn("c2", F.lead("c1").over(w)).where("rn = 1")
     return r.select("vec_id", F.round(F.col("c1") - F.coalesce("c2", F.lit(-1.0)), 6).alias("margin"))
@@ -162,10 +161,10 @@ def f11(spark, d):
     return T.feat(spark, d).select("vec_id", box.alias("b")).select("vec_id", *[F.round(F.col(f"b.{c}"), 6).alias(c) for c in "xywh"])
 
 
-@query("f12_pose_angle", f"WITH {T.FEAT}, p AS (SELECT vec_id, v[3] - v[1] AS dx, v[4] - v[2] AS dy, v[5] AS nx, (v[1] + v[3]) / 2 AS mx FROM feat), r AS (SELECT *, abs(degrees(atan2(dy, dx))) AS a, sqrt(dx * dx + dy * dy) AS gap FROM p) SELECT vec_id, round(greatest(CASE WHEN a > 90 THEN 180 - a ELSE a END, CASE WHEN gap > 0 THEN least(90, 90 * abs(2 * (nx - mx) / gap)) ELSE 90 END), 5) AS pose FROM r")
+@query("f12_pose_angle", f"WITH {T.FEAT}, p AS (SELECT vec_id, v[3] - v[1] AS dx, v[4] - v[2] AS dy, v[5] AS nx, (v[1] + v[3]) / 2 AS mx FROM feat), r AS (SELECT *, abs(degrees(atan2(dy, dx))) AS a, sqrt(dx * dx + dy * dy) AS gap FROM p), f AS (SELECT *, CASE WHEN a > 90 THEN 180 - a ELSE a END AS roll FROM r) SELECT vec_id, round(CASE WHEN gap < 1e-3 THEN roll ELSE greatest(roll, least(90, 90 * abs(nx - mx) / gap)) END, 5) AS pose FROM f")
 def f12(spark, d):
     pt = lambda i: F.struct(F.col("v")[i].alias("x"), F.col("v")[i + 1].alias("y"))
-    return T.feat(spark, d).select("vec_id", F.round(B.pose_angle(pt(0), pt(2), pt(4), pt(6)), 5).alias("pose"))
+    return T.feat(spark, d).select("vec_id", F.round(B.pose_angle(pt(0), pt(2), pt(4)), 5).alias("pose"))
 
 
 @query("p17_impostors", f"WITH {T.FEAT} SELECT vec_id, person FROM feat WHERE person NOT IN (SELECT person FROM feat WHERE NOT probe AND known)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import labels as L
@@ -30,18 +30,18 @@ def fps_runs(spark, d):
     return T.read(spark, d, "events").select(F.when(u % 5 == 0, "alpha").when(u % 5 == 1, "beta").when(u % 5 == 2, "delta").alias("family"), "value", "ts", "user_id")
 
 
-@query("j8_fps_lookup", f"WITH {_REPORTS}, {_FPS}, m AS (SELECT family, round(avg(value), 6) AS fps FROM fps WHERE family IS NOT NULL GROUP BY family) SELECT r.id, m.fps FROM r LEFT JOIN m ON r.family = m.family WHERE r.id % 5 = 0")
+@query("j8_fps_lookup", f"WITH {_REPORTS}, {_FPS}, m AS (SELECT family, round(avg(value), 6) AS fps FROM fps WHERE family IS NOT NULL GROUP BY family) SELECT r.id, m.fps FROM r LEFT JOIN m ON r.family = m.family")
 def j8(spark, d):
     m = fps_runs(spark, d).where("family is not null").groupBy("family").agg(F.round(F.avg("value"), 6).alias("fps"))
-    return reports(spark, d).where("id % 5 = 0").join(m, "family", "left").select("id", "fps")
+    return reports(spark, d).join(m, "family", "left").select("id", "fps")
 
 
-@query("j9_two_lookups", f"WITH {_REPORTS}, a AS (SELECT family, round(max(hit_rate), 6) AS tar FROM r GROUP BY family), b AS (SELECT family, count(*) AS n FROM r WHERE rank1 > 0.5 GROUP BY family) SELECT r.id, a.tar, b.n FROM r LEFT JOIN a ON a.family = r.family LEFT JOIN b ON b.family = r.family WHERE r.id % 9 = 0")
+@query("j9_two_lookups", f"WITH {_REPORTS}, a AS (SELECT family, round(max(hit_rate), 6) AS tar FROM r GROUP BY family), b AS (SELECT family, count(*) AS n FROM r WHERE rank1 > 0.5 GROUP BY family) SELECT r.id, a.tar, b.n FROM r LEFT JOIN a ON a.family = r.family LEFT JOIN b ON b.family = r.family")
 def j9(spark, d):
     r = reports(spark, d)
     a = r.where("family is not null").groupBy("family").agg(F.round(F.max("hit_rate"), 6).alias("tar"))
     b = r.where("rank1 > 0.5 and family is not null").groupBy("family").agg(F.count("*").alias("n"))
-    return r.where("id % 9 = 0").join(a, "family", "left").join(b, "family", "left").select("id", "tar", "n")
+    return r.join(a, "family", "left").join(b, "family", "left").select("id", "tar", "n")
 
 
 @query("j11_matrix_assembly", f"WITH {_REPORTS} SELECT label, round(avg(rank1) FILTER (WHERE family = 'alpha'), 6) AS alpha, round(avg(rank1) FILTER (WHERE family = 'beta'), 6) AS beta, round(avg(rank1) FILTER (WHERE family = 'gamma'), 6) AS gamma FROM r GROUP BY label")
@@ -127,16 +127,24 @@ def p13(spark, d):
     return reports(spark, d).select("id", F.coalesce("rank1", "hit_rate", F.round(F.col("id") % 100 / 100.0, 6)).alias("metric"), F.when(F.col("rank1").isNotNull(), "rank1").when(F.col("hit_rate").isNotNull(), "hit_rate").otherwise("counts").alias("origin"))
 
 
-@query("p14_verdict", "SELECT o_orderkey, 'TAR ' || CASE WHEN o_totalprice >= 250000 THEN 'PASS' ELSE 'FAIL' END || '; latency ' || CASE WHEN o_custkey % 100 < 60 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM orders")
+@query("p14_verdict", "SELECT o_orderkey, 'TAR(rank-1) ' || CASE WHEN r >= 90 THEN 'PASS' ELSE 'below 90%' END || '; feature ' || CASE WHEN b > 0 AND b < 1024 THEN 'PASS <1KB' ELSE 'FAIL >=1KB' END || '; ' || CASE WHEN fps IS NULL THEN 'fps n/a' WHEN fps >= 30 THEN '>=30fps PASS' ELSE '<30fps' END AS verdict FROM (SELECT o_orderkey, o_totalprice / 4000 AS r, o_custkey % 5 * 256 AS b, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey % 60 END AS fps FROM orders)")
 def p14(spark, d):
-    word = lambda n, c: F.concat(F.lit(n + " "), F.when(c, "PASS").otherwise("FAIL"))
-    return T.read(spark, d, "orders").select("o_orderkey", F.concat_ws("; ", word("TAR", F.col("o_totalprice") >= 250000), word("latency", F.col("o_custkey") % 100 < 60)).alias("verdict"))
+    runs = T.read(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 4000).alias("rank1"), (F.col("o_custkey") % 5 * 256).alias("bytes"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey") % 60).alias("fps"))
+    return runs.select("o_orderkey", L.verdict(F.col("rank1"), F.col("bytes"), F.col("fps")).alias("verdict"))
 
 
-@query("p16_family_alias", "SELECT p_partkey, CASE WHEN lower(p_type) IN ('economy', 'promo') OR contains(lower(p_name), 'red') THEN CASE WHEN contains(lower(p_brand), '1') THEN 'first_int8' ELSE 'first' END ELSE 'other' END AS family FROM part")
+_TAGGED = "t AS (SELECT p_partkey, ['arcface_buffalo_s', 'arcface_buffalo_s_int8', 'arcface_mobilenet_int8', 'lbph', ' Hybrid ', 'other'][p_size % 6 + 1] AS family, CASE WHEN p_partkey % 3 = 0 THEN 'w600k_INT8' ELSE 'w600k' END AS variant FROM part)"
+
+
+def _tagged(spark, d):
+    tags = F.array(*map(F.lit, ("arcface_buffalo_s", "arcface_buffalo_s_int8", "arcface_mobilenet_int8", "lbph", " Hybrid ", "other")))
+    return T.read(spark, d, "part").select("p_partkey", F.get(tags, F.col("p_size") % 6).alias("family"), F.when(F.col("p_partkey") % 3 == 0, "w600k_INT8").otherwise("w600k").alias("variant"))
+
+
+@query("p16_family_alias", f"WITH {_TAGGED}, c AS (SELECT p_partkey, lower(trim(family)) AS f, contains(lower(variant), 'int8') OR lower(trim(family)) LIKE '%\\_int8' ESCAPE '\\' AS quantized FROM t) SELECT p_partkey, f = 'arcface_buffalo_s' AND NOT quantized AS plain, f IN ('arcface_mobilenet_int8', 'arcface_buffalo_s_int8') AND quantized AS small, f = 'hybrid' AS hybrid FROM c")
 def p16(spark, d):
-    named = F.lower("p_type").isin("economy", "promo") | F.contains(F.lower("p_name"), F.lit("red"))
-    return T.read(spark, d, "part").select("p_partkey", F.when(named, F.when(F.contains(F.lower("p_brand"), F.lit("1")), "first_int8").otherwise("first")).otherwise("other").alias("family"))
+    own = lambda m: L.of_model(m, F.col("family"), F.col("variant"))
+    return _tagged(spark, d).select("p_partkey", own("ArcFace").alias("plain"), own("ArcFace MobileNet INT8").alias("small"), own("Hybrid").alias("hybrid"))
 
 
 @query("w10_latest_per_key", f"WITH {_REPORTS} SELECT label, first(id ORDER BY mtime DESC, id) AS id FROM r GROUP BY label")
@@ -145,10 +153,10 @@ def w10(spark, d):
     return reports(spark, d).groupBy("label").agg(F.max_by("id", F.struct("mtime", -F.col("id"))).alias("id"))
 
 
-@query("w11_sorted_rows", f"WITH {_REPORTS} SELECT id, row_number() OVER (ORDER BY hit_rate DESC NULLS LAST, rank1 DESC NULLS LAST, family DESC NULLS LAST, id) AS place FROM r WHERE id % 3 = 0 ORDER BY place LIMIT 50")
+@query("w11_sorted_rows", f"WITH {_REPORTS} SELECT id, row_number() OVER (ORDER BY hit_rate DESC NULLS LAST, rank1 DESC NULLS LAST, family DESC NULLS LAST, id) AS place FROM r ORDER BY place LIMIT 50")
 def w11(spark, d):
     keys = (F.col("hit_rate").desc_nulls_last(), F.col("rank1").desc_nulls_last(), F.col("family").desc_nulls_last(), F.col("id"))
-    top = reports(spark, d).where("id % 3 = 0").orderBy(*keys).limit(50)
+    top = reports(spark, d).orderBy(*keys).limit(50)
     return top.select("id", F.row_number().over(Window.orderBy(*keys)).cast("long").alias("place"))
 
 
@@ -161,15 +169,16 @@ def w12(spark, d):
 _JSON = "'{\"brand\":\"' || p_brand || '\",\"size\":' || p_size || ',\"type\":\"' || p_type || '\"}'"
 
 
-@query("f14_slug", f"SELECT p_partkey, sha1({_JSON})[1:12] AS slug FROM part")
+@query("f14_slug", f"SELECT p_partkey, 'ds_' || sha1({_JSON})[1:12] AS slug FROM part")
 def f14(spark, d):
     """Keys of the compact JSON are in order."""
-    return T.read(spark, d, "part").select("p_partkey", L.slug(F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.col("p_type").alias("type")))).alias("slug"))
+    return T.read(spark, d, "part").select("p_partkey", L.slug(F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.col("p_type").alias("type"))), "ds").alias("slug"))
 
 
-@query("f15_token_clean", "SELECT c_custkey, CASE WHEN t <> '' THEN t ELSE 'unknown' END AS token FROM (SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace('#' || c_name || ' / ' || c_mktsegment || '!', '[^A-Za-z0-9._-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS t FROM customer)")
+@query("f15_token_clean", "SELECT c_custkey, CASE WHEN t <> '' THEN t ELSE 'default' END AS token FROM (SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace(CASE WHEN c_custkey % 7 = 0 THEN ' !? ' ELSE '#' || c_name || ' / ' || c_mktsegment || '!' END, '[^A-Za-z0-9._-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS t FROM customer)")
 def f15(spark, d):
-    return T.read(spark, d, "customer").select("c_custkey", L.clean_token(F.concat(F.lit("#"), "c_name", F.lit(" / "), "c_mktsegment", F.lit("!"))).alias("token"))
+    name = F.when(F.col("c_custkey") % 7 == 0, " !? ").otherwise(F.concat(F.lit("#"), "c_name", F.lit(" / "), "c_mktsegment", F.lit("!")))
+    return T.read(spark, d, "customer").select("c_custkey", L.clean_token(name).alias("token"))
 
 
 @query("f16_relative_path", "SELECT p_partkey, replace('reports\\' || p_type || '\\' || p_partkey || '.json', '\\', '/') AS path FROM part")
@@ -183,10 +192,12 @@ def f17(spark, d):
     return T.read(spark, d, "part").select("p_partkey", F.concat_ws("__", L.stem(F.concat(F.lit("m/model_"), s, F.lit(".yml"))), L.stem(F.concat(F.lit("m/labels_"), s, F.lit(".json")))).alias("variant"))
 
 
-@query("f18_dataset_label", "SELECT p_partkey, 'raw=' || p_brand || CASE WHEN p_size % 2 = 0 THEN ' | aug=' || p_type || '[' || p_size || ']' ELSE '' END || CASE WHEN p_size % 3 = 0 THEN ' | split=test' ELSE '' END AS label FROM part")
+@query("f18_dataset_label", "WITH x AS (SELECT p_partkey, list_filter(['raw=' || CASE WHEN p_size % 2 = 0 THEN p_brand END, 'processed=' || CASE WHEN p_size % 5 < 2 THEN p_name END, 'aug=' || CASE WHEN p_size % 3 = 0 THEN p_type END || '[' || CASE WHEN p_size % 4 = 0 THEN 'light,medium' ELSE 'all' END || ']', 'split=' || CASE WHEN p_size % 7 = 0 THEN 'test' END], lambda v: v IS NOT NULL) AS parts FROM part) SELECT p_partkey, CASE WHEN len(parts) > 0 THEN array_to_string(parts, ' | ') ELSE 'no_dataset_selected' END AS label FROM x")
 def f18(spark, d):
     size = F.col("p_size")
-    return T.read(spark, d, "part").select("p_partkey", F.concat_ws(" | ", F.concat(F.lit("raw="), "p_brand"), F.when(size % 2 == 0, F.concat(F.lit("aug="), "p_type", F.lit("["), size.cast("string"), F.lit("]"))), F.when(size % 3 == 0, F.lit("split=test"))).alias("label"))
+    where = lambda c, x: F.when(c, F.col(x))
+    label = L.dataset_label(where(size % 2 == 0, "p_brand"), where(size % 5 < 2, "p_name"), where(size % 3 == 0, "p_type"), F.when(size % 4 == 0, " Medium,,light ,light"), F.when(size % 7 == 0, "test"))
+    return T.read(spark, d, "part").select("p_partkey", label.alias("label"))
 
 
 @query("f19_rng_key", None)
@@ -195,32 +206,47 @@ def f19(spark, d):
     return T.read(spark, d, "part").select("p_partkey", F.crc32(F.concat_ws("|", "p_brand", "p_type", F.col("p_size").cast("string")).cast("binary")).alias("seed"))
 
 
-@query("f20_formats", "SELECT o_orderkey, CASE WHEN n < 1024 THEN printf('%d B', n) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0::DOUBLE) ELSE printf('%.1f MB', n / 1048576.0::DOUBLE) END AS size, CASE WHEN s // 3600 > 0 THEN printf('%dh %02dm %02ds', s // 3600, s % 3600 // 60, s % 60) WHEN s // 60 > 0 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%ds', s) END AS duration FROM (SELECT o_orderkey, o_orderkey * o_custkey AS n, o_custkey * 7 AS s FROM orders)")
+_UNITS = "[' B', ' KB', ' MB', ' GB', ' TB']"
+
+
+@query("f20_formats", f"WITH x AS (SELECT o_orderkey, (o_orderkey * pow(o_custkey, o_orderkey % 5))::DOUBLE AS n, o_custkey * 7 - 30 AS s FROM orders), k AS (SELECT *, least(4, CASE WHEN n < 1024 THEN 0 ELSE floor(log2(n) / 10) END)::INT AS k FROM x) SELECT o_orderkey, printf('%.2f', n / pow(1024, k)) || ({_UNITS})[k + 1] AS size, CASE WHEN s >= 3600 THEN printf('%02d:', s // 3600) ELSE '' END || printf('%02d:%02d', greatest(s, 0) % 3600 // 60, greatest(s, 0) % 60) AS duration FROM k")
 def f20(spark, d):
-    return T.read(spark, d, "orders").select("o_orderkey", L.byte_size(F.col("o_orderkey") * F.col("o_custkey")).alias("size"), L.duration(F.col("o_custkey") * 7).alias("duration"))
+    n = F.col("o_orderkey") * F.pow("o_custkey", F.col("o_orderkey") % 5)
+    return T.read(spark, d, "orders").select("o_orderkey", L.byte_size(n).alias("size"), L.duration(F.col("o_custkey") * 7 - 30).alias("duration"))
 
 
-@query("f21_ppm_cell", "SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN '-' WHEN p_size * 7.25::DOUBLE >= 100 THEN printf('%.0f', p_size * 7.25::DOUBLE) ELSE printf('%.1f', p_size * 7.25::DOUBLE) END AS cell FROM part WHERE p_size % 2 = 1 OR p_size % 10 = 0")
+@query("f21_ppm_cell", "SELECT p_partkey, CASE WHEN p < 0.1 THEN printf('%.4f', p) || '% (' || printf('%.0f', p * 10000) || ' ppm)' ELSE printf('%.3f', p) || '%' END AS cell FROM (SELECT p_partkey, p_size * p_partkey / 16384.0::DOUBLE AS p FROM part)")
 def f21(spark, d):
-    p = T.read(spark, d, "part").where("p_size % 2 = 1 or p_size % 10 = 0")
-    return p.select("p_partkey", L.ppm_cell(F.when(F.col("p_size") % 10 != 0, F.col("p_size") * F.lit(7.25))).alias("cell"))
+    return T.read(spark, d, "part").select("p_partkey", L.ppm_cell(F.col("p_size") * F.col("p_partkey") / 16384.0).alias("cell"))
 
 
-@query("f23_variant_inference", "SELECT p_partkey, regexp_replace(regexp_replace('evaluation_report_' || lower(p_type) || '_' || p_size || '.json', '\\.json$', ''), '^evaluation_report_', '') AS variant FROM part")
+_FILES = "['lbph_evaluation.json', 'LBPH_Trainer_' || p_size || '_eval.json', 'lbph_' || p_size || '_report.json', 'other_' || p_size || '_report_eval.json', 'lbph__.json', 'lbphx.json'][p_partkey % 6 + 1]"
+
+
+@query("f23_variant_inference", f"WITH n AS (SELECT p_partkey, regexp_replace(regexp_replace(lower({_FILES}), '\\.json$', ''), '_(evaluation|eval|report)$', '') AS n FROM part), c AS (SELECT p_partkey, CASE WHEN n = 'lbph' THEN '' WHEN starts_with(n, 'lbph_') THEN trim(n[6:], '_') ELSE n END AS v FROM n) SELECT p_partkey, CASE WHEN v = '' THEN 'default' ELSE v END AS variant FROM c")
 def f23(spark, d):
-    name = F.concat(F.lit("evaluation_report_"), F.lower("p_type"), F.lit("_"), F.col("p_size").cast("string"), F.lit(".json"))
-    return T.read(spark, d, "part").select("p_partkey", F.regexp_replace(F.regexp_replace(name, r"\.json$", ""), "^evaluation_report_", "").alias("variant"))
+    size = F.col("p_size").cast("string")
+    named = lambda *x: F.concat(F.lit("reports/"), *[y if isinstance(y, Column) else F.lit(y) for y in x])
+    files = F.array(named("lbph_evaluation.json"), named("LBPH_Trainer_", size, "_eval.json"), named("lbph_", size, "_report.json"), named("other_", size, "_report_eval.json"), named("lbph__.json"), named("lbphx.json"))
+    return T.read(spark, d, "part").select("p_partkey", L.report_variant(F.get(files, (F.col("p_partkey") % 6).cast("int")), "LBPH").alias("variant"))
 
 
-@query("f24_compact_tag", "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_type || '__' || p_brand), '[^a-z0-9]+', '-', 'g'), '-+$', '') AS tag FROM part")
+@query("f24_compact_tag", "WITH v AS (SELECT p_partkey, lower(trim(['trainer_lasalle-r' || p_size || '_labels_x', 'enrollment_Processed', 'trainer_raw', 'lfw-', p_type || '__' || p_brand, ' ', 'hybrid-raw-' || p_size || '_'][p_partkey % 7 + 1])) AS v FROM part), a AS (SELECT p_partkey, regexp_replace(regexp_replace(CASE WHEN starts_with(v, 'trainer_') THEN regexp_replace(v, '_labels_.*', '') ELSE v END, '^trainer_', ''), '^enrollment_', '') AS v FROM v), b AS (SELECT p_partkey, trim(regexp_replace(v, '^(processed-|raw-|hybrid-|lasalle-|lfw-)', ''), '_-') AS v FROM a), c AS (SELECT p_partkey, v, trim(regexp_replace(v, '[^a-z0-9]+', '-', 'g'), '-') AS t FROM b) SELECT p_partkey, CASE v WHEN 'processed' THEN 'p' WHEN 'raw' THEN 'r' ELSE CASE WHEN t = '' THEN 'default' ELSE t END END AS tag FROM c")
 def f24(spark, d):
-    return T.read(spark, d, "part").select("p_partkey", F.regexp_replace(F.regexp_replace(F.lower(F.concat("p_type", F.lit("__"), "p_brand")), "[^a-z0-9]+", "-"), "-+$", "").alias("tag"))
+    size = F.col("p_size").cast("string")
+    names = F.array(F.concat(F.lit("trainer_lasalle-r"), size, F.lit("_labels_x")), F.lit("enrollment_Processed"), F.lit("trainer_raw"), F.lit("lfw-"), F.concat("p_type", F.lit("__"), "p_brand"), F.lit(" "), F.concat(F.lit("hybrid-raw-"), size, F.lit("_")))
+    return T.read(spark, d, "part").select("p_partkey", L.compact_tag(F.get(names, (F.col("p_partkey") % 7).cast("int"))).alias("tag"))
+
 
+_COMBOS = "x AS (SELECT p_partkey, ['lasalle_db1', 'camera', '__disabled__', 'split_lasalle/train'][p_size % 4 + 1] AS raw, ['lfw_funneled', 'faces'][p_size % 2 + 1] AS proc, ['light, Medium', 'medium', '__disabled__'][p_size % 3 + 1] AS aug, p_partkey % 2 = 0 AS with_raw, p_partkey % 3 = 0 AS with_proc, p_partkey % 5 > 1 AS with_aug FROM part)"
 
-@query("f25_combo_slug", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'raw' ELSE 'processed' END || CASE WHEN p_size % 3 = 0 THEN '_aug_' || lower(p_brand) ELSE '' END || CASE WHEN p_size % 5 = 0 THEN '_cap' || p_size ELSE '' END AS slug FROM part")
+
+@query("f25_combo_slug", f"WITH {_COMBOS}, y AS (SELECT * REPLACE (with_raw AND raw <> '__disabled__' AS with_raw, with_aug AND aug <> '__disabled__' AS with_aug) FROM x), f AS (SELECT *, CASE WHEN raw LIKE 'split%' THEN 'lasalleclean' WHEN with_raw AND raw LIKE 'lasalle%' THEN 'lasalle' WHEN with_proc AND proc LIKE 'lfw%' THEN 'lfw' WHEN with_raw AND with_proc THEN 'hybrid' WHEN with_raw THEN 'raw' WHEN with_proc THEN 'processed' ELSE 'dataset' END AS f FROM y), l AS (SELECT p_partkey, f, CASE WHEN with_raw AND f IN ('lfw', 'raw') THEN 'r' ELSE '' END || CASE WHEN with_proc AND f IN ('lasalleclean', 'lasalle', 'processed') THEN 'p' ELSE '' END || CASE WHEN with_aug AND aug LIKE 'light%' THEN 'lm' WHEN with_aug THEN 'm' ELSE '' END AS l FROM f) SELECT p_partkey, f || CASE WHEN l = '' THEN '' ELSE '-' || l END AS slug FROM l")
 def f25(spark, d):
-    size = F.col("p_size")
-    return T.read(spark, d, "part").select("p_partkey", F.concat_ws("_", F.when(size % 2 == 0, "raw").otherwise("processed"), F.when(size % 3 == 0, F.concat(F.lit("aug_"), F.lower("p_brand"))), F.when(size % 5 == 0, F.concat(F.lit("cap"), size.cast("string")))).alias("slug"))
+    size, key = F.col("p_size"), F.col("p_partkey")
+    one = lambda *x: F.get(F.array(*map(F.lit, x)), (size % len(x)).cast("int"))
+    raw, processed, splits = one("lasalle_db1", "camera", L.DISABLED, "split_lasalle/train"), one("lfw_funneled", "faces"), one("light, Medium", "medium", L.DISABLED)
+    return T.read(spark, d, "part").select("p_partkey", L.combo_slug(raw, processed, splits, F.lit("data"), key % 2 == 0, key % 3 == 0, key % 5 > 1).alias("slug"))
 
 
 @query("f26_csv_list", "SELECT c_custkey, list_filter(list_transform(string_split(' ' || c_mktsegment || ', ,' || c_name || ' ,', ','), lambda x: lower(trim(x))), lambda x: x <> '') AS items FROM customer")
@@ -245,9 +271,12 @@ def k6(spark, d):
     return g.select(sinks.markdown_row("bucket", F.col("n").cast("string"), sinks.fixed(F.col("m"), 2)).alias("line"))
 
 
-@query("q9_spec_comparison", f"WITH {_REPORTS}, {_FPS}, l AS (SELECT family, first(id ORDER BY mtime DESC, id DESC) AS id, first(rank1 ORDER BY mtime DESC, id DESC) AS rank1 FROM r WHERE rank1 IS NOT NULL AND family IS NOT NULL GROUP BY family), m AS (SELECT family, round(avg(value), 6) AS fps FROM fps WHERE family IS NOT NULL GROUP BY family) SELECT l.family, l.id, l.rank1, m.fps, CASE WHEN rank1 >= 0.5 THEN 'PASS' ELSE 'FAIL' END || '; ' || CASE WHEN fps >= 30 THEN 'PASS' WHEN fps IS NULL THEN 'n/a' ELSE 'FAIL' END AS verdict FROM l LEFT JOIN m ON l.family = m.family")
+@query("q9_spec_comparison", f"WITH {_REPORTS}, {_FPS}, l AS (SELECT family, first(id ORDER BY mtime DESC, id DESC) AS id, first(rank1 ORDER BY mtime DESC, id DESC) AS rank1 FROM r WHERE rank1 IS NOT NULL AND family IS NOT NULL GROUP BY family), m AS (SELECT family, round(avg(value), 6) AS fps FROM fps WHERE family IS NOT NULL GROUP BY family), j AS (SELECT l.family, l.id, l.rank1, m.fps, CASE l.family WHEN 'alpha' THEN 65536 WHEN 'beta' THEN 960 ELSE 108 END AS b FROM l LEFT JOIN m ON l.family = m.family) SELECT *, 'TAR(rank-1) ' || CASE WHEN 100 * rank1 >= 90 THEN 'PASS' ELSE 'below 90%' END || CASE WHEN b < 1024 THEN '; feature PASS <1KB' ELSE '; feature FAIL >=1KB' END || CASE WHEN fps IS NULL THEN '; fps n/a' WHEN fps >= 30 THEN '; >=30fps PASS' ELSE '; <30fps' END AS verdict, row_number() OVER (ORDER BY rank1 DESC, family) AS place FROM j")
 def q9(spark, d):
+    """The newest run of each family with its speed, its feature's size and the verdict, best first."""
     newest = reports(spark, d).where("rank1 is not null and family is not null").groupBy("family").agg(F.max(F.struct("mtime", "id", "rank1")).alias("x"))
     m = fps_runs(spark, d).where("family is not null").groupBy("family").agg(F.round(F.avg("value"), 6).alias("fps"))
     j = newest.select("family", "x.id", "x.rank1").join(m, "family", "left")
-    return j.withColumn("verdict", F.concat_ws("; ", F.when(F.col("rank1") >= 0.5, "PASS").otherwise("FAIL"), F.when(F.col("fps") >= 30, "PASS").when(F.col("fps").isNull(), "n/a").otherwise("FAIL")))
+    j = j.withColumn("b", F.when(F.col("family") == "alpha", 65536).when(F.col("family") == "beta", 960).otherwise(108))
+    # one row a family, so the window is small
+    return j.withColumn("verdict", L.verdict(100 * F.col("rank1"), F.col("b"), F.col("fps"))).withColumn("place", F.row_number().over(Window.orderBy(F.desc("rank1"), "family")).cast("long"))

@@ -146,9 +146,9 @@ def s22(spark, d):
     return T.read(spark, d, "events").groupBy(F.col("user_id").alias("run_id")).agg(F.count("*").alias("frames"), F.round(F.avg("value"), 6).alias("average_fps"))
 
 
-@query("s24_fallback_chain", f"WITH {_REPORTS}, a AS (SELECT family, max(hit_rate) AS v FROM r WHERE label = '1-URGENT' AND id % 11 = 0 GROUP BY family), b AS (SELECT family, round(avg(rank1), 6) AS v FROM r GROUP BY family) SELECT b.family, coalesce(a.v, b.v) AS value, CASE WHEN a.v IS NOT NULL THEN 'aggregate' ELSE 'runs' END AS origin FROM b LEFT JOIN a ON a.family = b.family WHERE b.family IS NOT NULL")
+@query("s24_fallback_chain", f"WITH {_REPORTS}, a AS (SELECT family, max(hit_rate) AS v FROM r WHERE label = '1-URGENT' AND family <> 'beta' GROUP BY family), b AS (SELECT family, round(avg(rank1), 6) AS v FROM r GROUP BY family) SELECT b.family, coalesce(a.v, b.v) AS value, CASE WHEN a.v IS NOT NULL THEN 'aggregate' ELSE 'runs' END AS origin FROM b LEFT JOIN a ON a.family = b.family WHERE b.family IS NOT NULL")
 def s24(spark, d):
     r = reports(spark, d).where("family is not null")
-    a = r.where("label = '1-URGENT' and id % 11 = 0").groupBy("family").agg(F.max("hit_rate").alias("a"))
+    a = r.where("label = '1-URGENT' and family <> 'beta'").groupBy("family").agg(F.max("hit_rate").alias("a"))
     b = r.groupBy("family").agg(F.round(F.avg("rank1"), 6).alias("b"))
     return b.join(a, "family", "left").select("family", F.coalesce("a", "b").alias("value"), F.when(F.col("a").isNotNull(), "aggregate").otherwise("runs").alias("origin"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import vectors as V
-from matchloom.operators import pairs
+from matchloom.operators import pairs, ranks
 from matchloom.plans import tables as T
 from matchloom.plans.registry import query
 
@@ -61,27 +61,21 @@ def f8(spark, d):
 
 @query(
     "f9_cell_mask",
-    "WITH m AS (SELECT i FROM unnest(range(0, 64)) AS u(i) WHERE i // 8 BETWEEN 2 AND 5 AND i % 8 BETWEEN 1 AND 6) SELECT vec_id, round(sum(embedding[i + 1]::DOUBLE), 6) AS kept_sum, count(*) AS cells FROM embeddings, m GROUP BY vec_id",
+    "WITH m AS (SELECT r * 8 + c AS i FROM (SELECT 2 AS r, unnest(range(1, 7)) AS c UNION ALL SELECT 3, unnest(range(1, 7)) UNION ALL SELECT 4, unnest(range(2, 6)) UNION ALL SELECT 5, unnest(range(2, 6)) UNION ALL SELECT 6, unnest(range(2, 6)))) SELECT vec_id, round(sum(embedding[i + 1]::DOUBLE), 6) AS kept_sum, count(*) AS cells FROM embeddings, m GROUP BY vec_id",
 )
 def f9(spark, d):
-    """Keeps 24 of the 8 x 8 cells: rows 2 to 5, columns 1 to 6."""
-    inside = F.filter(F.zip_with("v", F.sequence(F.lit(0), F.lit(63)), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: (F.floor(s["i"] / 8).between(2, 5)) & ((s["i"] % 8).between(1, 6)))
-    return T.feat(spark, d).withColumn("c", inside).select("vec_id", F.round(V.total(F.transform("c", lambda s: s["x"])), 6).alias("kept_sum"), F.size("c").cast("long").alias("cells"))
+    """Keeps the 24 of 8 x 8 cells that hold eyes, nose and mouth."""
+    kept = V.landmark_cells(F.col("v"))
+    return T.feat(spark, d).select("vec_id", F.round(V.total(kept), 6).alias("kept_sum"), F.size(kept).cast("long").alias("cells"))
 
 
-def _identities(spark, d):
-    """One vector for each of a hundred pseudo identities: those with vec_id below 100."""
-    return T.feat(spark, d).where("vec_id < 100").select("vec_id", "person", "v")
-
-
-_IDS = "ids AS (SELECT vec_id, person, v FROM feat WHERE vec_id < 100)"
 _DIST = "sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
-_UNIQUE = f"up AS (SELECT a.vec_id AS query, b.vec_id AS candidate, round({_DIST}, 9) AS d FROM ids a JOIN ids b ON a.vec_id < b.vec_id)"
-_ORDERED = f"op AS (SELECT a.vec_id AS query, b.vec_id AS candidate, round({_DIST}, 9) AS d FROM ids a JOIN ids b ON a.vec_id <> b.vec_id)"
+_UNIQUE = f"up AS (SELECT a.vec_id AS query, b.vec_id AS candidate, round({_DIST}, 9) AS d FROM feat a JOIN feat b ON a.vec_id < b.vec_id)"
+_ORDERED = f"op AS (SELECT a.vec_id AS query, b.vec_id AS candidate, round({_DIST}, 9) AS d FROM feat a JOIN feat b ON a.vec_id <> b.vec_id)"
 
 
 def _unique(spark, d):
-    p = pairs.unique_pairs(_identities(spark, d), "vec_id")
+    p = pairs.unique_pairs(T.feat(spark, d).select("vec_id", "v"), "vec_id")
     return p.select(F.col("a_vec_id").alias("query"), F.col("b_vec_id").alias("candidate"), F.round(V.euclidean(F.col("a_v"), F.col("b_v")), 9).alias("d"))
 
 
@@ -90,7 +84,7 @@ def _ordered(spark, d):
     return u.unionByName(u.select(F.col("candidate").alias("query"), F.col("query").alias("candidate"), "d"))
 
 
-@query("j1_ordered_pairs", f"WITH {T.FEAT}, {_IDS}, {_ORDERED} SELECT query, candidate, d FROM op")
+@query("j1_ordered_pairs", f"WITH {T.FEAT}, {_ORDERED} SELECT query, candidate, d FROM op")
 def j1(spark, d):
     return _ordered(spark, d)
 
@@ -101,14 +95,21 @@ def j2(spark, d):
     return t.select("pairs", F.round("largest", 6).alias("largest"), F.round("smallest", 6).alias("smallest"), F.round(F.col("total") / F.col("pairs"), 6).alias("mean"))
 
 
-@query("w1_error_pairs", f"WITH {T.FEAT}, {_IDS}, {_ORDERED}, r AS (SELECT *, row_number() OVER (ORDER BY d, query, candidate) AS error_pair_rank, count(*) OVER () AS n FROM op) SELECT error_pair_rank, query, candidate, d, round(1e6 * error_pair_rank / n, 6) AS realized_far_ppm FROM r WHERE error_pair_rank IN (1, 2, 4, 8, 16, 32)")
+_POWERS = ", ".join(str(1 << i) for i in range(40))
+
+
+@query("w1_error_pairs", f"WITH {T.FEAT}, {_ORDERED}, r AS (SELECT *, row_number() OVER (ORDER BY d, query, candidate) AS error_pair_rank, count(*) OVER () AS n FROM op) SELECT error_pair_rank, query, candidate, d, round(1e6 * error_pair_rank / n, 6) AS realized_far_ppm FROM r WHERE error_pair_rank IN ({_POWERS}) OR error_pair_rank = greatest(1, (1000 * n + 999999) // 1000000)")
 def w1(spark, d):
-    """The k-th smallest ordered pair; only the first 32 are ranked, which needs no global window."""
-    p = _ordered(spark, d)
-    n = p.agg(F.count("*").alias("n"))
-    first = p.orderBy("d", "query", "candidate").limit(32)
-    r = first.withColumn("error_pair_rank", F.row_number().over(Window.orderBy("d", "query", "candidate")).cast("long")).crossJoin(F.broadcast(n))
-    return r.where(F.col("error_pair_rank").isin(1, 2, 4, 8, 16, 32)).select("error_pair_rank", "query", "candidate", "d", F.round(F.lit(1e6) * F.col("error_pair_rank") / F.col("n"), 6).alias("realized_far_ppm"))
+    """The k-th smallest ordered pairs, for k = 1, 2, 4, .. and the rank of the specified rate: exact selection, whatever k."""
+    return error_pairs(_ordered(spark, d)).select(F.col("k").alias("error_pair_rank"), "query", "candidate", "d", F.round(F.lit(1e6) * F.col("k") / F.col("n"), 6).alias("realized_far_ppm"))
+
+
+def error_pairs(ordered, ppm: int = 1000):
+    """n, k, query, candidate, d: pairs at ranks 1, 2, 4, .. below their number, and at the rank of the rate `ppm`."""
+    spec = F.greatest(F.lit(1).cast("long"), F.expr(f"({ppm} * n + 999999) div 1000000"))
+    powers = F.filter(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.pow(F.lit(2.0), i).cast("long")), lambda k: k <= F.col("n"))
+    want = ordered.agg(F.count("*").alias("n")).where("n > 0").select("n", F.explode(F.array_union(powers, F.array(spec))).alias("k"))
+    return ranks.rows_at(ordered, "d", ["query", "candidate"], want)
 
 
 @query("w2_spec_rank", "SELECT n, ppm, greatest(1, (ppm * n + 999999) // 1000000) AS k FROM (SELECT count(*) AS n FROM lineitem), unnest([10, 76, 100, 10000, 10582]) AS u(ppm)")
@@ -128,23 +129,21 @@ def w3(spark, d):
 
 @query("w5_cosine_at_far", f"WITH {T.FEAT}, c AS (SELECT round({T.dot_sql('a.v', 'b.v')}, 9) AS c FROM feat a JOIN feat b ON a.vec_id < b.vec_id AND a.label <> b.label), r AS (SELECT c, row_number() OVER (ORDER BY c DESC) AS rn, count(*) OVER () AS n FROM c) SELECT ppm, max(c) AS cosine FROM r, unnest([100, 1000, 10000]) AS u(ppm) WHERE rn = least(n, greatest(1, (ppm * n + 999999) // 1000000)) GROUP BY ppm")
 def w5(spark, d):
-    """The k-th largest cosine between different identities, k = ceil(rate * count)."""
-    p = pairs.unique_pairs(T.feat(spark, d).select("vec_id", "label", "v"), "vec_id").where("a_label <> b_label").select(F.round(V.dot(F.col("a_v"), F.col("b_v")), 9).alias("c"))
-    counts = p.groupBy("c").agg(F.count("*").alias("m"))
-    cum = counts.withColumn("cum", F.sum("m").over(Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0))).crossJoin(F.broadcast(counts.agg(F.sum("m").alias("n"))))
-    k = cum.withColumn("ppm", F.explode(F.array(F.lit(100), F.lit(1000), F.lit(10000)))).where(F.expr("cum >= least(n, greatest(1, (ppm * n + 999999) div 1000000))"))
-    return k.groupBy("ppm").agg(F.max("c").alias("cosine"))
+    """The k-th largest cosine between different identities, k = ceil(rate * count). Cosines lie in -1..1, so buckets need no
+    look at the pairs."""
+    p = pairs.unique_pairs(T.feat(spark, d).select("vec_id", "label", "v"), "vec_id").where("a_label <> b_label").select((-F.round(V.dot(F.col("a_v"), F.col("b_v")), 9)).alias("c"))
+    want = p.agg(F.count("*").alias("n")).where("n > 0").withColumn("ppm", F.explode(F.array(F.lit(100), F.lit(1000), F.lit(10000)))).withColumn("k", F.expr("least(n, greatest(1, (ppm * n + 999999) div 1000000))"))
+    return ranks.at_ranks(p, "c", want, cuts=[i / 128 - 1 for i in range(257)]).select("ppm", (0 - F.col("value")).alias("cosine"))
 
 
-@query("w6_unique_to_ordered", f"WITH {T.FEAT}, {_IDS}, {_UNIQUE}, r AS (SELECT *, row_number() OVER (ORDER BY d, query, candidate) AS rn FROM up) SELECT k, query, candidate, d FROM r JOIN (SELECT unnest([1, 2, 3, 8, 9, 20]) AS k) ON rn = (k + 1) // 2")
+@query("w6_unique_to_ordered", f"WITH {T.FEAT}, {_UNIQUE}, r AS (SELECT *, row_number() OVER (ORDER BY d, query, candidate) AS rn FROM up) SELECT k, query, candidate, d FROM r JOIN (SELECT unnest([1, 2, 3, 8, 9, 20, 101, 1000]) AS k) ON rn = (k + 1) // 2")
 def w6(spark, d):
     """The k-th ordered pair is the ceil(k / 2)-th unique one."""
-    r = _unique(spark, d).orderBy("d", "query", "candidate").limit(10).withColumn("rn", F.row_number().over(Window.orderBy("d", "query", "candidate")))
-    ks = r.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, (1, 2, 3, 8, 9, 20)))).alias("k"))
-    return r.join(F.broadcast(ks), F.col("rn") == F.floor((F.col("k") + 1) / 2)).select("k", "query", "candidate", "d")
+    want = spark.range(1).select(F.explode(F.array(*map(F.lit, (1, 2, 3, 8, 9, 20, 101, 1000)))).alias("ordered")).withColumn("k", F.expr("(ordered + 1) div 2"))
+    return ranks.rows_at(_unique(spark, d), "d", ["query", "candidate"], want).select(F.col("ordered").alias("k"), "query", "candidate", "d")
 
 
-@query("w9_normalize_100", f"WITH {T.FEAT}, {_IDS}, {_UNIQUE} SELECT query, candidate, CASE WHEN m > 0 THEN round(100 * d / m, 6) ELSE 0 END AS normalized FROM up, (SELECT max(d) AS m FROM up)")
+@query("w9_normalize_100", f"WITH {T.FEAT}, {_UNIQUE} SELECT query, candidate, CASE WHEN m > 0 THEN round(100 * d / m, 6) ELSE 0 END AS normalized FROM up, (SELECT max(d) AS m FROM up)")
 def w9(spark, d):
     """100 * d / the largest over all rows; no minimum is taken off."""
     p = _unique(spark, d)
@@ -154,22 +153,22 @@ def w9(spark, d):
 
 @query("t1_sorted_impostors", f"WITH {T.SMALL} SELECT rank, d FROM (SELECT d, row_number() OVER (ORDER BY d, doc_id) AS rank FROM s WHERE kind = 'impostor')")
 def t1(spark, d):
-    s = T.scores_small(spark, d).where("kind = 'impostor'")
-    return s.select(F.row_number().over(Window.orderBy("d", "doc_id")).cast("long").alias("rank"), "d")
+    s = T.scores_small(spark, d).where("kind = 'impostor'").select("d", "doc_id")
+    return ranks.numbered(s, ["d", "doc_id"], "rank").select("rank", "d")
 
 
-@query("t2_lowest_pairs", f"WITH {T.FEAT}, {_IDS}, {_UNIQUE} SELECT query, candidate, d FROM up ORDER BY d, query, candidate LIMIT 20")
+@query("t2_lowest_pairs", f"WITH {T.FEAT}, {_UNIQUE} SELECT query, candidate, d FROM up ORDER BY d, query, candidate LIMIT 20")
 def t2(spark, d):
     return _unique(spark, d).orderBy("d", "query", "candidate").limit(20)
 
 
-@query("t3_top_k_per_chunk", f"WITH {T.FEAT}, {_IDS}, {_UNIQUE}, r AS (SELECT *, row_number() OVER (PARTITION BY query % 4 ORDER BY d, query, candidate) AS rn FROM up) SELECT query, candidate, d FROM r WHERE rn <= 10 ORDER BY d, query, candidate LIMIT 10")
+@query("t3_top_k_per_chunk", f"WITH {T.FEAT}, {_UNIQUE}, r AS (SELECT *, row_number() OVER (PARTITION BY query % 4 ORDER BY d, query, candidate) AS rn FROM up) SELECT query, candidate, d FROM r WHERE rn <= 10 ORDER BY d, query, candidate LIMIT 10")
 def t3(spark, d):
     w = Window.partitionBy(F.col("query") % 4).orderBy("d", "query", "candidate")
     return _unique(spark, d).withColumn("rn", F.row_number().over(w)).where("rn <= 10").drop("rn").orderBy("d", "query", "candidate").limit(10)
 
 
-@query("t4_top_k_with_maximum", f"WITH {T.FEAT}, {_IDS}, {_UNIQUE} SELECT query, candidate, d, m AS largest FROM up, (SELECT max(d) AS m FROM up) ORDER BY d, query, candidate LIMIT 15")
+@query("t4_top_k_with_maximum", f"WITH {T.FEAT}, {_UNIQUE} SELECT query, candidate, d, m AS largest FROM up, (SELECT max(d) AS m FROM up) ORDER BY d, query, candidate LIMIT 15")
 def t4(spark, d):
     p = _unique(spark, d)
     return p.orderBy("d", "query", "candidate").limit(15).crossJoin(F.broadcast(p.agg(F.max("d").alias("largest"))))
@@ -194,4 +193,4 @@ def t7(spark, d):
 
 @query("t8_systematic_sample", f"WITH {T.SMALL} SELECT rank, d FROM (SELECT d, row_number() OVER (ORDER BY d, doc_id) AS rank FROM s) WHERE rank % 10 = 1")
 def t8(spark, d):
-    return T.scores_small(spark, d).select(F.row_number().over(Window.orderBy("d", "doc_id")).cast("long").alias("rank"), "d").where("rank % 10 = 1")
+    return ranks.numbered(T.scores_small(spark, d).select("d", "doc_id"), ["d", "doc_id"], "rank").where("rank % 10 = 1").select("rank", "d")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,3 +19,10 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="matchloom-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, which cuts its lineage and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/matchloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

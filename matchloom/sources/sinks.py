@@ -16,6 +16,17 @@ def pairs_csv(pairs: DataFrame, path: str, decimals: int = 6) -> None:
     pairs.select(*[fixed(F.col(c), decimals).alias(c) if kinds[c] == "double" else F.col(c) for c in pairs.columns]).write.mode("overwrite").option("header", True).csv(path)
 
 
+def read_csv(spark, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def resumed(units: DataFrame, path: str, keys: list[str], schema: str, work) -> DataFrame:
+    """All results in `path` after work(units) of those that it lacks; what is there already isn't done again."""
+    spark = units.sparkSession
+    write_units(work(missing(units, spark.read.schema(schema).parquet(path), keys)), path, keys)
+    return spark.read.schema(schema).parquet(path)
+
+
 def report_json(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 

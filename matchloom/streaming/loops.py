@@ -1,8 +1,10 @@
-"""Live loops on streaming or batch frames: stream, frame, ts, name, score.
+"""Live loops on streaming frames: stream, frame, ts, name, score.
 
-stateless(), last_per_slot() and summary() work on either. voting() keeps the state of the counted vote per stream:
-an episode's last frames, cleared by a frame without a face. Rows of a micro-batch are put in order of ts and frame; rows
-that come in a later batch than their successors are taken as they come, and a watermark drops nothing here."""
+stateless(), last_per_slot() and summary() are plain expressions and aggregations, which work on batches, too. The voting
+loops keep the state of each stream: the last frames of its episode, which a frame without a face (or a box that jumps)
+ends. Rows of a micro-batch are put in order of ts and frame, so a task holds one stream's rows of one micro-batch: sources
+bound it (maxFilesPerTrigger, maxBytesPerTrigger). Rows that come in a later batch than their successors are taken as
+they come; no watermark drops any."""
 
 from __future__ import annotations
 
@@ -30,7 +32,7 @@ def last_per_slot(frames: DataFrame, slot: str) -> DataFrame:
 
 
 def summary(frames: DataFrame) -> DataFrame:
-    return frames.groupBy("stream").agg(F.count("*").alias("frames"), F.count_if(F.col("name") == NO_FACE).alias("without_face"), F.round(F.avg("score"), 4).alias("mean_score"), F.count_distinct("name").alias("names"))
+    return frames.groupBy("stream").agg(F.count("*").alias("frames"), F.count_if(F.col("name") == NO_FACE).alias("without_face"), F.round(F.avg("score"), 4).alias("mean_score"), F.size(F.collect_set("name")).cast("long").alias("names"))
 
 
 def vote(history: list[tuple[str, float]], least: int) -> tuple[str, float, int] | None:
@@ -65,6 +67,53 @@ def voting(frames: DataFrame, last: int = 5, least: int = 3, no_face: str | None
     return frames.groupBy("stream").applyInPandasWithState(step, "stream long, frame long, name string, score double, hits long", "names array<string>, scores array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def overlap(a: tuple, b: tuple) -> float:
+    """Intersection over union of boxes x, y, w, h."""
+    w, h = (max(0, min(a[i] + a[i + 2], b[i] + b[i + 2]) - max(a[i], b[i])) for i in (0, 1))
+    either = a[2] * a[3] + b[2] * b[3] - w * h
+    return w * h / either if either > 0 else 0.0
+
+
+def box_voting(frames: DataFrame, last: int = 5, least: int = 2, least_overlap: float = 0.20) -> DataFrame:
+    """Like voting(), on frames(.., x, y, w, h): an episode ends where the box overlaps the one before too little."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        names, scores, before = state.get if state.exists else ([], [], [])
+        history, out = list(zip(names, scores)), []
+        for r in pd.concat(list(batches)).sort_values(["ts", "frame"]).itertuples():
+            if r.name == NO_FACE:
+                history = []
+                continue
+            box = (int(r.x), int(r.y), int(r.w), int(r.h))
+            if not before or overlap(tuple(before), box) < least_overlap:
+                history = []
+            history, before = [*history, (r.name, float(r.score))][-last:], list(box)
+            if (won := vote(history, least)) is not None:
+                out.append((key[0], r.frame, *won))
+        state.update(([n for n, _ in history], [s for _, s in history], before))
+        yield pd.DataFrame(out, columns=["stream", "frame", "name", "score", "hits"])
+
+    return frames.groupBy("stream").applyInPandasWithState(step, "stream long, frame long, name string, score double, hits long", "names array<string>, scores array<double>, box array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def resets(frames: DataFrame, last: int = 5) -> DataFrame:
+    """stream, frame, cleared: frames without a face, and how many held frames each of them clears."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (held,), out = state.get if state.exists else (0,), []
+        rows = pd.concat(list(batches)).sort_values(["ts", "frame"])
+        for frame, name in zip(rows["frame"], rows["name"]):
+            if name == NO_FACE:
+                out.append((key[0], frame, held))
+                held = 0
+            else:
+                held = min(last, held + 1)
+        state.update((held,))
+        yield pd.DataFrame(out, columns=["stream", "frame", "cleared"])
+
+    return frames.groupBy("stream").applyInPandasWithState(step, "stream long, frame long, cleared long", "held long", "append", GroupStateTimeout.NoTimeout)
+
+
 def time_voting(frames: DataFrame, seconds: int, least: int = 2) -> DataFrame:
     """Like voting(), over the last seconds: the largest mean score, then the most hits, then the smaller name."""
 
@@ -115,15 +164,35 @@ def drained(stream: DataFrame, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{at}/out")
 
 
+def drained_totals(totals: DataFrame, schema: str) -> DataFrame:
+    """Like drained() for a streaming aggregation: after each micro-batch all rows so far are written anew, in a folder of
+    their own; the last one is read."""
+    spark, written = totals.sparkSession, []
+    at = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+
+    def put(rows: DataFrame, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{at}/out/{epoch}")
+        written.append(epoch)
+
+    q = totals.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    return spark.read.schema(schema).parquet(f"{at}/out/{max(written)}") if written else spark.createDataFrame([], schema)
+
+
 def rate_limited(frames: DataFrame, slot: str, delay: str = "1 hour") -> DataFrame:
     """last_per_slot() of a stream in append mode: a slot comes out when the watermark has passed it."""
     return last_per_slot(frames.withWatermark("ts", delay), slot)
 
 
-def log_json(stats: DataFrame, path: str, every: str = "10 seconds"):
-    """A rate-limited log: at each trigger the rows so far of the micro-batch are appended as JSON lines. Returns the query."""
+def log_json(stats: DataFrame, path: str, every: str | None = "10 seconds", slot: str | None = None):
+    """A rate-limited log: at each trigger the rows of the micro-batch are appended as JSON lines; with a slot only the last frame
+    of each stream and slot. Without `every` what is there now is logged. Returns the query."""
 
     def put(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").json(f"{path}/log")
+        rows = last_per_slot(batch, slot) if slot else batch
+        rows.withColumn("epoch", F.lit(epoch)).write.mode("append").json(f"{path}/log")
 
-    return stats.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(processingTime=every).start()
+    w = stats.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state")
+    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()

@@ -4,11 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from matchloom.functions import augment, boxes
+from matchloom.functions import grids as G
 from matchloom.functions import labels as L
 from matchloom.functions import vectors as V
 from matchloom.kernels import jobs
-from matchloom.kernels import tiles as K
-from matchloom.operators import curves, frames, pairs, subspace
+from matchloom.operators import curves, frames, pairs, ranks, subspace
 from matchloom.operators import matching as M
 from matchloom.sources import images, sinks
 from matchloom.streaming import loops
@@ -53,10 +54,30 @@ def test_curves_edges(spark):
     curve = sorted(map(tuple, curves.roc(spark.createDataFrame(rows, kinds)).collect()))
     assert all(a[1] <= b[1] and a[2] <= b[2] for a, b in zip(curve, curve[1:])) and all(abs(t + f - 100) < 1e-9 for _, _, t, f in curve)
     k = spark.createDataFrame([("a", 1), ("b", 4)], "key string, k int")
-    got = {r.key: r.value for r in curves.kth_smallest(spark.createDataFrame([(x,) for x in (5.0, 1.0, 3.0, 3.0)], "d double"), "d", k).collect()}
+    got = {r.key: r.value for r in ranks.at_ranks(spark.createDataFrame([(x,) for x in (5.0, 1.0, 3.0, 3.0, None)], "d double"), "d", k).collect()}
     assert got == {"a": 1.0, "b": 5.0}
 
 
+@pytest.mark.parametrize("values", [[], [1.0], [2.0] * 50, [float(i * 7919 % 1000) for i in range(1000)], [float(i % 3) ** 9 for i in range(400)] + [1e9, -1e9]])
+def test_exact_ranks(spark, values):
+    df = spark.createDataFrame([(i % 2, i, v) for i, v in enumerate(values)], "g int, i long, v double").repartition(5)
+    shares = (0.0, 0.013, 0.25, 0.5, 0.999, 1.0)
+    got = ranks.percentiles(df, "v", shares).collect()
+    assert [r.n for r in got] == ([len(values)] if values else [])
+    if values:
+        assert np.allclose(got[0].p, np.quantile(values, shares), rtol=1e-12, atol=1e-9)
+        for r in ranks.percentiles(df, "v", shares, ["g"]).collect():
+            assert np.allclose(r.p, np.quantile(values[r.g :: 2], shares), rtol=1e-12, atol=1e-9)
+    places = ranks.numbered(df, ["v", "i"]).collect()
+    order = sorted((v, i) for i, v in enumerate(values))
+    assert {r.i: r.place for r in places} == {i: k + 1 for k, (_, i) in enumerate(order)}
+    ks = sorted({1, len(values) // 2 + 1, len(values)}) if values else [1]
+    want = spark.createDataFrame([(int(k),) for k in ks], "k long")
+    assert {r.k: (r.v, r.i) for r in ranks.rows_at(df.drop("g"), "v", ["i"], want).collect()} == {k: order[k - 1] for k in ks if k <= len(order)}
+    one = df.groupBy("v").agg(F.count("*").alias("m"))
+    assert {r.v: r.upto for r in ranks.running(one, "v", {"upto": "m"}).collect()} == {v: sum(x <= v for x in values) for v in values}
+
+
 def test_top_two_with_one_identity(spark):
     one = M.top_two(spark.createDataFrame([(1, "a", 2.0), (2, "a", 0.0), (2, "b", 0.0)], "p int, name string, distance double"), "p", "name")
     rows = {r.p: r for r in one.collect()}
@@ -69,12 +90,44 @@ def test_arg_max_ties(spark):
     assert {(r.id, r.best_person) for r in M.arg_max(p, g, ["id"]).collect()} == {(1, "a"), (2, "c")}
 
 
+def golden(spark, rows, schema, column):
+    return [r.x for r in spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + schema).select("i", column.alias("x")).orderBy("i").collect()]
+
+
 def test_labels(spark):
-    df = spark.createDataFrame([(1023.0, 59.0), (1024.0, 3661.0), (1048576.0, 120.0)], "n double, s double")
-    got = [tuple(r) for r in df.select(L.byte_size(F.col("n")), L.duration(F.col("s"))).collect()]
-    assert got == [("1023 B", "59s"), ("1.0 KB", "1h 01m 01s"), ("1.0 MB", "2m 00s")]
-    t = spark.createDataFrame([("  a b//c! ",), ("!!",), (None,)], "x string").select(L.clean_token(F.col("x")).alias("t")).collect()
-    assert [r.t for r in t] == ["a_b_c", "unknown", "unknown"]
+    c = F.col
+    assert golden(spark, [(0.0,), (1023.0,), (1024.0,), (1536.0,), (1048576.0,), (2.5 * 1024**3,), (3.0 * 1024**4,), (5000.0 * 1024**4,)], "n double", L.byte_size(c("n"))) == ["0.00 B", "1023.00 B", "1.00 KB", "1.50 KB", "1.00 MB", "2.50 GB", "3.00 TB", "5000.00 TB"]
+    assert golden(spark, [(59.9,), (3661.0,), (120.0,), (-5.0,), (360000.0,)], "s double", L.duration(c("s"))) == ["00:59", "01:01:01", "02:00", "00:00", "100:00:00"]
+    assert golden(spark, [("  a b//c! ",), ("!!",), (None,), ("x__y",), ("_.a-b._",)], "x string", L.clean_token(c("x"))) == ["a_b_c", "default", "default", "x_y", ".a-b."]
+    assert golden(spark, [("abc",)], "x string", L.slug(c("x"), "ds")) == ["ds_a9993e364706"]
+    assert golden(spark, [(0.0076,), (0.05,), (0.1,), (1.058,), (12.5,)], "p double", L.ppm_cell(c("p"))) == ["0.0076% (76 ppm)", "0.0500% (500 ppm)", "0.100%", "1.058%", "12.500%"]
+    assert golden(spark, [(98.2, 960, 42.0), (89.9, 1024, None), (90.0, 0, 12.0)], "r double, b int, f double", L.verdict(c("r"), c("b"), c("f"))) == [
+        "TAR(rank-1) PASS; feature PASS <1KB; >=30fps PASS", "TAR(rank-1) below 90%; feature FAIL >=1KB; fps n/a", "TAR(rank-1) PASS; feature FAIL >=1KB; <30fps"]
+    tagged = [("arcface_buffalo_s", "w600k"), ("ArcFace_Buffalo_S ", "w600k_INT8"), ("arcface_buffalo_s_int8", "w600k"), ("lbph", ""), (None, None)]
+    assert golden(spark, tagged, "f string, v string", L.of_model("ArcFace", c("f"), c("v"))) == [True, False, False, False, False]
+    assert golden(spark, tagged, "f string, v string", L.of_model("ArcFace MobileNet INT8", c("f"), c("v"))) == [False, False, True, False, False]
+    files = [("r/lbph_evaluation.json",), ("lbph_trainer_x_eval.json",), ("LBPH__a_.json",), ("other_report.json",), ("lbphx.json",), ("a_report_eval.json",), (".json",)]
+    assert golden(spark, files, "p string", L.report_variant(c("p"), "LBPH")) == ["default", "trainer_x", "a", "other", "lbphx", "a_report", ".json"]
+    assert golden(spark, [("arcface_mobilenet_int8_small_report.json",), ("arcface_buffalo_s_int8.json",)], "p string", L.report_variant(c("p"), "ArcFace MobileNet INT8", "w600k")) == ["small", "w600k"]
+    tags = [("Trainer_lasalle-rl_labels_lasalle-rl",), ("trainer_processed",), ("enrollment_raw",), ("hybrid-",), ("",), (None,), ("lfw-p_x y",), ("trainer_enrollment_raw-lfw-a",)]
+    assert golden(spark, tags, "v string", L.compact_tag(c("v"))) == ["rl", "p", "r", "default", "default", "default", "p-x-y", "lfw-a"]
+    labels = [("db", None, "aug", " Medium,light,,light", "test"), (None, "p", "aug", "", None), (None, None, None, None, None)]
+    assert golden(spark, labels, "r string, p string, a string, l string, s string", L.dataset_label(*map(c, "rpals"))) == ["raw=db | aug=aug[light,medium] | split=test", "processed=p | aug=aug[all]", "no_dataset_selected"]
+    combos = [
+        ("lasalle_db1", "lfw_x", "light,medium", "data", True, False, True), ("cam", "faces", "medium", "data", True, True, True), ("cam", "faces", "light", "data", True, False, True), ("__disabled__", "lfw_x", "__disabled__", "data", True, True, True),
+        ("cam", "faces", "light", "data\\Split_Lasalle", True, True, False), ("cam", "faces", "x", "data", False, False, True), ("sub/cam", "lfw_x", "x", "data", True, True, False),
+    ]
+    assert golden(spark, combos, "r string, p string, l string, b string, wr boolean, wp boolean, wa boolean", L.combo_slug(*map(c, ("r", "p", "l", "b", "wr", "wp", "wa")))) == ["lasalle-lm", "hybrid-m", "raw-rl", "lfw", "lasalleclean-rp", "dataset", "lfw-r"]
+
+
+def test_pose_and_cells(spark):
+    at = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    faces = [(at((0, 0), (10, 0), (5, 3)),), (at((0, 0), (10, 0), (7, 3)),), (at((10, 0), (0, 1), (5, 0)),), (at((5, 5), (5, 5), (90, 0)),), (at((0, 0), (1, 0), (40, 0)),)]
+    got = golden(spark, faces, "p array<struct<x double, y double>>", boxes.pose_angle(*[F.col("p")[i] for i in range(3)]))
+    assert np.allclose(got, [0, 18, np.degrees(np.arctan2(1, 10)), 0, 90])
+    kept = golden(spark, [([float(i) for i in range(128)],)], "v array<double>", V.landmark_cells(F.col("v"), 2))[0]
+    cells = [(r, x) for r, low, high in ((2, 1, 6), (3, 1, 6), (4, 2, 5), (5, 2, 5), (6, 2, 5)) for x in range(low, high + 1)]
+    assert kept == [float(2 * (8 * r + x) + b) for r, x in cells for b in (0, 1)]
 
 
 def test_image_listing(spark, tmp_path):
@@ -113,24 +166,70 @@ def test_subspaces(spark):
     assert axes.shape == (6, 2)
 
 
-def test_kernels():
-    rng = np.random.default_rng(1)
-    t = rng.integers(0, 256, (16, 16)).astype(np.uint8)
-    flat = np.full((16, 16), 7, np.uint8)
-    assert sum(len(v) for v in K.SUITE.values()) == 41
-    for kind, levels in K.SUITE.items():
-        for level in levels:
-            assert (K.modified(t, kind, level, 3) == K.modified(t, kind, level, 3)).all() and K.modified(t, kind, level).shape == t.shape
-    with pytest.raises(ValueError):
-        K.modified(t, "nothing", 1)
-    assert K.equalize(t).max() == 255 and (K.equalize(flat) == flat).all() and K.tan_triggs(flat).max() == 0
-    assert K.lbph(t).shape == (8 * 8 * 256,) and abs(K.lbph(t).sum() - 64) < 1e-3
-    assert K.laplacian_variance(flat) == 0 and K.noise_sigma(flat) == 0 and K.noise_sigma(t) > 10
-    assert K.clahe(t).shape == t.shape and K.shrunk(t, 4).shape == (4, 4)
+def mirrored(t, y, x):
+    n = len(t)
+    y, x = [abs(p) if p < n else 2 * (n - 1) - p for p in (y, x)]
+    return float(t[y][x])
+
+
+def test_kernels(spark):
+    n = 6
+    t = np.random.default_rng(1).integers(0, 256, (n, n))
+    one = lambda column: golden(spark, [(t.ravel().tolist(),)], "t array<int>", column)[0]
+    c = F.col("t")
+    around = lambda w: np.array([[sum(k * mirrored(t, y + a, x + b) for (a, b), k in w.items()) for x in range(n)] for y in range(n)])
+    assert np.isclose(one(G.laplacian_variance(c, n)), around(G.LAPLACIAN).var())
+    assert np.isclose(one(G.noise_sigma(c, n)), np.abs(around(G.IMMERKAER)).sum() * np.sqrt(np.pi / 2) / (6 * 16))
+    gauss = {(a, b): G.GAUSSIAN[3][a + 1] * G.GAUSSIAN[3][b + 1] for a in (-1, 0, 1) for b in (-1, 0, 1)}
+    assert one(G.blurred(c, n, 3)) == np.rint(around(gauss)).ravel().tolist()
+    assert one(G.motion_blurred(c, n, 3)) == np.rint(around({(0, d): 1 / 3 for d in (-1, 0, 1)})).ravel().tolist()
+    counts = np.array([(t <= v).sum() for v in range(256)])
+    assert one(G.equalized(c)) == [int(np.rint((counts[v] - counts[t.min()]) * 255 / (n * n - counts[t.min()]))) for v in t.ravel()]
+    assert one(G.equalized(F.transform(c, lambda x: F.lit(7)))) == [7] * n * n
+    assert one(G.brighter(c, F.lit(-30.0))) == np.clip(t - 30, 0, 255).ravel().tolist()
+    assert one(G.contrasted(c, F.lit(1.15))) == np.clip((t - 128.0) * 1.15 + 128, 0, 255).astype(int).ravel().tolist()
+    assert one(G.gamma(c, F.lit(1.4))) == ((t / 255) ** (1 / 1.4) * 255).astype(int).ravel().tolist()
+    assert one(G.shrunk(c, n, 3)) == np.rint(t.reshape(3, 2, 3, 2).mean((1, 3))).ravel().tolist()
+    assert one(G.warped(c, n, F.lit(0.0), F.lit(1.0))) == t.ravel().tolist() and one(G.warped(c, n, F.lit(90.0), F.lit(1.0))) == np.rot90(t).ravel().tolist()
+    assert one(G.warped(c, n, F.lit(0.0), F.lit(1.0), F.lit(1.0), F.lit(0.0)))[1:6] == t[0, :5].tolist()
+    veiled = t.copy()
+    veiled[1:3, 2:5] = (0.55 * t[1:3, 2:5] + 0.45 * int(np.median(t[1:3, 2:5]))).astype(int)
+    assert one(G.veiled(c, n, F.lit(1), F.lit(2), F.lit(2), F.lit(3), F.lit(0.55))) == veiled.ravel().tolist()
+    x = np.maximum(t / 255.0, 1e-6) ** 0.2
+    smooth = lambda x, w: np.array([[sum(w[a] * w[b] * x[G_mirror(y + a - len(w) // 2, n)][G_mirror(z + b - len(w) // 2, n)] for a in range(len(w)) for b in range(len(w))) for z in range(n)] for y in range(n)])
+    x = smooth(x, G.gaussian(1.0)) - smooth(x, G.gaussian(2.0))
+    x /= (np.mean(np.abs(x) ** 0.1) + 1e-10) ** 10
+    x /= (np.mean(np.minimum(np.abs(x), 10) ** 0.1) + 1e-10) ** 10
+    assert np.abs(np.array(one(G.tan_triggs(c, n))) - np.clip((10 * np.tanh(x / 10) + 10) * 12.75, 0, 255).astype(int).ravel()).max() <= 1
+    flat = one(G.tan_triggs(F.transform(c, lambda x: F.lit(90)), n))
+    assert set(flat) <= {127, 128}  # a fixed scale: nothing is in the middle
+    codes = np.array(one(G.binary_patterns(c, n))).reshape(n - 2, n - 2)
+    straight = {0: (0, 1), 2: (-1, 0), 4: (0, -1), 6: (1, 0)}
+    assert all((codes[y - 1, x - 1] >> k & 1) == (t[y + a, x + b] >= t[y, x]) for y in range(1, n - 1) for x in range(1, n - 1) for k, (a, b) in straight.items())
     with pytest.raises(ValueError):
         jobs.registered(jobs.DETECTORS, "none")
 
 
+def G_mirror(p, n):
+    q = p % (2 * (n - 1))
+    return min(q, 2 * (n - 1) - q)
+
+
+def test_suite_and_augmentation(spark):
+    assert sum(map(len, augment.SUITE.values())) == 41 and len(augment.SUITE) == 12
+    tiles = spark.createDataFrame([(k, [(i * 37 + k * 11) % 256 for i in range(64)]) for k in range(3)], "k long, t array<int>")
+    made = tiles.select("k", "t", F.explode(augment.suite(F.col("t"), 8, F.col("k"))).alias("m")).select("k", "t", "m.*").collect()
+    assert len(made) == 3 * 41 and {(r.kind, r.level) for r in made} == {(k, float(x)) for k, v in augment.SUITE.items() for x in v}
+    assert all(len(r.made) == 64 and 0 <= min(r.made) and max(r.made) <= 255 for r in made)
+    by = {(r.k, r.kind, r.level): r.made for r in made}
+    noise = np.concatenate([np.array(by[k, "gaussian_noise", 20.0]) - np.array(r) for k, r in ((r.k, r.t) for r in tiles.collect())])
+    assert 8 < noise.std() < 30 and by[0, "rotation", 5.0] != by[0, "rotation", -5.0]
+    for strength in ("light", "medium"):
+        twice = [sorted((r.k, tuple(r.x)) for r in tiles.repartition(n).select("k", augment.augmented(F.col("t"), 8, F.col("k"), strength).alias("x")).collect()) for n in (1, 3)]
+        assert twice[0] == twice[1] and all(len(x) == 64 and 0 <= min(x) and max(x) <= 255 for _, x in twice[0])
+    assert len({tuple(r.x) for r in tiles.select(augment.augmented(F.lit([100] * 64), 8, F.col("k"), "medium").alias("x")).collect()}) == 3
+
+
 def test_streams_equal_batch_over_micro_batches(spark, tmp_path):
     rows = [(i, i % 3, f"2024-01-01 00:{i // 60:02d}:{i % 60:02d}", ["a", "b", "error", "a", "c"][i * 7 % 5], float(i % 11)) for i in range(600)]
     df = spark.createDataFrame(rows, "frame long, stream long, ts string, name string, score double").withColumn("ts", F.to_timestamp("ts"))
