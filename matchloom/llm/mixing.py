@@ -81,11 +81,15 @@ def before(rows: DataFrame, by: list[str], at: str, n: str, name: str) -> DataFr
     return each.join(whole.hint("merge"), [*by, "__stretch"]).select(*rows.columns, (F.col("__before") + F.col("__in")).alias(name))
 
 
+def _parts(src: DataFrame) -> int:
+    """Tasks for the draws of all sources."""
+    return max(1, -(-(src.agg(F.sum("draws")).first()[0] or 0) // PER_TASK))
+
+
 def shard_counts(src: DataFrame, seed: int = 0, per_shard: int = PER_SHARD) -> DataFrame:
     """shard, sid, n: draws of each source in each output shard, drawn at random for the sources' totals."""
     spans = src.where("draws > 0").withColumn("span", F.explode(F.expr(f"sequence(0L, (draws - 1) div {SPAN})")))
-    parts = max(1, -(-(src.agg(F.sum("draws")).first()[0] or 0) // PER_TASK))  # given, or the few rows would be put together in one task
-    each = spans.repartition(parts, "sid", "span").withColumn("j", F.explode(F.expr(f"sequence(span * {SPAN}, least(draws, (span + 1) * {SPAN}) - 1)")))
+    each = spans.repartition(_parts(src), "sid", "span").withColumn("j", F.explode(F.expr(f"sequence(span * {SPAN}, least(draws, (span + 1) * {SPAN}) - 1)")))
     place = permuted(F.col("first") + F.col("j"), F.col("all_draws"), F.lit(seed))
     return each.select(F.floor(place / per_shard).alias("shard"), "sid").groupBy("shard", "sid").agg(F.count("*").alias("n"))
 
@@ -97,7 +101,9 @@ def draws(src: DataFrame, seed: int = 0, per_shard: int = PER_SHARD) -> DataFram
     in_shard = Window.partitionBy("shard").orderBy("sid")
     slots = slots.withColumn("at", F.sum("n").over(in_shard) - F.col("n")).withColumn("in_all", F.sum("n").over(Window.partitionBy("shard")))
     near = F.broadcast(src) if src.count() <= BROADCAST_SOURCES else src
-    each = slots.join(near.select("sid", "blocks"), "sid").withColumn("i", F.explode(F.expr("sequence(0L, n - 1)")))
+    # dealt to a given number of tasks, or the few rows of counts would be put together and opened in one
+    slots = slots.join(near.select("sid", "blocks"), "sid").repartition(_parts(src), "shard", "sid")
+    each = slots.withColumn("i", F.explode(F.expr("sequence(0L, n - 1)")))
     nth, pass_ = F.expr("(slot + i) % blocks"), F.expr("(slot + i) div blocks")
     place = F.col("shard") * per_shard + permuted(F.col("at") + F.col("i"), F.col("in_all"), F.lit(seed), F.col("shard"))
     return each.select("sid", "shard", place.alias("place"), pass_.alias("pass"), permuted(nth, F.col("blocks"), F.lit(seed), F.col("sid"), pass_).alias("block"))
