@@ -33,7 +33,7 @@ from matchloom.llm.vectors import per_group
 
 WORDS, SYMBOLS, MISSED = 5, 64, 1e-6
 #: A block has at most so many classes and, but for single giants, shingles; hubs of a group of more blocks.
-BLOCK, BLOCK_SHINGLES, HUBS, FILTER_BYTES, BUCKET = 1024, 4_000_000, 8, 24 << 20, 2048
+BLOCK, BLOCK_SHINGLES, HUBS, FILTER_BYTES, BUCKET = 1024, 4_000_000, 8, 24 << 20, 256
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
