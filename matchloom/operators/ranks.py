@@ -71,15 +71,16 @@ def percentiles(df: DataFrame, d: str, shares: tuple[float, ...], by: list[str]
     return each.groupBy(*by, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("p"))
 
 
-def running(df: DataFrame, d: str, sums: dict[str, str]) -> DataFrame:
-    """df, which has a row for each value of d, with running sums upwards: name -> column summed."""
+def running(df: DataFrame, d: str, sums: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """df, which has a row for each value of d (in each group), with running sums upwards: name -> column summed."""
+    by = by or []
     rows = df.withColumn("__bucket", bucket(F.col(d), bounds(df, d)))
-    each = rows.groupBy("__bucket").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])  # a row for each bucket
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.select("__bucket", *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums])
-    upto = Window.partitionBy("__bucket").orderBy(d).rowsBetween(Window.unboundedPreceding, 0)
+    each = rows.groupBy(*by, "__bucket").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])  # a row for each bucket
+    before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.select(*by, "__bucket", *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums])
+    upto = Window.partitionBy(*by, "__bucket").orderBy(d).rowsBetween(Window.unboundedPreceding, 0)
     within = rows.select("*", *[F.sum(c).over(upto).alias(f"__own_{n}") for n, c in sums.items()])
-    return within.join(F.broadcast(each), "__bucket").select(*df.columns, *[(F.col(f"__{n}") + F.col(f"__own_{n}")).alias(n) for n in sums])
+    return within.join(F.broadcast(each), [*by, "__bucket"]).select(*df.columns, *[(F.col(f"__{n}") + F.col(f"__own_{n}")).alias(n) for n in sums])
 
 
 def numbered(df: DataFrame, order: list, name: str = "place") -> DataFrame:

@@ -127,29 +127,6 @@ def q14(spark, d):
     return i.agg(F.count("*").alias("images"), F.count_if(F.col("n") == 1).alias("one"), F.sum(F.col("n") - 1).alias("extra"), F.round(F.avg("k"), 6).alias("kinds"))
 
 
-@query("q15_variant_compare", f"WITH {_REPORTS}, g AS (SELECT label, family IS NOT NULL AS edited, round(avg(rank1), 6) AS rank1 FROM r GROUP BY ALL) SELECT label, edited, rank1, row_number() OVER (ORDER BY edited, -rank1, label) AS place FROM g")
-def q15(spark, d):
-    g = reports(spark, d).groupBy("label", F.col("family").isNotNull().alias("edited")).agg(F.round(F.avg("rank1"), 6).alias("rank1"))
-    return g.withColumn("place", F.row_number().over(Window.orderBy("edited", -F.col("rank1"), "label")).cast("long"))
-
-
-@query("q16_config_sweep", f"WITH {T.LARGE}, c AS (SELECT d * k AS d, kind, ok, k FROM s, unnest([1.0, 0.5, 0.25]::DOUBLE[]) AS u(k) WHERE d <= 90000 * k) SELECT k AS config, count(*) FILTER (WHERE kind = 'impostor') AS impostors, round(100.0::DOUBLE * count(*) FILTER (WHERE kind = 'genuine' AND ok) / count(*) FILTER (WHERE kind = 'genuine'), 6) AS tar FROM c GROUP BY k")
-def q16(spark, d):
-    c = T.scores_large(spark, d).withColumn("k", F.explode(F.array(*map(F.lit, (1.0, 0.5, 0.25))))).where("d <= 90000 * k")
-    genuine = F.col("kind") == "genuine"
-    return c.groupBy(F.col("k").alias("config")).agg(F.count_if(~genuine).alias("impostors"), F.round(100.0 * F.count_if(genuine & F.col("ok")) / F.count_if(genuine), 6).alias("tar"))
-
-
-@query("q17_dataset_matrix", f"WITH {_REPORTS} SELECT family, label, count(*) AS n, round(avg(rank1), 6) AS rank1 FROM r WHERE family IS NOT NULL AND (family, label) NOT IN (SELECT ('alpha', '1-URGENT')) GROUP BY family, label")
-def q17(spark, d):
-    """Units that are done already are left out by an anti join."""
-    from matchloom.sources import sinks
-
-    units = reports(spark, d).where("family is not null")
-    done = spark.createDataFrame([("alpha", "1-URGENT")], "family string, label string")
-    return sinks.missing(units, done, ["family", "label"]).groupBy("family", "label").agg(F.count("*").alias("n"), F.round(F.avg("rank1"), 6).alias("rank1"))
-
-
 @query("q19_hybrid_calibration", f"WITH {T.MATCHES} SELECT round(quantile_cont(score, 0.05), 6) AS accept, round(quantile_cont(score, 0.95), 6) AS reject, round(median(score), 6) AS middle, count(*) AS n FROM matches WHERE NOT known")
 def q19(spark, d):
     p = ranks.percentiles(T.matches(spark, d).where("not known").select("score"), "score", (0.05, 0.95, 0.5))

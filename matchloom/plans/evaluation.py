@@ -85,6 +85,20 @@ def a9(spark, d):
     return r.crossJoin(F.broadcast(r.agg(F.max("m").alias("top")))).select("query", "candidate", F.round("m", 4).alias("raw"), F.round(100 * F.col("m") / F.col("top"), 6).alias("normalized"))
 
 
+def tar_at_far(s, milli):
+    """target_far_percent, threshold, actual_far_percent, tar_percent, resolvable of s(d, kind, ok) at targets of milli / 1000 percent."""
+    n = s.agg(F.count_if(F.col("kind") == "impostor").alias("n"))
+    k = n.withColumn("milli", F.explode(F.array(*[F.lit(m) for m in milli]))).withColumn("k", F.expr("milli * n div 100000"))
+    imp = s.where("kind = 'impostor'")
+    at = ranks.at_ranks(imp, "d", k.where("k >= 1")).select("milli", F.col("value").alias("t"), F.lit(True).alias("resolvable"))
+    none = k.where("k < 1").crossJoin(F.broadcast(imp.agg((F.min("d") - 1e-9).alias("t")))).select("milli", "t", F.lit(False).alias("resolvable"))
+    p = at.unionByName(none)
+    # rates at a threshold: what lies at or below it, one pass over distinct scores
+    base = curves.by_score(s, "kind", "d", "ok")
+    got = base.crossJoin(F.broadcast(p)).groupBy("milli", "t", "resolvable").agg(F.sum(F.when(F.col("d") <= F.col("t"), F.col("imp")).otherwise(0)).alias("i"), F.sum("imp").alias("ni"), F.sum(F.when(F.col("d") <= F.col("t"), F.col("hits")).otherwise(0)).alias("h"), F.sum("gen").alias("ng"))
+    return got.select((F.col("milli") / 1000.0).alias("target_far_percent"), F.round("t", 6).alias("threshold"), F.round(100.0 * F.col("i") / F.col("ni"), 6).alias("actual_far_percent"), F.round(100.0 * F.col("h") / F.col("ng"), 6).alias("tar_percent"), "resolvable")
+
+
 for _n, _sql, _of in (("small", T.SMALL, T.scores_small), ("large", T.LARGE, T.scores_large)):
 
     @query(f"a10_roc_{_n}", f"WITH {_sql}{T.ROC} SELECT t, round(far, 6) AS far, round(tar, 6) AS tar, round(100 - tar, 6) AS frr FROM roc")
@@ -108,17 +122,7 @@ for _n, _sql, _of in (("small", T.SMALL, T.scores_small), ("large", T.LARGE, T.s
     )
     def w4(spark, d, of=_of, milli=tuple(_MILLI)):
         """k = floor(target / 100 * impostors); the k-th smallest impostor is the threshold, below the first if k is 0."""
-        s = of(spark, d)
-        n = s.agg(F.count_if(F.col("kind") == "impostor").alias("n"))
-        k = n.withColumn("milli", F.explode(F.array(*[F.lit(m) for m in milli]))).withColumn("k", F.expr("milli * n div 100000"))
-        imp = s.where("kind = 'impostor'")
-        at = ranks.at_ranks(imp, "d", k.where("k >= 1")).select("milli", F.col("value").alias("t"), F.lit(True).alias("resolvable"))
-        none = k.where("k < 1").crossJoin(F.broadcast(imp.agg((F.min("d") - 1e-9).alias("t")))).select("milli", "t", F.lit(False).alias("resolvable"))
-        p = at.unionByName(none)
-        # rates at a threshold: what lies at or below it, one pass over distinct scores
-        base = curves.by_score(s, "kind", "d", "ok")
-        got = base.crossJoin(F.broadcast(p)).groupBy("milli", "t", "resolvable").agg(F.sum(F.when(F.col("d") <= F.col("t"), F.col("imp")).otherwise(0)).alias("i"), F.sum("imp").alias("ni"), F.sum(F.when(F.col("d") <= F.col("t"), F.col("hits")).otherwise(0)).alias("h"), F.sum("gen").alias("ng"))
-        return got.select((F.col("milli") / 1000.0).alias("target_far_percent"), F.round("t", 6).alias("threshold"), F.round(100.0 * F.col("i") / F.col("ni"), 6).alias("actual_far_percent"), F.round(100.0 * F.col("h") / F.col("ng"), 6).alias("tar_percent"), "resolvable")
+        return tar_at_far(of(spark, d), milli)
 
 
 @query("p15_resolvable", f"WITH {T.SMALL}, n AS (SELECT count(*) FILTER (WHERE kind = 'impostor') AS n FROM s) SELECT milli, milli * n // 100000 AS k, milli * n // 100000 >= 1 AS resolvable FROM n, unnest([10, 1058, 5000, 10000]) AS u(milli)")
