@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.functions import labels as L
 from matchloom.functions import vectors as V
-from matchloom.operators import curves, pairs, ranks
+from matchloom.operators import curves, pairs, ranks, subspace
 from matchloom.operators import matching as M
 from matchloom.plans import frames as FR
 from matchloom.plans import tables as T
+from matchloom.plans.hybrid import _CASES
+from matchloom.plans.kernels import _IN, REGIONS, region, tiles
 from matchloom.plans.registry import query
 from matchloom.plans.reports import _FPS, fps_runs
 from matchloom.plans.scans import _REPORTS, reports
+from matchloom.sources.shared import written
 from matchloom.streaming import loops
 
 
@@ -27,10 +33,13 @@ def a37(spark, d):
     return c.crossJoin(F.broadcast(rank1)).withColumn("bytes", F.lit(64 * 4))
 
 
-@query("l8_train_loop", f"WITH {T.GALLERY} SELECT person, sample_count, round(list_sum(list_transform(centroid, lambda x: x * x)), 6) AS squared FROM gallery")
+@query("l8_train_loop", f"WITH {T.GALLERY}, c AS (SELECT f.vec_id, f.person, {T.dot_sql('f.v', 'g.centroid')} AS own FROM feat f JOIN gallery g USING (person) WHERE NOT probe AND known) SELECT g.person, g.sample_count, round(list_sum(list_transform(g.centroid, lambda x: x * x)), 6) AS squared, round(min(own), 6) AS worst, round(avg(own), 6) AS mean FROM gallery g JOIN c USING (person) GROUP BY g.person, g.sample_count, g.centroid")
 def l8(spark, d):
-    """Scan, enrol, check: the centroids' lengths are one."""
-    return T.gallery(spark, d).select("person", "sample_count", F.round(V.dot(F.col("centroid"), F.col("centroid")), 6).alias("squared"))
+    """Scan, enrol, check: the centroids' lengths are one; how near each identity's own images come to its centroid."""
+    g = T.gallery(spark, d)
+    own = T.members(spark, d).select("person", "v").join(g.select("person", "centroid"), "person").select("person", V.dot(F.col("v"), F.col("centroid")).alias("own"))
+    near = own.groupBy("person").agg(F.round(F.min("own"), 6).alias("worst"), F.round(F.avg("own"), 6).alias("mean"))
+    return g.select("person", "sample_count", F.round(V.dot(F.col("centroid"), F.col("centroid")), 6).alias("squared")).join(near, "person")
 
 
 @query("r6_iou_and_count_vote", f"WITH {FR._F}, {FR._BOXES}, e2 AS (SELECT * EXCLUDE (episode), sum(reset::INT) OVER (PARTITION BY stream ORDER BY ts, frame) AS episode FROM re), {FR._VOTES.format(src='e2')} SELECT stream, frame, name, hits FROM v WHERE rn = 1 AND hits >= 2")
@@ -68,27 +77,54 @@ def _first_of_each(spark, d):
     return p.select(F.col("a_person").alias("query"), F.col("b_person").alias("candidate"), F.round(V.euclidean(F.col("a_v"), F.col("b_v")), 9).alias("d"))
 
 
-@query("q5_light_front_independence", f"WITH {T.FEAT}, {_FIRST}, c AS (SELECT label, round(t, 6) AS t FROM (UNPIVOT (SELECT quantile_cont(d, 0.05) AS p05, quantile_cont(d, 0.25) AS p25, greatest(0, avg(d) - stddev_pop(d)) AS mean_minus_std FROM p) ON p05, p25, mean_minus_std INTO NAME label VALUE t)) SELECT label, t, count(*) FILTER (WHERE d <= t) AS hits, count(*) AS comparisons FROM p, c GROUP BY label, t")
+_HIST = "h AS (SELECT least(9, floor((d - lo) / ((hi - lo) / 10))::BIGINT) AS bin, count(*) AS n, lo, hi FROM p, (SELECT min(d) AS lo, max(d) AS hi FROM p) GROUP BY ALL)"
+
+
+@query("q5_light_front_independence", f"WITH {T.FEAT}, {_FIRST}, {_HIST}, c AS (SELECT label, round(t, 6) AS t FROM (UNPIVOT (SELECT quantile_cont(d, 0.05) AS p05, quantile_cont(d, 0.25) AS p25, greatest(0, avg(d) - stddev_pop(d)) AS mean_minus_std FROM p) ON p05, p25, mean_minus_std INTO NAME label VALUE t)), w AS (SELECT query, candidate, d, row_number() OVER (ORDER BY d, query, candidate) AS rn FROM p) SELECT 'sweep' AS part, label AS name, t AS x, count(*) FILTER (WHERE d <= t) AS n FROM p, c GROUP BY label, t UNION ALL SELECT 'histogram', bin::VARCHAR, round(lo + bin * (hi - lo) / 10, 6), n FROM h UNION ALL SELECT 'lowest', query || '/' || candidate, round(d, 6), rn FROM w WHERE rn <= 5")
 def q5(spark, d):
+    """A test of one image for each identity: counts at named thresholds, the histogram that is plotted, the lowest pairs."""
     p = _first_of_each(spark, d)
     two = ranks.percentiles(p, "d", (0.05, 0.25)).select(F.col("p")[0].alias("p05"), F.col("p")[1].alias("p25"))
     a = two.crossJoin(p.agg(F.greatest(F.lit(0.0), F.avg("d") - F.stddev_pop("d")).alias("mean_minus_std")))
-    c = a.unpivot([], a.columns, "label", "t").withColumn("t", F.round("t", 6))
-    return p.crossJoin(F.broadcast(c)).groupBy("label", "t").agg(F.count_if(F.col("d") <= F.col("t")).alias("hits"), F.count("*").alias("comparisons"))
+    c = a.unpivot([], a.columns, "name", "x").withColumn("x", F.round("x", 6))
+    sweep = p.crossJoin(F.broadcast(c)).groupBy("name", "x").agg(F.count_if(F.col("d") <= F.col("x")).alias("n")).select(F.lit("sweep").alias("part"), "name", "x", "n")
+    ends = p.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    bins = p.crossJoin(F.broadcast(ends)).groupBy(F.least(F.lit(9).cast("long"), F.floor((F.col("d") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 10))).alias("bin"), "lo", "hi").agg(F.count("*").alias("n"))
+    bins = bins.select(F.lit("histogram").alias("part"), F.col("bin").cast("string").alias("name"), F.round(F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / 10, 6).alias("x"), "n")
+    order = ["d", "query", "candidate"]
+    low = p.orderBy(*order).limit(5).withColumn("n", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return sweep.unionByName(bins).unionByName(low.select(F.lit("lowest").alias("part"), F.concat_ws("/", "query", "candidate").alias("name"), F.round("d", 6).alias("x"), "n"))
 
 
-@query("q6_ordered_ranks_of_unique_pairs", f"WITH {T.FEAT}, {_FIRST}, r AS (SELECT *, row_number() OVER (ORDER BY d, query, candidate) AS rn FROM p) SELECT k, query, candidate, round(100 * d / (SELECT max(d) FROM p), 6) AS normalized FROM r JOIN (SELECT unnest([1, 2, 4, 8, 16]) AS k) ON rn = (k + 1) // 2")
+@query("q6_subspace_independence")
 def q6(spark, d):
-    p = _first_of_each(spark, d)
-    top = p.agg(F.max("d").alias("m"))
-    r = p.orderBy("d", "query", "candidate").limit(8).withColumn("rn", F.row_number().over(Window.orderBy("d", "query", "candidate"))).withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 4, 8, 16)))))
-    return r.where(F.col("rn") == F.floor((F.col("k") + 1) / 2)).crossJoin(F.broadcast(top)).select("k", "query", "candidate", F.round(100 * F.col("d") / F.col("m"), 6).alias("normalized"))
-
-
-@query("q8_accuracy_ratio_report", "WITH l AS (SELECT l_linestatus AS family, l_returnflag AS modification, l_linenumber AS level, count(*) AS modified_total, count(*) FILTER (WHERE l_discount <= 0.05) AS matched FROM lineitem GROUP BY ALL) SELECT family, modification, count(*) AS levels, sum(modified_total)::BIGINT AS modified_total, round(100 * avg(matched::DOUBLE / modified_total), 6) AS ar_percent FROM l GROUP BY family, modification")
+    """A basis fitted to at most 200 members by hash, all vectors projected, and the error pairs at ranks 1, 2, 4, .. of all
+    unique pairs; the k-th ordered pair is the ceil(k / 2)-th unique one. Distances as they are and normalized to 100."""
+    sample = T.members(spark, d).orderBy(F.xxhash64("vec_id")).limit(200)
+    mean, axes = subspace.pca(subspace.moments(sample.select("label", "v"), "label"), 20)
+    x = written(subspace.projected(T.feat(spark, d).select("vec_id", "v"), mean, axes).select("vec_id", "p"))
+    u = pairs.unique_pairs(x, "vec_id").select(F.col("a_vec_id").alias("query"), F.col("b_vec_id").alias("candidate"), F.round(V.euclidean(F.col("a_p"), F.col("b_p")), 9).alias("d"))
+    a = u.agg(F.count("*").alias("n"), F.max("d").alias("top"))
+    want = a.where("n > 0").select("top", F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.pow(F.lit(2.0), i).cast("long")), lambda k: k <= 2 * F.col("n"))).alias("ordered")).withColumn("k", F.expr("(ordered + 1) div 2"))
+    return ranks.rows_at(u, "d", ["query", "candidate"], want).select(F.col("ordered").alias("k"), "query", "candidate", F.round("d", 6).alias("d"), F.round(100 * F.col("d") / F.col("top"), 6).alias("normalized"))
+
+
+@query("q8_accuracy_ratio_report")
 def q8(spark, d):
-    li = T.read(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("family"), F.col("l_returnflag").alias("modification"), "l_linenumber").agg(F.count("*").alias("modified_total"), F.count_if(F.col("l_discount") <= 0.05).alias("matched"))
-    return li.groupBy("family", "modification").agg(F.count("*").alias("levels"), F.sum("modified_total").alias("modified_total"), F.round(100 * F.avg(F.col("matched") / F.col("modified_total")), 6).alias("ar_percent"))
+    """Accuracy ratios over the suite of 41 modifications: a modified image matches if it is nearer to its original than the
+    threshold whose rate of false accepts is nearest to five percent. Ratios by level, mean of the levels, worst three."""
+    from matchloom.plans.kernels import modified
+
+    originals = tiles(spark, d).select("vec_id", F.col("tile").cast("array<double>").alias("t"))
+    others = pairs.unique_pairs(originals, "vec_id").select(F.round(V.euclidean(F.col("a_t"), F.col("b_t")), 6).alias("d"))
+    shares = (0.01, 0.02, 0.04, 0.06, 0.1)
+    rates = ranks.percentiles(others, "d", shares).select(F.explode(F.arrays_zip(F.col("p").alias("t"), F.array(*map(F.lit, shares)).alias("rate"))).alias("r")).select("r.*")
+    at = rates.agg(F.min(F.struct(F.round(F.abs(F.col("rate") - 0.05), 9).alias("gap"), "rate", F.col("t").alias("threshold"))).alias("m")).select("m.rate", "m.threshold")
+    m = modified(spark, d).select("kind", "level", F.round(V.euclidean(F.col("made").cast("array<double>"), F.col("tile").cast("array<double>")), 6).alias("d"))
+    level = m.crossJoin(F.broadcast(at)).groupBy("kind", "level", "threshold").agg(F.count("*").alias("modified"), F.count_if(F.col("d") <= F.col("threshold")).alias("matched"))
+    kind = level.groupBy("kind", "threshold").agg(F.count("*").alias("levels"), F.sum("modified").alias("modified"), F.sum("matched").alias("matched"), F.round(100 * F.avg(F.col("matched") / F.col("modified")), 6).alias("ar_percent"))
+    every = Window.partitionBy()  # a dozen rows
+    return kind.withColumn("overall", F.round(F.avg("ar_percent").over(every), 6)).withColumn("worst", F.row_number().over(Window.orderBy("ar_percent", "kind")) <= 3)
 
 
 @query("q10_entity_aggregation", f"WITH {_REPORTS}, k AS (SELECT *, coalesce(family, 'none') || '::' || label AS entity_key FROM r), g AS (SELECT entity_key, count(*) AS runs, first(coalesce(rank1, hit_rate) ORDER BY mtime DESC, id DESC) AS metric FROM k GROUP BY entity_key) SELECT entity_key, runs, metric, row_number() OVER (ORDER BY metric DESC NULLS LAST, entity_key) AS place FROM g")
@@ -98,9 +134,13 @@ def q10(spark, d):
     return g.withColumn("place", F.row_number().over(Window.orderBy(F.col("metric").desc_nulls_last(), "entity_key")).cast("long"))
 
 
-@query("q11_fps_aggregation", f"WITH {_FPS} SELECT family, count(*) AS frames, round(avg(value), 4) AS mean, round(max(value), 4) AS best FROM fps WHERE family IS NOT NULL GROUP BY family")
+@query("q11_fps_aggregation", f"WITH e AS (SELECT user_id, CASE user_id % 5 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' WHEN 2 THEN 'delta' END AS family, count(*) AS frames, epoch(max(ts)) - epoch(min(ts)) AS seconds, avg(value) AS average, max(value) AS best FROM events GROUP BY 1, 2) SELECT family, count(*) AS runs, sum(frames)::BIGINT AS frames, round(CASE WHEN sum(seconds) > 0 THEN sum(frames)::DOUBLE / sum(seconds) ELSE avg(average) END, 8) AS weighted_fps, round(avg(average), 4) AS mean, round(max(best), 4) AS best FROM e WHERE family IS NOT NULL GROUP BY family")
 def q11(spark, d):
-    return fps_runs(spark, d).where("family is not null").groupBy("family").agg(F.count("*").alias("frames"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.max("value"), 4).alias("best"))
+    """Runs first, then families: frames over seconds of all runs, the mean and the best."""
+    micros = F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))
+    r = fps_runs(spark, d).where("family is not null").groupBy("user_id", "family").agg(F.count("*").alias("frames"), (micros / 1e6).alias("seconds"), F.avg("value").alias("average"), F.max("value").alias("best"))
+    weighted = F.when(F.sum("seconds") > 0, F.sum("frames") / F.sum("seconds")).otherwise(F.avg("average"))
+    return r.groupBy("family").agg(F.count("*").alias("runs"), F.sum("frames").alias("frames"), F.round(weighted, 8).alias("weighted_fps"), F.round(F.avg("average"), 4).alias("mean"), F.round(F.max("best"), 4).alias("best"))
 
 
 @query("q12_model_compare", f"WITH {_REPORTS}, a AS (SELECT label, avg(rank1) AS m FROM r WHERE family = 'alpha' GROUP BY label), b AS (SELECT label, avg(rank1) AS m FROM r WHERE family = 'beta' GROUP BY label) SELECT coalesce(a.label, b.label) AS label, round(coalesce(b.m, 0) - coalesce(a.m, 0), 6) AS delta FROM a FULL JOIN b ON a.label = b.label")
@@ -111,26 +151,59 @@ def q12(spark, d):
     return a.join(b, "label", "full").select("label", F.round(F.coalesce("b", F.lit(0.0)) - F.coalesce("a", F.lit(0.0)), 6).alias("delta"))
 
 
-@query("q13_hybrid_compare", "WITH c AS (SELECT l_quantity * 2 AS d, l_discount * 2 AS margin, l_returnflag AS split FROM lineitem) SELECT split, round(avg((d <= 76.85)::INT), 6) AS first_only, round(avg((margin >= 0.1)::INT), 6) AS second_only, round(avg((CASE WHEN d > 73.04 AND d < 76.85 OR margin < 0.05 THEN margin >= 0.1 ELSE d <= 73.04 END)::INT), 6) AS cascade FROM c GROUP BY split")
-def q13(spark, d):
-    c = T.read(spark, d, "lineitem").select((F.col("l_quantity") * 2).alias("d"), (F.col("l_discount") * 2).alias("margin"), F.col("l_returnflag").alias("split"))
-    g = M.gate(F.array().cast("array<string>"), F.col("d"), F.col("margin"))
-    share = lambda x, n: F.round(F.avg(x.cast("int")), 6).alias(n)
-    return c.groupBy("split").agg(share(F.col("d") <= 76.85, "first_only"), share(F.col("margin") >= 0.1, "second_only"), share(F.when(g["escalate"], F.col("margin") >= 0.1).otherwise(g["reason"] == "confident_accept"), "cascade"))
+_MODES = "w AS (SELECT l_orderkey, l_linenumber % 4 <> 3 AS face, l_orderkey % 5 <> 0 AS known, escalate, d / 10 AS ms, unnest([{'mode': 'cv_only', 'ok': d <= 76.85}, {'mode': 'dl_only', 'ok': margin >= 0.1}, {'mode': 'cascade', 'ok': CASE WHEN escalate THEN margin >= 0.1 ELSE reason = 'confident_accept' END}]) AS m FROM h)"
 
 
-@query("q14_detector_compare", "WITH s AS (SELECT l_orderkey FROM (SELECT DISTINCT l_orderkey FROM lineitem) ORDER BY md5('42:' || l_orderkey) LIMIT 300), i AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_suppkey % 3) AS k FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM s) GROUP BY 1) SELECT count(*) AS images, count(*) FILTER (WHERE n = 1) AS one, sum(n - 1)::BIGINT AS extra, round(avg(k), 6) AS kinds FROM i")
-def q14(spark, d):
-    li = T.read(spark, d, "lineitem")
-    s = li.select("l_orderkey").distinct().orderBy(F.md5(F.concat(F.lit("42:"), F.col("l_orderkey").cast("string")).cast("binary"))).limit(300)
-    i = li.join(F.broadcast(s), "l_orderkey", "left_semi").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_distinct(F.col("l_suppkey") % 3).alias("k"))
-    return i.agg(F.count("*").alias("images"), F.count_if(F.col("n") == 1).alias("one"), F.sum(F.col("n") - 1).alias("extra"), F.round(F.avg("k"), 6).alias("kinds"))
+@query("q13_hybrid_compare", f"WITH {_CASES}, {_MODES}, gm AS (SELECT m.mode AS mode, count(*) FILTER (WHERE face) AS evaluated, count(*) FILTER (WHERE face AND m.ok) AS hits, round(count(*) FILTER (WHERE known AND face AND m.ok)::DOUBLE / count(*) FILTER (WHERE known), 6) AS tar, round(avg(escalate::INT), 6) AS escalation_rate, round(avg(ms + CASE WHEN m.mode = 'cv_only' THEN 0 WHEN m.mode = 'dl_only' OR escalate THEN 20 ELSE 0 END), 4) AS mean_ms, round(quantile_cont(ms + CASE WHEN m.mode = 'cv_only' THEN 0 WHEN m.mode = 'dl_only' OR escalate THEN 20 ELSE 0 END, 0.95), 4) AS p95_ms FROM w GROUP BY 1) SELECT *, round(1000 / mean_ms, 4) AS fps FROM gm")
+def q13(spark, d):
+    """The engines alone and the cascade, side by side: hits, accepts, escalation and what a row costs."""
+    from matchloom.plans.hybrid import gated
+
+    second, mode = F.col("margin") >= 0.1, F.col("m.mode")
+    ways = F.array(*[F.struct(F.lit(n).alias("mode"), c.alias("ok")) for n, c in (("cv_only", F.col("d") <= 76.85), ("dl_only", second), ("cascade", F.when(F.col("escalate"), second).otherwise(F.col("reason") == "confident_accept")))])
+    w = gated(spark, d).select((F.col("l_linenumber") % 4 != 3).alias("face"), (F.col("l_orderkey") % 5 != 0).alias("known"), "escalate", (F.col("d") / 10).alias("ms"), F.explode(ways).alias("m"))
+    w = w.select("face", "known", "escalate", mode.alias("mode"), F.col("m.ok").alias("ok"), (F.col("ms") + F.when(mode == "cv_only", 0).when((mode == "dl_only") | F.col("escalate"), 20).otherwise(0)).alias("ms"))
+    face, known, ok = F.col("face"), F.col("known"), F.col("ok")
+    g = w.groupBy("mode").agg(F.count_if(face).alias("evaluated"), F.count_if(face & ok).alias("hits"), F.round(F.count_if(known & face & ok) / F.count_if(known), 6).alias("tar"), F.round(F.avg(F.col("escalate").cast("int")), 6).alias("escalation_rate"), F.round(F.avg("ms"), 4).alias("mean_ms"))
+    p95 = ranks.percentiles(w, "ms", (0.95,), ["mode"]).select("mode", F.round(F.col("p")[0], 4).alias("p95_ms"))
+    return g.join(p95, "mode").withColumn("fps", F.round(1000 / F.col("mean_ms"), 4))
 
 
-@query("q19_hybrid_calibration", f"WITH {T.MATCHES} SELECT round(quantile_cont(score, 0.05), 6) AS accept, round(quantile_cont(score, 0.95), 6) AS reject, round(median(score), 6) AS middle, count(*) AS n FROM matches WHERE NOT known")
+@query("q14_detector_compare", "WITH s AS (SELECT l_orderkey FROM (SELECT DISTINCT l_orderkey FROM lineitem) ORDER BY md5('42:' || l_orderkey), l_orderkey LIMIT 300), x AS (SELECT l_orderkey, d.name AS detector, l_quantity AS ms FROM lineitem JOIN s USING (l_orderkey), (VALUES ('first', 0), ('second', 1)) AS d(name, k) WHERE (l_suppkey + d.k) % 3 > 0), i AS (SELECT s.l_orderkey, d.name AS detector, count(x.ms) AS faces, sum(x.ms) AS ms FROM s, (VALUES ('first'), ('second')) AS d(name) LEFT JOIN x ON x.l_orderkey = s.l_orderkey AND x.detector = d.name GROUP BY ALL), b AS (SELECT l_orderkey, count(*) FILTER (WHERE faces > 0) AS found FROM i GROUP BY 1) SELECT detector, count(*) AS images, round(avg((faces > 0)::INT), 6) AS rate, count(*) FILTER (WHERE faces = 1) AS exactly_one, sum(greatest(0, faces - 1))::BIGINT AS extra, round(avg(ms), 4) AS mean_ms, round(median(ms), 4) AS median_ms, count(*) FILTER (WHERE faces > 0 AND found = 1) AS alone FROM i JOIN b USING (l_orderkey) GROUP BY detector")
+def q14(spark, d):
+    """Two detectors on a random sample of images: rates, images with one face, further faces, time, and images that only
+    one of the two finds a face on."""
+    li = T.read(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
+    key = F.md5(F.concat(F.lit("42:"), F.col("l_orderkey").cast("string")).cast("binary"))
+    s = li.select("l_orderkey").distinct().orderBy(key, "l_orderkey").limit(300)
+    both = F.explode(F.array(*[F.struct(F.lit(n).alias("detector"), F.lit(k).alias("k")) for k, n in enumerate(("first", "second"))]))
+    seen = li.join(F.broadcast(s), "l_orderkey", "left_semi").withColumn("x", both).where((F.col("l_suppkey") + F.col("x.k")) % 3 > 0)
+    seen = seen.groupBy("l_orderkey", F.col("x.detector").alias("detector")).agg(F.count("*").alias("faces"), F.sum("l_quantity").alias("ms"))
+    i = s.withColumn("detector", F.explode(F.array(F.lit("first"), F.lit("second")))).join(seen, ["l_orderkey", "detector"], "left").withColumn("faces", F.coalesce("faces", F.lit(0)))
+    i = i.join(i.groupBy("l_orderkey").agg(F.count_if(F.col("faces") > 0).alias("found")), "l_orderkey")
+    g = i.groupBy("detector").agg(F.count("*").alias("images"), F.round(F.avg((F.col("faces") > 0).cast("int")), 6).alias("rate"), F.count_if(F.col("faces") == 1).alias("exactly_one"), F.sum(F.greatest(F.lit(0), F.col("faces") - 1)).alias("extra"), F.round(F.avg("ms"), 4).alias("mean_ms"), F.count_if((F.col("faces") > 0) & (F.col("found") == 1)).alias("alone"))
+    return g.join(ranks.percentiles(i, "ms", (0.5,), ["detector"]).select("detector", F.round(F.col("p")[0], 4).alias("median_ms")), "detector")
+
+
+@query("q19_hybrid_calibration", f"WITH {T.MATCHES}, {_CASES}, c AS (SELECT round({T.dot_sql('a.v', 'b.v')}, 9) AS c FROM feat a JOIN feat b ON a.vec_id < b.vec_id AND a.label <> b.label), r AS (SELECT c, row_number() OVER (ORDER BY c DESC) AS rn, count(*) OVER () AS n FROM c) SELECT 'spread' AS part, name, value FROM (UNPIVOT (SELECT round(quantile_cont(score, 0.05), 6) AS accept, round(quantile_cont(score, 0.95), 6) AS reject, round(median(score), 6) AS middle FROM matches WHERE NOT known) ON accept, reject, middle INTO NAME name VALUE value) UNION ALL SELECT 'far', printf('%.3f', t), round(avg((c >= t)::INT), 9) FROM c, unnest([0.0, 0.2, 0.363]::DOUBLE[]) AS u(t) GROUP BY t UNION ALL SELECT 'cosine_at_far', ppm::VARCHAR, c FROM r, unnest([1000, 10000]) AS u(ppm) WHERE rn = least(n, greatest(1, (ppm * n + 999999) // 1000000)) UNION ALL SELECT 'quality', name, value FROM (UNPIVOT (SELECT round(quantile_cont(blur, 0.05), 6) AS blur, round(quantile_cont(noise, 0.95), 6) AS noise, round(quantile_cont(pose, 0.95), 6) AS pose FROM c_) ON blur, noise, pose INTO NAME name VALUE value)".replace("c AS (SELECT l_orderkey", "c_ AS (SELECT l_orderkey").replace("FROM c), g AS", "FROM c_), g AS").replace("IS NOT NULL) AS flags FROM c)", "IS NOT NULL) AS flags FROM c_)"))
 def q19(spark, d):
-    p = ranks.percentiles(T.matches(spark, d).where("not known").select("score"), "score", (0.05, 0.95, 0.5))
-    return p.select(*[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("accept", "reject", "middle"))], "n")
+    """What a cascade is calibrated by: the spread of impostors' scores, the model of false accepts by cosine, cosines at given
+    rates, and thresholds of quality."""
+    from matchloom.plans.hybrid import cases
+
+    m = ranks.percentiles(T.matches(spark, d).where("not known").select("score"), "score", (0.05, 0.95, 0.5))
+    rows = lambda part, df, names: df.select(F.explode(F.array(*[F.struct(F.lit(part).alias("part"), F.lit(n).alias("name"), v.alias("value")) for n, v in names])).alias("r")).select("r.*")
+    out = rows("spread", m, [(n, F.round(F.col("p")[i], 6)) for i, n in enumerate(("accept", "reject", "middle"))])
+    c = pairs.unique_pairs(T.feat(spark, d).select("vec_id", "label", "v"), "vec_id").where("a_label <> b_label").select(F.round(V.dot(F.col("a_v"), F.col("b_v")), 9).alias("c"))
+    ts = (0.0, 0.2, 0.363)
+    a = c.agg(F.count("*").alias("n"), *[F.count_if(F.col("c") >= t).alias(f"k{i}") for i, t in enumerate(ts)])
+    out = out.unionByName(rows("far", a, [(f"{t:.3f}", F.round(F.col(f"k{i}") / F.col("n"), 9)) for i, t in enumerate(ts)]))
+    want = a.select("n", F.explode(F.array(F.lit(1000), F.lit(10000))).alias("ppm")).where("n > 0").withColumn("k", F.expr("least(n, greatest(1, (ppm * n + 999999) div 1000000))"))
+    at = ranks.at_ranks(c.select((-F.col("c")).alias("c")), "c", want, cuts=[i / 128 - 1 for i in range(257)])
+    out = out.unionByName(at.select(F.lit("cosine_at_far").alias("part"), F.col("ppm").cast("string").alias("name"), (0 - F.col("value")).alias("value")))
+    probes = cases(spark, d).select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("x")) for n in ("blur", "noise", "pose")])).alias("e")).select("e.*")
+    q = ranks.percentiles(probes, "x", (0.05, 0.95), ["name"])
+    return out.unionByName(q.select(F.lit("quality").alias("part"), "name", F.round(F.when(F.col("name") == "blur", F.col("p")[0]).otherwise(F.col("p")[1]), 6).alias("value")))
 
 
 @query("q21_parity_gate", f"WITH {T.FEAT}, p AS (SELECT {T.dot_sql('a.v', 'b.v')} AS c FROM feat a JOIN feat b ON a.vec_id < b.vec_id), f AS (SELECT 100.0::DOUBLE * count(*) FILTER (WHERE c >= 0.363 AND sqrt(greatest(0, 2 - 2 * c)) <= 1.128) / count(*) AS fp FROM p) SELECT round(fp, 6) AS fp_percent, abs(fp - 0.0747) <= 0.05 AS within_tolerance FROM f")
@@ -140,16 +213,34 @@ def q21(spark, d):
     return f.select(F.round("fp", 6).alias("fp_percent"), (F.abs(F.col("fp") - 0.0747) <= 0.05).alias("within_tolerance"))
 
 
-@query("q23_launcher_overview", f"WITH {_REPORTS}, g AS (SELECT coalesce(family, 'none') AS family, max(coalesce(rank1, hit_rate, 0)) AS best, count(*) AS n FROM r GROUP BY 1) SELECT family, round(best, 6) AS best, n, CASE WHEN best >= 0.6 THEN 'ok' ELSE 'low' END AS state FROM g")
+@query("q23_launcher_overview", f"WITH {_REPORTS}, g AS (SELECT coalesce(family, 'none') AS family, 'trainer_raw-' || label || '_labels_x' AS variant, max(coalesce(rank1, hit_rate, 0)) AS best, count(*) AS n FROM r GROUP BY 1, 2), t AS (SELECT family, trim(regexp_replace(lower(replace(replace(variant, 'trainer_raw-', ''), '_labels_x', '')), '[^a-z0-9]+', '-', 'g'), '-') AS tag, round(best, 6) AS best, n, CASE WHEN best >= 0.6 THEN 'ok' ELSE 'low' END AS state FROM g) SELECT *, row_number() OVER (ORDER BY best DESC, n DESC, family, tag) AS place FROM t ORDER BY place LIMIT 40")
 def q23(spark, d):
-    g = reports(spark, d).groupBy(F.coalesce("family", F.lit("none")).alias("family")).agg(F.max(F.coalesce("rank1", "hit_rate", F.lit(0.0))).alias("b"), F.count("*").alias("n"))
-    return g.select("family", F.round("b", 6).alias("best"), "n", F.when(F.col("b") >= 0.6, "ok").otherwise("low").alias("state"))
+    """The overview of all models: the best metric of each family and variant, the variant's short tag, and a place."""
+    variant = F.concat(F.lit("trainer_raw-"), "label", F.lit("_labels_x"))
+    g = reports(spark, d).groupBy(F.coalesce("family", F.lit("none")).alias("family"), L.compact_tag(variant).alias("tag")).agg(F.max(F.coalesce("rank1", "hit_rate", F.lit(0.0))).alias("b"), F.count("*").alias("n"))
+    rows = g.select("family", "tag", F.round("b", 6).alias("best"), "n", F.when(F.col("b") >= 0.6, "ok").otherwise("low").alias("state"))
+    order = (F.desc("best"), F.desc("n"), "family", "tag")
+    return rows.orderBy(*order).limit(40).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+_CUT = ", ".join(f"({k}, '{n}', {left}, {top}, {w}, {h})" for k, (n, (left, top, w, h)) in enumerate(REGIONS.items()))
 
 
-@query("q24_failure_analysis", "SELECT l_returnflag AS algorithm, round(avg(l_extendedprice), 4) AS raw, round(avg(l_extendedprice * (1 - l_discount)), 4) AS equalized, round(100 * avg(l_extendedprice * (1 - l_discount)) / avg(l_extendedprice), 6) AS share FROM lineitem GROUP BY 1")
+@query(
+    "q24_failure_analysis",
+    f"WITH {T.FEAT}, t AS (SELECT vec_id, list_transform(v, lambda x: greatest(0, least(255, round_even((x + 1) * 127.5, 0)))::INT) AS tile FROM feat), p AS (SELECT a.vec_id, i // 8 AS y, i % 8 AS x, (a.tile[i + 1] - b.tile[i + 1])::DOUBLE AS diff FROM t a JOIN t b ON b.vec_id = a.vec_id + 1, range(64) AS u(i)), r(k, name, l, t, w, h) AS (VALUES {_CUT}), s AS (SELECT vec_id, name, sqrt(coalesce(sum(diff * diff) FILTER (WHERE {_IN}), 0)) AS within, sqrt(coalesce(sum(diff * diff) FILTER (WHERE NOT ({_IN})), 0)) AS without FROM p, r GROUP BY vec_id, name), m AS (SELECT name, avg(within) AS within, avg(without) AS without FROM s GROUP BY name), f AS (SELECT within AS base FROM m WHERE name = 'full_face') SELECT name AS region, round(within, 4) AS within, round(CASE name WHEN 'full_face' THEN 0 ELSE base - without END, 4) AS impact, round(100 * within / base, 6) AS relative FROM m, f",
+)
 def q24(spark, d):
-    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return T.read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("algorithm")).agg(F.round(F.avg("l_extendedprice"), 4).alias("raw"), F.round(F.avg(net), 4).alias("equalized"), F.round(100 * F.avg(net) / F.avg("l_extendedprice"), 6).alias("share"))
+    """Why neighbours differ: the mean distance of images within each region, what blacking a region out takes off the
+    distance, and both against the whole face."""
+    t = tiles(spark, d)
+    both = t.join(t.select((F.col("vec_id") - 1).alias("vec_id"), F.col("tile").alias("other")), "vec_id")
+    square = F.transform(F.zip_with("tile", "other", lambda a, b: (a - b).cast("double")), lambda x: x * x)
+    kept = lambda n, keep: F.sqrt(F.aggregate(F.transform("sq", lambda x, i: F.when(region(n, i) == F.lit(keep), x).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x))
+    each = both.select(square.alias("sq")).select(F.explode(F.array(*[F.struct(F.lit(n).alias("region"), kept(n, True).alias("within"), kept(n, False).alias("without")) for n in REGIONS])).alias("r")).select("r.*")
+    m = each.groupBy("region").agg(F.avg("within").alias("w"), F.avg("without").alias("o"))
+    base = m.where("region = 'full_face'").select(F.col("w").alias("base"))
+    return m.crossJoin(F.broadcast(base)).select("region", F.round("w", 4).alias("within"), F.round(F.when(F.col("region") == "full_face", 0.0).otherwise(F.col("base") - F.col("o")), 4).alias("impact"), F.round(100 * F.col("w") / F.col("base"), 6).alias("relative"))
 
 
 @query("q25_self_match", f"WITH {T.FEAT}, p AS (SELECT a.vec_id, first(b.vec_id ORDER BY round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9), b.vec_id) AS best FROM feat a, feat b WHERE a.probe GROUP BY a.vec_id) SELECT count(*) AS n, count(*) FILTER (WHERE vec_id = best) AS hits FROM p")
@@ -160,11 +251,19 @@ def q25(spark, d):
     return best.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") == F.col("best")).alias("hits"))
 
 
-@query("q26_clean_loop", f"WITH {T.MATCHES} SELECT 'rank1' AS metric, round(avg({_HIT}) FILTER (WHERE known), 6) AS value FROM matches UNION ALL SELECT 'accepted', round(avg((score >= 0.2)::INT), 6) FROM matches UNION ALL SELECT 'false_accept', round(avg((score >= 0.2)::INT) FILTER (WHERE NOT known), 6) FROM matches")
+@query("q26_clean_loop", f"WITH {T.MATCHES}, s AS (SELECT round(1 - score, 9) AS d, CASE WHEN known THEN 'genuine' ELSE 'impostor' END AS kind, best_person = person AS ok FROM matches){T.ROC}, q AS (SELECT d, row_number() OVER (ORDER BY d) AS rn, count(*) OVER () AS n FROM s WHERE kind = 'impostor'), th AS (SELECT d AS t FROM q WHERE rn = greatest(1, n // 10)) SELECT 'rank1' AS metric, round(avg({_HIT}) FILTER (WHERE known), 6) AS value FROM matches UNION ALL SELECT 'accepted', round(avg((score >= 0.2)::INT), 6) FROM matches UNION ALL SELECT 'false_accept', round(avg((score >= 0.2)::INT) FILTER (WHERE NOT known), 6) FROM matches UNION ALL SELECT 'threshold_at_10', round(t, 6) FROM th UNION ALL SELECT 'tar_at_10', round(100.0::DOUBLE * count(*) FILTER (WHERE kind = 'genuine' AND ok AND d <= t) / count(*) FILTER (WHERE kind = 'genuine'), 6) FROM s, th UNION ALL SELECT 'eer', round(first((far + 100 - tar) / 2 ORDER BY round(abs(far - (100 - tar)), 9), t), 6) FROM roc")
 def q26(spark, d):
+    """One pass from enrolment to report: rank-1, accepts at a fixed threshold, true accepts at ten percent false ones, equal error rate."""
+    m = T.matches(spark, d)
     hit, over = (F.col("best_person") == F.col("person")).cast("int"), (F.col("score") >= 0.2).cast("int")
-    a = T.matches(spark, d).agg(F.round(F.avg(F.when(F.col("known"), hit)), 6).alias("rank1"), F.round(F.avg(over), 6).alias("accepted"), F.round(F.avg(F.when(~F.col("known"), over)), 6).alias("false_accept"))
-    return a.unpivot([], a.columns, "metric", "value")
+    a = m.agg(F.round(F.avg(F.when(F.col("known"), hit)), 6).alias("rank1"), F.round(F.avg(over), 6).alias("accepted"), F.round(F.avg(F.when(~F.col("known"), over)), 6).alias("false_accept"))
+    s = m.select(F.round(1 - F.col("score"), 9).alias("d"), F.when(F.col("known"), "genuine").otherwise("impostor").alias("kind"), (F.col("best_person") == F.col("person")).alias("ok"))
+    imp = s.where("kind = 'impostor'")
+    t = ranks.at_ranks(imp, "d", imp.agg(F.expr("greatest(1, count(*) div 10)").alias("k"))).select(F.col("value").alias("t"))
+    genuine = F.col("kind") == "genuine"
+    b = s.crossJoin(F.broadcast(t)).groupBy("t").agg(F.round(100.0 * F.count_if(genuine & F.col("ok") & (F.col("d") <= F.col("t"))) / F.count_if(genuine), 6).alias("tar_at_10")).select(F.round("t", 6).alias("threshold_at_10"), "tar_at_10")
+    e = curves.eer(curves.roc(s)).select(F.round("eer", 6).alias("eer"))
+    return functools.reduce(DataFrame.unionByName, (x.unpivot([], x.columns, "metric", "value") for x in (a, b, e)))
 
 
 @query("q27_independence_by_bucket", f"WITH {T.FEAT}, p AS (SELECT a.bucket, round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) AS d FROM feat a JOIN feat b ON a.bucket = b.bucket AND a.vec_id < b.vec_id AND a.label <> b.label) SELECT bucket, count(*) AS pairs, min(d) AS closest, round(median(d), 6) AS median FROM p GROUP BY bucket")
