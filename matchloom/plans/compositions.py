@@ -42,9 +42,12 @@ def l8(spark, d):
     return g.select("person", "sample_count", F.round(V.dot(F.col("centroid"), F.col("centroid")), 6).alias("squared")).join(near, "person")
 
 
-@query("r6_iou_and_count_vote", f"WITH {FR._F}, {FR._BOXES}, e2 AS (SELECT * EXCLUDE (episode), sum(reset::INT) OVER (PARTITION BY stream ORDER BY ts, frame) AS episode FROM re), {FR._VOTES.format(src='e2')} SELECT stream, frame, name, hits FROM v WHERE rn = 1 AND hits >= 2")
+_JUMPS = FR._BOXES.replace("PARTITION BY stream", "PARTITION BY stream, episode")
+
+
+@query("r6_iou_and_count_vote", f"WITH {FR._F}, {_JUMPS}, e2 AS (SELECT * EXCLUDE (episode), episode * 1000000 + sum(reset::INT) OVER (PARTITION BY stream, episode ORDER BY ts, frame) AS episode FROM re), {FR._VOTES.format(src='e2')} SELECT stream, frame, name, hits FROM v WHERE rn = 1 AND hits >= 2")
 def r6(spark, d):
-    """Votes within episodes that end where the box jumps, as a stateful stream."""
+    """Votes within episodes that end where the box jumps or no face is seen, as a stateful stream."""
     f, s = FR.live(spark, d), F.col("score")
     near = lambda k: (F.floor(s * k).cast("long") % 60)
     boxed = f.withColumn("x", near(3)).withColumn("y", near(7)).withColumn("w", F.lit(40)).withColumn("h", F.lit(40))

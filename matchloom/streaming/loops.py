@@ -75,14 +75,14 @@ def overlap(a: tuple, b: tuple) -> float:
 
 
 def box_voting(frames: DataFrame, last: int = 5, least: int = 2, least_overlap: float = 0.20) -> DataFrame:
-    """Like voting(), on frames(.., x, y, w, h): an episode ends where the box overlaps the one before too little."""
+    """Like voting(), on frames(.., x, y, w, h): an episode also ends where the box overlaps the one before too little."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         names, scores, before = state.get if state.exists else ([], [], [])
         history, out = list(zip(names, scores)), []
         for r in pd.concat(list(batches)).sort_values(["ts", "frame"]).itertuples():
             if r.name == NO_FACE:
-                history = []
+                history, before = [], []
                 continue
             box = (int(r.x), int(r.y), int(r.w), int(r.h))
             if not before or overlap(tuple(before), box) < least_overlap:
