@@ -68,9 +68,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if are_stars(e):
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        # minima are written first: a join of two plain shuffles is one whose partitions can be split
+        least = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        small = large.join(written(large.groupBy("u").agg(F.min("v").alias("m"))), "u")
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
         e = written(reduced(small.where("a <> b")).distinct())
     raise RuntimeError(f"no stars after {most_rounds} rounds")
