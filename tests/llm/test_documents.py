@@ -504,3 +504,72 @@ def test_components_of_stars_and_chains(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(400)}, **{i: 0 for i in range(1000, 1061)}}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_query_op8_held_out(spark):
+    """Labels of a third of the rows are never seen; scores of the others tell toxic texts from clean ones."""
+    import zlib
+
+    sf_dir = "/root/testdata/sf0.1"
+    got = {r.doc_id: r for r in toxicity.op8_toxicity(spark, sf_dir).collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()
+    assert len(got) == len(docs) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got.values())
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
+    held = [(labels[i], got[i].predicted) for i in labels if i in got and got[i].held_out]
+    toxic, clean = [p for y, p in held if y], [p for y, p in held if not y]
+    assert sum(toxic) >= 0.5 * len(toxic) and sum(clean) <= 0.01 * len(clean)
+
+
+def test_long_labelled_texts_are_sliced_evenly(spark):
+    words = " ".join(f"w{i}" for i in range(20_000))
+    row = spark.createDataFrame([(words,), ("short",)], "t string").select(toxicity.spaced(F.col("t")).alias("x")).collect()
+    assert row[1].x == "short" and toxicity.MOST_CHARS <= len(row[0].x) < toxicity.MOST_CHARS + toxicity.SLICES
+    assert row[0].x.startswith("w0 w1") and row[0].x.endswith("w19999") and "w10000" in row[0].x or "w99" in row[0].x
+
+
+def test_query_op4_columns_and_folds(spark, sf_dir):
+    import zlib
+
+    rows = lm.op4_log_bilinear(spark, sf_dir).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10]
+    total = sum(len(words(t)) + 1 for t in train)
+    assert len(rows) == len(texts) and {r.train_tokens for r in rows} == {total}
+    known = {w for t in train for w in words(t)}
+    for r in rows[:200]:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0)
+        assert r.n_tokens == len(words(texts[r.doc_id])) + 1 and r.n_known == 1 + sum(w in known for w in words(texts[r.doc_id]))
+    held = [r for r in rows if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_query_op3_matches_brute_force(spark, sf_dir):
+    """Words taken, by laying each source's documents end to end and drawing its blocks as the shards' counts say."""
+    rows = mixing.op3_mixing(spark, sf_dir).collect()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    placed, src = mixing.placed(docs)
+    blocks = {}
+    for r in mixing.draws(src).collect():
+        blocks.setdefault(r.sid, []).append(r.block)
+    taken = {}
+    for r in placed.collect():
+        first, last = r.start // mixing.LENGTH, (r.start + r["size"] - 1) // mixing.LENGTH
+        taken[r.doc_id] = sum(min(r.start + r["size"], (b + 1) * mixing.LENGTH) - max(r.start, b * mixing.LENGTH) for b in blocks.get(r.sid, []) if first <= b <= last) if r["size"] else 0
+    assert {r.doc_id: r.taken for r in rows} == taken
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(r["size"] == len(WORD.findall(texts[r.doc_id] or "")) for r in rows)
+    sizes = {}
+    for r in docs.collect():
+        sizes[r.source] = sizes.get(r.source, 0) + len(WORD.findall(r.text or ""))
+    want = water_level({k: v for k, v in sizes.items() if k is not None}) if None not in sizes else None
+    by = {r.doc_id: r.source for r in docs.collect()}
+    assert want is None or all(abs(r.target - want[by[r.doc_id]]) < 1e-6 * max(1, r.target) for r in rows)
+
+
+def test_pipeline_runs_whole(spark, sf_dir):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert {"doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"} <= set(out.columns) and out.count() > 0
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "minhash_near_dedup", "secret_scans", "source_mixing", "bpe_encoding"]
