@@ -242,7 +242,8 @@ def codec(path: str, most_words: int = MOST_WORDS) -> Codec:
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids (array of int), ids_sha256, decoded_sha256 for each row of docs(doc_id, text).
-    Null text is empty: no ids."""
+    Null and empty texts have no ids; repeated rows stay repeated; texts are encoded whole, however long; an empty table
+    gives no rows. Other columns are not read."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -174,8 +174,10 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors(vec_id, embedding).
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do vectors of
-    different lengths. Rows with equal vectors, among them repeated rows, are linked. component_id is the smallest
-    vec_id reachable. Other columns are not read."""
+    different lengths; long vectors are compared whole. A pair at exactly the similarity is linked, and so are rows with
+    equal vectors, among them repeated rows. component_id is the smallest vec_id reachable; rows without vec_id are linked
+    like others and count, but a component has their null only if no member has an id. An empty table gives no rows.
+    Other columns are not read."""
     spark = vectors.sparkSession
     ship(spark)
     rows = vectors.select("vec_id", F.when(usable(F.col("embedding")), doubles(F.col("embedding"))).alias("v")).withColumn("cls", F.when(F.col("v").isNotNull(), F.xxhash64("v")))

@@ -262,7 +262,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages(page_id, url, html).
 
     Null, empty and textless html give an empty text. Repeated rows stay repeated; other columns are not read.
-    Pages are read whole. Markup that is cut off or never closed ends with the page."""
+    Pages are read whole, however long; an empty table gives no rows. Markup that is cut off or never closed ends with the
+    page. A block as near to a good as to a bad neighbour counts as good."""
     ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

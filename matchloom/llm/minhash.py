@@ -375,7 +375,8 @@ def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs with one row of each group of near duplicates, the one with the smallest doc_id; columns as they are.
 
     Rows are told apart by doc_id and text: a row without doc_id, or with the id of another text, is in its own text's
-    group. A row without doc_id stays only where its whole group has none. Texts without words are in no group and stay."""
+    group, and of rows alike in both one stays. A row without doc_id stays only where its whole group has none. Texts
+    without words are in no group and stay, repeated ones, too; very long texts are read whole. An empty table stays empty."""
     found = grouped(docs, percent).where("root is not null").groupBy("root", "doc_id", "tie").agg(F.count("*").alias("times"))
     found = written(found)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")

@@ -151,7 +151,8 @@ def mixed_documents(docs: DataFrame, seed: int = 0, length: int = LENGTH, per_sh
     """The mix as rows with the columns of docs: one per document, pass over its source and output shard that takes any of it.
 
     The text is the whole text where one shard takes all of the document's blocks in a pass, else the words of the blocks
-    taken, joined by spaces. Documents without words are in no block and go. n_chars, if there, is of the new text.
+    taken, joined by spaces. Documents without words (null and blank texts) are in no block and go; repeated rows are documents
+    of their own; very long texts are cut like others. No rows give no rows. n_chars, if there, is of the new text.
     Each shard is whole in one partition, its rows by the first place that they take; with places, shard and place are
     added as columns."""
     rows, src = placed(docs, length)

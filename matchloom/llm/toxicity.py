@@ -179,7 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1), predicted for each row of docs(doc_id, text). Null text counts as empty and gets the
-    score of a text without windows. Repeated rows stay repeated; other columns are not read."""
+    score of a text without windows. Texts are scored whole; repeated rows stay repeated and score alike; an empty table
+    gives no rows. Other columns are not read."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +193,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rows that the model rejects; columns as they are. Null texts count as empty. Only the texts go to
-    Python, and only verdicts come back."""
+    """docs without the rows that the model rejects; columns as they are. Null texts count as empty; repeated rows share one
+    fate; texts are scored whole. Only the texts go to Python, and only verdicts come back."""
     ship(docs.sparkSession)
 
     @F.arrow_udf("boolean")
