@@ -126,7 +126,8 @@ def dataset_label(raw: Column, processed: Column, augmented: Column, splits: Col
     return F.when(label != "", label).otherwise("no_dataset_selected")
 
 
-DISABLED = "__disabled__"
+#: The word for a part that is switched off, and what the names of folders hold that have a family of their own.
+DISABLED, CLEAN_FOLDER, RAW_FOLDER, PROCESSED_FOLDER = "__disabled__", "split_lasalle", "lasalle", "lfw"
 
 
 def combo_slug(raw: Column, processed: Column, splits: Column, base: Column, with_raw: Column, with_processed: Column, with_augmented: Column) -> Column:
@@ -136,11 +137,11 @@ def combo_slug(raw: Column, processed: Column, splits: Column, base: Column, wit
     has = lambda c, x: F.contains(c, F.lit(x))
     with_raw = with_raw & (raw != DISABLED)
     with_augmented = with_augmented & (F.trim(splits) != DISABLED)
-    clean = has(slashes(base), "split_lasalle") | has(slashes(raw), "split_lasalle")
+    clean = has(slashes(base), CLEAN_FOLDER) | has(slashes(raw), CLEAN_FOLDER)
     family = (
         F.when(clean, "lasalleclean")
-        .when(with_raw & has(folder(raw), "lasalle"), "lasalle")
-        .when(with_processed & has(folder(processed), "lfw"), "lfw")
+        .when(with_raw & has(folder(raw), RAW_FOLDER), "lasalle")
+        .when(with_processed & has(folder(processed), PROCESSED_FOLDER), "lfw")
         .when(with_raw & with_processed, "hybrid")
         .when(with_raw, "raw")
         .when(with_processed, "processed")

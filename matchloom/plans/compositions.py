@@ -16,7 +16,7 @@ from matchloom.plans import tables as T
 from matchloom.plans.hybrid import _CASES
 from matchloom.plans.kernels import _IN, REGIONS, region, tiles
 from matchloom.plans.registry import query
-from matchloom.plans.reports import _FPS, fps_runs
+from matchloom.plans.reports import fps_runs
 from matchloom.plans.scans import _REPORTS, reports
 from matchloom.sources.shared import written
 from matchloom.streaming import loops
