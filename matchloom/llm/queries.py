@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchloom.llm import bpe, embedding_dedup, hamming_search, html_text, lm, minhash, mixing, secrets, toxicity, urls
+from matchloom.llm import bpe, embedding_dedup, fill_in_middle, hamming_search, html_text, lm, minhash, mixing, secrets, toxicity, urls
 
 QUERIES = {
     "op1_hnsw": embedding_dedup.op1_hnsw,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_hamming": hamming_search.op9_hamming,
     "op10_minhash": minhash.op10_minhash,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
 }
-SQL = {"op7_url_filter": urls.SQL}
+SQL = {"op7_url_filter": urls.SQL, "op11_fill_in_middle": fill_in_middle.SQL}
