@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchloom.llm import bpe, embedding_dedup, fill_in_middle, hamming_search, html_text, licenses, lm, minhash, mixing, secrets, toxicity, urls
+from matchloom.llm import bpe, embedding_dedup, fill_in_middle, hamming_search, html_text, licenses, lm, minhash, mixing, secrets, token_alignment, toxicity, urls
 
 QUERIES = {
     "op1_hnsw": embedding_dedup.op1_hnsw,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_hamming": hamming_search.op9_hamming,
     "op10_minhash": minhash.op10_minhash,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
     "op13_licenses": licenses.op13_licenses,
 }
 SQL = {"op7_url_filter": urls.SQL, "op11_fill_in_middle": fill_in_middle.SQL}
