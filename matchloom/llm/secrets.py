@@ -58,38 +58,46 @@ def der_children(b: bytes) -> list[tuple[int, bytes]] | None:
     return out
 
 
+def sequence_parts(b: bytes) -> list[tuple[int, bytes]]:
+    """The elements of the one DER sequence that b is, else none."""
+    top = der_children(b)
+    return (der_children(top[0][1]) or []) if top and len(top) == 1 and top[0][0] == 0x30 else []
+
+
 #: Object identifiers of key kinds (encoded), and what those of password-based encryption start with.
 RSA, EC, EDWARDS, BY_PASSWORD = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201"), bytes.fromhex("2b65"), (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c"))
 
 
+def is_plain_key(b: bytes) -> bool:
+    """Whether b is one DER sequence laid out as PKCS#1, its like of DSA, or SEC 1."""
+    parts = sequence_parts(b)
+    tags = [t for t, _ in parts]
+    if tags[:1] == [0x02] and len(tags) in (6, 9, 10) and set(tags[:9]) == {0x02}:  # DSA, RSA
+        return True
+    return tags[:2] == [0x02, 0x04] and parts[0][1] == b"\x01"  # SEC 1
+
+
 def is_inner_key(kind: bytes, b: bytes) -> bool:
-    """Whether the octets within PKCS#8 are a key of the kind that its algorithm names."""
+    """Whether the octets within PKCS#8 are a key of the kind that its algorithm names. Another PKCS#8 is none: it nests once."""
     parts = der_children(b)
     if not parts:
         return False
     if kind == RSA or kind == EC:
-        return is_private_key(b)
+        return is_plain_key(b)
     return kind[:2] != EDWARDS or len(parts) == 1 and parts[0][0] == 0x04 and len(parts[0][1]) >= 32
 
 
 def is_private_key(b: bytes) -> bool:
     """Whether b is one DER sequence laid out as PKCS#1, PKCS#8 with a key inside, encrypted PKCS#8 or SEC 1."""
-    top = der_children(b)
-    if not top or len(top) != 1 or top[0][0] != 0x30:
-        return False
-    parts = der_children(top[0][1])
-    if not parts:
-        return False
+    parts = sequence_parts(b)
     tags = [t for t, _ in parts]
-    if tags[:1] == [0x02] and len(tags) in (6, 9, 10) and set(tags[:9]) == {0x02}:  # DSA, RSA
-        return True
     if tags[:3] == [0x02, 0x30, 0x04]:  # PKCS#8
         kind = der_children(parts[1][1])
         return bool(kind) and kind[0][0] == 0x06 and is_inner_key(kind[0][1], parts[2][1])
     if tags == [0x30, 0x04]:  # encrypted
         kind = der_children(parts[0][1])
         return bool(kind) and kind[0][0] == 0x06 and kind[0][1].startswith(BY_PASSWORD) and len(parts[1][1]) >= 8
-    return tags[:2] == [0x02, 0x04] and parts[0][1] == b"\x01"  # SEC 1
+    return is_plain_key(b)
 
 
 def der_length(b: bytes) -> int | None:
@@ -264,7 +272,7 @@ def masked_text(text: str, mask: str = "[SECRET]") -> str:
 
 def masked(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs with the secrets of `text` masked, all rows kept, repeated ones too; n_chars, if there, follows. Null stays null,
-    texts are scanned whole, overlapping spans become one mask."""
+    texts are scanned whole, overlapping spans become one mask. An empty table stays empty; other columns are kept as they are."""
     ship(docs.sparkSession)
 
     @F.arrow_udf("string")
@@ -280,4 +288,5 @@ def masked(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans every document; see scan() for odd rows."""
     return scan(table(spark, sf_dir, "documents")).drop("n_confirmed")

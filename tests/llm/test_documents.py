@@ -341,6 +341,25 @@ def test_query_op6_matches_an_independent_scan(spark, tmp_path):
     assert seen > 500
 
 
+def test_keys_nested_without_end_are_no_keys(spark, tmp_path):
+    """Each shell is PKCS#8 around another: the standard nests once, so none is reported, and nothing fails."""
+    import base64
+
+    oid = bytes.fromhex("06092a864886f70d010101")
+    inner = _der(0x30, b"".join(_der(2, bytes([1]) * n) for n in (1, 64, 3, 64, 32, 32, 32, 32, 32)))
+    shells = [inner]
+    for _ in range(700):
+        shells.append(_der(0x30, _der(2, b"\0") + _der(0x30, oid + b"\x05\0") + _der(4, shells[-1])))
+    assert secrets.is_private_key(shells[0]) and secrets.is_private_key(shells[1]) and not any(map(secrets.is_private_key, shells[2:]))
+    text = "k " + base64.b64encode(shells[-1]).decode() + " k"
+    pem = f"-----BEGIN PRIVATE KEY-----\n{base64.b64encode(shells[-1]).decode()}\n-----END PRIVATE KEY-----"
+    rows = [(1, text), (2, pem), (3, "k " + shells[-1].hex() + " k")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in secrets.op6_secrets(spark, str(tmp_path)).collect()}
+    assert len(got) == 3 and not any(kind in r.spans for r in got.values() for kind in ("pem", "der"))
+    assert secrets.masked_text(text) == text and secrets.masked(spark.createDataFrame(rows, "doc_id long, text string")).count() == 3
+
+
 def test_secrets_rows_and_masks(spark):
     docs = odd(spark)
     got = {(r.doc_id, r.spans) for r in secrets.scan(docs).collect()}
