@@ -40,13 +40,21 @@ MARKS = frozenset(
     respond share sharing social related recommended recommendations newsletter subscribe subscription signup login search widget widgets toolbar pagination pager copyright disclaimer paywall teaser teasers""".split()
 )
 KEPT_BEFORE = frozenset("with has no without".split())
-COMMENT_HEADS = re.compile(r"^(\d+ )?(reader |user )?(comments?|kommentare?|commentaires?|comentarios?|leave a (comment|reply)|responses|replies)( \(?\d+\)?)?:?$", re.I)
+#: Of these the ones that titles use, too: they mark only as the last part of a name, or before a word for a box.
+ONLY_LAST = frozenset("notice notices alert alerts banner promotion share sharing social related recommended search comment comments reply replies respond copyright subscription widget login".split())
+BOXES = frozenset("area bar block body box btn button buttons container content feed footer form group header holder icon icons inner item items links list message messages module outer panel post posts row section stream text thread title toggle top widget wrap wrapper".split())
+#: Headings of reader comments; answers count as such only with their number.
+COMMENT_HEADS = re.compile(r"^((\d+ )?(reader |user )?(comments?|kommentare?|commentaires?|comentarios?)( \(?\d+\)?)?|leave a (comment|reply)|\d+ (responses?|repl(y|ies))|(responses|replies) \(?\d+\)?):?$", re.I)
 AT = re.compile(r"""<(?:!--(?P<comment>.*?)(?:-->|--!>|\Z)|[!?][^>]*>|/(?P<end>[a-zA-Z][^\s/>]*)[^>]*>|(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>)""", re.S)
 ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 CUT = re.compile(r"<[a-zA-Z/!?][^>]*\Z", re.S)
 WORDS = re.compile(r"[^\W\d_]+")
+#: Marks that end or part sentences in scripts that don't part words by spaces.
+SENTENCE_MARKS = re.compile("[\u3001\u3002\uff0c\uff0e\uff1a\uff1b\uff01\uff1f\u104a\u104b\u17d4\u0e2f]| (?=[\u0e00-\u0e7f])")
 #: Limits: words share of links, stop words of a sure and of a likely block, code points of a long one.
 LINKS, STOP_HIGH, STOP_LOW, LONG = 0.5, 0.30, 0.12, 140
+#: Share of known stop words below which a page is in another language; letters of a short word there, and characters for a mark.
+KNOWN, SHORT, PER_MARK = 0.06, 3, 6
 
 
 @dataclass
@@ -87,7 +95,7 @@ def _marked(tag: str, attrs: str, in_region: bool) -> bool:
             for one in value.split():
                 parts = re.findall(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+", one)
                 low = [p.lower() for p in parts]
-                if any(p in MARKS and not (i and low[i - 1] in KEPT_BEFORE) for i, p in enumerate(low)):
+                if any(p in MARKS and not (i and low[i - 1] in KEPT_BEFORE) and (p not in ONLY_LAST or i + 1 == len(low) or low[i + 1] in BOXES) for i, p in enumerate(low)):
                     return True
                 if low == ["header"] and not in_region or low[-1:] == ["header"] and low[0] in ("site", "page", "main", "top", "global"):
                     return True
@@ -108,6 +116,7 @@ def _blocks(page: str, trusting: bool) -> list[Block]:
     out: list[Block] = []
     stack = [_Open("", False, False, 0, False)]
     words: list[str] = []
+    places: dict[str, list[int]] = {}  # of each tag in the stack; under "" those of block-level tags
     linked, links, regions, breaks, after_head = 0, 0, 0, 0, 0
 
     def flush() -> None:
@@ -126,9 +135,16 @@ def _blocks(page: str, trusting: bool) -> list[Block]:
 
     def close_to(n: int) -> None:
         nonlocal links
-        links -= sum(o.tag == "a" for o in stack[n:])
+        for o in stack[n:]:
+            links -= o.tag == "a"
+            places[o.tag].pop()
+            if o.tag in BLOCK:
+                places[""].pop()
         del stack[n:]
 
+    def last(tag: str) -> int:
+        return places[tag][-1] if places.get(tag) else 0
+
     i = 0
     while i < len(page):
         j = page.find("<", i)
@@ -170,14 +186,11 @@ def _blocks(page: str, trusting: bool) -> list[Block]:
             if tag in BLOCK or tag == "head":
                 flush()
                 breaks = 0
-                if tag == "body" and any(o.tag == "head" for o in stack):
-                    close_to(next(k for k, o in enumerate(stack) if o.tag == "head"))
-                for k in range(len(stack) - 1, 0, -1):  # an open paragraph ends where a block starts, an item where the next one does
-                    if stack[k].tag == "p" or stack[k].tag == tag and tag in ("li", "dd", "dt", "td", "th", "tr", "h1", "h2", "h3", "h4", "h5", "h6"):
-                        close_to(k)
-                        break
-                    if stack[k].tag in BLOCK:
-                        break
+                if tag == "body" and places.get("head"):
+                    close_to(places["head"][0])
+                k = last("")  # an open paragraph ends where a block starts, an item where the next one does
+                if k and (stack[k].tag == "p" or stack[k].tag == tag and tag in ("li", "dd", "dt", "td", "th", "tr", "h1", "h2", "h3", "h4", "h5", "h6")):
+                    close_to(k)
             elif tag in ("img", "input"):
                 words.append(" ")
             if tag in VOID or attrs.endswith("/") and tag not in BLOCK and tag != "a":
@@ -189,25 +202,44 @@ def _blocks(page: str, trusting: bool) -> list[Block]:
                 regions += region == 0
                 region = region or regions
             heading = top.heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+            for name in (tag, "") if tag in BLOCK else (tag,):
+                places.setdefault(name, []).append(len(stack))
             stack.append(_Open(tag, outside, top.silent or tag in SILENT, region, heading, tag == "p" or top.running and tag not in BLOCK))
             links += tag == "a"
         elif m["end"]:
             tag = m["end"].lower()
-            at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+            at = last(tag)
             if tag in BLOCK or tag == "head":
                 flush()
-            if at and (tag in BLOCK or tag == "head" or not any(o.tag in BLOCK for o in stack[at + 1 :])):
+            if at and (tag in BLOCK or tag == "head" or last("") <= at):
                 close_to(at)
     flush()
     return out
 
 
+def stop_density(text: str, known: bool) -> float:
+    """Share of stop words among the words; where the language isn't known, of words of at most SHORT letters, as function words are
+    in most languages, or as many as PER_MARK for each sentence mark of scripts without spaces between words, if that is more."""
+    words = WORDS.findall(text.lower())
+    if not words:
+        return 0.0
+    if known:
+        return sum(w in STOP_WORDS for w in words) / len(words)
+    return max(sum(len(w) <= SHORT for w in words) / len(words), min(1.0, PER_MARK * len(SENTENCE_MARKS.findall(text)) / len(text)))
+
+
+def in_known_language(found: list[Block]) -> bool:
+    """Whether the longer blocks that may be text hold enough of the known stop words."""
+    long = [w for b in found if not b.outside and 2 * len(b.text) >= LONG and b.linked <= LINKS * len(b.text) for w in WORDS.findall(b.text.lower())]
+    return not long or sum(w in STOP_WORDS for w in long) >= KNOWN * len(long)
+
+
 def first_pass(found: list[Block]) -> None:
     """Labels good or bad what is sure; leaves '' where it isn't: short blocks, headings, blocks poor in stop words, and
     paragraphs of an article that are mostly link."""
+    known = in_known_language(found)
     for b in found:
-        words = WORDS.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+        stops = stop_density(b.text, known)
         size = len(b.text)
         if b.outside or b.linked > LINKS * size and not (b.region and b.running):
             b.label = "bad"
@@ -276,4 +308,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracts every page; see extract() for odd rows."""
     return extract(table(spark, sf_dir, "pages"))

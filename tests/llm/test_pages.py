@@ -140,3 +140,41 @@ def test_query_op2_reads_all_pages_whole(spark, sf_dir):
     assert len(rows) == len(pages)
     for p in pages:
         assert rows[p.page_id].text == html_text.main_text(p.html) and rows[p.page_id].n_chars == len(rows[p.page_id].text) and rows[p.page_id].url == p.url
+
+
+def test_stray_and_unclosed_tags_take_linear_time():
+    import time
+
+    began = time.process_time()
+    page = f"<article>{'<b>x' * 30_000}{'</i>' * 30_000}{'<div>y</div>' * 10_000}<p>{PROSE}</p></article>"
+    assert PROSE.strip() in html_text.main_text(page)
+    assert time.process_time() - began < 5
+
+
+def test_names_and_headings_that_only_look_like_marks():
+    page = f"""<article><h1>Head</h1><p class="notice-of-death">{PROSE}</p><h2>Responses</h2><p class="alert-system">{PROSE}</p><p class="cookie-notice">{PROSE}</p><div class="alert-box">{PROSE}</div>
+    <p class="related-to-rain">{PROSE}</p><div class="related">{PROSE}</div><div class="share-buttons">{PROSE}</div><h2>2 Responses</h2><p>{PROSE}</p></article>"""
+    assert html_text.main_text(page).split("\n\n") == ["Head", PROSE.strip(), "Responses", PROSE.strip(), PROSE.strip()]
+
+
+def test_languages_without_a_list_of_stop_words():
+    russian = "Дом, который мы видели на холме, не один такой, и он был там так долго, что все мы знаем о нём и не раз его видели, но кто в нём жил, не знал ни я, ни ты. " * 2
+    chinese = "我们在山上看到的房子，不是唯一的一座。它在那里很久了，所以我们都知道；可是谁住在里面，没有人知道。" * 4
+    thai = "บ้านที่เราเห็นบนเนินเขา ไม่ใช่หลังเดียว มันอยู่ที่นั่นมานานแล้ว ดังนั้นเราทุกคนจึงรู้ แต่ใครอยู่ข้างใน ไม่มีใครรู้ " * 3
+    for text in (russian, chinese, thai):
+        menu = "".join(f"<li><a href={i}>{text[:12]}</a></li>" for i in range(12))
+        page = f"<body><ul>{menu}</ul><div>{text}</div><div>{text[:30]}</div><div>{text}</div><ul>{menu}</ul></body>"
+        assert html_text.main_text(page).split("\n\n") == [text.strip(), text[:30].strip(), text.strip()]
+
+
+def test_density_limits_decide_the_rows(spark, monkeypatch):
+    """Without an article element the text is what the densities say: other limits give other texts, as told."""
+    page = f"<body><div>{'The rain in the hills was long. ' * 5}</div><div>{PROSE}</div><div><a href=x>{PROSE}</a> and more of it</div></body>"
+    rain = ("The rain in the hills was long. " * 5).strip()
+    assert html_text.main_text(page).split("\n\n") == [rain, PROSE.strip()]
+    monkeypatch.setattr(html_text, "STOP_LOW", 0.9)
+    monkeypatch.setattr(html_text, "STOP_HIGH", 0.9)
+    assert html_text.main_text(page) == ""
+    monkeypatch.setattr(html_text, "LINKS", 1.0)
+    monkeypatch.setattr(html_text, "STOP_LOW", 0.12)
+    assert len(html_text.main_text(page).split("\n\n")) == 3
