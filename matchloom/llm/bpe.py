@@ -299,4 +299,5 @@ def default_path() -> str:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes and decodes every document; see digests() for odd rows."""
     return digests(table(spark, sf_dir, "documents"), default_path())

@@ -198,4 +198,5 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.95) -> DataFrame:
 
 
 def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all vectors; see near_duplicates() for odd rows."""
     return near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)

@@ -201,5 +201,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
 
 def op9_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches all vectors for the 10 nearest of every hundredth; see search() for odd rows."""
     vectors = table(spark, sf_dir, "embeddings")
     return search(vectors, vectors.where("vec_id % 100 = 0"), 10)

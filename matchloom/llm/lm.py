@@ -9,8 +9,9 @@ the last share being that of unknown words. So the model is a distribution over
 
 Classes and head words are ranked by counts over all training rows. The network is trained on all training rows, whole.
 They are dealt to ROUNDS rounds by hash: in each, every task starts from the shared weights, passes over all of its rows
-and returns how far the weights moved and the number of its tokens; Spark averages the moves by tokens. So a large
-corpus is passed over once. The weights are a fixed number. Counts of
+and returns how far the weights moved and the number of its tokens; Spark averages the moves by tokens. A corpus is passed over
+once, but one of fewer than EPOCH_TOKENS tokens as often as it takes to see about so many, at most PASSES times, and one that is
+a single task has nothing to average and takes one round. The weights are a fixed number. Counts of
 up to HEAD words are broadcast, a fixed bound; all other words are counted by shuffle: each document sends its words by
 hash, a word's count meets its documents there, and each document gets its sum of logarithms back.
 """
@@ -424,5 +425,6 @@ def scored(docs: DataFrame, train: F.Column, seed: int = 0) -> DataFrame:
 
 
 def op4_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document with a model of those that aren't held out; see scored() for odd rows."""
     held_out = F.coalesce(fold(10) == 0, F.lit(False))
     return scored(table(spark, sf_dir, "documents"), ~held_out).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

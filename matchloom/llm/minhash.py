@@ -402,4 +402,5 @@ def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all documents; see near_duplicates() for odd rows."""
     return near_duplicates(table(spark, sf_dir, "documents"), 85)
