@@ -1,11 +1,14 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Each source's documents, laid end to end, form a stream of words that is packed into blocks of `length`.
-A source gets as many draws of blocks as its target asks for. How many of them each output shard gets from each
-source is drawn first: a pseudorandom permutation deals the draws of all sources to the shards, so a shard's counts
-by source are multinomial given the totals, which therefore hold within a block. The counts are a table, and the rest
-follows from it: a source's draws are numbered shard by shard, and draw j reads block permutation_e(j mod blocks) of
-pass e = j div blocks, a permutation of its own for each source and pass. Blocks are joined by that index. Within a shard
+Each source's documents, laid end to end, form a stream of words that is packed into blocks of `length`. Each output
+shard has per_shard slots for blocks. How many of them a source gets there is drawn: of its share the whole part is
+certain, and the slots that the whole parts leave are drawn one by one, each source as likely as what is left of its
+share. The numbers that draw them are those of a sequence that fills the interval evenly over all shards (multiples of
+the golden ratio from a seeded start), so a source's draws in all differ from its target by a few blocks at any number of shards,
+where independent draws would miss small sources by their standard deviation. The counts are a table, and the rest
+follows from it, a source's total too: its draws are numbered shard by shard, and draw j reads block
+permutation_e(j mod blocks) of pass e = j div blocks, a permutation of its own for each source and pass. A draw after `most`
+whole passes is void: its slot stays empty. Blocks are joined by that index. Within a shard
 the draws of all sources are put in an order by another permutation. Nothing depends on how rows are
 partitioned: reruns agree.
 
@@ -26,6 +29,8 @@ LENGTH, PER_SHARD, WEIGHTS, MOST = 32, 4096, (1, 2, 3), 3
 ROUNDS, CHUNK, BROADCAST_SOURCES, SPAN, PER_TASK = 12, 512, 200_000, 2048, 131_072
 #: Chunks, or shards, of a stretch.
 STRETCH = 1024
+#: What is added from one number to the next, modulo 1: multiples of it fill the interval most evenly.
+GOLDEN = (5**0.5 - 1) / 2
 
 
 def words_of(text: Column) -> Column:
@@ -87,14 +92,31 @@ def _parts(src: DataFrame) -> int:
 
 
 def shard_counts(src: DataFrame, seed: int = 0, per_shard: int = PER_SHARD) -> DataFrame:
-    """shard, sid, n: draws of each source in each output shard, drawn at random for the sources' totals."""
-    spans = src.where("draws > 0").withColumn("span", F.explode(F.expr(f"sequence(0L, (draws - 1) div {SPAN})")))
-    each = spans.repartition(_parts(src), "sid", "span").withColumn("j", F.explode(F.expr(f"sequence(span * {SPAN}, least(draws, (span + 1) * {SPAN}) - 1)")))
-    place = permuted(F.col("first") + F.col("j"), F.col("all_draws"), F.lit(seed))
-    return each.select(F.floor(place / per_shard).alias("shard"), "sid").groupBy("shard", "sid").agg(F.count("*").alias("n"))
-
-
-def draws(src: DataFrame, seed: int = 0, per_shard: int = PER_SHARD) -> DataFrame:
+    """shard, sid, n: draws of each source in each output shard. The last shard may have fewer slots; the sum of n over a shard is
+    its number of slots."""
+    some = src.where("draws > 0").select("sid", "draws", "all_draws")
+    # one row per source and size of shard: shards from `at` on, `shards` of them, of `slots` each
+    full = F.floor(F.col("all_draws") / per_shard)
+    kinds = F.array(F.struct(F.lit(0).cast("long").alias("at"), full.alias("shards"), F.lit(per_shard).cast("long").alias("slots")), F.struct(full.alias("at"), F.lit(1).cast("long").alias("shards"), (F.col("all_draws") % per_shard).alias("slots")))
+    each = some.withColumn("k", F.explode(kinds)).select("sid", "draws", "all_draws", "k.*").where("shards > 0 and slots > 0")
+    each = each.withColumn("whole", F.expr("draws * slots div all_draws")).withColumn("rest", F.expr("draws * slots % all_draws"))
+    upto = Window.partitionBy("at").orderBy("sid")
+    each = each.withColumn("high", F.sum("rest").over(upto) / F.col("all_draws")).withColumn("low", (F.sum("rest").over(upto) - F.col("rest")) / F.col("all_draws"))
+    certain = each.where("whole > 0").withColumn("span", F.explode(F.expr(f"sequence(0L, (shards - 1) div {SPAN})"))).repartition(_parts(src), "sid", "span")
+    certain = certain.withColumn("shard", F.explode(F.expr(f"sequence(at + span * {SPAN}, at + least(shards, (span + 1) * {SPAN}) - 1)"))).select("shard", "sid", F.col("whole").alias("n"))
+    # what is left: shares of sources, cut at whole numbers so that a number between two of them meets few
+    shares = each.where("rest > 0").withColumn("cell", F.explode(F.expr("sequence(cast(floor(low) as long), cast(floor(high) as long))"))).select("at", "cell", "sid", "low", "high")
+    left = each.groupBy("at", "shards").agg(F.round(F.sum("rest") / F.first("all_draws")).cast("long").alias("open")).where("open > 0")
+    points = left.withColumn("span", F.explode(F.expr(f"sequence(0L, (shards * open - 1) div {SPAN})"))).repartition(_parts(src), "at", "span")
+    points = points.withColumn("i", F.explode(F.expr(f"sequence(span * {SPAN}, least(shards * open, (span + 1) * {SPAN}) - 1)")))
+    start = F.pmod(F.xxhash64(F.lit(seed), F.col("at")), F.lit(1 << 52)) / float(1 << 52)
+    number = start + F.col("i") * GOLDEN
+    points = points.select("at", F.expr("at + i div open").alias("shard"), ((number - F.floor(number)) * F.col("open")).alias("x")).withColumn("cell", F.floor("x"))
+    drawn = points.join(shares.hint("merge"), ["at", "cell"]).where((F.col("x") >= F.col("low")) & (F.col("x") < F.col("high"))).select("shard", "sid", F.lit(1).cast("long").alias("n"))
+    return certain.unionByName(drawn).groupBy("shard", "sid").agg(F.sum("n").alias("n"))
+
+
+def draws(src: DataFrame, seed: int = 0, per_shard: int = PER_SHARD, most: int = MOST) -> DataFrame:
     """A row per draw: sid, shard, place (in the output), pass, block."""
     counts = written(shard_counts(src, seed, per_shard))
     slots = before(counts, ["sid"], "shard", "n", "slot")  # of the source's draws, the first that this shard has
@@ -102,7 +124,7 @@ def draws(src: DataFrame, seed: int = 0, per_shard: int = PER_SHARD) -> DataFram
     slots = slots.withColumn("at", F.sum("n").over(in_shard) - F.col("n")).withColumn("in_all", F.sum("n").over(Window.partitionBy("shard")))
     near = F.broadcast(src) if src.count() <= BROADCAST_SOURCES else src
     # dealt to a given number of tasks, or the few rows of counts would be put together and opened in one
-    slots = slots.join(near.select("sid", "blocks"), "sid").repartition(_parts(src), "shard", "sid")
+    slots = slots.join(near.select("sid", "blocks"), "sid").withColumn("n", F.least("n", most * F.col("blocks") - F.col("slot"))).where("n > 0").repartition(_parts(src), "shard", "sid")
     each = slots.withColumn("i", F.explode(F.expr("sequence(0L, n - 1)")))
     nth, pass_ = F.expr("(slot + i) % blocks"), F.expr("(slot + i) div blocks")
     place = F.col("shard") * per_shard + permuted(F.col("at") + F.col("i"), F.col("in_all"), F.lit(seed), F.col("shard"))
@@ -111,13 +133,13 @@ def draws(src: DataFrame, seed: int = 0, per_shard: int = PER_SHARD) -> DataFram
 
 def placed(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """docs(doc_id, source, text) with size, sid, start (its first word's place in its source's stream), and the
-    sources. Both are written tables. Order in a stream: chunk by hash of doc_id, doc_id, hash of the text."""
+    sources. Both are written tables. Order in a stream: chunk by hash of doc_id and text, doc_id, hash of the text."""
     sized = written(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")))
     src = written(sources(sized, length).coalesce(1))
     chunks = max(1, sized.count() // CHUNK)
     near = F.broadcast(src) if src.count() <= BROADCAST_SOURCES else src
     rows = sized.join(near.select("source", "sid"), sized["source"].eqNullSafe(near["source"])).select(sized["*"], "sid")
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(chunks)))
     starts = rows.groupBy("sid", "chunk").agg(F.sum("size").alias("n"))
     starts = before(starts, ["sid"], "chunk", "n", "chunk_start")
     within = Window.partitionBy("sid", "chunk").orderBy("doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -179,4 +201,5 @@ def mixed_documents(docs: DataFrame, seed: int = 0, length: int = LENGTH, per_sh
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixes all documents; see mix() for odd rows."""
     return mix(table(spark, sf_dir, "documents"))
