@@ -9,8 +9,7 @@ windows of a text reach each difference goes into a logistic calibration, fitted
 documents measured with dictionaries of the other half.
 
 The fit takes at most MOST_TOXIC + MOST_ORDINARY labelled documents, chosen by hash of doc_id; that bound holds at every
-size of the tables. Of documents of over MOST_CHARS code points it takes so many, in slices evenly spaced from start to
-end. Scoring covers all texts whole.
+size of the tables. Their texts are learnt from whole, and scoring covers all texts whole.
 """
 
 from __future__ import annotations
@@ -22,16 +21,18 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm.common import fold, release, ship, table, tidied
 
-#: Bounds of the labelled sample, slices of its long texts; bytes of a window; bytes of the ordinary dictionary.
-MOST_TOXIC, MOST_ORDINARY, MOST_CHARS, SLICES, WINDOW, DICTIONARY = 1200, 2400, 20_000, 20, 124, 8192
+#: Bounds of the labelled sample; bytes of a window; bytes of the ordinary dictionary.
+MOST_TOXIC, MOST_ORDINARY, WINDOW, DICTIONARY = 1200, 2400, 124, 8192
 #: A string is typical if it has so many times the ordinary rate of contexts, and so many contexts (at least, or of the documents).
 RATE, LEAST, SHARE = 10, 4, 0.015
 GAINS, LOSSES, THRESHOLD = (1, 2, 3, 4, 5, 6, 8), (1, 2), 0.7
+#: Share of toxic texts that scores assume; that of the labelled sample where there are enough of both.
+PRIOR = MOST_TOXIC / (MOST_TOXIC + MOST_ORDINARY)
 WORD = re.compile(r"\w+")
 #: The repeat offsets that close the tables of a trained dictionary.
 REPEATS = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
@@ -112,13 +113,16 @@ class Windows:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Means, deviations and weights (the constant last) of a ridge-penalised logistic regression by Newton steps."""
+    """Means, deviations and weights (the constant last) of a ridge-penalised logistic regression by Newton steps.
+
+    Rows of label 1 weigh PRIOR in all, whatever their number, so a threshold means the same for any sample."""
     mean, dev = x.mean(0), x.std(0) + 1e-9
     z = np.c_[(x - mean) / dev, np.ones(len(x))]
+    each = len(y) * np.where(y > 0, PRIOR / max(1, (y > 0).sum()), (1 - PRIOR) / max(1, (y <= 0).sum()))
     w = np.zeros(z.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.eye(len(w)), z.T @ (y - p) - w)
+        step = np.linalg.solve((z * (each * p * (1 - p))[:, None]).T @ z + np.eye(len(w)), z.T @ (each * (y - p)) - w)
         w += step
         if abs(step).max() < 1e-8:
             break
@@ -149,19 +153,12 @@ class Model:
         return lambda text: float(1 / (1 + np.exp(-np.clip(((w.features(text) - mean) / dev) @ weights[:-1] + weights[-1], -30, 30))))
 
 
-def spaced(text: Column) -> Column:
-    """The text, or SLICES evenly spaced slices of one that is longer than MOST_CHARS."""
-    size, length = MOST_CHARS // SLICES, F.length(text)
-    slices = [F.substr(text, (F.floor((length - size) * i / (SLICES - 1)) + 1).cast("int"), F.lit(size)) for i in range(SLICES)]
-    return F.when(length > MOST_CHARS, F.concat_ws(" ", *slices)).otherwise(text)
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from docs(doc_id, text) joined with labels(doc_id, toxic); see the bounds above.
 
     Documents labelled both ways count as toxic; null labels, null and empty texts are left out."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.where(F.length("text") > 0).select("doc_id", spaced(F.col("text")).alias("text"))
+    texts = docs.where(F.length("text") > 0).select("doc_id", "text")
     by_hash = F.xxhash64("doc_id")
     spark = docs.sparkSession
     # some chosen documents may be empty or missing, so more are asked for than used
@@ -194,7 +191,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """docs without the rows that the model rejects; columns as they are. Null texts count as empty; repeated rows share one
-    fate; texts are scored whole. Only the texts go to Python, and only verdicts come back."""
+    fate; texts are scored whole; an empty table stays empty. Only the texts go to Python, and only verdicts come back."""
     ship(docs.sparkSession)
 
     @F.arrow_udf("boolean")
@@ -215,6 +212,7 @@ def learnt_from(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document; see fit() and scored() for odd rows."""
     docs = table(spark, sf_dir, "documents")
     model = learnt_from(docs, table(spark, sf_dir, "labels"))
     return scored(docs, model).select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
