@@ -19,6 +19,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -96,27 +97,42 @@ class Pair:
         ids_a = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
         ids_b = self.b.encode(words, num_threads=1)
         spelt = [b" " + w.encode() for w in words]
-        join = lambda labels, ids: b"".join([labels[i] for i in ids])
-        good = np.array([join(self.label_a, x) == s == join(self.label_b, y) for x, y, s in zip(ids_a, ids_b, spelt)], bool)
-        n_a, n_b = (np.array([len(x) if g else 0 for x, g in zip(ids, good)], np.int64) for ids in (ids_a, ids_b))
-        flat_a, flat_b = (np.array([i for x, g in zip(ids, good) if g for i in x], np.int64) for ids in (ids_a, ids_b))
+        sizes = np.fromiter(map(len, spelt), np.int64, len(spelt))
+        good = self._spell(ids_a, ids_b, spelt, sizes)
+        if not good.all():
+            ids_a, ids_b = ([x if g else [] for x, g in zip(ids, good)] for ids in (ids_a, ids_b))
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b))
         del ids_a, ids_b
         ends_a, ends_b = np.cumsum(self.len_a[flat_a]), np.cumsum(self.len_b[flat_b])
         cuts, group_a, group_b = common_cuts(ends_a, ends_b)
         at_a, at_b, each = overlaps(ends_a, self.len_a[flat_a], ends_b)
-        word_ends = np.cumsum([len(s) if g else 0 for s, g in zip(spelt, good)])
+        word_ends = np.cumsum(np.where(good, sizes, 0))
         groups = np.diff(np.searchsorted(cuts, word_ends, "right"), prepend=0)
         made = np.diff(np.concatenate([[0], np.cumsum(each)])[np.cumsum(n_a)], prepend=0)
         self._keep((flat_a[at_a] << ID_BITS) | flat_b[at_b], np.stack([self.used + np.cumsum(made) - made, made, n_a, n_b, groups, good], 1))
         from_a, from_b = (np.searchsorted(x, np.arange(len(cuts) + 1)).tolist() for x in (group_a, group_b))
         name_a, name_b = [self.name_a[i] for i in flat_a.tolist()], [self.name_b[i] for i in flat_b.tolist()]
-        spelt_groups = [f"{','.join(name_a[from_a[g] : from_a[g + 1]])}|{','.join(name_b[from_b[g] : from_b[g + 1]])}" for g in range(len(cuts))]
+        side = lambda names, at: [names[i] if j - i == 1 else ",".join(names[i:j]) for i, j in zip(at, at[1:])]
+        spelt_groups = [f"{x}|{y}" for x, y in zip(side(name_a, from_a), side(name_b, from_b))]
         i = 0
         for w, n in zip(words, groups.tolist()):
             self.code[w] = len(self.names)
             self.names.append(";".join(spelt_groups[i : i + n]))
             i += n
 
+    def _spell(self, ids_a: list[list[int]], ids_b: list[list[int]], spelt: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        """Whether the tokens of both spell each word; looked at one by one only where they don't spell all of them."""
+        whole, same = b"".join(spelt), True
+        for ids, labels, lengths in ((ids_a, self.label_a, self.len_a), (ids_b, self.label_b, self.len_b)):
+            flat = list(chain.from_iterable(ids))
+            ends = np.concatenate([[0], np.cumsum(lengths[np.array(flat, np.int64)])])[np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))]
+            same = same and np.array_equal(ends, np.cumsum(sizes)) and b"".join(map(labels.__getitem__, flat)) == whole
+        if same:
+            return np.ones(len(spelt), bool)
+        join = lambda labels, ids: b"".join([labels[i] for i in ids])
+        return np.array([join(self.label_a, x) == s == join(self.label_b, y) for x, y, s in zip(ids_a, ids_b, spelt)], bool)
+
     def _keep(self, links: np.ndarray, about: np.ndarray) -> None:
         while self.used + len(links) > len(self.links):
             self.links = np.concatenate([self.links, np.empty_like(self.links)])
@@ -126,33 +142,38 @@ class Pair:
         self.about[len(self.names) : len(self.names) + len(about)] = about
         self.used += len(links)
 
-    def codes(self, texts: list[str]) -> list[list[int]]:
-        """The words of each text, all of them aligned; none for empty texts. Where a word's bytes aren't those of both, the text is
+    def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words of the texts, one text after the other and all of them aligned, and how many each text has; none for empty texts. Where a word's bytes aren't those of both, the text is
         taken as one word, as only its joined bytes count."""
         if self.used > MOST_LINKS:
             self.clear()
         words = [[] if not t else WORD_START.split(t) if self.by_words else [t] for t in texts]
-        self._add_new(words)
-        odd = [k for k, w in enumerate(words) if len(w) > 1 and not all(self.about[self.code[x], 5] for x in w)]
-        for k in odd:
-            words[k] = [texts[k]]
-        self._add_new([words[k] for k in odd])
-        return [[self.code[x] for x in w] for w in words]
-
-    def _add_new(self, words: list[list[str]]) -> None:
-        new = {x: None for w in words for x in w if x not in self.code}
+        flat = self._coded(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        wrong = np.bincount(np.repeat(np.arange(len(texts)), lengths)[self.about[flat, 5] == 0], minlength=len(texts)) if len(flat) else np.zeros(len(texts))
+        odd = np.flatnonzero((wrong > 0) & (lengths > 1)).tolist()
+        if odd:
+            for k in odd:
+                words[k] = [texts[k]]
+            flat, lengths = self._coded(words), np.fromiter(map(len, words), np.int64, len(words))
+        return flat, lengths
+
+    def _coded(self, words: list[list[str]]) -> np.ndarray:
+        """The codes of all words, one text after the other; new words are aligned first."""
+        flat = list(chain.from_iterable(words))
+        new = set(flat).difference(self.code)
         if new:
             self.add(list(new))
+        return np.fromiter(map(self.code.__getitem__, flat), np.int64, len(flat))
 
     def aligned(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """For each text n_a, n_b, n_groups, n_links (a row) and the digest of its groups; then of all texts, one after the other, how many
         different pairs each has, these pairs, and the number of links of each."""
-        codes = self.codes(texts)
-        lengths = np.array([len(c) for c in codes], np.int64)
-        flat = np.array([i for c in codes for i in c], np.int64)
+        flat, lengths = self.codes(texts)
         of = np.repeat(np.arange(len(texts)), lengths)
         totals = np.stack([np.bincount(of, self.about[flat, k], len(texts)).astype(np.int64) for k in (2, 3, 4, 1)], 1)
-        digests = [hashlib.sha256(";".join([self.names[i] for i in c]).encode()).hexdigest() if n else "" for c, n in zip(codes, totals[:, 0].tolist())]
+        named, ends = list(map(self.names.__getitem__, flat.tolist())), np.cumsum(lengths).tolist()
+        digests = [hashlib.sha256(";".join(named[j - k : j]).encode()).hexdigest() if n else "" for j, k, n in zip(ends, lengths.tolist(), totals[:, 0].tolist())]
         of_word, times = np.unique(of * max(1, len(self.names)) + flat, return_counts=True)
         of, flat = np.divmod(of_word, max(1, len(self.names)))
         starts, made = self.about[flat, 0], self.about[flat, 1]
