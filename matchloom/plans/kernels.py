@@ -82,8 +82,7 @@ def i10(spark, d):
 @query("i11_projection")
 def i11(spark, d):
     """(x - mean) times the axes fitted to the members, four of them; signs of axes are arbitrary, so squares are shown."""
-    mean, axes = subspace.pca(subspace.moments(T.members(spark, d).select("label", "v"), "label"), 4)
-    return subspace.projected(T.feat(spark, d), mean, axes).select("vec_id", F.transform("p", lambda x: F.round(x * x, 6)).alias("squares"))
+    return subspace.projected(T.feat(spark, d), subspace.pca(T.members(spark, d), 4)).select("vec_id", F.transform("p", lambda x: F.round(x * x, 6)).alias("squares"))
 
 
 def modified(spark, d):

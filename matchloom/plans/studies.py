@@ -23,9 +23,9 @@ from matchloom.sources.shared import shared_dir, written
 
 def _nearest_in_subspace(spark, d, fit):
     members = T.members(spark, d).select("vec_id", "label", "person", "v")
-    mean, axes = fit(subspace.moments(members, "label"))
-    g = subspace.projected(members, mean, axes).select(F.col("person").alias("name"), F.col("p").alias("u"))
-    p = subspace.projected(T.probes(spark, d).select("vec_id", "v"), mean, axes).select("vec_id", "p")
+    basis = fit(members)
+    g = subspace.projected(members, basis).select(F.col("person").alias("name"), F.col("p").alias("u"))
+    p = subspace.projected(T.probes(spark, d).select("vec_id", "v"), basis).select("vec_id", "p")
     return M.arg_min(p, g, ["vec_id"], F.round(V.euclidean(F.col("p"), F.col("u")), 6), "name").withColumn("distance", F.round("distance", 4))
 
 
@@ -36,7 +36,7 @@ def l1(spark, d):
 
 @query("l2_fisher_subspace")
 def l2(spark, d):
-    return _nearest_in_subspace(spark, d, lambda m: subspace.lda(m, 49))
+    return _nearest_in_subspace(spark, d, lambda m: subspace.lda(m, "label", 49))
 
 
 @query("l3_templates", f"WITH {T.FEAT}, far AS (SELECT p.vec_id, t.vec_id AS template, t.person AS name, round(0.5 * list_sum(list_transform(list_zip(p.v, t.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]) / (z[1] + z[2] + 2 + 1e-10))), 6) AS d FROM feat p, feat t WHERE p.probe AND NOT t.probe AND t.known) SELECT vec_id, first(name ORDER BY d, name, template) AS name, min(d) AS d FROM far GROUP BY vec_id")
@@ -53,8 +53,7 @@ def l3(spark, d):
 def l4(spark, d):
     """The basis from at most 200 members by hash, all vectors projected: length of each projection."""
     sample = T.members(spark, d).orderBy(F.xxhash64("vec_id")).limit(200)
-    mean, axes = subspace.pca(subspace.moments(sample, "label"), 20)
-    return subspace.projected(T.feat(spark, d), mean, axes).select("vec_id", F.round(V.norm(F.col("p")), 4).alias("length"))
+    return subspace.projected(T.feat(spark, d), subspace.pca(sample, 20)).select("vec_id", F.round(V.norm(F.col("p")), 4).alias("length"))
 
 
 @query("l5_identities_with_two", f"WITH {T.FEAT} SELECT person, count(*) AS n FROM feat GROUP BY person HAVING count(*) >= 2 ORDER BY person LIMIT 500")
@@ -107,8 +106,7 @@ def swept(spark, d):
     every, out = written(prepared(spark, d)), None
     for equalizer in ("none", "hist", "tan_triggs"):
         rows = every.where(F.col("equalizer") == equalizer)
-        fit = subspace.moments(rows.where("not probe and known").select("label", "v"), "label")
-        one = subspace.projected(rows, *subspace.pca(fit, 32)).drop("v")
+        one = subspace.projected(rows, subspace.pca(rows.where("not probe and known"), 32)).drop("v")
         out = one if out is None else out.unionByName(one)
     # axes come in order, so the first ones are the smaller subspaces
     p = written(out).withColumn("components", F.explode(F.array(F.lit(8), F.lit(16), F.lit(32)))).withColumn("p", F.slice("p", F.lit(1), F.col("components")))

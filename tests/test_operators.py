@@ -154,16 +154,69 @@ def test_sinks(spark, tmp_path):
     assert [r.k for r in sinks.missing(spark.createDataFrame([("a",), ("z",)], "k string"), spark.read.parquet(out), ["k"]).collect()] == ["z"]
 
 
+def numpy_lda(x, y, k):
+    mean = x.mean(0)
+    within = sum((x[y == c] - x[y == c].mean(0)).T @ (x[y == c] - x[y == c].mean(0)) for c in set(y.tolist()))
+    between = sum((y == c).sum() * np.outer(x[y == c].mean(0) - mean, x[y == c].mean(0) - mean) for c in set(y.tolist()))
+    w, u = np.linalg.eigh(within)
+    white = u[:, w > 1e-9] / np.sqrt(w[w > 1e-9])
+    return white @ np.linalg.eigh(white.T @ between @ white)[1][:, ::-1][:, :k]
+
+
+def same_axes(a, b, tol=1e-6):
+    return np.allclose(np.abs(a), np.abs(b), atol=tol)
+
+
 def test_subspaces(spark):
     rng = np.random.default_rng(0)
     rows = [(i % 4, [float(x) for x in rng.standard_normal(6) + np.eye(6)[i % 4] * 4]) for i in range(200)]
-    m = subspace.moments(spark.createDataFrame(rows, "label int, v array<double>"), "label")
-    x = np.array([v for _, v in rows])
-    mean, axes = subspace.pca(m, 3)
+    df = spark.createDataFrame([*rows, (1, None), (None, rows[0][1])], "label int, v array<double>")
+    own = df.where("label is not null")
+    x, y = np.array([v for _, v in rows]), np.array([c for c, _ in rows])
+    b = subspace.pca(own, 3)
     want = np.linalg.eigvalsh(np.cov(x.T, bias=True))[::-1][:3]
-    assert np.allclose(mean, x.mean(0)) and np.allclose(((x - mean) @ axes).var(0), want)
-    _, axes = subspace.lda(m, 49)
-    assert axes.shape == (6, 2)
+    assert np.allclose(b.mean, x.mean(0)) and np.allclose(((x - b.mean) @ b.axes).var(0), want) and np.allclose(b.values, want)
+    f = subspace.lda(own, "label", 49)
+    assert f.axes.shape == (6, 2) and same_axes(f.axes, numpy_lda(x, y, 2))
+    p = [r.p for r in subspace.projected(own, b).collect()]
+    assert p[-1] is None and np.allclose(p[:-1], (x - b.mean) @ b.axes)
+    assert subspace.pca(df.limit(0), 3).axes.shape == (0, 0) and subspace.pca(own.limit(1), 3).axes.shape == (6, 0)
+    assert {(r.label, r.n) for r in subspace.label_means(df, "label").collect()} == {(0, 50), (1, 50), (2, 50), (3, 50), (None, 1)}
+
+
+def test_discriminants_of_more_than_a_thousand_labels(spark, monkeypatch):
+    """No row of a label reaches the driver, whatever the number of labels; tasks that let go of their sums change nothing."""
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((1500, 5)) * [5, 4, 3, 2, 1]
+    y = np.repeat(np.arange(1500), 2)
+    x = centres[y] + rng.standard_normal((3000, 5)) * 0.5
+    df = spark.createDataFrame([(int(c), [float(a) for a in v]) for c, v in zip(y, x)], "label int, v array<double>").repartition(3)
+    for held in (subspace.HELD, 50):
+        monkeypatch.setattr(subspace, "HELD", held)
+        assert same_axes(subspace.lda(df, "label", 3).axes, numpy_lda(x, y, 3))
+
+
+def test_subspaces_of_long_vectors(spark):
+    """More components than the scatter matrix is made for: as numpy's by way of singular values, in fewer dimensions than rows."""
+    rng = np.random.default_rng(2)
+    y = np.repeat(np.arange(20), 4)
+    x = (rng.standard_normal((20, 1500)) * 3)[y] + rng.standard_normal((80, 1500))
+    assert x.shape[1] > subspace.EXACT
+    df = spark.createDataFrame([(int(c), [float(a) for a in v]) for c, v in zip(y, x)], "label int, v array<double>").repartition(3)
+    b = subspace.pca(df, 10)
+    mean = x.mean(0)
+    _, s, vt = np.linalg.svd(x - mean, full_matrices=False)
+    assert np.allclose(b.values, s[:10] ** 2 / 80) and same_axes(b.axes, vt[:10].T, 1e-4)
+    assert subspace.pca(df, 200).axes.shape == (1500, 79)
+    p = np.array([r.p for r in subspace.projected(df, b).orderBy("label").collect()])
+    assert b.axes.size > subspace.LITERALS and np.allclose(np.sort(np.abs(p), 0), np.sort(np.abs((x - mean) @ vt[:10].T), 0), atol=1e-3)
+    f = subspace.lda(df, "label", 49, spare=1)
+    inner = (x - mean) @ vt[:60].T
+    want = vt[:60].T @ numpy_lda(inner, y, 19)
+    got, ref = (x - mean) @ f.axes, (x - mean) @ want
+    assert f.axes.shape == (1500, 19)
+    far = lambda z: np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1))
+    assert np.allclose(far(got), far(ref), rtol=1e-3, atol=1e-3)
 
 
 def mirrored(t, y, x):
