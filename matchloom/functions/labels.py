@@ -30,6 +30,18 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
 
 
+def model_variant(paths: list[Column], fallback: Column) -> Column:
+    """The cleaned stems of the paths that aren't null or blank, joined by two underscores; the cleaned fallback where there is none."""
+    stems = F.filter(F.array(*[stem(p) for p in paths]), lambda x: x.isNotNull() & (x != ""))
+    return F.when(F.size(stems) > 0, F.array_join(F.transform(stems, lambda x: clean_token(x)), "__")).otherwise(clean_token(fallback))
+
+
+def rng_seed(seed: int, *tokens) -> Column:
+    """A seed of its own for each combination of tokens: the common seed and the CRC-32 of the tokens joined by slashes."""
+    named = [t if isinstance(t, Column) else F.col(t) for t in tokens]
+    return F.lit(seed) + F.crc32(F.concat_ws("/", *[t.cast("string") for t in named]).cast("binary"))
+
+
 def _decimals(x: Column, n: int) -> Column:
     """n decimals; halves go to the even digit, where the formatter alone would round them up."""
     return F.format_string(f"%.{n}f", F.bround(x, n))

@@ -9,6 +9,8 @@ from matchloom.functions import vectors as V
 from matchloom.operators import pairs
 
 UNKNOWN = "Unknown"
+#: Intervals of a cell of a range join, about.
+PER_CELL = 8
 
 
 def mean_vector(df: DataFrame, group: str, v: str = "v", weight: Column | None = None) -> DataFrame:
@@ -79,3 +81,43 @@ def quality_flags(blur: Column, luma: Column, noise: Column, pose: Column, px: C
     """Names of active flags, in the order blur, low_light, noise, off_pose, small_face; all bounds are strict."""
     named = ((blur < least_blur, "blur"), ((luma < low) | (luma > high), "low_light"), (noise > most_noise, "noise"), (pose > most_pose, "off_pose"), (px < least_px, "small_face"))
     return F.filter(F.array(*[F.when(c, F.lit(n)) for c, n in named]), lambda x: x.isNotNull())
+
+
+def intervals(anchors: DataFrame, d: str, f: str) -> DataFrame:
+    """d0, f0, d1, f1: each anchor with the next one. Anchors may be many: places come from a distributed sort."""
+    from matchloom.operators import ranks
+
+    placed = ranks.numbered(anchors.where(F.col(d).isNotNull()).select(F.col(d).cast("double").alias("d"), F.col(f).cast("double").alias("f")), ["d", "f"])
+    return placed.select("place", F.col("d").alias("d0"), F.col("f").alias("f0")).join(placed.select((F.col("place") - 1).alias("place"), F.col("d").alias("d1"), F.col("f").alias("f1")), "place").drop("place")
+
+
+def interpolated(rows: DataFrame, x: str, anchors: DataFrame, d: str, f: str, name: str, least: float = 1e-9) -> DataFrame:
+    """rows with f between the anchors around x, linear in its logarithm (floored at `least`); the first or last anchor's f beyond them,
+    the first interval's where two meet; null where x is null or there is no anchor.
+
+    A range join by cells: percentiles of the anchors cut the line, each part is cut evenly into as many cells as make some PER_CELL
+    intervals each. An interval is in every cell that it reaches into, a row in one."""
+    from matchloom.operators import ranks
+    from matchloom.sources.shared import written
+
+    table = written(intervals(anchors, d, f))
+    cuts, anchor = ranks.bounds(table, "d0"), F.struct(F.col(d).cast("double").alias("d"), F.col(f).cast("double").alias("f"))
+    ends = anchors.where(F.col(d).isNotNull()).agg(F.min(anchor).alias("__low"), F.max(anchor).alias("__high"), F.count("*").alias("n")).first()  # one row
+    (low_d, low_f), (high_d, high_f) = ends[0] or (None, None), ends[1] or (None, None)
+    parts = max(1, -(-ends.n // (PER_CELL * (len(cuts) + 1))))
+    edges = F.array(*[F.lit(x).cast("double") for x in (low_d, *cuts, high_d)])
+
+    def cell(x: Column) -> Column:
+        part = ranks.bucket(x, cuts)
+        lo, hi = F.get(edges, part), F.get(edges, part + 1)
+        return (part * parts + F.when(hi > lo, F.least(F.lit(parts - 1), F.floor((x - lo) / (hi - lo) * parts))).otherwise(0)).cast("long")
+
+    v = F.col(x).cast("double")
+    reached = table.withColumn("__cell", F.explode(F.sequence(cell(F.col("d0")), cell(F.col("d1")))))
+    keyed = written(rows.withColumn("__row", F.monotonically_increasing_id())).withColumn("__x", F.when((v > F.lit(low_d)) & (v < F.lit(high_d)), v)).withColumn("__cell", cell(F.col("__x")))
+    share = F.when(F.col("d1") > F.col("d0"), (F.col("__x") - F.col("d0")) / (F.col("d1") - F.col("d0"))).otherwise(1.0)
+    low, high = F.greatest(F.col("f0"), F.lit(least)), F.greatest(F.col("f1"), F.lit(least))
+    inside = keyed.where("__x is not null").join(reached, "__cell").where("__x >= d0 and __x <= d1")
+    first = inside.groupBy("__row").agg(F.min(F.struct("d0", "d1", F.when(F.col("d1") > F.col("d0"), F.exp(F.log(low) + share * (F.log(high) - F.log(low)))).otherwise(F.col("f1")).alias("f"))).alias("__first"))
+    out = F.when(v <= F.lit(low_d), F.lit(low_f)).when(v >= F.lit(high_d), F.lit(high_f)).otherwise(F.col("__first.f"))
+    return keyed.join(first, "__row", "left").select(*[F.col(f"`{c}`") for c in rows.columns], out.alias(name))

@@ -102,3 +102,15 @@ def rows_at(df: DataFrame, d: str, ties: list[str], want: DataFrame, cuts: list[
     first = places.groupBy(F.col(d).alias("value")).agg(F.min("__place").alias("__first"))
     places = places.withColumnRenamed(d, "value").join(F.broadcast(first), "value").withColumn("__nth", F.col("__place") - F.col("__first"))
     return places.join(F.broadcast(found), ["value"]).where("__nth = k - below - 1").select(*want.columns, F.col("value").alias(d), *ties)
+
+
+def shares_from(values: DataFrame, v: str, asked: DataFrame, a: str, name: str = "share") -> DataFrame:
+    """asked with the share of values[v] that is at least asked[a], 0 to 1 (0 over nothing); both sides may be large. Equal values are counted
+    together, running sums over them are made bucket by bucket, and the asked rows find theirs by value. Null is asked for nothing: null."""
+    base = values.where(F.col(v).isNotNull()).select(F.col(v).alias("__v"), F.lit(1).cast("long").alias("__n"))
+    base = base.unionByName(asked.where(F.col(a).isNotNull()).select(F.col(a).alias("__v"), F.lit(0).cast("long").alias("__n")))
+    base = written(base.groupBy("__v").agg(F.sum("__n").alias("__n")))
+    total = F.broadcast(base.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__total")))  # one row
+    upto = running(base, "__v", {"__upto": "__n"}).crossJoin(total)
+    share = F.when(F.col("__total") > 0, (F.col("__total") - F.col("__upto") + F.col("__n")) / F.col("__total")).otherwise(0.0)
+    return asked.join(upto.select(F.col("__v").alias(a), share.alias(name)), a, "left").select(*asked.columns, name)

@@ -215,14 +215,14 @@ def q21(spark, d):
     return f.select(F.round("fp", 6).alias("fp_percent"), (F.abs(F.col("fp") - 0.0747) <= 0.05).alias("within_tolerance"))
 
 
-@query("q23_launcher_overview", f"WITH {_REPORTS}, g AS (SELECT coalesce(family, 'none') AS family, 'trainer_raw-' || label || '_labels_x' AS variant, max(coalesce(rank1, hit_rate, 0)) AS best, count(*) AS n FROM r GROUP BY 1, 2), t AS (SELECT family, trim(regexp_replace(lower(replace(replace(variant, 'trainer_raw-', ''), '_labels_x', '')), '[^a-z0-9]+', '-', 'g'), '-') AS tag, round(best, 6) AS best, n, CASE WHEN best >= 0.6 THEN 'ok' ELSE 'low' END AS state FROM g) SELECT *, row_number() OVER (ORDER BY best DESC, n DESC, family, tag) AS place FROM t ORDER BY place LIMIT 40")
+@query("q23_launcher_overview", f"WITH {_REPORTS}, g AS (SELECT coalesce(family, 'none') AS family, 'trainer_raw-' || label || '_labels_x' AS variant, max(coalesce(rank1, hit_rate, 0)) AS best, count(*) AS n FROM r GROUP BY 1, 2), t AS (SELECT family, trim(regexp_replace(lower(replace(replace(variant, 'trainer_raw-', ''), '_labels_x', '')), '[^a-z0-9]+', '-', 'g'), '-') AS tag, round(best, 6) AS best, n, CASE WHEN best >= 0.6 THEN 'ok' ELSE 'low' END AS state FROM g) SELECT *, row_number() OVER (ORDER BY best DESC, n DESC, family, tag) AS place FROM t")
 def q23(spark, d):
     """The overview of all models: the best metric of each family and variant, the variant's short tag, and a place."""
     variant = F.concat(F.lit("trainer_raw-"), "label", F.lit("_labels_x"))
     g = reports(spark, d).groupBy(F.coalesce("family", F.lit("none")).alias("family"), L.compact_tag(variant).alias("tag")).agg(F.max(F.coalesce("rank1", "hit_rate", F.lit(0.0))).alias("b"), F.count("*").alias("n"))
     rows = g.select("family", "tag", F.round("b", 6).alias("best"), "n", F.when(F.col("b") >= 0.6, "ok").otherwise("low").alias("state"))
     order = (F.desc("best"), F.desc("n"), "family", "tag")
-    return rows.orderBy(*order).limit(40).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return ranks.numbered(rows, order).withColumn("place", F.col("place").cast("long"))
 
 
 _CUT = ", ".join(f"({k}, '{n}', {left}, {top}, {w}, {h})" for k, (n, (left, top, w, h)) in enumerate(REGIONS.items()))

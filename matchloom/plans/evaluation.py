@@ -247,6 +247,14 @@ def a29(spark, d):
     return a.select("n", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(str(i)).alias("k")) for i, t in enumerate(ts)])).alias("x")).select("x.t", F.round(F.col("x.k") / F.col("n"), 9).alias("far"))
 
 
+@query("a29_far_of_matches", f"WITH {T.MATCHES}, c AS (SELECT round({T.dot_sql('a.v', 'b.v')}, 9) AS c FROM feat a JOIN feat b ON a.vec_id < b.vec_id AND a.label <> b.label), m AS (SELECT vec_id, best_person, round(score, 9) AS score FROM matches), n AS (SELECT count(*) AS n FROM c) SELECT vec_id, best_person, score, round(count(*) FILTER (WHERE c >= score)::DOUBLE / n, 9) AS far FROM m, c, n GROUP BY vec_id, best_person, score, n")
+def a29_matches(spark, d):
+    """The rate of false accepts that each probe's own score stands for: the share of all impostor cosines that reach it."""
+    p = pairs.unique_pairs(T.feat(spark, d).select("vec_id", "label", "v"), "vec_id").where("a_label <> b_label").select(F.round(V.dot(F.col("a_v"), F.col("b_v")), 9).alias("c"))
+    m = T.matches(spark, d).select("vec_id", "best_person", F.round("score", 9).alias("score"))
+    return ranks.shares_from(p, "c", m, "score", "far").withColumn("far", F.round("far", 9))
+
+
 @query("a30_spread", f"WITH {T.MATCHES} SELECT known, round(min(score), 3) AS lo, round(quantile_cont(score, 0.05), 3) AS p5, round(median(score), 3) AS median, round(quantile_cont(score, 0.95), 3) AS p95, round(max(score), 3) AS hi FROM matches GROUP BY known")
 def a30(spark, d):
     m = T.matches(spark, d).select("known", "score")

@@ -10,6 +10,7 @@ from matchloom.operators import matching as M
 from matchloom.operators import ranks
 from matchloom.plans import tables as T
 from matchloom.plans.registry import query
+from matchloom.sources.shared import written
 
 #: Anchors (distance, rate) of the first engine's false accepts.
 ANCHORS = ((20.0, 1e-7), (40.0, 1e-5), (60.0, 1e-3), (73.04, 1e-2), (90.0, 0.5))
@@ -81,6 +82,20 @@ def j15(spark, d):
     return T.read(spark, d, "lineitem").select((F.col("l_quantity") * 2).alias("d")).distinct().select("d", F.round(far_at(F.col("d")), 9).alias("far"))
 
 
+@query(
+    "j15_anchor_table",
+    "WITH p AS (SELECT o_totalprice::DOUBLE AS d, count(*) AS n FROM orders GROUP BY 1), a AS (SELECT d, sum(n) OVER (ORDER BY d)::DOUBLE / sum(n) OVER () AS f FROM p), i AS (SELECT d AS d0, f AS f0, lead(d) OVER (ORDER BY d) AS d1, lead(f) OVER (ORDER BY d) AS f1 FROM a), e AS (SELECT min(d) AS lo, max(d) AS hi, min(f) AS flo, max(f) AS fhi FROM a), x AS (SELECT l_orderkey, l_linenumber, l_extendedprice::DOUBLE * 1.5 AS raw FROM lineitem) "
+    "SELECT l_orderkey, l_linenumber, round(CASE WHEN raw <= lo THEN flo WHEN raw >= hi THEN fhi ELSE exp(ln(f0) + (raw - d0) / (d1 - d0) * (ln(f1) - ln(f0))) END, 9) AS far FROM x CROSS JOIN e ASOF LEFT JOIN i ON x.raw > i.d0",
+)
+def j15_table(spark, d):
+    """Rates of false accepts between anchors, of which there are as many as order prices; each line's raw distance finds its interval."""
+    p = T.read(spark, d, "orders").groupBy(F.col("o_totalprice").cast("double").alias("d")).agg(F.count("*").alias("n"))
+    total = F.broadcast(p.agg(F.sum("n").alias("total")))
+    anchors = ranks.running(p, "d", {"upto": "n"}).crossJoin(total).select("d", (F.col("upto") / F.col("total")).alias("f"))
+    x = T.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice").cast("double") * 1.5).alias("raw"))
+    return M.interpolated(x, "raw", written(anchors), "d", "f", "far").select("l_orderkey", "l_linenumber", F.round("far", 9).alias("far"))
+
+
 @query("a24_latency", "SELECT event_type AS stage, count(*) AS n, round(avg(value), 3) AS mean_ms, round(quantile_cont(value, 0.95), 3) AS p95_ms FROM events GROUP BY event_type")
 def a24(spark, d):
     e = T.read(spark, d, "events").select(F.col("event_type").alias("stage"), "value")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import labels as L
+from matchloom.operators import ranks
 from matchloom.plans import tables as T
 from matchloom.plans.registry import query
 from matchloom.plans.scans import _REPORTS, reports
@@ -153,17 +154,18 @@ def w10(spark, d):
     return reports(spark, d).groupBy("label").agg(F.max_by("id", F.struct("mtime", -F.col("id"))).alias("id"))
 
 
-@query("w11_sorted_rows", f"WITH {_REPORTS} SELECT id, row_number() OVER (ORDER BY hit_rate DESC NULLS LAST, rank1 DESC NULLS LAST, family DESC NULLS LAST, id) AS place FROM r ORDER BY place LIMIT 50")
+@query("w11_sorted_rows", f"WITH {_REPORTS} SELECT id, row_number() OVER (ORDER BY hit_rate DESC NULLS LAST, rank1 DESC NULLS LAST, family DESC NULLS LAST, id) AS place FROM r")
 def w11(spark, d):
+    """Every row with its place in the order of several keys."""
     keys = (F.col("hit_rate").desc_nulls_last(), F.col("rank1").desc_nulls_last(), F.col("family").desc_nulls_last(), F.col("id"))
-    top = reports(spark, d).orderBy(*keys).limit(50)
-    return top.select("id", F.row_number().over(Window.orderBy(*keys)).cast("long").alias("place"))
+    return ranks.numbered(reports(spark, d).select("id", "hit_rate", "rank1", "family"), keys).select("id", F.col("place").cast("long").alias("place"))
 
 
-@query("w12_unedited_first", f"WITH {_REPORTS} SELECT id, row_number() OVER (ORDER BY family IS NOT NULL, -coalesce(rank1, 0), id) AS place FROM r ORDER BY place LIMIT 30")
+@query("w12_unedited_first", f"WITH {_REPORTS} SELECT id, row_number() OVER (ORDER BY family IS NOT NULL, -coalesce(rank1, 0), id) AS place FROM r")
 def w12(spark, d):
+    """Every row with its place, rows without a family first."""
     keys = (F.col("family").isNotNull(), -F.coalesce("rank1", F.lit(0.0)), F.col("id"))
-    return reports(spark, d).orderBy(*keys).limit(30).select("id", F.row_number().over(Window.orderBy(*keys)).cast("long").alias("place"))
+    return ranks.numbered(reports(spark, d).select("id", "rank1", "family"), keys).select("id", F.col("place").cast("long").alias("place"))
 
 
 _JSON = "'{\"brand\":\"' || p_brand || '\",\"size\":' || p_size || ',\"type\":\"' || p_type || '\"}'"
@@ -186,10 +188,19 @@ def f16(spark, d):
     return T.read(spark, d, "part").select("p_partkey", L.relative(F.concat(F.lit("base\\reports\\"), "p_type", F.lit("\\"), F.col("p_partkey").cast("string"), F.lit(".json")), "base").alias("path"))
 
 
-@query("f17_variant", "SELECT p_partkey, 'model_' || p_size || '__labels_' || p_size AS variant FROM part")
+_CLEAN = "regexp_replace(regexp_replace(regexp_replace({}, '[^A-Za-z0-9._-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g')"
+
+
+@query(
+    "f17_variant",
+    f"WITH x AS (SELECT p_partkey, p_name, list_filter([CASE WHEN p_size % 5 <> 0 THEN p_type || ' v1.' || p_size END, CASE WHEN p_size % 3 = 1 THEN '' WHEN p_size % 3 = 2 THEN 'labels (' || p_brand || ')' END], lambda v: v <> '') AS stems FROM part) SELECT p_partkey, CASE WHEN len(stems) > 0 THEN array_to_string(list_transform(stems, lambda v: {_CLEAN.format('v')}), '__') ELSE {_CLEAN.format("'(' || p_name || ')'")} END AS variant FROM x",
+)
 def f17(spark, d):
-    s = F.col("p_size").cast("string")
-    return T.read(spark, d, "part").select("p_partkey", F.concat_ws("__", L.stem(F.concat(F.lit("m/model_"), s, F.lit(".yml"))), L.stem(F.concat(F.lit("m/labels_"), s, F.lit(".json")))).alias("variant"))
+    """The cleaned stems of the model's files, missing ones left out; a fallback where there is none."""
+    size = F.col("p_size").cast("string")
+    model = F.when(F.col("p_size") % 5 != 0, F.concat(F.lit("m/"), "p_type", F.lit(" v1."), size, F.lit(".yml")))
+    marks = F.when(F.col("p_size") % 3 == 1, "").when(F.col("p_size") % 3 == 2, F.concat(F.lit("m/labels ("), "p_brand", F.lit(").json")))
+    return T.read(spark, d, "part").select("p_partkey", L.model_variant([model, marks], F.concat(F.lit("("), "p_name", F.lit(")"))).alias("variant"))
 
 
 @query("f18_dataset_label", "WITH x AS (SELECT p_partkey, list_filter(['raw=' || CASE WHEN p_size % 2 = 0 THEN p_brand END, 'processed=' || CASE WHEN p_size % 5 < 2 THEN p_name END, 'aug=' || CASE WHEN p_size % 3 = 0 THEN p_type END || '[' || CASE WHEN p_size % 4 = 0 THEN 'light,medium' ELSE 'all' END || ']', 'split=' || CASE WHEN p_size % 7 = 0 THEN 'test' END], lambda v: v IS NOT NULL) AS parts FROM part) SELECT p_partkey, CASE WHEN len(parts) > 0 THEN array_to_string(parts, ' | ') ELSE 'no_dataset_selected' END AS label FROM x")
@@ -202,8 +213,8 @@ def f18(spark, d):
 
 @query("f19_rng_key", None)
 def f19(spark, d):
-    """Seeds of random modifications: CRC-32 of family, modification, level and path."""
-    return T.read(spark, d, "part").select("p_partkey", F.crc32(F.concat_ws("|", "p_brand", "p_type", F.col("p_size").cast("string")).cast("binary")).alias("seed"))
+    """Seeds of random modifications: the run's seed and the CRC-32 of person, file, modification and level."""
+    return T.read(spark, d, "part").select("p_partkey", L.rng_seed(42, "p_brand", "p_name", "p_type", "p_size").alias("seed"))
 
 
 _UNITS = "[' B', ' KB', ' MB', ' GB', ' TB']"
