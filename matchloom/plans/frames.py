@@ -13,7 +13,7 @@ from matchloom.operators import frames as R
 from matchloom.plans import tables as T
 from matchloom.plans.registry import query
 from matchloom.sources.shared import shared_dir
-from matchloom.streaming import loops
+from matchloom.streaming import loops, sessions
 
 
 def frames(spark, d) -> DataFrame:
@@ -163,6 +163,36 @@ def k7(spark, d):
     return log.select("stream", F.unix_seconds("slot").alias("slot"), "frame", "frames")
 
 
+SLOT, GAP, CUTS = 6 * 3600, 12 * 3600, 4
+
+
+@query("r8_event_time_slots", _SLOTS)
+def r8_slots(spark, d):
+    """The last frame of each slot, emitted once when the watermark has passed the slot, over several micro-batches in order of time."""
+    stream, _ = sessions.landed(frames(spark, d), CUTS)
+    out = loops.drained(sessions.logged(stream, SLOT, GAP), sessions.SCHEMA)
+    return out.where("kind = 'slot'").select("stream", F.unix_seconds("start").alias("slot"), "frame", "frames")
+
+
+@query(
+    "r9_session_end",
+    f"WITH {_F}, g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY stream ORDER BY ts, frame)) <= {GAP * 1_000_000} THEN 0 ELSE 1 END AS new FROM f), s AS (SELECT *, sum(new) OVER (PARTITION BY stream ORDER BY ts, frame) AS session FROM g) SELECT stream, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS ended, last(frame ORDER BY ts, frame) AS frame, count(*) AS frames, count(*) FILTER (WHERE name = 'error') AS without_face, round(avg(score), 4) AS mean_score FROM s GROUP BY stream, session",
+)
+def r9_sessions(spark, d):
+    """A summary of each session of each stream, emitted when no frame has come for twelve hours of event time."""
+    stream, _ = sessions.landed(frames(spark, d), CUTS)
+    out = loops.drained(sessions.logged(stream, SLOT, GAP), sessions.SCHEMA).where("kind = 'session'")
+    return out.select("stream", F.unix_micros("start").alias("started"), F.unix_micros("stop").alias("ended"), "frame", "frames", "without_face", F.round("mean_score", 4).alias("mean_score"))
+
+
+@query("k7_event_time_log", _SLOTS)
+def k7_log(spark, d):
+    """The rate-limited JSON log of the same stream, read back: a slot is logged once, whichever micro-batches its frames came in."""
+    stream, at = sessions.landed(frames(spark, d), CUTS)
+    sessions.log_json_once(sessions.logged(stream, SLOT, GAP), f"{at}-log", None).awaitTermination()
+    return sessions.read_log(spark, f"{at}-log").select("stream", "slot", "frame", "frames")
+
+
 @query("r10_bounded_pair_pass", f"WITH {T.FEAT}, p AS (SELECT sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM feat a JOIN feat b ON a.vec_id < b.vec_id) SELECT floor(d * 10)::BIGINT AS bin, count(*) AS n FROM p GROUP BY 1")
 def r10(spark, d):
     """All unique pairs in blocks, never held: only bins leave the tasks."""
