@@ -43,6 +43,62 @@ def ema(frames: DataFrame, x: str, keep: float = 0.85, new: float = 0.15) -> Dat
     return rows.select("stream", "frame", "x").mapInPandas(run, f"stream {kinds['stream']}, frame {kinds['frame']}, average double")
 
 
+def ema_scanned(frames: DataFrame, x: str, keep: float = 0.85, new: float = 0.15) -> DataFrame:
+    """ema() without a task that sees a whole stream: a parallel scan.
+
+    Rows are cut into ranges of (stream, ts, frame), so a long stream is many chunks. What a chunk does to the average before it is an affine
+    map, or a number of its own where that is 0. Maps of a stream's chunks, a row each, are put one after the other; then every chunk is gone
+    through again from the average that it starts with. Streams with negative values, whose average may come back to 0 in the middle of
+    a chunk, go through ema()."""
+    from matchloom.sources.shared import written
+
+    kinds = dict(frames.dtypes)
+    rows = frames.select("stream", "ts", "frame", F.col(x).cast("double").alias("x"))
+    order = ["stream", "ts", "frame"]
+    placed = written(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    signed = placed.where("x < 0").select("stream").distinct()
+    plain = placed.join(signed, "stream", "left_anti")
+
+    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, a, b, own, out = None, 1.0, 0.0, 0.0, []
+        for d in batches:
+            for part, stream, v in zip(d["__part"], d["stream"], d["x"]):
+                if (part, stream) != at:
+                    if at is not None:
+                        out.append((*at, a, b, own))
+                    at, a, b, own = (part, stream), 1.0, 0.0, 0.0
+                a, b, own = keep * a, keep * b + new * v, v if own == 0 else keep * own + new * v
+        if at is not None:
+            out.append((*at, a, b, own))
+        yield pd.DataFrame(out, columns=["__part", "stream", "a", "b", "own"])
+
+    def starts(d: pd.DataFrame) -> pd.DataFrame:
+        d, at = d.sort_values("__part"), []
+        now = 0.0
+        for a, b, own in zip(d["a"], d["b"], d["own"]):
+            at.append(now)
+            now = own if now == 0 else a * now + b
+        return pd.DataFrame({"__part": d["__part"], "stream": d["stream"], "start": at})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, average = None, 0.0
+        for d in batches:
+            out = []
+            for part, stream, v, start in zip(d["__part"], d["stream"], d["x"], d["start"]):
+                if (part, stream) != at:
+                    at, average = (part, stream), start
+                average = v if average == 0 else keep * average + new * v
+                out.append(average)
+            yield pd.DataFrame({"stream": d["stream"], "frame": d["frame"], "average": out})
+
+    chunked = plain.repartition("__part", "stream").sortWithinPartitions("__part", *order)
+    made = chunked.select("__part", "stream", "x").mapInPandas(maps, f"__part int, stream {kinds['stream']}, a double, b double, own double")
+    begun = made.groupBy("stream").applyInPandas(starts, f"__part int, stream {kinds['stream']}, start double")
+    again = plain.join(begun, ["__part", "stream"]).repartition("__part", "stream").sortWithinPartitions("__part", *order)
+    scanned = again.select("__part", "stream", "frame", "x", "start").mapInPandas(run, f"stream {kinds['stream']}, frame {kinds['frame']}, average double")
+    return scanned.unionByName(ema(placed.join(signed, "stream", "left_semi"), "x", keep, new))
+
+
 def votes(history: Column, least: int) -> Column:
     """Struct name, score, hits of the most frequent name in a list of structs (name, score), the first seen on ties; null
     below `least` hits."""

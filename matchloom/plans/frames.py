@@ -30,11 +30,20 @@ _F = """f AS (SELECT event_id AS frame, user_id AS stream, ts, event_type AS nam
 ep AS (SELECT *, sum((name = 'error')::INT) OVER (PARTITION BY stream ORDER BY ts, frame) AS episode FROM f), faces AS (SELECT * FROM ep WHERE name <> 'error')"""
 
 
-@query("w13_ema", f"WITH RECURSIVE {_F}, n AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY ts, frame) AS rn FROM f), r AS (SELECT stream, frame, rn, score AS average FROM n WHERE rn = 1 UNION ALL SELECT n.stream, n.frame, n.rn, CASE WHEN r.average = 0 THEN n.score ELSE 0.85::DOUBLE * r.average + 0.15::DOUBLE * n.score END FROM r JOIN n ON n.stream = r.stream AND n.rn = r.rn + 1) SELECT stream, frame, round(average + 1e-9, 5) AS average FROM r")
+_EMA = f"WITH RECURSIVE {_F}, n AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY ts, frame) AS rn FROM f), r AS (SELECT stream, frame, rn, score AS average FROM n WHERE rn = 1 UNION ALL SELECT n.stream, n.frame, n.rn, CASE WHEN r.average = 0 THEN n.score ELSE 0.85::DOUBLE * r.average + 0.15::DOUBLE * n.score END FROM r JOIN n ON n.stream = r.stream AND n.rn = r.rn + 1) SELECT stream, frame, round(average + 1e-9, 5) AS average FROM r"
+
+
+@query("w13_ema", _EMA)
 def w13(spark, d):
     return R.ema(frames(spark, d), "score").withColumn("average", F.round(F.col("average") + 1e-9, 5))
 
 
+@query("w13_ema_scan", _EMA)
+def w13_scan(spark, d):
+    """The same averages by a parallel scan over chunks of streams."""
+    return R.ema_scanned(frames(spark, d), "score").withColumn("average", F.round(F.col("average") + 1e-9, 5))
+
+
 _VOTES = """h AS (SELECT stream, frame, list({{'name': name, 'score': score}}) OVER (PARTITION BY stream, episode ORDER BY ts, frame ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS h FROM {src}),
 x AS (SELECT stream, frame, u.i AS i, h[u.i].name AS name, h[u.i].score AS score FROM h, unnest(range(1, 6)) AS u(i) WHERE u.i <= len(h)),
 t AS (SELECT stream, frame, name, count(*) AS hits, min(i) AS first_seen, avg(score) AS score FROM x GROUP BY ALL),
@@ -163,6 +172,24 @@ def k7(spark, d):
     return log.select("stream", F.unix_seconds("slot").alias("slot"), "frame", "frames")
 
 
+@query(
+    "i18_detect_or_track",
+    f"""WITH RECURSIVE {_F}, n AS (SELECT stream, frame, name, row_number() OVER (PARTITION BY stream ORDER BY ts, frame) AS rn, floor(score * 3)::BIGINT % 60 AS x, floor(score * 7)::BIGINT % 60 AS y, floor(score * 5)::BIGINT % 60 AS tx, floor(score * 11)::BIGINT % 60 AS ty, floor(score)::BIGINT % 7 AS points FROM f),
+    r AS (SELECT stream, rn, frame, CASE WHEN name = 'error' THEN 'miss' ELSE 'detect' END AS action, CASE WHEN name <> 'error' THEN x END AS x, CASE WHEN name <> 'error' THEN y END AS y, (name <> 'error')::BIGINT AS steady FROM n WHERE rn = 1
+    UNION ALL SELECT stream, rn, frame, action, CASE action WHEN 'track' THEN tx WHEN 'hold' THEN bx WHEN 'detect' THEN x END, CASE action WHEN 'track' THEN ty WHEN 'hold' THEN by_ WHEN 'detect' THEN y END, CASE action WHEN 'track' THEN steady + 1 WHEN 'hold' THEN steady WHEN 'detect' THEN 1 ELSE 0 END
+    FROM (SELECT n.*, r.x AS bx, r.y AS by_, r.steady, CASE WHEN r.x IS NOT NULL AND n.rn % 3 <> 0 THEN CASE WHEN points >= 3 AND inter::DOUBLE / (3200 - inter) > 0.05 THEN 'track' ELSE 'hold' END WHEN name = 'error' THEN 'miss' ELSE 'detect' END AS action
+        FROM r JOIN n ON n.stream = r.stream AND n.rn = r.rn + 1, LATERAL (SELECT coalesce(greatest(0, least(r.x, n.tx) + 40 - greatest(r.x, n.tx)) * greatest(0, least(r.y, n.ty) + 40 - greatest(r.y, n.ty)), 0) AS inter)))
+    SELECT stream, frame, action, x, y, steady, x IS NOT NULL AND steady >= 2 AS recognize FROM r""",
+)
+def i18(spark, d):
+    """A box followed between detections as a stateful stream: every third frame detects, others follow the box or hold it."""
+    near = lambda k: F.floor(F.col("score") * k).cast("long") % 60
+    side = F.lit(40)
+    boxed = live(spark, d).withColumns({"x": near(3), "y": near(7), "w": side, "h": side, "tx": near(5), "ty": near(11), "tw": side, "th": side, "points": F.floor("score").cast("long") % 7})
+    out = loops.drained(loops.detect_or_track(boxed), "stream long, frame long, action string, x long, y long, w long, h long, steady long, recognize boolean")
+    return out.drop("w", "h")
+
+
 SLOT, GAP, CUTS = 6 * 3600, 12 * 3600, 4
 
 

@@ -96,6 +96,35 @@ def box_voting(frames: DataFrame, last: int = 5, least: int = 2, least_overlap:
     return frames.groupBy("stream").applyInPandasWithState(step, "stream long, frame long, name string, score double, hits long", "names array<string>, scores array<double>, box array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
+def detect_or_track(frames: DataFrame, every: int = 3, least_points: int = 3, least_overlap: float = 0.05, stable: int = 2) -> DataFrame:
+    """stream, frame, action, x, y, w, h, steady, recognize: the box that each stream carries from frame to frame.
+
+    frames(stream, frame, ts, name, x, y, w, h, tx, ty, tw, th, points): the box that a detector would find (none where name is NO_FACE), and
+    the box around the points that were followed into this frame, of which `points` are good. Every `every`-th frame detects, and any that
+    has no box; others follow it while there are enough good points and the box overlaps the one before. Where following fails the box is
+    held. A detection that finds nothing drops it. recognize: the box has stood for `stable` frames; a detection begins anew at 1."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        count, steady, box = state.get if state.exists else (0, 0, [])
+        out = []
+        for r in pd.concat(list(batches)).sort_values(["ts", "frame"]).itertuples():
+            count += 1
+            moved = (int(r.tx), int(r.ty), int(r.tw), int(r.th))
+            if box and count % every and r.points >= least_points and overlap(tuple(box), moved) > least_overlap:
+                action, box, steady = "track", list(moved), steady + 1
+            elif box and count % every:
+                action = "hold"
+            elif r.name == NO_FACE:
+                action, box, steady = "miss", [], 0
+            else:
+                action, box, steady = "detect", [int(r.x), int(r.y), int(r.w), int(r.h)], 1
+            out.append((key[0], r.frame, action, *(box or [None] * 4), steady, bool(box) and steady >= stable))
+        state.update((count, steady, box))
+        yield pd.DataFrame(out, columns=["stream", "frame", "action", "x", "y", "w", "h", "steady", "recognize"]).astype({c: "Int64" for c in "xywh"})
+
+    return frames.groupBy("stream").applyInPandasWithState(step, "stream long, frame long, action string, x long, y long, w long, h long, steady long, recognize boolean", "count long, steady long, box array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
 def resets(frames: DataFrame, last: int = 5) -> DataFrame:
     """stream, frame, cleared: frames without a face, and how many held frames each of them clears."""
 
