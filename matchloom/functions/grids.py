@@ -197,6 +197,26 @@ def equalized(tile: Column) -> Column:
     return then(counted, lambda s: F.when(s["n"] == s["first"], s["t"]).otherwise(F.transform(s["t"], lambda v: held(F.rint((upto(s["t"], v) - s["first"]) * 255.0 / (s["n"] - s["first"]))))))
 
 
+def enhanced(image: Column, side: int, by: float, cells: bool = True) -> Column:
+    """A colour image (array of struct b, g, r) with its luma equalized by cells and each channel by the gamma table; chroma is kept."""
+    level = lambda x: F.floor(F.pow(x / 255.0, F.lit(1 / by)) * 255).cast("int")
+    table = lambda p: F.struct(*[level(p[c]).alias(c) if abs(by - 1) > 1e-6 and by > 0 else p[c].alias(c) for c in "bgr"])
+
+    def chroma(p: Column) -> Column:
+        y = held(F.rint(0.299 * p["r"] + 0.587 * p["g"] + 0.114 * p["b"]))
+        return then(y, lambda y: F.struct(y.alias("y"), held(F.rint((p["r"] - y) * 0.713 + 128)).alias("cr"), held(F.rint((p["b"] - y) * 0.564 + 128)).alias("cb")))
+
+    def colour(y: Column, c: Column) -> Column:
+        cr, cb = c["cr"] - 128, c["cb"] - 128
+        return F.struct(held(F.rint(y + 1.773 * cb)).alias("b"), held(F.rint(y - 0.714 * cr - 0.344 * cb)).alias("g"), held(F.rint(y + 1.403 * cr)).alias("r"))
+
+    def whole(c: Column) -> Column:
+        return F.zip_with(clahe(F.transform(c, lambda p: p["y"]), side), c, colour)
+
+    made = then(F.transform(image, chroma), whole) if cells else image
+    return F.transform(made, table)
+
+
 def clahe(tile: Column, side: int, grid: int = 8, clip: float = 2.0) -> Column:
     """Equalization in cells of a grid with clipped histograms, from between the four cells around a pixel. side must be a
     multiple of grid."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from matchloom.functions import align
 from matchloom.functions import augment as A
 from matchloom.functions import grids as G
 from matchloom.functions import vectors as V
@@ -152,3 +153,31 @@ def i15(spark, d):
     cut = lambda n, keep: total(F.transform("tile", lambda x, i: F.when(region(n, i) == F.lit(keep), x).otherwise(0)))
     both = F.array(*[F.struct(F.lit(n).alias("region"), cut(n, True).alias("cropped"), cut(n, False).alias("blacked_out")) for n in REGIONS])
     return tiles(spark, d).select("vec_id", F.explode(both).alias("r")).select("vec_id", "r.*")
+
+
+def landmarks(spark, d):
+    """l_orderkey, l_linenumber, points: the template of landmarks turned, scaled and moved as a line says, one of them wrong on every other line."""
+    turn, zoom = F.col("l_discount").cast("double") * 8, 0.5 + F.col("l_tax").cast("double") * 10
+    dx, dy = F.col("l_quantity").cast("double"), F.col("l_linenumber") * 3.0
+    points = []
+    for i, (u, v) in enumerate(align.TEMPLATE):
+        wrong = F.when((F.col("l_orderkey") % 2 == 0) & (F.col("l_linenumber") % 5 == i), 60.0).otherwise(0.0)
+        points.append(F.struct((zoom * (F.cos(turn) * u - F.sin(turn) * v) + dx + wrong).alias("x"), (zoom * (F.sin(turn) * u + F.cos(turn) * v) + dy - wrong).alias("y")))
+    return T.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array(*points).alias("points"))
+
+
+@query(
+    "i5_landmark_align",
+    "WITH x AS (SELECT l_orderkey, l_linenumber, l_discount::DOUBLE * 8 AS turn, 0.5 + l_tax::DOUBLE * 10 AS zoom, l_quantity::DOUBLE AS dx, l_linenumber * 3.0::DOUBLE AS dy FROM lineitem), m AS (SELECT *, cos(turn) / zoom AS a, -sin(turn) / zoom AS b FROM x) SELECT l_orderkey, l_linenumber, round(a, 6) + 0.0 AS a, round(b, 6) + 0.0 AS b, round(-(a * dx - b * dy), 4) + 0.0 AS tx, round(-(b * dx + a * dy), 4) + 0.0 AS ty, CASE WHEN l_orderkey % 2 = 0 THEN 4 ELSE 5 END AS inliers FROM m",
+)
+def i5(spark, d):
+    """The similarity back to the template, by the least median of squares over pairs of landmarks: a wrong landmark doesn't move it."""
+    m = landmarks(spark, d).withColumn("m", align.least_median(F.col("points")))
+    return m.select("l_orderkey", "l_linenumber", *[(F.round(f"m.{c}", n) + 0.0).alias(c) for c, n in (("a", 6), ("b", 6), ("tx", 4), ("ty", 4))], "m.inliers")
+
+
+@query("i8_enhance")
+def i8_enhance(spark, d):
+    """Raw colour images enhanced: equalization by cells of the luma alone, then the gamma table on every channel."""
+    t = tiles(spark, d).select("vec_id", F.transform("tile", lambda x, i: F.struct(x.alias("b"), F.get(F.col("tile"), 63 - i).alias("g"), F.get(F.col("tile"), (i + 9) % 64).alias("r"))).alias("image"))
+    return t.select("vec_id", G.enhanced(F.col("image"), SIDE, 2.0).alias("image"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchloom.plans import tables as T
 from matchloom.plans.registry import query
-from matchloom.sources import images
+from matchloom.sources import images, sinks
+from matchloom.sources import reports as files
+from matchloom.sources.shared import shared_dir, written
 
 _PATHS = """f AS (SELECT p_partkey, 'data/' || CASE WHEN p_partkey % 3 = 0 THEN 'raw' WHEN p_partkey % 3 = 1 THEN 'processed' ELSE 'augmented/light/' || CASE WHEN p_partkey % 2 = 0 THEN 'train' ELSE 'test' END END || '/id_' || lpad((p_size % 20)::VARCHAR, 2, '0') || '/' || CASE WHEN p_partkey % 4 = 0 THEN 'dark_' ELSE 'light_' END || p_partkey || CASE p_partkey % 6 WHEN 0 THEN '.PNG' WHEN 1 THEN '.jpg' WHEN 2 THEN '.jpeg' WHEN 3 THEN '.txt' WHEN 4 THEN '.webp' ELSE '.bmp' END AS path FROM part),
 i AS (SELECT p_partkey, path, CASE WHEN path LIKE '%/augmented/%' THEN regexp_extract(path, '(augmented/[^/]+/(train|test))', 1) ELSE regexp_extract(path, 'data/([^/]+)/', 1) END AS bucket, regexp_extract(path, '([^/]+)/[^/]+$', 1) AS person FROM f WHERE regexp_matches(lower(path), '\\.(png|jpg|jpeg|bmp|webp)$'))"""
@@ -152,3 +156,48 @@ def s24(spark, d):
     a = r.where("label = '1-URGENT' and family <> 'beta'").groupBy("family").agg(F.max("hit_rate").alias("a"))
     b = r.groupBy("family").agg(F.round(F.avg("rank1"), 6).alias("b"))
     return b.join(a, "family", "left").select("family", F.coalesce("a", "b").alias("value"), F.when(F.col("a").isNotNull(), "aggregate").otherwise("runs").alias("origin"))
+
+
+_UNITS = "u AS (SELECT o_orderpriority || '::' || year(o_orderdate) AS entity, year(o_orderdate) AS y, CASE WHEN substring(o_orderpriority, 1, 1)::INT > 2 THEN 'alpha' ELSE 'beta' END AS family, count(*) AS evaluated, round(avg(o_totalprice), 4) AS first_rate, round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 4) AS second_rate FROM orders GROUP BY ALL)"
+
+
+def landed_reports(spark, d) -> str:
+    """A folder of report files on orders by priority and year: one each, a newer one for even years, one cut off in the middle for every third
+    year, and one without a family."""
+    o = T.read(spark, d, "orders").withColumn("y", F.year("o_orderdate"))
+    u = o.groupBy(F.concat_ws("::", "o_orderpriority", "y").alias("entity"), "y", F.when(F.substring("o_orderpriority", 1, 1).cast("int") > 2, "alpha").otherwise("beta").alias("family"))
+    u = u.agg(F.count("*").alias("evaluated"), F.round(F.avg("o_totalprice"), 4).alias("first_rate"), F.round(F.avg(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))), 4).alias("second_rate"))
+    u = written(u.withColumn("unit", F.xxhash64("entity").cast("string")))
+    at = f"{shared_dir(spark)}/reports/{uuid.uuid4().hex}"
+    text = lambda rate, family="family": F.to_json(F.struct(F.col("entity").alias("entity_key"), F.col(family).alias("model_family"), F.struct(F.col(rate).alias("hit_rate"), "evaluated").alias("overall")), {"pretty": "true"})
+    files.write_documents(u, at, "unit", text("first_rate"))
+    files.write_documents(u.where("y % 2 = 0"), at, "unit", text("second_rate"))
+    files.write_documents(u.where("y % 3 = 0"), at, "unit", F.substring(text("first_rate"), 1, 60))
+    files.write_documents(u.where("y % 5 = 0").withColumn("none", F.lit("")), at, "unit", text("first_rate", "none"))
+    return at
+
+
+@query("s15_report_files", f"WITH {_UNITS} SELECT entity AS entity_key, family AS model_family, CASE WHEN y % 2 = 0 THEN second_rate ELSE first_rate END AS hit_rate, evaluated, 1 + (y % 2 = 0)::BIGINT AS runs FROM u")
+def s15_files(spark, d):
+    """Report files read back: broken ones and ones without a family skipped, the newest by the time of its file, and how many there are."""
+    found = files.usable(files.scan(spark, landed_reports(spark, d), "entity_key string, model_family string, overall struct<hit_rate: double, evaluated: long>"), "model_family")
+    return files.latest(found, "entity_key").select("entity_key", "model_family", "overall.hit_rate", "overall.evaluated", "runs")
+
+
+@query("s21_csv_files", f"WITH {T.SMALL} SELECT doc_id, printf('%.6f', d / 1000)::DOUBLE AS distance_normalized FROM s")
+def s21_files(spark, d):
+    """Distances written to CSV files with a header and read back under a schema."""
+    at = f"{shared_dir(spark)}/csv/{uuid.uuid4().hex}"
+    sinks.pairs_csv(T.scores_small(spark, d).select("doc_id", (F.col("d") / 1000).alias("distance_normalized")), at)
+    return sinks.read_csv(spark, at, "doc_id long, distance_normalized double")
+
+
+@query("s22_run_files", "WITH r AS (SELECT user_id, event_type AS algorithm, count(*) AS frames, round(sum(value), 4) AS duration_seconds FROM events GROUP BY ALL) SELECT algorithm, count(*) AS runs, sum(frames)::BIGINT AS frames, round(sum(duration_seconds), 2) AS duration_seconds, round(sum(frames) / sum(duration_seconds), 6) AS weighted_fps FROM r GROUP BY algorithm")
+def s22_files(spark, d):
+    """A summary of each run written as JSON, read back and added up by algorithm: frames over duration, not a mean of rates."""
+    at = f"{shared_dir(spark)}/runs/{uuid.uuid4().hex}"
+    runs = T.read(spark, d, "events").groupBy("user_id", F.col("event_type").alias("algorithm")).agg(F.count("*").alias("frames"), F.round(F.sum("value"), 4).alias("duration_seconds"))
+    sinks.report_json(runs, at)
+    back = files.usable(spark.read.schema(f"algorithm string, frames long, duration_seconds double, {files.BROKEN} string").json(at), "algorithm")
+    frames, seconds = F.sum("frames"), F.sum("duration_seconds")
+    return back.groupBy("algorithm").agg(F.count("*").alias("runs"), frames.alias("frames"), F.round(seconds, 2).alias("duration_seconds"), F.round(frames / seconds, 6).alias("weighted_fps"))

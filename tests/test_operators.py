@@ -404,3 +404,64 @@ def test_shares_from_counts_ties_and_gaps(spark):
     for r in got.collect():
         assert r.share is None if r.a is None else abs(r.share - sum(v >= r.a for v in there) / len(there)) < 1e-12
     assert ranks.shares_from(spark.createDataFrame([], "v double"), "v", spark.createDataFrame([(0, 1.0)], "i long, a double"), "a").collect()[0].share == 0.0
+
+
+def test_landmarks_with_outliers_match_brute_force(spark):
+    """Against the least median over all pairs and a refit, for landmarks off by anything; one wrong landmark of five moves nothing."""
+    from itertools import combinations
+
+    from matchloom.functions import align
+
+    to, rng = np.array(align.TEMPLATE) * (96 / 112), np.random.default_rng(8)
+    each = []
+    for k in range(60):
+        a, b, t = rng.uniform(-2, 2), rng.uniform(-2, 2), rng.uniform(-50, 50, 2)
+        p = to @ np.array([[a, b], [-b, a]]) + t + rng.normal(0, [0, 0.5, 3][k % 3], (5, 2))
+        p[rng.integers(5)] += rng.uniform(20, 90, 2)
+        each.append(p)
+    rows = [(i, [(float(x), float(y)) for x, y in p]) for i, p in enumerate(each)] + [(90, [(1.0, 1.0)] * 5), (91, [(1.0, 2.0)] * 4), (92, None), (93, [(1.0, None)] * 5)]
+    df = spark.createDataFrame(rows, "i long, points array<struct<x: double, y: double>>")
+    got = {r.i: r.m for r in df.select("i", align.least_median(F.col("points"), 96).alias("m")).collect()}
+    assert [got[i] for i in (90, 91, 92, 93)] == [None] * 4
+
+    def solve(p, q):
+        z = np.array([[x, -y, 1, 0] for x, y in p] + [[y, x, 0, 1] for x, y in p])
+        return np.linalg.lstsq(z, np.concatenate([q[:, 0], q[:, 1]]), rcond=None)[0]
+
+    def squares(m, p):
+        a, b, tx, ty = m
+        return ((np.stack([a * p[:, 0] - b * p[:, 1] + tx, b * p[:, 0] + a * p[:, 1] + ty], 1) - to) ** 2).sum(1)
+
+    for i, p in enumerate(each):
+        best = min((solve(p[list(c)], to[list(c)]) for c in combinations(range(5), 2)), key=lambda m: np.sort(squares(m, p))[2])
+        limit = max(0.001, 2.5 * 1.4826 * (1 + 5 / 3) * np.sqrt(np.sort(squares(best, p))[2]))
+        keep = squares(best, p) <= limit**2
+        m = got[i]
+        assert m.inliers == keep.sum() and np.allclose([m.a, m.b, m.tx, m.ty], solve(p[keep], to[keep]), atol=1e-6)
+
+
+def test_enhanced_colours(spark):
+    rng = np.random.default_rng(9)
+    image = rng.integers(0, 256, (64, 3))
+    df = spark.createDataFrame([([tuple(map(int, p)) for p in image],)], "image array<struct<b: int, g: int, r: int>>")
+    held = lambda x: int(max(0, min(255, x)))
+    luma = [held(np.rint(0.299 * r + 0.587 * g + 0.114 * b)) for b, g, r in image.tolist()]
+    flat = df.select(G.clahe(F.array(*map(F.lit, luma)), 8).alias("y"), G.enhanced(F.col("image"), 8, 1.0).alias("a"), G.enhanced(F.col("image"), 8, 2.0).alias("b"), G.enhanced(F.col("image"), 8, 2.0, False).alias("c")).first()
+    table = [int((i / 255) ** 0.5 * 255) for i in range(256)]
+    for (b, g, r), y0, y, one, two, three in zip(image.tolist(), luma, flat.y, flat.a, flat.b, flat.c):
+        cr, cb = held(np.rint((r - y0) * 0.713 + 128)) - 128, held(np.rint((b - y0) * 0.564 + 128)) - 128
+        want = (held(np.rint(y + 1.773 * cb)), held(np.rint(y - 0.714 * cr - 0.344 * cb)), held(np.rint(y + 1.403 * cr)))
+        assert (one.b, one.g, one.r) == want and (two.b, two.g, two.r) == tuple(table[x] for x in want) and (three.b, three.g, three.r) == (table[b], table[g], table[r])
+
+
+def test_report_files_that_are_broken_or_old(spark, tmp_path):
+    from matchloom.sources import reports as files
+
+    at = str(tmp_path / "reports")
+    unit = lambda rows: spark.createDataFrame(rows, "unit string, text string")
+    files.write_documents(unit([("u1", '{\n "k": "a",\n "v": 1\n}'), ("u2", '{"k": "b", "v": 5}'), ("u3", '{"k": "c", '), ("u4", '{"k": " ", "v": 1}'), ("u5", "[]"), ("u6", "")]), at, "unit", F.col("text"))
+    files.write_documents(unit([("u1", '{"k": "a", "v": 2}'), ("u7", '{"k": "b", "v": "no number"}')]), at, "unit", F.col("text"))
+    every = files.scan(spark, at, "k string, v long")
+    got = files.latest(files.usable(every, "k"), "k").select("k", "v", "runs").collect()
+    assert sorted(map(tuple, got)) == [("a", 2, 2), ("b", 5, 1)]
+    assert len([r for r in every.collect() if r[files.BROKEN] is not None]) >= 2
