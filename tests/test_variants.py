@@ -164,3 +164,40 @@ def test_two_class_distance_of_equal_rows():
 def test_landmark_cells_are_the_mask_of_the_vectors(spark):
     on = {r.id for r in spark.range(16384).where(variants.at_landmark(F.col("id"))).collect()}
     assert len(on) == 24 * 256 and min(on) == 17 * 256
+
+
+def test_config_sweep_matches_numpy(spark, sf_dir, vectors):
+    from matchloom.functions import grids as G
+    from matchloom.plans.kernels import tiles
+
+    on = {"equalize": G.equalized(F.col("tile")), "clahe": G.clahe(F.col("tile"), 8), "tan-triggs": G.tan_triggs(F.col("tile"), 8)}
+    images = {r.vec_id: r for r in tiles(spark, sf_dir).select("vec_id", *[x.alias(e) for e, x in on.items()]).collect()}
+    member, probe = ~vectors["probe"] & vectors["known"], vectors["probe"]
+    names, ids = vectors["person"][member], vectors["vec_id"][probe].tolist()
+    got = {(r.family, r.equalization, r.num_components): r for r in registry.queries()["l10_published_sweep"](spark, sf_dir).collect()}
+    assert len(got) == 3 * (8 + 3)
+    for e in on:
+        x = np.array([images[v][e] for v in vectors["vec_id"].tolist()], float)
+        mean = x[member].mean(0)
+        axes = np.linalg.eigh(np.cov(x[member].T, bias=True))[1][:, ::-1]
+        for n in (0, 20, 40, 60, 80, 100, 150, 200):
+            z = (x - mean) @ axes[:, : n or 64]
+            d = np.sqrt(((z[probe][:, None] - z[member][None]) ** 2).sum(-1))
+            near, name = d.min(1).round(6), names[d.argmin(1)]
+            known, ok = vectors["known"][probe], name == vectors["person"][probe]
+            imp = np.sort(near[~known])
+            k = 1058 * len(imp) // 100_000
+            t = imp[k - 1] if k >= 1 else imp[0] - 1e-9
+            r = got["eigenfaces", e, n]
+            assert r.n_impostor == len(imp) and r.feature_bytes == 4 * z.shape[1] and len(ids) == len(near)
+            assert abs(r.rank1_percent - 100 * ok[known].mean()) < 1e-5 and abs(r.threshold - t) < 2e-6 * max(1, t)
+            assert abs(r.far_percent - 100 * (imp <= t).mean()) < 1e-5 and abs(r.frr_percent + r.tar_percent - 100) < 1e-6
+
+
+def test_recipes_hold_what_they_say(spark, sf_dir, vectors):
+    got = {(r.recipe, r.family, r.testset): r for r in registry.queries()["l13_augmented_recipes"](spark, sf_dir).collect()}
+    assert len(got) == 5 * 2 * 3
+    member, light = ~vectors["probe"] & vectors["known"], vectors["vec_id"] % 3 != 2
+    want = {"clean": member.sum(), "aug_light": 2 * member.sum(), "aug_light_medium": 3 * member.sum(), "light_only": (member & light).sum(), "dark_only": (member & ~light).sum()}
+    asked = {"full": vectors["probe"] & vectors["known"], "light": vectors["probe"] & vectors["known"] & light, "dark": vectors["probe"] & vectors["known"] & ~light}
+    assert all(r.train_images == want[recipe] and r.n == asked[testset].sum() and 0 <= r.rank1_percent <= 100 for (recipe, _, testset), r in got.items())
