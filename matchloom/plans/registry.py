@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("flagship", "vectors", "matching", "evaluation", "hybrid", "scans", "reports", "frames", "kernels", "outputs", "studies", "variants", "compositions")
+_MODULES = ("flagship", "vectors", "matching", "evaluation", "hybrid", "scans", "reports", "frames", "kernels", "outputs", "studies", "variants", "compositions", "chains")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
