@@ -272,23 +272,24 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
 
 def of_large_buckets(rows: DataFrame, sigs: DataFrame, within: int) -> DataFrame:
     """a, b: edges as those of candidates(), for rows(bucket, cls, hub, size) of buckets of any size. Most classes lie near
-    their bucket's hub, which a row tells alone; the rest meet all classes of the bucket, a block of each at a time."""
+    their bucket's hub, which a row tells alone, and once for all buckets with that hub; the rest meet all classes of the bucket, a
+    block of each at a time."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), b.column(5), pa.array((x != y).sum(1) <= within)], ["bucket", "cls", "hub", "size", "near"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((x != y).sum(1) <= within)], ["cls", "hub", "near"])
 
     of_hub = sigs.select(F.col("cls").alias("hub"), F.col("sig").alias("hub_sig"))
-    met = rows.join(sigs, "cls").join(of_hub, "hub").select("bucket", "cls", "sig", "hub_sig", "hub", "size")
-    met = written(met.mapInArrow(tidied(compared, 4096), "bucket long, cls long, hub long, size long, near boolean"))
+    met = rows.select("cls", "hub").distinct().join(sigs, "cls").join(of_hub, "hub").select("cls", "hub", "sig", "hub_sig")
+    met = written(met.mapInArrow(tidied(compared, 4096), "cls long, hub long, near boolean"))
     edges = met.where("near and cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
-    rest = met.where("not near")
-    counts = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BUCKET).alias("rest_blocks"), F.ceil(F.max("size") / BUCKET).alias("blocks"))
+    rest = rows.join(met.where("not near").select("cls", "hub"), ["cls", "hub"]).select("bucket", "cls", "size")
+    counts = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("rest_blocks"), F.ceil(F.max("size") / BLOCK).alias("blocks"))
     nth = lambda n: F.pmod(F.xxhash64("cls", F.lit(11)), F.col(n))
     each = lambda n: F.explode(F.expr(f"sequence(0L, {n} - 1)"))
     left = rest.join(counts, "bucket").select("bucket", "cls", F.lit(0).alias("side"), nth("rest_blocks").alias("i"), each("blocks").alias("j"))
-    right = met.join(counts, "bucket").select("bucket", "cls", F.lit(1).alias("side"), nth("blocks").alias("j"), each("rest_blocks").alias("i"))
+    right = rows.select("bucket", "cls").join(counts, "bucket").select("bucket", "cls", F.lit(1).alias("side"), nth("blocks").alias("j"), each("rest_blocks").alias("i"))
     both = left.unionByName(right).join(sigs, "cls").select(F.xxhash64("bucket", "i", "j").alias("grp"), "cls", "sig", "side")
 
     def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
