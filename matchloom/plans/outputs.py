@@ -10,6 +10,7 @@ from matchloom.functions import grids as G
 from matchloom.functions import vectors as V
 from matchloom.kernels import faces
 from matchloom.operators import pairs
+from matchloom.operators import ranks
 from matchloom.plans import tables as T
 from matchloom.plans.kernels import tiles
 from matchloom.plans.registry import query
@@ -57,8 +58,7 @@ def k5(spark, d):
 def k8(spark, d):
     """S19, too: a model and its label map are two tables, saved, loaded and joined again."""
     g = T.gallery(spark, d)
-    names = [r.person for r in g.select("person").orderBy("person").collect()]  # a label for each enrolled identity
-    labels = spark.createDataFrame(list(enumerate(names)), "label long, person string")
+    labels = ranks.numbered(g.select("person"), ["person"], "label").withColumn("label", F.col("label") - 1)  # a label for each enrolled identity
     at = _place(spark)
     sinks.model(g, f"{at}/model")
     sinks.model(labels, f"{at}/labels")

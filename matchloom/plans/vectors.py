@@ -75,8 +75,7 @@ _ORDERED = f"op AS (SELECT a.vec_id AS query, b.vec_id AS candidate, round({_DIS
 
 
 def _unique(spark, d):
-    p = pairs.unique_pairs(T.feat(spark, d).select("vec_id", "v"), "vec_id")
-    return p.select(F.col("a_vec_id").alias("query"), F.col("b_vec_id").alias("candidate"), F.round(V.euclidean(F.col("a_v"), F.col("b_v")), 9).alias("d"))
+    return pairs.unique_distances(T.feat(spark, d), "vec_id").withColumn("d", F.round("d", 9))
 
 
 def _ordered(spark, d):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,8 +23,30 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A folder of this application's own in the shared one, for intermediate tables; it is removed when the driver's process ends."""
+    sc = spark.sparkContext
+    path = f"{shared_dir(spark)}/matchloom/{sc.applicationId}"
+    if path not in _SCRATCH:
+        _SCRATCH.add(path)
+        atexit.register(_removed, sc, path)
+    return path
+
+
+_SCRATCH: set[str] = set()
+
+
+def _removed(sc, path: str) -> None:
+    """Removes a folder, if the JVM is still there to do it."""
+    try:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+    except (AttributeError, OSError, Py4JError):  # it has ended
+        pass
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, which cuts its lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/matchloom/{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
