@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.sources.shared import shared_dir
+from matchloom.sources.shared import scratch_dir
 
 #: A word is a run of anything but ASCII white space (regular expression).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,7 +43,7 @@ def fold(n: int) -> Column:
 def written(df: DataFrame, *keys: str) -> DataFrame:
     """df as a Parquet table in the shared folder, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/matchloom/{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
