@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.functions import boxes as B
+from matchloom.operators import chunks as C
 from matchloom.operators import frames as R
 from matchloom.plans import tables as T
-from matchloom.plans.registry import query
+from matchloom.plans.registry import query, sql_of
 from matchloom.sources.shared import shared_dir
 from matchloom.streaming import loops, sessions
 
@@ -98,6 +99,37 @@ def w19(spark, d):
     return R.stable(faces(spark, d)).select("stream", "frame", "stable")
 
 
+def faces_placed(spark, d) -> DataFrame:
+    """faces() in chunks: episodes are counted over chunks, too."""
+    return C.episodes(C.placed(frames(spark, d)), F.col("name") == "error").where("name <> 'error'")
+
+
+@query("w14_count_vote_scan", sql_of("w14_count_vote"))
+def w14_scan(spark, d):
+    """The same votes, each chunk of a stream with the frames handed on to it."""
+    v = C.count_vote(faces_placed(spark, d)).where("vote is not null")
+    return v.select("stream", "frame", "vote.name", F.round("vote.score", 6).alias("score"), F.col("vote.hits").cast("long").alias("hits"))
+
+
+@query("w16_iou_reset_scan", sql_of("w16_iou_reset"))
+def w16_scan(spark, d):
+    s = F.col("score")
+    near = lambda k: (F.floor(s * k).cast("long") % 60)
+    b = C.placed(frames(spark, d).where("name <> 'error'").withColumn("box", F.struct(near(3).alias("x"), near(7).alias("y"), F.lit(40).alias("w"), F.lit(40).alias("h"))))
+    b = C.lagged(b, ["stream"], "box", "before")
+    return C.episodes(b, F.col("before").isNull() | (B.iou(F.col("box"), F.col("before")) < 0.20)).select("stream", "frame", F.col("episode").cast("long").alias("episode"))
+
+
+@query("w18_every_nth_scan", sql_of("w18_every_nth"))
+def w18_scan(spark, d):
+    return C.numbered(C.placed(frames(spark, d)), ["stream"]).where("rn % 3 = 0").select("stream", "frame")
+
+
+@query("w19_stable_scan", sql_of("w19_stable_gate"))
+def w19_scan(spark, d):
+    return C.numbered(faces_placed(spark, d), ["stream", "episode"]).select("stream", "frame", (F.col("rn") >= 1).alias("stable"))
+
+
 @query("r4_stateless_loop", f"WITH {_F} SELECT stream, frame, CASE WHEN name = 'error' THEN 'no_face' WHEN score >= 50 THEN name ELSE 'Unknown' END AS decision FROM f")
 def r4(spark, d):
     """Frame by frame, without state."""

@@ -26,6 +26,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query that is registered already, for another way to the same rows."""
+    return _SQL[name]
+
+
 def _load() -> None:
     for m in _MODULES:
         importlib.import_module(f"matchloom.plans.{m}")

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from matchloom.operators import chunks as C
 from matchloom.operators import frames as R
 from matchloom.streaming import loops, sessions
 
@@ -111,3 +112,34 @@ def test_scan_of_a_stream_that_holds_most_rows(spark):
             want[s, f] = average
     assert set(got) == set(want) and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
     assert R.ema_scanned(df.limit(0), "x").collect() == []
+
+
+def test_windows_over_chunks_of_a_stream_that_holds_most_rows(spark):
+    """Against windows over whole streams; chunks of fewer rows than are handed on included."""
+    rng = random.Random(7)
+    rows = [(1 if i % 9 else 2 + i % 4, i, i // 2, rng.choice(["a", "b", "c", "error"] if i % 500 else ["error"]), float(rng.randrange(50))) for i in range(2500)]
+    df = spark.createDataFrame(rows, "stream long, frame long, ts long, name string, score double")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("3", "200"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")  # or small ranges would be put together
+        try:
+            placed = C.placed(df)
+            assert placed.where("stream = 1").select("part").distinct().count() > 2
+            reset = F.col("name") == "error"
+            own = C.episodes(placed, reset)
+            want = R.episodes(df, reset)
+            assert rows_of(own.select("stream", "frame", "episode")) == rows_of(want.select("stream", "frame", "episode"))
+            for last, least in ((5, 3), (9, 2)):
+                a, b = C.count_vote(own.where("not name = 'error'"), last, least), R.count_vote(want.where("not name = 'error'"), last, least)
+                assert rows_of(a.select("stream", "frame", "vote")) == rows_of(b.select("stream", "frame", "vote"))
+            lag = df.withColumn("b", F.lag("score").over(R.ordered()))
+            assert rows_of(C.lagged(placed, ["stream"], "score", "b").select("stream", "frame", "b")) == rows_of(lag.select("stream", "frame", "b"))
+            assert rows_of(C.numbered(placed, ["stream"]).where("rn % 7 = 0").select("stream", "frame")) == rows_of(R.every_nth(df, 7).select("stream", "frame"))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def rows_of(df):
+    return sorted(map(str, df.collect()))
