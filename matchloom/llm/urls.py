@@ -71,8 +71,10 @@ def probed(rows: DataFrame, listed: DataFrame, broadcast_bytes: int = 8 << 20) -
     blocks = bloom.blocks_for(listed.count())
     held = bloom.bloom_filter(listed, "canonical", blocks)
     if bloom.size_of(blocks) <= broadcast_bytes:
-        held = F.broadcast(held)
-    return bloom.flagged(rows, "canonical", held, blocks, "maybe").withColumn("maybe", F.col("maybe") & F.col("canonical").isNotNull()), listed
+        return bloom.flagged(rows, "canonical", F.broadcast(held), blocks, "maybe").withColumn("maybe", F.col("maybe") & F.col("canonical").isNotNull()), listed
+    # rows without a URL would all meet in one block
+    asked = bloom.flagged(rows.where(F.col("canonical").isNotNull()), "canonical", held, blocks, "maybe")
+    return asked.unionByName(rows.where(F.col("canonical").isNull()).withColumn("maybe", F.lit(False))), listed
 
 
 def with_hits(rows: DataFrame, listed: DataFrame, broadcast_bytes: int = 8 << 20) -> DataFrame:
