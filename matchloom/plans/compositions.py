@@ -105,7 +105,7 @@ def q6(spark, d):
     unique pairs; the k-th ordered pair is the ceil(k / 2)-th unique one. Distances as they are and normalized to 100."""
     sample = T.members(spark, d).orderBy(F.xxhash64("vec_id")).limit(200)
     x = written(subspace.projected(T.feat(spark, d).select("vec_id", "v"), subspace.pca(sample, 20)).select("vec_id", "p"))
-    u = pairs.unique_pairs(x, "vec_id").select(F.col("a_vec_id").alias("query"), F.col("b_vec_id").alias("candidate"), F.round(V.euclidean(F.col("a_p"), F.col("b_p")), 9).alias("d"))
+    u = pairs.unique_distances(x, "vec_id", "p").withColumn("d", F.round("d", 9))
     a = u.agg(F.count("*").alias("n"), F.max("d").alias("top"))
     want = a.where("n > 0").select("top", F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.pow(F.lit(2.0), i).cast("long")), lambda k: k <= 2 * F.col("n"))).alias("ordered")).withColumn("k", F.expr("(ordered + 1) div 2"))
     return ranks.rows_at(u, "d", ["query", "candidate"], want).select(F.col("ordered").alias("k"), "query", "candidate", F.round("d", 6).alias("d"), F.round(100 * F.col("d") / F.col("top"), 6).alias("normalized"))

@@ -201,3 +201,37 @@ def test_recipes_hold_what_they_say(spark, sf_dir, vectors):
     want = {"clean": member.sum(), "aug_light": 2 * member.sum(), "aug_light_medium": 3 * member.sum(), "light_only": (member & light).sum(), "dark_only": (member & ~light).sum()}
     asked = {"full": vectors["probe"] & vectors["known"], "light": vectors["probe"] & vectors["known"] & light, "dark": vectors["probe"] & vectors["known"] & ~light}
     assert all(r.train_images == want[recipe] and r.n == asked[testset].sum() and 0 <= r.rank1_percent <= 100 for (recipe, _, testset), r in got.items())
+
+
+def nearest_rows(x, names, ids, member, probe, project):
+    z = project(x)
+    d = np.sqrt(((z[probe][:, None] - z[member][None]) ** 2).sum(-1))
+    return {v: (set(names[member][np.abs(row - row.min()) < 2e-6]), row.min()) for v, row in zip(ids[probe].tolist(), d)}
+
+
+def test_subspace_queries_match_numpy(spark, sf_dir, vectors):
+    from test_operators import numpy_lda
+
+    x, names, ids = vectors["v"], vectors["person"], vectors["vec_id"]
+    member, probe = ~vectors["probe"] & vectors["known"], vectors["probe"]
+    mean = x[member].mean(0)
+    axes = np.linalg.eigh(np.cov(x[member].T, bias=True))[1][:, ::-1]
+    run = lambda name: registry.queries()[name](spark, sf_dir).collect()
+    for name, basis in (("l1_eigen_subspace", axes[:, :50]), ("l2_fisher_subspace", numpy_lda(x[member], names[member], len(set(names[member].tolist())) - 2))):
+        want, got = nearest_rows(x, names, ids, member, probe, lambda v, b=basis: (v - mean) @ b), run(name)
+        assert len(got) == len(want)
+        for r in got:
+            close, d = want[r.vec_id]
+            assert r.name in close and abs(r.distance - d) < 1e-3
+    squares = ((x - mean) @ axes[:, :4]) ** 2
+    got = {r.vec_id: r.squares for r in run("i11_projection")}
+    assert np.allclose([got[v] for v in ids.tolist()], squares, atol=2e-6)
+    chosen = {r.vec_id for r in T.members(spark, sf_dir).orderBy(F.xxhash64("vec_id")).limit(200).select("vec_id").collect()}
+    some = np.isin(ids, list(chosen))
+    own = np.linalg.eigh(np.cov(x[some].T, bias=True))[1][:, ::-1][:, :20]
+    z = (x - x[some].mean(0)) @ own
+    got = {r.vec_id: r.length for r in run("l4_basis_on_sample")}
+    assert np.allclose([got[v] for v in ids.tolist()], np.linalg.norm(z, axis=1), atol=1e-3)
+    d = np.sort(np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1))[np.triu_indices(len(z), 1)])
+    for r in run("q6_subspace_independence"):
+        assert abs(r.d - d[(r.k + 1) // 2 - 1]) < 1e-3
