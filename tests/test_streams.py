@@ -75,11 +75,11 @@ def plain_box_loop(rows, every, least_points, least_overlap, stable):
 
 
 @pytest.mark.parametrize("every, cuts", [(3, 4), (1, 1), (5, 2)])
-def test_detect_or_track_is_the_plain_loop(spark, every, cuts):
+def test_detect_or_track_is_the_plain_loop(spark, tmp_path, every, cuts):
     rows, df = made(spark, 300, seed=every)
     n = lambda k, m: (F.col("frame") * k) % m
     boxed = df.withColumns({"x": n(7, 60), "y": n(11, 50), "w": F.lit(40).cast("long"), "h": F.lit(30).cast("long"), "tx": n(5, 70), "ty": n(3, 60), "tw": F.lit(35).cast("long"), "th": F.lit(40).cast("long"), "points": n(13, 6)})
-    at = f"{sessions.shared_dir(spark)}/landed/boxes-{every}"
+    at = str(tmp_path / "landed")
     for k in range(cuts):  # in order of time, a file at a time
         boxed.where((F.col("frame") >= k * 300 // cuts) & (F.col("frame") < (k + 1) * 300 // cuts)).coalesce(1).write.mode("append").parquet(at)
     stream = spark.readStream.schema(boxed.schema).option("maxFilesPerTrigger", 1).parquet(at)
