@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchloom.functions import boxes as B
 from matchloom.functions import vectors as V
 from matchloom.operators import matching as M
-from matchloom.operators import pairs
+from matchloom.operators import pairs, tiles
 from matchloom.plans import tables as T
 from matchloom.plans.registry import query
 
@@ -46,15 +46,16 @@ def _distances(spark, d):
     """Each probe with each identity, at the distance of its nearest template: vec_id, truth, known, name, distance."""
     p = T.probes(spark, d).select("vec_id", F.col("person").alias("truth"), "known", "v")
     t = T.members(spark, d).select(F.col("person").alias("name"), F.col("vec_id").alias("template"), F.col("v").alias("u"))
-    far = pairs.each_with_each(p, t).select("vec_id", "truth", "known", "name", F.round(V.euclidean(F.col("v"), F.col("u")), 9).alias("distance"))
-    return far.groupBy("vec_id", "truth", "known", "name").agg(F.min("distance").alias("distance"))
+    near = tiles.nearest(p, "vec_id", "v", t, "template", "u", "name").groupBy("vec_id", "name").agg(F.round(F.min("distance"), 9).alias("distance"))
+    return p.select("vec_id", "truth", "known").join(near, "vec_id").select("vec_id", "truth", "known", "name", "distance")
 
 
 @query("j4_arg_min_template", f"WITH {T.FEAT}{_NEAR} SELECT vec_id, template, distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, template) AS rn FROM far) WHERE rn = 1")
 def j4(spark, d):
     p = T.probes(spark, d).select("vec_id", "v")
     t = T.members(spark, d).select(F.col("vec_id").alias("template"), F.col("v").alias("u"))
-    return M.arg_min(p, t, ["vec_id"], F.round(V.euclidean(F.col("v"), F.col("u")), 9), "template")
+    near = tiles.nearest(p, "vec_id", "v", t, "template", "u").withColumn("distance", F.round("distance", 9))
+    return pairs.best(near, ["vec_id"], [F.col("distance"), F.col("template")], ["template", "distance"])
 
 
 @query("j5_identity_top_two", f"WITH {T.FEAT}{_NEAR}, r AS (SELECT *, row_number() OVER w AS rn, lead(distance) OVER w AS d2 FROM own WINDOW w AS (PARTITION BY vec_id ORDER BY distance, name)) SELECT vec_id, name AS best, distance AS d1, d2, round((d2 - distance) / greatest(distance, 1e-6), 6) AS margin FROM r WHERE rn = 1")
