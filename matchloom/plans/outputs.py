@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from matchloom.functions import grids as G
 from matchloom.functions import vectors as V
 from matchloom.kernels import faces
-from matchloom.operators import pairs
 from matchloom.operators import ranks
+from matchloom.operators import tiles as pair_tiles
 from matchloom.plans import tables as T
 from matchloom.plans.kernels import tiles
 from matchloom.plans.registry import query
@@ -36,10 +36,8 @@ def k2(spark, d):
 @query("k3_lowest_pairs_csv", f"WITH {T.FEAT}, up AS (SELECT a.vec_id AS query, b.vec_id AS candidate, round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) AS d FROM feat a JOIN feat b ON a.vec_id < b.vec_id) SELECT query, candidate, printf('%.6f', d) AS d FROM up ORDER BY up.d, query, candidate LIMIT 20")
 def k3(spark, d):
     """The twenty closest pairs as CSV text."""
-    p = pairs.unique_pairs(T.feat(spark, d).select("vec_id", "v"), "vec_id")
-    p = p.select(F.col("a_vec_id").alias("query"), F.col("b_vec_id").alias("candidate"), F.round(V.euclidean(F.col("a_v"), F.col("b_v")), 9).alias("d"))
     at = _place(spark)
-    sinks.pairs_csv(p.orderBy("d", "query", "candidate").limit(20), at)
+    sinks.pairs_csv(pair_tiles.lowest(T.feat(spark, d), "vec_id", "v", 20).orderBy("d", "query", "candidate"), at)
     return sinks.read_csv(spark, at, "query long, candidate long, d string")
 
 

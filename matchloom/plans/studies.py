@@ -16,7 +16,7 @@ from matchloom.plans import tables as T
 from matchloom.plans.evaluation import _FISHER, fisher_scores, tar_at_far
 from matchloom.plans.kernels import SIDE, tiles
 from matchloom.plans.registry import query
-from matchloom.plans.vectors import _ORDERED, _UNIQUE, _ordered, _unique, error_pairs
+from matchloom.plans.vectors import _ORDERED, _UNIQUE, _unique, error_pairs
 from matchloom.sources import sinks
 from matchloom.sources.shared import shared_dir, written
 
@@ -230,7 +230,7 @@ def q4(spark, d):
     none = F.lit(None).cast("long")
     stats = u.crossJoin(F.broadcast(named)).groupBy("name", "value").agg(F.round(F.avg((F.col("d") <= F.col("value")).cast("int")), 6).alias("share"))
     stats = stats.select(F.lit("stats").alias("part"), "name", none.alias("k"), "value", "share", none.alias("query"), none.alias("candidate"))
-    e = error_pairs(_ordered(spark, d)).crossJoin(F.broadcast(u.agg(F.max("d").alias("hi"))))
+    e = error_pairs(T.feat(spark, d)).crossJoin(F.broadcast(u.agg(F.max("d").alias("hi"))))
     spec = F.col("k") == F.greatest(F.lit(1).cast("long"), F.expr("(1000 * n + 999999) div 1000000"))
     return stats.unionByName(e.select(F.lit("error_pair").alias("part"), F.when(spec, "specified").otherwise("curve").alias("name"), "k", F.round("d", 6).alias("value"), F.round(100 * F.col("d") / F.col("hi"), 6).alias("share"), "query", "candidate"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import vectors as V
-from matchloom.operators import pairs, ranks
+from matchloom.operators import pairs, ranks, tiles
 from matchloom.plans import tables as T
 from matchloom.plans.registry import query
 
@@ -100,15 +100,16 @@ _POWERS = ", ".join(str(1 << i) for i in range(40))
 @query("w1_error_pairs", f"WITH {T.FEAT}, {_ORDERED}, r AS (SELECT *, row_number() OVER (ORDER BY d, query, candidate) AS error_pair_rank, count(*) OVER () AS n FROM op) SELECT error_pair_rank, query, candidate, d, round(1e6 * error_pair_rank / n, 6) AS realized_far_ppm FROM r WHERE error_pair_rank IN ({_POWERS}) OR error_pair_rank = greatest(1, (1000 * n + 999999) // 1000000)")
 def w1(spark, d):
     """The k-th smallest ordered pairs, for k = 1, 2, 4, .. and the rank of the specified rate: exact selection, whatever k."""
-    return error_pairs(_ordered(spark, d)).select(F.col("k").alias("error_pair_rank"), "query", "candidate", "d", F.round(F.lit(1e6) * F.col("k") / F.col("n"), 6).alias("realized_far_ppm"))
+    return error_pairs(T.feat(spark, d)).select(F.col("k").alias("error_pair_rank"), "query", "candidate", "d", F.round(F.lit(1e6) * F.col("k") / F.col("n"), 6).alias("realized_far_ppm"))
 
 
-def error_pairs(ordered, ppm: int = 1000):
-    """n, k, query, candidate, d: pairs at ranks 1, 2, 4, .. below their number, and at the rank of the rate `ppm`."""
-    spec = F.greatest(F.lit(1).cast("long"), F.expr(f"({ppm} * n + 999999) div 1000000"))
-    powers = F.filter(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.pow(F.lit(2.0), i).cast("long")), lambda k: k <= F.col("n"))
-    want = ordered.agg(F.count("*").alias("n")).where("n > 0").select("n", F.explode(F.array_union(powers, F.array(spec))).alias("k"))
-    return ranks.rows_at(ordered, "d", ["query", "candidate"], want)
+def error_pairs(feat, ppm: int = 1000):
+    """n, k, query, candidate, d: ordered pairs at ranks 1, 2, 4, .. up to their number, and at the rank of the rate `ppm`."""
+
+    def wanted(n: int) -> list[int]:
+        return sorted({max(1, (ppm * n + 999_999) // 1_000_000), *(1 << i for i in range(40) if 1 << i <= n)})
+
+    return tiles.ordered_at(feat, "vec_id", "v", wanted)
 
 
 @query("w2_spec_rank", "SELECT n, ppm, greatest(1, (ppm * n + 999999) // 1000000) AS k FROM (SELECT count(*) AS n FROM lineitem), unnest([10, 76, 100, 10000, 10582]) AS u(ppm)")
@@ -139,7 +140,8 @@ def w5(spark, d):
 def w6(spark, d):
     """The k-th ordered pair is the ceil(k / 2)-th unique one."""
     want = spark.range(1).select(F.explode(F.array(*map(F.lit, (1, 2, 3, 8, 9, 20, 101, 1000)))).alias("ordered")).withColumn("k", F.expr("(ordered + 1) div 2"))
-    return ranks.rows_at(_unique(spark, d), "d", ["query", "candidate"], want).select(F.col("ordered").alias("k"), "query", "candidate", "d")
+    placed = tiles.lowest(T.feat(spark, d), "vec_id", "v", 500).withColumn("k", F.row_number().over(Window.orderBy("d", "query", "candidate")))  # 500 rows
+    return placed.join(want, "k").select(F.col("ordered").alias("k"), "query", "candidate", "d")
 
 
 @query("w9_normalize_100", f"WITH {T.FEAT}, {_UNIQUE} SELECT query, candidate, CASE WHEN m > 0 THEN round(100 * d / m, 6) ELSE 0 END AS normalized FROM up, (SELECT max(d) AS m FROM up)")
@@ -158,13 +160,13 @@ def t1(spark, d):
 
 @query("t2_lowest_pairs", f"WITH {T.FEAT}, {_UNIQUE} SELECT query, candidate, d FROM up ORDER BY d, query, candidate LIMIT 20")
 def t2(spark, d):
-    return _unique(spark, d).orderBy("d", "query", "candidate").limit(20)
+    return tiles.lowest(T.feat(spark, d), "vec_id", "v", 20).orderBy("d", "query", "candidate")
 
 
 @query("t3_top_k_per_chunk", f"WITH {T.FEAT}, {_UNIQUE}, r AS (SELECT *, row_number() OVER (PARTITION BY query % 4 ORDER BY d, query, candidate) AS rn FROM up) SELECT query, candidate, d FROM r WHERE rn <= 10 ORDER BY d, query, candidate LIMIT 10")
 def t3(spark, d):
-    w = Window.partitionBy(F.col("query") % 4).orderBy("d", "query", "candidate")
-    return _unique(spark, d).withColumn("rn", F.row_number().over(w)).where("rn <= 10").drop("rn").orderBy("d", "query", "candidate").limit(10)
+    """A tile of pairs is a chunk: what is among the first of all is among the first of its chunk, however pairs are cut."""
+    return tiles.lowest(T.feat(spark, d), "vec_id", "v", 10).orderBy("d", "query", "candidate")
 
 
 @query("t4_top_k_with_maximum", f"WITH {T.FEAT}, {_UNIQUE} SELECT query, candidate, d, m AS largest FROM up, (SELECT max(d) AS m FROM up) ORDER BY d, query, candidate LIMIT 15")
