@@ -43,8 +43,17 @@ def rng_seed(seed: int, *tokens) -> Column:
 
 
 def _decimals(x: Column, n: int) -> Column:
-    """n decimals; halves go to the even digit, where the formatter alone would round them up."""
-    return F.format_string(f"%.{n}f", F.bround(x, n))
+    """n decimals of the double as it is, as C prints it: its shortest decimal form, which formatter and rounding take, may be a half where the double is
+    none. Halves go to the even digit. The fraction is taken in two parts, so that its products with a power of ten are exact."""
+    a, scale, cut = F.abs(x), float(10**n), float(1 << 26)
+    whole = F.floor(a)
+    high = F.floor((a - whole) * cut) / cut
+    units = F.floor(high * scale)
+    over, rest = high * scale - units - 0.5, (a - whole - high) * scale
+    units += ((over > -rest) | ((over == -rest) & ((units if n else whole) % 2 == 1))).cast("long")
+    carried = whole + F.when(units >= 10**n, 1).otherwise(0)
+    text = F.format_string(f"%s%d.%0{n}d", F.when(x < 0, "-").otherwise(""), carried, units % 10**n) if n else F.format_string("%s%d", F.when(x < 0, "-").otherwise(""), carried)
+    return F.when(a < float(1 << 53), text).otherwise(F.format_string(f"%.{n}f", F.bround(x, n)))
 
 
 def byte_size(n: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -222,7 +225,10 @@ _UNITS = "[' B', ' KB', ' MB', ' GB', ' TB']"
 
 @query("f20_formats", f"WITH x AS (SELECT o_orderkey, (o_orderkey * pow(o_custkey, o_orderkey % 5))::DOUBLE AS n, o_custkey * 7 - 30 AS s FROM orders), k AS (SELECT *, least(4, CASE WHEN n < 1024 THEN 0 ELSE floor(log2(n) / 10) END)::INT AS k FROM x) SELECT o_orderkey, printf('%.2f', n / pow(1024, k)) || ({_UNITS})[k + 1] AS size, CASE WHEN s >= 3600 THEN printf('%02d:', s // 3600) ELSE '' END || printf('%02d:%02d', greatest(s, 0) % 3600 // 60, greatest(s, 0) % 60) AS duration FROM k")
 def f20(spark, d):
-    n = F.col("o_orderkey") * F.pow("o_custkey", F.col("o_orderkey") % 5)
+    def power(c: pd.Series, k: pd.Series) -> pd.Series:  # that of C: Java's goes another way where an odd power is halfway between two doubles
+        return pd.Series([math.pow(x, y) for x, y in zip(c.tolist(), k.tolist())], dtype="float64")
+
+    n = F.col("o_orderkey") * F.pandas_udf(power, "double")(F.col("o_custkey").cast("double"), (F.col("o_orderkey") % 5).cast("double"))
     return T.read(spark, d, "orders").select("o_orderkey", L.byte_size(n).alias("size"), L.duration(F.col("o_custkey") * 7 - 30).alias("duration"))
 
 
