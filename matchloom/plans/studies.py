@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from matchloom.functions import grids as G
 from matchloom.functions import labels as L
 from matchloom.functions import vectors as V
-from matchloom.operators import curves, pairs, ranks, subspace
+from matchloom.operators import curves, pairs, ranks, subspace, tiles
 from matchloom.operators import matching as M
 from matchloom.plans import tables as T
 from matchloom.plans.evaluation import _FISHER, fisher_scores, tar_at_far
-from matchloom.plans.kernels import SIDE, tiles
+from matchloom.plans.kernels import SIDE
+from matchloom.plans.kernels import tiles as images
 from matchloom.plans.registry import query
 from matchloom.plans.vectors import _ORDERED, _UNIQUE, _unique, error_pairs
 from matchloom.sources import sinks
@@ -26,7 +27,7 @@ def _nearest_in_subspace(spark, d, fit):
     basis = fit(members)
     g = subspace.projected(members, basis).select(F.col("person").alias("name"), F.col("p").alias("u"))
     p = subspace.projected(T.probes(spark, d).select("vec_id", "v"), basis).select("vec_id", "p")
-    return M.arg_min(p, g, ["vec_id"], F.round(V.euclidean(F.col("p"), F.col("u")), 6), "name").withColumn("distance", F.round("distance", 4))
+    return tiles.nearest_name(p, ["vec_id"], "p", g, "name", "u").select("vec_id", "name", F.round("d", 4).alias("distance"))
 
 
 @query("l1_eigen_subspace")
@@ -43,10 +44,9 @@ def l2(spark, d):
 def l3(spark, d):
     """All templates are the model: a probe takes the name of the nearest by chi-square, here of components moved to 0..2."""
     moved = lambda v: F.transform(v, lambda x: x + 1)
-    t = T.members(spark, d).select(F.col("vec_id").alias("template"), F.col("person").alias("name"), moved("v").alias("u"))
+    t = T.members(spark, d).select(F.col("person").alias("name"), moved("v").alias("u"))
     p = T.probes(spark, d).select("vec_id", moved("v").alias("v"))
-    far = pairs.each_with_each(p, t).withColumn("d", F.round(V.chi_square(F.col("v"), F.col("u")), 6))
-    return pairs.best(far, ["vec_id"], [F.col("d"), F.col("name"), F.col("template")], ["name", "d"])
+    return tiles.nearest_name(p, ["vec_id"], "v", t, "name", "u", chi=True)
 
 
 @query("l4_basis_on_sample")
@@ -96,7 +96,7 @@ def l9(spark, d):
 
 def prepared(spark, d):
     """vec_id, label, person, probe, known, equalizer, v: pixels of every tile under three preparations."""
-    t = tiles(spark, d).join(T.feat(spark, d).select("vec_id", "label", "person", "probe", "known"), "vec_id")
+    t = images(spark, d).join(T.feat(spark, d).select("vec_id", "label", "person", "probe", "known"), "vec_id")
     kinds = F.array(*[F.struct(F.lit(n).alias("equalizer"), x.alias("v")) for n, x in (("none", F.col("tile")), ("hist", G.equalized(F.col("tile"))), ("tan_triggs", G.tan_triggs(F.col("tile"), SIDE)))])
     return t.select("vec_id", "label", "person", "probe", "known", F.explode(kinds).alias("k")).select("vec_id", "label", "person", "probe", "known", "k.equalizer", F.col("k.v").cast("array<double>").alias("v"))
 
@@ -108,14 +108,11 @@ def swept(spark, d):
         rows = every.where(F.col("equalizer") == equalizer)
         one = subspace.projected(rows, subspace.pca(rows.where("not probe and known"), 32)).drop("v")
         out = one if out is None else out.unionByName(one)
+    p = written(out)
+    u = p.where("not probe and known").select("equalizer", F.col("person").alias("name"), F.col("p").alias("u"))
     # axes come in order, so the first ones are the smaller subspaces
-    p = written(out).withColumn("components", F.explode(F.array(F.lit(8), F.lit(16), F.lit(32)))).withColumn("p", F.slice("p", F.lit(1), F.col("components")))
-    own = ["equalizer", "components"]
-    parts = 16  # templates are dealt to parts, so that no configuration is one key of the join
-    u = p.where("not probe and known").select(*own, F.col("person").alias("name"), F.col("p").alias("u"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"))
-    q = p.where("probe").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    near = q.join(u, [*own, "part"]).withColumn("d", F.round(V.euclidean(F.col("p"), F.col("u")), 6))
-    return pairs.best(near, [*own, "vec_id", "person", "known"], [F.col("d"), F.col("name")], ["name", "d"])
+    near = tiles.nearest_name(p.where("probe"), ["vec_id", "person", "known"], "p", u, "name", "u", ["equalizer"], cuts=[8, 16, 32])
+    return near.withColumnRenamed("cut", "components")
 
 
 @query("l10_config_sweep")
@@ -146,12 +143,14 @@ def variants(spark, d):
     keyed = member.withColumn("key", F.concat_ws("/", "k", "bits", "person"))
     cents = M.mean_vector(keyed, "key", "b").join(keyed.select("key", "k", "bits", "person").distinct(), "key").select(F.lit("centroid").alias("mode"), "k", "bits", F.col("person").alias("name"), F.col("centroid").alias("u"))
     model = cents.unionByName(member.select(F.lit("all").alias("mode"), "k", "bits", F.col("person").alias("name"), F.col("b").alias("u")))
-    # templates are dealt to parts of a form, so that no form is one key of the join
-    parts = 16
-    probes = x.where("probe").select("k", "bits", "vec_id", "person", "known", "b").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    near = probes.join(model.withColumn("part", F.pmod(F.xxhash64("u"), F.lit(parts)).cast("int")), ["k", "bits", "part"])
-    near = near.withColumn("d", F.round(V.euclidean(F.col("b"), F.col("u")) / F.when(F.col("bits") == 32, 1.0).otherwise(F.pow(F.lit(2.0), F.col("bits"))), 6))
-    return pairs.best(near, ["k", "bits", "mode", "vec_id", "person", "known"], [F.col("d"), F.col("name")], ["name", "d"])
+    # distances are over 2 to the bits, and so may the components be without another digit
+    short = lambda b: F.when(F.col("bits") == 32, F.col(b)).otherwise(F.transform(b, lambda y: y / F.pow(F.lit(2.0), F.col("bits"))))
+    probes = x.where("probe").select("k", "bits", "vec_id", "person", "known", short("b").alias("p"))
+    keep, out = ["vec_id", "person", "known"], None
+    for mode in ("centroid", "all"):
+        one = tiles.nearest_name(probes, keep, "p", model.where(F.col("mode") == mode).select("k", "bits", "name", short("u").alias("u")), "name", "u", ["k", "bits"]).withColumn("mode", F.lit(mode))
+        out = one if out is None else out.unionByName(one)
+    return out.select("k", "bits", "mode", *keep, "name", "d")
 
 
 @query("l11_variant_grid", _GRID + " SELECT k, bits, mode, k * bits // 8 AS bytes, round(avg((name = person)::INT) FILTER (WHERE known), 6) AS rank1 FROM best GROUP BY k, bits, mode")
