@@ -1,13 +1,18 @@
-"""Similarity transforms of landmarks to a template, robust to wrong landmarks, as column expressions."""
+"""Similarity transforms of landmarks to a template, robust to wrong landmarks, for batches of rows."""
 
 from __future__ import annotations
 
+import sys
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from matchloom.functions.grids import then
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not find this package
 
 #: Eyes, nose and corners of the mouth in a face image of 112 pixels.
 TEMPLATE = ((38.2946, 51.6963), (73.5318, 51.5014), (56.0252, 71.7366), (41.5493, 92.3655), (70.7299, 92.2041))
@@ -21,47 +26,60 @@ def least_median(points: Column, side: float = SIDE) -> Column:
     the template's order) to the template for images of `side` pixels: of all pairs of points the one whose similarity has the least median of
     squared residuals, then least squares over its inliers. Null if points aren't as many as the template's or all pairs coincide."""
     to = [(x * side / SIDE, y * side / SIDE) for x, y in TEMPLATE]
-    n = len(to)
-
-    def squares(p: Column, m: Column) -> list[Column]:
-        out = []
-        for i, (u, v) in enumerate(to):
-            x, y = p[i]["x"], p[i]["y"]
-            du, dv = m["a"] * x - m["b"] * y + m["tx"] - u, m["b"] * x + m["a"] * y + m["ty"] - v
-            out.append(du * du + dv * dv)
-        return out
+    keys = ("a", "b", "tx", "ty")
 
-    def by_pair(p: Column, i: int, j: int) -> Column:
-        dx, dy = p[j]["x"] - p[i]["x"], p[j]["y"] - p[i]["y"]
-        du, dv = to[j][0] - to[i][0], to[j][1] - to[i][1]
-        length = dx * dx + dy * dy
-        safe = F.when(length > 0, length)
-        a, b = (dx * du + dy * dv) / safe, (dx * dv - dy * du) / safe
-        m = F.struct(a.alias("a"), b.alias("b"), (to[i][0] - a * p[i]["x"] + b * p[i]["y"]).alias("tx"), (to[i][1] - b * p[i]["x"] - a * p[i]["y"]).alias("ty"))
-        return then(m, lambda m: F.when(m["a"].isNotNull(), F.struct(F.sort_array(F.array(*squares(p, m)))[n // 2].alias("median"), m.alias("m"))))
+    @F.arrow_udf("struct<a double, b double, tx double, ty double, inliers int>")
+    def fit(rows: pa.Array) -> pa.Array:
+        points, n = rows.filter(rows.is_valid()).flatten(), pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+        both = [pc.fill_null(pc.cast(pc.struct_field(points, c), pa.float64()), pa.scalar(np.nan)).to_numpy(zero_copy_only=False) for c in ("x", "y")]
+        missing = np.zeros(len(points), bool)
+        for a in (points, *(pc.struct_field(points, c) for c in ("x", "y"))):
+            missing |= a.is_null().to_numpy(zero_copy_only=False)
+        whole = n == len(to)
+        at = (np.cumsum(n) - n)[whole, None] + np.arange(len(to))
+        some = np.zeros(0, bool) if not len(at) else ~missing[at].any(1)
+        whole[whole], at = some, at[some]
+        got, there = _similarities(both[0][at], both[1][at], to) if len(at) else (np.empty((5, 0)), np.empty(0, bool))
+        whole[whole] = there
+        out = np.zeros((5, len(rows)))
+        out[:, whole] = got[:, there]
+        columns = [pa.array(c) for c in out[:4]] + [pa.array(out[4].astype(np.int32))]
+        return pa.StructArray.from_arrays(columns, names=[*keys, "inliers"], mask=pa.array(~whole))
 
-    def refit(p: Column, best: Column) -> Column:
-        limit = F.greatest(F.lit(LEAST), DEVIATIONS * SPREAD * (1 + 5.0 / (n - 2)) * F.sqrt(best["median"]))
-        rows = [F.struct(F.when(s <= limit * limit, 1.0).otherwise(0.0).alias("w"), p[i]["x"].alias("x"), p[i]["y"].alias("y"), F.lit(to[i][0]).alias("u"), F.lit(to[i][1]).alias("v")) for i, s in enumerate(squares(p, best["m"]))]
-        total = lambda r, f: F.aggregate(r, F.lit(0.0), lambda s, e: s + e["w"] * f(e))
+    return fit(points)
 
-        def solve(s: Column) -> Column:
-            r, k = s["r"], s["k"]
-            mx, my, mu, mv = (total(r, lambda e, c=c: e[c]) / k for c in "xyuv")
-            return then(F.struct(r.alias("r"), k.alias("k"), mx.alias("mx"), my.alias("my"), mu.alias("mu"), mv.alias("mv")), ends)
 
-        def ends(s: Column) -> Column:
-            r = s["r"]
-            x, y, u, v = (lambda e: e["x"] - s["mx"]), (lambda e: e["y"] - s["my"]), (lambda e: e["u"] - s["mu"]), (lambda e: e["v"] - s["mv"])
-            q = total(r, lambda e: x(e) * x(e) + y(e) * y(e))
-            ab = F.struct((total(r, lambda e: x(e) * u(e) + y(e) * v(e)) / q).alias("a"), (total(r, lambda e: x(e) * v(e) - y(e) * u(e)) / q).alias("b"))
-            return then(ab, lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b"), (s["mu"] - t["a"] * s["mx"] + t["b"] * s["my"]).alias("tx"), (s["mv"] - t["b"] * s["mx"] - t["a"] * s["my"]).alias("ty"), s["k"].cast("int").alias("inliers")))
-
-        return then(F.array(*rows), lambda r: then(F.struct(r.alias("r"), total(r, lambda e: F.lit(1.0)).alias("k")), solve))
+def _similarities(x: np.ndarray, y: np.ndarray, to: list[tuple[float, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """a, b, tx, ty and inliers of each row of landmarks, and which rows have a pair of different ones."""
+    n = len(to)
 
-    def fit(p: Column) -> Column:
-        found = F.filter(F.array(*[by_pair(p, i, j) for i, j in combinations(range(n), 2)]), lambda c: c.isNotNull())
-        return then(F.array_min(found), lambda best: F.when(best.isNotNull(), refit(p, best)))
+    def squares(m: tuple) -> np.ndarray:
+        a, b, tx, ty = m
+        out = np.empty((n, len(x)))
+        for i, (u, v) in enumerate(to):
+            du, dv = a * x[:, i] - b * y[:, i] + tx - u, b * x[:, i] + a * y[:, i] + ty - v
+            out[i] = du * du + dv * dv
+        return out
 
-    whole = F.when((F.size(points) == n) & ~F.exists(points, lambda q: q.isNull() | q["x"].isNull() | q["y"].isNull()), points)
-    return then(whole, lambda p: F.when(p.isNotNull(), fit(p)))
+    found = []
+    with np.errstate(all="ignore"):
+        for i, j in combinations(range(n), 2):
+            dx, dy = x[:, j] - x[:, i], y[:, j] - y[:, i]
+            du, dv = to[j][0] - to[i][0], to[j][1] - to[i][1]
+            length = dx * dx + dy * dy
+            a, b = (dx * du + dy * dv) / length, (dx * dv - dy * du) / length
+            m = (a, b, to[i][0] - a * x[:, i] + b * y[:, i], to[i][1] - b * x[:, i] - a * y[:, i])
+            found.append((length == 0, np.sort(squares(m), 0)[n // 2], *m))
+        none, *ordered = (np.stack(z) for z in zip(*found))
+        first = np.lexsort((*ordered[::-1], none), axis=0)[0]
+        median, *m = (z[first, np.arange(len(x))] for z in ordered)
+        limit = np.maximum(LEAST, DEVIATIONS * SPREAD * (1 + 5.0 / (n - 2)) * np.sqrt(median))
+        w = (squares(tuple(m)) <= limit * limit).astype(float)
+        total = lambda f: sum((w[i] * f(i) for i in range(n)), np.zeros(len(x)))
+        k = total(lambda i: 1.0)
+        mx, my, mu, mv = total(lambda i: x[:, i]) / k, total(lambda i: y[:, i]) / k, total(lambda i: to[i][0]) / k, total(lambda i: to[i][1]) / k
+        xs, ys, us, vs = ([c(i) - middle for i in range(n)] for c, middle in ((lambda i: x[:, i], mx), (lambda i: y[:, i], my), (lambda i: to[i][0], mu), (lambda i: to[i][1], mv)))
+        q = total(lambda i: xs[i] * xs[i] + ys[i] * ys[i])
+        a = total(lambda i: xs[i] * us[i] + ys[i] * vs[i]) / q
+        b = total(lambda i: xs[i] * vs[i] - ys[i] * us[i]) / q
+    return np.stack([a, b, mu - a * mx + b * my, mv - b * mx - a * my, k]), ~none.all(0)
