@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,9 +53,9 @@ def voting(frames: DataFrame, last: int = 5, least: int = 3, no_face: str | None
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         names, scores = state.get if state.exists else ([], [])
         history = list(zip(names, scores))
-        rows = pd.concat(list(batches)).sort_values(["ts", "frame"])
-        out = []
-        for frame, name, score in zip(rows["frame"], rows["name"], rows["score"]):
+        rows = pd.concat(list(batches))
+        order, out = np.lexsort((rows["frame"].to_numpy(), rows["ts"].to_numpy())), []
+        for frame, name, score in zip(*(rows[c].to_numpy()[order].tolist() for c in ("frame", "name", "score"))):
             if name == no_face:
                 history = []
                 continue
@@ -62,7 +63,8 @@ def voting(frames: DataFrame, last: int = 5, least: int = 3, no_face: str | None
             if (won := vote(history, least)) is not None:
                 out.append((key[0], frame, *won))
         state.update(([n for n, _ in history], [s for _, s in history]))
-        yield pd.DataFrame(out, columns=["stream", "frame", "name", "score", "hits"])
+        if out:
+            yield pd.DataFrame(dict(zip(("stream", "frame", "name", "score", "hits"), zip(*out))))
 
     return frames.groupBy("stream").applyInPandasWithState(step, "stream long, frame long, name string, score double, hits long", "names array<string>, scores array<double>", "append", GroupStateTimeout.NoTimeout)
 
