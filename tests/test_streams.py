@@ -143,3 +143,56 @@ def test_windows_over_chunks_of_a_stream_that_holds_most_rows(spark):
 
 def rows_of(df):
     return sorted(map(str, df.collect()))
+
+
+def test_one_timer_for_open_slots():
+    """Any number of open slots of a stream takes one timer and one look at the state; a timer emits all that is over."""
+    import pandas as pd
+
+    from matchloom.streaming import sessions
+
+    class Value:
+        held, looks = None, 0
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            self.looks += 1
+            return self.held
+
+        def update(self, x):
+            self.held = x
+
+        def clear(self):
+            self.held = None
+
+    class Handle:
+        def __init__(self):
+            self.values, self.timers = {}, []
+
+        def getValueState(self, name, schema):
+            return self.values.setdefault(name, Value())
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    class Now:
+        getCurrentWatermarkInMs = staticmethod(lambda: 50_000)
+        getExpiryTimeInMs = staticmethod(lambda: 1_000)
+
+    p, handle = sessions.Sessions(1_000, 10_000_000), Handle()
+    p.init(handle)
+    rows = pd.DataFrame({"stream": 7, "frame": range(100), "ts": pd.to_datetime([i * 999 for i in range(100)], unit="ms"), "name": "view", "score": 1.0})
+    assert not list(p.handleInputRows((7,), iter([rows[50:], rows[:50]]), Now))
+    assert handle.timers == [1_000] and handle.values["slots"].looks == 0
+    (out,) = p.handleExpiredTimer((7,), Now, Now)
+    assert handle.timers == [1_000, 51_000]  # the first has come
+    want = {}
+    for i in range(100):
+        if i * 999 < 50_000:
+            want[i * 999 // 1000 * 1_000_000] = (i, want.get(i * 999 // 1000 * 1_000_000, (0, 0))[1] + 1)
+    assert {int(r.start.value // 1000): (r.frame, r.frames) for r in out.itertuples()} == want and set(out["kind"]) == {"slot"}
