@@ -241,7 +241,9 @@ def r9_sessions(spark, d):
     """A summary of each session of each stream, emitted when no frame has come for twelve hours of event time."""
     stream, _ = sessions.landed(frames(spark, d), CUTS)
     out = loops.drained(sessions.logged(stream, SLOT, GAP), sessions.SCHEMA).where("kind = 'session'")
-    return out.select("stream", F.unix_micros("start").alias("started"), F.unix_micros("stop").alias("ended"), "frame", "frames", "without_face", F.round("mean_score", 4).alias("mean_score"))
+    # a mean of decimals may be a half at the fifth digit: it is rounded times 10,000, as SQL does, not by its decimal form
+    mean = F.round(F.col("mean_score") * 10_000, 0) / 10_000
+    return out.select("stream", F.unix_micros("start").alias("started"), F.unix_micros("stop").alias("ended"), "frame", "frames", "without_face", mean.alias("mean_score"))
 
 
 @query("k7_event_time_log", _SLOTS)
