@@ -44,3 +44,7 @@ def test_decimals(spark):
 
 def test_unit(spark, small):
     same_as_sql(spark, small, "f4_unit")
+
+
+def test_whiten(spark, small):
+    same_as_sql(spark, small, "f7_whiten")
