@@ -17,24 +17,24 @@ _ROUNDED = "list_transform(centroid, lambda x: round(x, 6))"
 
 @query("a7_weighted_centroid", f"WITH {T.GALLERY} SELECT person, sample_count, {_ROUNDED} AS centroid FROM gallery")
 def a7(spark, d):
-    return T.gallery(spark, d).withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 6)))
+    return T.gallery(spark, d).withColumn("centroid", F.transform("centroid", lambda x: V.decimals(x, 6)))
 
 
 @query("a8_mean_gallery", f"WITH {T.FEAT} SELECT person, count(*) // 64 AS sample_count, list(m ORDER BY pos) AS centroid FROM (SELECT person, u.i AS pos, round(avg(v[u.i]), 6) AS m, sum(count(*)) OVER (PARTITION BY person) AS k FROM feat, unnest(range(1, 65)) AS u(i) WHERE NOT probe AND known GROUP BY 1, 2), unnest(range(k::BIGINT // 64)) GROUP BY person".replace("count(*) // 64 AS sample_count, list(m ORDER BY pos) AS centroid", "max(k)::BIGINT // 64 AS sample_count, list(m ORDER BY pos) AS centroid").replace(", unnest(range(k::BIGINT // 64)) GROUP BY person", " GROUP BY person"))
 def a8(spark, d):
     """The plain mean, not scaled to length one."""
-    return M.mean_vector(T.members(spark, d), "person").withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 6)))
+    return M.mean_vector(T.members(spark, d), "person").withColumn("centroid", F.transform("centroid", lambda x: V.decimals(x, 6)))
 
 
 @query("s20_features_to_mean", f"WITH {T.FEAT} SELECT person, round(avg(v[1]), 6) AS first, round(avg(v[64]), 6) AS last FROM feat GROUP BY person")
 def s20(spark, d):
     m = M.mean_vector(T.feat(spark, d), "person")
-    return m.select("person", F.round(F.col("centroid")[0], 6).alias("first"), F.round(F.col("centroid")[63], 6).alias("last"))
+    return m.select("person", V.decimals(F.col("centroid")[0], 6).alias("first"), V.decimals(F.col("centroid")[63], 6).alias("last"))
 
 
 @query("j3_arg_max", f"WITH {T.MATCHES} SELECT vec_id, best_person, round(score, 6) AS score FROM matches")
 def j3(spark, d):
-    return T.matches(spark, d).select("vec_id", "best_person", F.round("score", 6).alias("score"))
+    return T.matches(spark, d).select("vec_id", "best_person", V.decimals(F.col("score"), 6).alias("score"))
 
 
 _NEAR = f""", far AS (SELECT p.vec_id, p.person AS truth, p.known, t.person AS name, t.vec_id AS template, round(sqrt(list_sum(list_transform(list_zip(p.v, t.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) AS distance
@@ -83,7 +83,7 @@ def j6(spark, d):
     g = T.gallery(spark, d).withColumnRenamed("person", "other")
     s = pairs.each_with_each(T.probes(spark, d).select("vec_id", "person", "v"), g).withColumn("score", V.dot(F.col("v"), F.col("centroid")))
     own = F.max(F.when(F.col("other") == F.col("person"), F.col("score")))
-    return s.groupBy("vec_id").agg(F.round(own, 6).alias("own"), F.round(F.max(F.when(F.col("other") != F.col("person"), F.col("score"))), 6).alias("best_other"))
+    return s.groupBy("vec_id").agg(V.decimals(own, 6).alias("own"), V.decimals(F.max(F.when(F.col("other") != F.col("person"), F.col("score"))), 6).alias("best_other"))
 
 
 @query("p1_distance_accept", f"WITH {T.FEAT}{_NEAR}, b AS (SELECT vec_id, first(name ORDER BY distance, name) AS name, min(distance) AS distance FROM own GROUP BY vec_id) SELECT vec_id, CASE WHEN distance <= 1.15 AND name <> 'Unknown' THEN name ELSE 'Unknown' END AS predicted FROM b")

@@ -48,3 +48,8 @@ def test_unit(spark, small):
 
 def test_whiten(spark, small):
     same_as_sql(spark, small, "f7_whiten")
+
+
+@pytest.mark.parametrize("name", ["a8_mean_gallery", "a7_weighted_centroid"])
+def test_centroids(spark, small, name):
+    same_as_sql(spark, small, name)
