@@ -53,3 +53,13 @@ def test_whiten(spark, small):
 @pytest.mark.parametrize("name", ["a8_mean_gallery", "a7_weighted_centroid"])
 def test_centroids(spark, small, name):
     same_as_sql(spark, small, name)
+
+
+def test_percentile_of_equal_values(spark, tmp_path):
+    """0.85 and 0.15 of 900.14 add up to less than it, which left no row at or below the threshold."""
+    pq.write_table(pa.table({"l_extendedprice": [900.14] * 4, "l_linestatus": ["O", "F"] * 2, "l_returnflag": ["A", "N", "A", "R"]}), tmp_path / "lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    asked = con.execute(registry.oracle_sql()["a32_segment_merge"]).fetchall()
+    assert sorted(map(tuple, registry.queries()["a32_segment_merge"](spark, str(tmp_path)).select("segment", "n", "threshold").collect())) == sorted(asked)
+    assert sum(n for _, n, _ in asked) == 4
