@@ -1,11 +1,19 @@
-"""Variants of images: the suite of modifications and random augmentation, as column expressions."""
+"""Variants of images: the suite of modifications as column expressions, and random augmentation."""
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from matchloom.functions import grids as G
+from matchloom.functions import pixels as P
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not find this package
 
 #: Kinds of the modification suite and their levels, 41 in all.
 SUITE = {
@@ -37,32 +45,54 @@ def suite(tile: Column, side: int, key: Column) -> Column:
 
 def augmented(tile: Column, side: int, key: Column, strength: str, flips: bool = True) -> Column:
     """A random change of an image, the same for the same key. Light: brightness and contrast, a small warp, a blur, noise.
-    Medium: wider ranges, and gamma, a crop, motion blur half of the time, and a veiled patch. Either is mirrored half of the time."""
-    ranges = RANGES[strength]
+    Medium: wider ranges, and gamma, a crop, motion blur half of the time, and a veiled patch. Either is mirrored half of the time.
+
+    Random numbers and what is done to each pixel by itself are expressions; what needs pixels around works on batches of images in numpy."""
+    ranges, medium = RANGES[strength], strength == "medium"
     draw = lambda name, of=None: ranges[of or name][0] + G.uniform(key, strength, name) * (ranges[of or name][1] - ranges[of or name][0])
     whole = lambda name, low, high: low + F.floor(G.uniform(key, strength, name) * F.greatest(F.lit(1), high - low + 1)).cast("int")
     out = F.transform(tile, lambda x: G.held(x * draw("contrast") + (draw("bright") - 1) * 128.0))
-    if strength == "medium":
+    if medium:
         out = G.then(out, lambda t: G.gamma(t, draw("gamma")))
-    out = G.then(out, lambda t: G.warped(t, side, draw("angle"), draw("zoom"), draw("dx", "move"), draw("dy", "move")))
-    if strength == "medium":
+    angle = F.radians(draw("angle"))
+    drawn = {"cos": F.cos(angle), "sin": F.sin(angle), "zoom": draw("zoom"), "dx": draw("dx", "move"), "dy": draw("dy", "move"), "noise": draw("noise")}
+    if medium:
         size = F.greatest(F.lit(8), F.rint(side * draw("crop")).cast("int"))
-        out = G.then(out, lambda t: G.resized(t, side, whole("top", F.lit(0), side - size), whole("left", F.lit(0), side - size), size, size))
-    out = G.then(out, lambda t: G.blurred(t, side, 3 if strength == "light" else 5))
-    if strength == "medium":
-        out = G.then(out, lambda t: F.when(G.uniform(key, "motion") < 0.5, t).when(G.uniform(key, "length") < 1 / 3, G.motion_blurred(t, side, 3)).otherwise(G.motion_blurred(t, side, 5)))
-    out = G.then(out, lambda t: G.noisy(t, draw("noise"), key, strength))
-    if strength == "medium":
+        drawn |= {"size": size, "top": whole("top", F.lit(0), side - size), "left": whole("left", F.lit(0), side - size)}
+        drawn["motion"] = F.when(G.uniform(key, "motion") < 0.5, 0).when(G.uniform(key, "length") < 1 / 3, 3).otherwise(5)
         height = F.least(F.lit(side), F.greatest(F.lit(4), F.rint(F.sqrt(draw("area") * side * side)).cast("int")))
         width = F.least(F.lit(side), F.greatest(F.lit(4), F.rint(draw("area") * side * side / height).cast("int")))
         low = int(side * 0.58)
         forehead = whole("y", F.lit(0), F.greatest(F.lit(0), int(side * 0.30) - height))
         cheek = F.least(F.greatest(F.lit(0), side - height), whole("y", F.lit(low), F.greatest(F.lit(low), F.least(side - height, F.lit(int(side * 0.82))))))
-        top = F.when(G.uniform(key, "part") < 0.5, forehead).otherwise(cheek)
         edge = int(side * 0.10)
-        left = F.least(F.greatest(F.lit(0), side - width), whole("x", F.lit(edge), F.greatest(F.lit(edge), side - width - edge)))
-        out = G.then(out, lambda t: G.veiled(t, side, top, left, height, width, draw("keep")))
+        drawn |= {"y": F.when(G.uniform(key, "part") < 0.5, forehead).otherwise(cheek), "height": height, "width": width, "keep": draw("keep")}
+        drawn["x"] = F.least(F.greatest(F.lit(0), side - width), whole("x", F.lit(edge), F.greatest(F.lit(edge), side - width - edge)))
     if flips:
-        mirrored = lambda t: F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.get(t, (F.floor(i / side) * side + side - 1 - i % side).cast("int")))
-        out = G.then(out, lambda t: F.when(G.uniform(key, strength, "flip") < 0.5, mirrored(t)).otherwise(t))
-    return out
+        drawn["flip"] = (G.uniform(key, strength, "flip") < 0.5).cast("int")
+    normals = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: G.normal(key, strength, i))
+
+    def changed(t: np.ndarray, p: dict[str, np.ndarray], normals: np.ndarray) -> np.ndarray:
+        t = P.warped(t, side, p["cos"], p["sin"], p["zoom"], p["dx"], p["dy"])
+        if medium:
+            t = P.resized(t, side, p["top"], p["left"], p["size"], p["size"])
+        t = P.blurred(t, side, 5 if medium else 3)
+        if medium:
+            for k in (3, 5):
+                t[p["motion"] == k] = P.motion_blurred(t[p["motion"] == k], side, k)
+        t = P.held(t + p["noise"][:, None] * normals)
+        if medium:
+            t = P.veiled(t, side, p["y"], p["x"], p["height"], p["width"], p["keep"])
+        return np.where(p["flip"][:, None] == 1, P.flipped(t, side), t) if flips else t
+
+    @F.arrow_udf("array<int>")
+    def made(tiles: pa.Array, drawn: pa.Array, normals: pa.Array) -> pa.Array:
+        n, out = side * side, np.empty((len(tiles), side * side), np.int32)
+        for at in range(0, len(tiles), P.AT_ONCE):
+            one = slice(at, at + P.AT_ONCE)
+            p = {f.name: drawn[one].field(f.name).to_numpy(zero_copy_only=False) for f in drawn.type}
+            out[one] = changed(P.pixels(tiles[one], n), p, P.pixels(normals[one], n))
+        return pa.ListArray.from_arrays(np.arange(len(tiles) + 1, dtype=np.int32) * n, out.ravel())
+
+    # all pixels of a null image are missing
+    return made(F.coalesce(out, F.array().cast("array<int>")), F.struct(*[c.alias(name) for name, c in drawn.items()]), normals)

@@ -141,10 +141,14 @@ def uniform(key: Column, *salt) -> Column:
     return (F.pmod(F.xxhash64(key, *[s if isinstance(s, Column) else F.lit(s) for s in salt]), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
+def normal(key: Column, salt: str, i: Column) -> Column:
+    """A normally distributed number for pixel i, by a pair of uniform ones."""
+    return F.sqrt(-2 * F.log(uniform(key, salt, "r", i))) * F.cos(2 * math.pi * uniform(key, salt, "a", i))
+
+
 def noisy(tile: Column, sigma: Column, key: Column, salt: str) -> Column:
-    """Normal noise, by pairs of uniform numbers for each pixel."""
-    normal = lambda i: F.sqrt(-2 * F.log(uniform(key, salt, "r", i))) * F.cos(2 * math.pi * uniform(key, salt, "a", i))
-    return F.transform(tile, lambda x, i: held(x + sigma * normal(i)))
+    """Normal noise."""
+    return F.transform(tile, lambda x, i: held(x + sigma * normal(key, salt, i)))
 
 
 def median(values: Column) -> Column:

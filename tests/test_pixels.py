@@ -1,10 +1,14 @@
 """Batches of images in numpy against the column expressions."""
 
+import json
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from matchloom.functions import augment
 from matchloom.functions import grids as G
 from matchloom.functions import pixels as P
 from matchloom.plans import registry
@@ -35,3 +39,41 @@ def test_binary_patterns(images):
 def test_local_patterns_take_no_expressions_by_pixel(spark, sf_dir):
     plan = registry.queries()["i10_lbph_histogram"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and len(plan) < 20_000
+
+
+def test_changes_that_differ_by_image(images):
+    rows, df = images
+    rng, n = np.random.default_rng(6), len(rows)
+    angle, zoom, dx, dy, keep = (rng.uniform(low, high, n) for low, high in ((-10, 10), (0.9, 1.1), (-10, 10), (-10, 10), (0.45, 0.7)))
+    size, (top, left) = rng.integers(4, 9, n), rng.integers(0, 4, (2, n))
+    at = lambda a: F.get(F.array(*[F.lit(x) for x in a.tolist()]), F.col("k").cast("int"))
+    t, c = P.pixels(pa.array(rows), 64), F.col("t")
+    whole = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get(c, i))  # a short image ends in nulls, which filters bring to 255
+    turned = df.orderBy("k").select(F.cos(F.radians(at(angle))).alias("c"), F.sin(F.radians(at(angle))).alias("s")).toPandas()
+    both = (
+        (G.warped(c, 8, at(angle), at(zoom), at(dx), at(dy)), P.warped(t, 8, turned.c.to_numpy(), turned.s.to_numpy(), zoom, dx, dy)),
+        (G.resized(c, 8, at(top), at(left), at(size), at(size)), P.resized(t, 8, top, left, size, size)),
+        *((G.blurred(c, 8, k), P.blurred(t, 8, k)) for k in (3, 5, 7)),
+        *((G.motion_blurred(c, 8, k), P.motion_blurred(t, 8, k)) for k in (3, 5)),
+        (G.veiled(G.rounded(whole.cast("array<double>")), 8, at(top), at(left), at(size), at(size), at(keep)), P.veiled(P.held(t), 8, top, left, size, size, keep)),
+    )
+    for want, got in both:
+        assert got.tolist() == [r.x for r in df.orderBy("k").select(want.alias("x")).collect()]
+
+
+def test_augmented_images_are_those_of_the_expressions(spark, images):
+    """Checksums of what the column expressions, which went pixel by pixel, made of the same images."""
+    want = {("light", True): 2301912750, ("light", False): 1842941537, ("medium", True): 3618372510, ("medium", False): 3352979386}
+    for (strength, flips), crc in want.items():
+        got = images[1].repartition(3).select("k", augment.augmented(F.col("t"), 8, F.col("k"), strength, flips).alias("x")).orderBy("k").collect()
+        assert zlib.crc32(json.dumps([r.x for r in got]).encode()) == crc
+    odd = spark.createDataFrame([(1, None), (1, []), (1, [None] * 64), (2, [])], "k long, t array<int>")
+    for strength in ("light", "medium"):
+        null, empty, nulls, other = (r.x for r in odd.coalesce(1).select(augment.augmented(F.col("t"), 8, F.col("k"), strength).alias("x")).collect())
+        assert null == empty and len(null) == len(nulls) == 64 and null != other
+        assert images[1].where("k < 0").select(augment.augmented(F.col("t"), 8, F.col("k"), strength)).collect() == []
+
+
+def test_augmentation_takes_no_expressions_by_pixel(spark, sf_dir):
+    plan = registry.queries()["i13_augmentation"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and len(plan) < 20_000
