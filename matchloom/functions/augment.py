@@ -1,4 +1,4 @@
-"""Variants of images: the suite of modifications as column expressions, and random augmentation."""
+"""Variants of images: the suite of modifications and random augmentation."""
 
 from __future__ import annotations
 
@@ -28,18 +28,38 @@ RANGES = {
 
 
 def suite(tile: Column, side: int, key: Column) -> Column:
-    """The 41 variants of an image, an array of structs kind, level, made."""
-    change = {
-        "brightness": G.brighter, "contrast": G.contrasted, "gamma": G.gamma, "gaussian_noise": lambda t, s: G.noisy(t, s, key, "noise"),
-        "rotation": lambda t, a: G.warped(t, side, a, F.lit(1.0)), "zoom": lambda t, z: G.warped(t, side, F.lit(0.0), z),
-    }
-    fixed = {"gaussian_blur": lambda t, n: G.blurred(t, side, n), "motion_blur": lambda t, n: G.motion_blurred(t, side, n), "occlusion": lambda t, a: G.occluded(t, side, a, key, f"occlusion {a}")}
+    """The 41 variants of an image, an array of structs kind, level, made. Those that need pixels around work on batches of images in numpy."""
+    change = {"brightness": G.brighter, "contrast": G.contrasted, "gamma": G.gamma, "gaussian_noise": lambda t, s: G.noisy(t, s, key, "noise")}
+    near = [(kind, level) for kind in ("gaussian_blur", "motion_blur", "rotation", "zoom") for level in SUITE[kind]]
+
+    def changed(t: np.ndarray, kind: str, level: float, cos: np.ndarray, sin: np.ndarray) -> np.ndarray:
+        if kind.endswith("blur"):
+            return (P.blurred if kind == "gaussian_blur" else P.motion_blurred)(t, side, level)
+        still = np.zeros(len(t))
+        return P.warped(t, side, cos, sin, still + (level if kind == "zoom" else 1.0), still, still)
+
+    @F.arrow_udf("array<array<int>>")
+    def made(tiles: pa.Array, turns: pa.Array) -> pa.Array:
+        n, out = side * side, np.empty((len(tiles), len(near), side * side), np.int32)
+        for at in range(0, len(tiles), P.AT_ONCE):
+            one = slice(at, at + P.AT_ONCE)
+            t, p = P.pixels(tiles[one], n), P.pixels(turns[one], 2 * len(near))
+            for k, (kind, level) in enumerate(near):
+                out[one, k] = changed(t, kind, level, p[:, 2 * k], p[:, 2 * k + 1])
+        lists = pa.ListArray.from_arrays(np.arange(len(tiles) * len(near) + 1, dtype=np.int32) * n, out.ravel())
+        return pa.ListArray.from_arrays(np.arange(len(tiles) + 1, dtype=np.int32) * len(near), lists)
+
+    angles = [F.radians(F.lit(float(level) if kind == "rotation" else 0.0)) for kind, level in near]
+    around = made(F.coalesce(tile, F.array().cast("array<int>")), F.array(*[f(a) for a in angles for f in (F.cos, F.sin)]))
     out = []
     for kind, levels in SUITE.items():
         stem = kind.removesuffix("_up").removesuffix("_down")
         for level in levels:
-            made = fixed[stem](tile, level) if stem in fixed else change[stem](tile, F.lit(float(level)))
-            out.append(F.struct(F.lit(kind).alias("kind"), F.lit(float(level)).alias("level"), made.alias("made")))
+            if (kind, level) in near:
+                one = F.get(around, near.index((kind, level)))
+            else:
+                one = G.occluded(tile, side, level, key, f"occlusion {level}") if kind == "occlusion" else change[stem](tile, F.lit(float(level)))
+            out.append(F.struct(F.lit(kind).alias("kind"), F.lit(float(level)).alias("level"), one.alias("made")))
     return F.array(*out)
 
 

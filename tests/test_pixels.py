@@ -77,3 +77,13 @@ def test_augmented_images_are_those_of_the_expressions(spark, images):
 def test_augmentation_takes_no_expressions_by_pixel(spark, sf_dir):
     plan = registry.queries()["i13_augmentation"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan and len(plan) < 20_000
+
+
+def test_suite_is_that_of_the_expressions(spark, sf_dir, images):
+    c, df = F.col("t"), images[1]
+    want = {("rotation", -10.0): G.warped(c, 8, F.lit(-10.0), F.lit(1.0)), ("zoom", 0.95): G.warped(c, 8, F.lit(0.0), F.lit(0.95)), ("gaussian_blur", 7.0): G.blurred(c, 8, 7), ("motion_blur", 5.0): G.motion_blurred(c, 8, 5)}
+    rows = df.select(augment.suite(c, 8, F.col("k")).alias("all"), *[x.alias(k) for (k, _), x in want.items()]).collect()
+    for r in rows:
+        made = {(m.kind, m.level): m.made for m in r["all"]}
+        assert len(made) == 41 and all(made[key] == r[key[0]] for key in want)
+    assert "ArrowEvalPython" in registry.queries()["i12_modification_suite"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
