@@ -53,7 +53,18 @@ def _decimals(x: Column, n: int) -> Column:
     units += ((over > -rest) | ((over == -rest) & ((units if n else whole) % 2 == 1))).cast("long")
     carried = whole + F.when(units >= 10**n, 1).otherwise(0)
     text = F.format_string(f"%s%d.%0{n}d", F.when(x < 0, "-").otherwise(""), carried, units % 10**n) if n else F.format_string("%s%d", F.when(x < 0, "-").otherwise(""), carried)
-    return F.when(a < float(1 << 53), text).otherwise(F.format_string(f"%.{n}f", F.bround(x, n)))
+    whole_text = F.concat(F.when(x < 0, "-").otherwise(""), _digits(a), F.lit("." + "0" * n if n else ""))
+    return F.when(a < float(1 << 53), text).when(a < 1e38, whole_text).otherwise(F.format_string(f"%.{n}f", F.bround(x, n)))
+
+
+def _digits(a: Column) -> Column:
+    """All digits of a double between 2^53 and 10^38, which is a whole number of at most 55 bits times a power of two; its shortest decimal form stops after 17."""
+    e = F.greatest(F.lit(0), (F.floor(F.log2(a)) - 53).cast("int"))
+    # 2^e in two parts of at most 40 bits
+    low, high = (F.pow(F.lit(2.0), x).cast("long").cast("decimal(13,0)") for x in (F.least(e, F.lit(40)), F.greatest(e - 40, F.lit(0))))
+    return ((a / F.pow(F.lit(2.0), e)).cast("long").cast("decimal(17,0)") * low * high).cast("string")
+
+
 
 
 def byte_size(n: Column) -> Column:

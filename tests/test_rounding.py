@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from matchloom.functions import labels as L
 from matchloom.functions import vectors as V
 from matchloom.plans import registry
 
@@ -63,3 +64,10 @@ def test_percentile_of_equal_values(spark, tmp_path):
     asked = con.execute(registry.oracle_sql()["a32_segment_merge"]).fetchall()
     assert sorted(map(tuple, registry.queries()["a32_segment_merge"](spark, str(tmp_path)).select("segment", "n", "threshold").collect())) == sorted(asked)
     assert sum(n for _, n, _ in asked) == 4
+
+
+def test_large_sizes_have_all_their_digits(spark):
+    n = [float(1 << 53) * 1024.0**4, 1.1818254493395242e30, 1.0702725905254079e30, -1.2e31, 2.0**110, 2.0**110 - 2.0**57, 9.9e37]
+    rows = spark.createDataFrame([(x,) for x in n], "x double").select(L.byte_size(F.col("x")).alias("t"), L._decimals(F.col("x"), 2).alias("d")).collect()
+    assert [r.d for r in rows] == [f"{x:.2f}" for x in n]
+    assert [r.t for r in rows if r.t.endswith("TB")] == [f"{x / 1024.0**4:.2f} TB" for x in n if x > 0]
