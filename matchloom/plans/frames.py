@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from matchloom.functions import boxes as B
 from matchloom.operators import chunks as C
 from matchloom.operators import frames as R
+from matchloom.operators.spread import Spread
 from matchloom.plans import tables as T
 from matchloom.plans.registry import query, sql_of
 from matchloom.sources.shared import shared_dir
@@ -256,9 +257,9 @@ def k7_log(spark, d):
 
 @query("r10_bounded_pair_pass", f"WITH {T.FEAT}, p AS (SELECT sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM feat a JOIN feat b ON a.vec_id < b.vec_id) SELECT floor(d * 10)::BIGINT AS bin, count(*) AS n FROM p GROUP BY 1")
 def r10(spark, d):
-    """All unique pairs in blocks, never held: only bins leave the tasks."""
-    from matchloom.functions import vectors as V
-    from matchloom.operators import pairs
-
-    p = pairs.unique_pairs(T.feat(spark, d).select("vec_id", "v"), "vec_id")
-    return p.groupBy(F.floor(V.euclidean(F.col("a_v"), F.col("b_v")) * 10).alias("bin")).agg(F.count("*").alias("n"))
+    """All unique pairs by tiles, never held: only counts leave the tasks."""
+    s = Spread(T.feat(spark, d), "vec_id", "v", 1, floor=True)
+    n, below = s.below(s.places())
+    upto = [[*sorted(below[g].items()), (None, n[g])] for g in n]
+    rows = [(k, m - b) for each in upto for (k, b), (_, m) in zip(each, each[1:]) if m > b]
+    return spark.createDataFrame(rows, "bin long, n long")
