@@ -181,8 +181,10 @@ def t3(spark, d):
 
 @query("t4_top_k_with_maximum", f"WITH {T.FEAT}, {_UNIQUE} SELECT query, candidate, d, m AS largest FROM up, (SELECT max(d) AS m FROM up) ORDER BY d, query, candidate LIMIT 15")
 def t4(spark, d):
-    p = _unique(spark, d)
-    return p.orderBy("d", "query", "candidate").limit(15).crossJoin(F.broadcast(p.agg(F.max("d").alias("largest"))))
+    f = T.feat(spark, d)
+    n, at = Spread(f, "vec_id", "v").at(lambda n: [n])
+    largest = at[None][n[None]] if n else None
+    return tiles.lowest(f, "vec_id", "v", 15).orderBy("d", "query", "candidate").withColumn("largest", F.lit(largest).cast("double"))
 
 
 @query("t5_top_dimensions", f"WITH {T.FEAT}, a AS (SELECT u.i - 1 AS dim, var_pop(v[u.i]) AS s FROM feat, unnest(range(1, 65)) AS u(i) GROUP BY 1) SELECT dim, round(s, 6) AS score FROM a ORDER BY round(s, 9) DESC, dim LIMIT 8")
