@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a block at most, and of one whose distances are returned; blocks at least; rows and bytes that a broadcast side may have.
 BLOCK_ROWS, DISTANCE_ROWS, LEAST_BLOCKS, BROADCAST_ROWS, BROADCAST_BYTES = 4096, 1024, 4, 50_000, 128 << 20
+#: Rows of a tile done at once, few enough for a core's cache.
+STRIP = 32
 
 
 def blocks_for(rows: int) -> int:
@@ -71,7 +73,7 @@ def unique_distances(df: DataFrame, key: str, v: str = "v") -> DataFrame:
 
 
 def distance_stats(df: DataFrame, key: str, v: str = "v") -> DataFrame:
-    """pairs, total, smallest, largest of the Euclidean distances of all unique pairs: matrix products per pair of
+    """pairs, total, squares, smallest, largest of the Euclidean distances of all unique pairs: matrix products per pair of
     blocks, of which a row each leaves the tasks. Squares near zero, where the short formula loses digits, are redone."""
     import numpy as np
     import pyarrow as pa
@@ -80,25 +82,30 @@ def distance_stats(df: DataFrame, key: str, v: str = "v") -> DataFrame:
     own = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(v).alias("v"), own.alias("own"))
     a = rows.select(F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.lit(n - 1))).alias("j"), "id", "v")
-    b = rows.select(F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), "id", "v")
+    # columns of its own, or Spark takes both sides' for the same
+    b = rows.select(F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), (F.col("id") + 0).alias("jd"), F.transform("v", lambda z: z).alias("w"))
 
     def solve(keys: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        x, y = [np.asarray(t["v"].combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1) if t.num_rows else np.empty((0, 0)) for t in (left, right)]
-        ids, jds = left["id"].to_numpy(), right["id"].to_numpy()
+        x, y = [np.asarray(t.column(3).combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1) if t.num_rows else np.empty((0, 0)) for t in (left, right)]
+        ids, jds = left.column(2).to_numpy(), right.column(2).to_numpy()
         same = keys[0].as_py() == keys[1].as_py()
-        count, total, low, high = 0, 0.0, np.inf, -np.inf
-        for k in range(0, len(x) if len(y) else 0, 512):
-            q = x[k : k + 512]
-            sq = (q * q).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * q @ y.T
+        count, total, squares, low, high = 0, 0.0, 0.0, np.inf, -np.inf
+        yy, turned = (y * y).sum(1), np.ascontiguousarray(-2 * y.T)
+        for k in range(0, len(x) if len(y) else 0, STRIP):
+            q = x[k : k + STRIP]
+            sq = q @ turned
+            sq += (q * q).sum(1)[:, None]
+            sq += yy
             r, c = np.nonzero(sq < 1e-4)
-            sq[r, c] = ((q[r] - y[c]) ** 2).sum(1)
-            d = np.sqrt(sq[ids[k : k + 512][:, None] < jds[None, :]] if same else sq[ids[k : k + 512][:, None] != jds[None, :]])
-            if d.size:
-                count, total, low, high = count + d.size, total + d.sum(), min(low, d.min()), max(high, d.max())
-        return pa.table({"pairs": [count], "total": [total], "smallest": [low if count else None], "largest": [high if count else None]})
-
-    part = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(solve, "pairs long, total double, smallest double, largest double")
-    return part.agg(F.sum("pairs").alias("pairs"), F.sum("total").alias("total"), F.min("smallest").alias("smallest"), F.max("largest").alias("largest"))
+            sq[r, c] = ((q[r] - y[c]) ** 2).sum(1)  # of equal rows the product may come to less than zero
+            sq = sq[ids[k : k + STRIP][:, None] < jds[None, :]] if same else sq
+            if sq.size:
+                d = np.sqrt(sq)
+                count, total, squares, low, high = count + d.size, total + d.sum(), squares + sq.sum(), min(low, d.min()), max(high, d.max())
+        return pa.table({"pairs": [count], "total": [total], "squares": [squares], "smallest": [low if count else None], "largest": [high if count else None]})
+
+    part = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(solve, "pairs long, total double, squares double, smallest double, largest double")
+    return part.agg(F.sum("pairs").alias("pairs"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.min("smallest").alias("smallest"), F.max("largest").alias("largest"))
 
 
 def each_with_each(left: DataFrame, right: DataFrame) -> DataFrame:

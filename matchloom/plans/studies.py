@@ -12,12 +12,13 @@ from matchloom.functions import labels as L
 from matchloom.functions import vectors as V
 from matchloom.operators import curves, pairs, ranks, subspace, tiles
 from matchloom.operators import matching as M
+from matchloom.operators.spread import Spread, percentile, rounded, share_ranks, units
 from matchloom.plans import tables as T
 from matchloom.plans.evaluation import _FISHER, fisher_scores, tar_at_far
 from matchloom.plans.kernels import SIDE
 from matchloom.plans.kernels import tiles as images
 from matchloom.plans.registry import query
-from matchloom.plans.vectors import _ORDERED, _UNIQUE, _unique, error_pairs
+from matchloom.plans.vectors import _ORDERED, _UNIQUE, error_ranks
 from matchloom.sources import sinks
 from matchloom.sources.shared import shared_dir, written
 
@@ -212,6 +213,7 @@ def q17(spark, d):
     return done.groupBy("recipe").pivot("testset", ["b0", "b1", "b2"]).agg(F.round(F.max("rate"), 6))
 
 
+_REPORT = "part string, name string, k long, value double, share double, query long, candidate long"
 _STATS = ("lo", "hi", "mean", "std", "p01", "p05", "p10", "median")
 
 
@@ -222,16 +224,20 @@ _STATS = ("lo", "hi", "mean", "std", "p01", "p05", "p10", "median")
 def q4(spark, d):
     """An independence test over all identities: what distances are like, the shares that thresholds made of it accept, and the
     error pairs at ranks 1, 2, 4, .. and the specified one with their distances as they are and normalized to 100."""
-    u = _unique(spark, d)
-    a = u.agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("std")).crossJoin(F.broadcast(ranks.percentiles(u, "d", (0.01, 0.05, 0.1, 0.5))))
-    a = a.select("lo", "hi", "mean", "std", *[F.col("p")[i].alias(n) for i, n in enumerate(("p01", "p05", "p10", "median"))])
-    named = a.unpivot([], list(_STATS), "name", "value").withColumn("value", F.round("value", 6))
-    none = F.lit(None).cast("long")
-    stats = u.crossJoin(F.broadcast(named)).groupBy("name", "value").agg(F.round(F.avg((F.col("d") <= F.col("value")).cast("int")), 6).alias("share"))
-    stats = stats.select(F.lit("stats").alias("part"), "name", none.alias("k"), "value", "share", none.alias("query"), none.alias("candidate"))
-    e = error_pairs(T.feat(spark, d)).crossJoin(F.broadcast(u.agg(F.max("d").alias("hi"))))
+    f, each, shares = T.feat(spark, d), pairs.distance_stats(T.feat(spark, d), "vec_id").first(), (0.01, 0.05, 0.1, 0.5)  # one row
+    s = Spread(f, "vec_id", "v")
+    unique, at = s.at(lambda n: sorted({1, n, *share_ranks(n, shares)}))
+    if not unique:
+        return spark.createDataFrame([], _REPORT)
+    n, at = unique[None], at[None]
+    mean = each.total / n
+    values = dict(zip(_STATS, (at[1], at[n], mean, max(each.squares / n - mean * mean, 0.0) ** 0.5, *(percentile(at, n, p) for p in shares))))
+    values = {k: rounded(x, 6) for k, x in values.items()}
+    upto = {k: int(units(x, s.measure.digits)) + 1 for k, x in values.items()}
+    e, below = tiles.placed(s, error_ranks, marks=list(upto.values()))
+    stats = spark.createDataFrame([("stats", k, None, x, rounded(below[upto[k]] / n, 6), None, None) for k, x in values.items()], _REPORT)
     spec = F.col("k") == F.greatest(F.lit(1).cast("long"), F.expr("(1000 * n + 999999) div 1000000"))
-    return stats.unionByName(e.select(F.lit("error_pair").alias("part"), F.when(spec, "specified").otherwise("curve").alias("name"), "k", F.round("d", 6).alias("value"), F.round(100 * F.col("d") / F.col("hi"), 6).alias("share"), "query", "candidate"))
+    return stats.unionByName(e.select(F.lit("error_pair").alias("part"), F.when(spec, "specified").otherwise("curve").alias("name"), "k", F.round("d", 6).alias("value"), F.round(100 * F.col("d") / at[n], 6).alias("share"), "query", "candidate"))
 
 
 @query(
