@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a block at most, and of one whose distances are returned; blocks at least; rows and bytes that a broadcast side may have.
-BLOCK_ROWS, DISTANCE_ROWS, LEAST_BLOCKS, BROADCAST_ROWS, BROADCAST_BYTES = 4096, 1024, 4, 50_000, 128 << 20
+#: Rows of a block at most; blocks at least; rows and bytes that a broadcast side may have.
+BLOCK_ROWS, LEAST_BLOCKS, BROADCAST_ROWS, BROADCAST_BYTES = 4096, 4, 50_000, 128 << 20
 #: Rows of a tile done at once, few enough for a core's cache.
 STRIP = 32
 
@@ -46,32 +46,6 @@ def ordered_pairs(df: DataFrame, key: str, left: str = "a_", right: str = "b_")
     return p.unionByName(swapped)
 
 
-def unique_distances(df: DataFrame, key: str, v: str = "v") -> DataFrame:
-    """query, candidate, d: the Euclidean distance of each pair of rows with different keys once, the smaller key first. A pair of blocks
-    is a matrix in a task; squares are added up component by component, as a loop over a pair would add them."""
-    import numpy as np
-    import pyarrow as pa
-
-    n = max(LEAST_BLOCKS, -(-df.count() // DISTANCE_ROWS))
-    own = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(v).alias("v"), own.alias("own"))
-    a = rows.select(F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.lit(n - 1))).alias("j"), "id", "v")
-    # columns of its own, or Spark takes both sides' for the same
-    b = rows.select(F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), (F.col("id") + 0).alias("jd"), F.transform("v", lambda z: z).alias("w"))
-
-    def solve(keys: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        x, y = [np.asarray(t.column(3).combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1) if t.num_rows else np.empty((0, 0)) for t in (left, right)]
-        ids, jds = left.column(2).to_numpy(), right.column(2).to_numpy()
-        r, c = np.nonzero(ids[:, None] < jds[None, :] if keys[0].as_py() == keys[1].as_py() else np.ones((len(ids), len(jds)), bool))
-        total = np.zeros((len(ids), len(jds)))
-        for k in range(x.shape[1] if len(ids) and len(jds) else 0):
-            gap = x[:, k, None] - y[None, :, k]
-            total += gap * gap
-        return pa.table({"query": np.minimum(ids[r], jds[c]), "candidate": np.maximum(ids[r], jds[c]), "d": np.sqrt(total[r, c])})
-
-    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(solve, "query long, candidate long, d double")
-
-
 def distance_stats(df: DataFrame, key: str, v: str = "v") -> DataFrame:
     """pairs, total, squares, smallest, largest of the Euclidean distances of all unique pairs: matrix products per pair of
     blocks, of which a row each leaves the tasks. Squares near zero, where the short formula loses digits, are redone."""
